@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import sentencepiece_codec
+from siftline.llm import packing, sentencepiece_codec, simhash
 from siftline.llm.common import table
 
 
@@ -22,8 +22,20 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and group of near duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), most=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_packing": op4_packing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {}
