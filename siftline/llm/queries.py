@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import packing, sentencepiece_codec, simhash
+from siftline.llm import line_dedup, packing, sentencepiece_codec, simhash, url_filter
 from siftline.llm.common import table
 
 
@@ -22,11 +22,51 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated multi-line chunks."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+PATTERN_RULES = [
+    ("advert", r"/(?:ad|ads|adserver|banner|banners)/"),
+    ("affiliate", r"[?&]ref=[a-z0-9]{1,3}(?:&|#|$)"),
+    ("deep-page", r"[?&]page=[0-9]{3,}(?:&|#|$)"),
+    ("session", r"[?&](?:sid|phpsessid|jsessionid)=[^&#]+"),
+    ("redirect", r"[?&](?:url|redirect|goto)=https?(?::|%3a)"),
+    ("gambling", r"[./_-](?:casino|poker|slots|betting)[./_-]"),
+    ("login", r"/(?:login|signin|logout)(?:[./?#]|$)"),
+    ("calendar", r"/calendar/[0-9]{4}/[0-9]{2}/"),
+    ("print", r"[?&]print=1(?:&|#|$)"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    rules = [url_filter.host_rule(*x) for x in HOST_RULES] + [url_filter.pattern_rule("block", *x) for x in PATTERN_RULES]
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def _op5_sql() -> str:
+    parts = sorted(((verdict, *rule.partition("/")[::2], rule) for verdict, rule in HOST_RULES), key=lambda x: -len(x[3]))
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')"
+    rule = "case " + " ".join(f"when {fits(h, p)} then '{r}'" for _, h, p, r in parts) + " end"
+    said = "case " + " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p, _ in parts) + " end"
+    pattern = "case " + " ".join(f"when regexp_matches(url, '(?i){p}') then '{n}'" for n, p in PATTERN_RULES) + " end"
+    return f"""
+with u as (select page_id, coalesce(url, '') as url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+s as (select page_id, url, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
+p as (select page_id, url, lower(raw) as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from s),
+r as (select *, {rule} as rule, {said} as said, {pattern} as pat from p)
+select page_id, host, path, rule, coalesce(said, case when pat is null then 'allow' else 'block' end) as verdict, case when rule is null then pat end as pattern from r
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and group of near duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), most=3)
@@ -34,8 +74,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
+    "op5_url_filter": op5_url_filter,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.oracle(),
+    "op5_url_filter": _op5_sql(),
+}
