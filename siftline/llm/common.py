@@ -65,3 +65,23 @@ def strings(column: pa.Array) -> list[str]:
 
 def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64))
+
+
+def hash_unit(column: str, seed: int = 0) -> Column:
+    """A number in [0, 1) that depends on the column's value and the seed only."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def sample_per_class(df: DataFrame, label: str, key: str, each: int, classes: int = 200, seed: int = 0) -> DataFrame:
+    """At most ``each`` rows of each of the ``classes`` most frequent values of ``label``, chosen by a hash of ``key``.
+
+    Counts come from all rows; a row first passes a rate of about three times its
+    class's share, so that no class has to meet in one task before it is cut to size.
+    """
+    from pyspark.sql import Window
+
+    counts = df.groupBy(label).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), label).limit(classes)
+    near = df.join(F.broadcast(counts), label).withColumn("__u", hash_unit(key, seed))
+    near = near.filter(F.col("__u") * F.col("__n") < F.lit(3.0 * each + 30))
+    order = Window.partitionBy(label).orderBy("__u", key)
+    return near.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= each).drop("__n", "__u", "__k")
