@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import line_dedup, packing, sentencepiece_codec, simhash, url_filter
-from siftline.llm.common import table
+from siftline.llm import language_id, line_dedup, packing, quality, sentencepiece_codec, simhash, url_filter
+from siftline.llm.common import crc_mod, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,6 +68,23 @@ select page_id, host, path, rule, coalesce(said, case when pat is null then 'all
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.learnable(docs))
+    return language_id.identify(docs, model).select("doc_id", _fold(4, 2), "lang_pred", "score", "strange")
+
+
+def _fold(m: int, held: int):
+    """held_out: the row's crc32(doc_id as text) mod m is ``held``."""
+    return F.coalesce(crc_mod("doc_id", m) == held, F.lit(False)).alias("held_out")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and group of near duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), most=3)
@@ -77,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_language_id": op6_language_id,
+    "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
 
