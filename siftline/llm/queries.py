@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import language_id, line_dedup, packing, quality, sentencepiece_codec, simhash, url_filter
+from siftline.llm import language_id, language_model, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity, url_filter
 from siftline.llm.common import crc_mod, table
 
 
@@ -80,11 +80,23 @@ def _fold(m: int, held: int):
     return F.coalesce(crc_mod("doc_id", m) == held, F.lit(False)).alias("held_out")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", _fold(5, 0), "score", "predicted")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every document."""
+    return language_model.score(table(spark, sf_dir, "documents"), held_mod=(7, 2))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and group of near duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), most=3)
@@ -96,7 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_language_model": op9_language_model,
     "op10_simhash": op10_simhash,
 }
 
