@@ -286,12 +286,10 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     return train(groups[1], groups[0], counts[1] / (counts[0] + counts[1]))
 
 
-_shared: dict[int, dict[str, float]] = {}
-
-
-def _scores(model: Model | None, memo: dict[str, float], texts: list[str]) -> np.ndarray:
+def _scores(model: Model | None, texts: list[str]) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
+    memo = model.__dict__.setdefault("memo", {})
     decision = []
     for start, end in runs(texts):
         found = [units(t) for t in texts[start:end]]
@@ -317,9 +315,8 @@ def score(df: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: one weight a triple
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _shared.setdefault(shared.id, {})
         for batch in batches:
-            p = _scores(shared.value, memo, strings(batch.column(1)))
+            p = _scores(shared.value, strings(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     read = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -335,8 +332,7 @@ def harmless(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     def fine(texts):
         import pandas as pd
 
-        memo = _shared.setdefault(shared.id, {})
-        return pd.Series(_scores(shared.value, memo, texts.fillna("").tolist()) < 0.5)
+        return pd.Series(_scores(shared.value, texts.fillna("").tolist()) < 0.5)
 
     return df.filter(fine(F.col(text)))
 
