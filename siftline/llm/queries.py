@@ -7,15 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import language_id, language_model, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity, url_filter
-from siftline.llm.common import crc_mod, table
-
-
-def tokenizer_path(name: str) -> str:
-    """The place of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+import corpus_pipeline
+from siftline.llm import ann, language_id, language_model, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity, url_filter
+from siftline.llm.common import crc_mod, table, tokenizer_path
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +22,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
@@ -105,6 +104,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
+    "op3_ann": op3_ann,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
@@ -112,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language_model": op9_language_model,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
