@@ -2,12 +2,553 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.functions import formats
+from siftline.functions.trigrams import trigrams
+from siftline.operators import page, rank, sort
+from siftline.operators import search as s
+from siftline.operators.filters import FileFilter
+from siftline.operators.find import find, find_page
+from siftline.operators.index import Index, bitmap_ids, bitmaps, changes, tombstone
+from siftline.operators.search import SearchOptions
+from siftline.operators.status import status
+from siftline.plans.query import for_pattern, of_literal
+from siftline.plans.regex import Options, escape, to_java
+from siftline.sources.corpus import Corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+PATH = "concat(source, '/', cast(doc_id as varchar), '.', lang)"
+#: Lines of documents, without the empty rest after a last line feed.
+LINES = f"""l as (
+  select doc_id, path, unnest(a) as line, generate_subscripts(a, 1) as line_no from (
+    select doc_id, {PATH} as path, case when a[-1] = '' then a[:-2] else a end as a from (select *, string_split(text, chr(10)) as a from documents))
+)"""
+#: Byte trigrams of documents.
+GRAMS = """b as (select doc_id, hex(encode(text)) as h from documents),
+g as (select distinct doc_id, cast(('0x' || substr(h, 2 * i - 1, 6)) as bigint) as tri from (select doc_id, h, unnest(range(1, len(h) // 2 - 1)) as i from b))"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _path() -> Column:
+    return F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Documents as files: sources are folders, languages endings."""
+    return Corpus.from_df(_table(spark, sf_dir, "documents"), "doc_id", "text", _path())
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("file_id").alias("doc_id"), "line_no", F.col("text").alias("line"), *more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that match ``[Ll]icense``."""
-    raise NotImplementedError
+    """Lines that match ``[Ll]icense``, found through the index."""
+    return search_indexed(spark, sf_dir)
+
+
+def _lines_where(condition: str) -> str:
+    return f"with {LINES} select doc_id, line_no, line from l where {condition}"
+
+
+@query(_lines_where("regexp_matches(line, '[Ll]icense')"))
+def search_regex(spark, d):
+    return _shown(s.search(documents(spark, d), "[Ll]icense", strategy="scan"))
+
+
+@query(_lines_where("regexp_matches(line, '[Ll]icense')"))
+def search_indexed(spark, d):
+    corpus = documents(spark, d)
+    return _shown(s.search(corpus, "[Ll]icense", index=Index.build(corpus), strategy="index"))
+
+
+@query(_lines_where("regexp_matches(line, '[a-z.]+\\s+license\\s+[a-z.]+')"))
+def search_prefilter(spark, d):
+    return _shown(s.search(documents(spark, d), r"[a-z.]+\s+license\s+[a-z.]+", strategy="prefilter"))
+
+
+@query(_lines_where("regexp_matches(line, '[a-zA-Z0-9_.]+@[a-zA-Z0-9_.]+')"))
+def search_fallback(spark, d):
+    """No trigram is required, so the index leaves every file in."""
+    corpus = documents(spark, d)
+    return _shown(s.search(corpus, "[a-zA-Z0-9_.]+@[a-zA-Z0-9_.]+", index=Index.build(corpus)))
+
+
+@query(_lines_where("regexp_matches(line, '(?i)LICENSE')"))
+def search_ignore_case(spark, d):
+    return _shown(s.search(documents(spark, d), "LICENSE", SearchOptions(ignore_case=True)))
+
+
+@query(_lines_where("contains(line, 'MIT License.')"))
+def search_fixed(spark, d):
+    return _shown(s.search(documents(spark, d), "MIT License.", SearchOptions(fixed=True)))
+
+
+@query(_lines_where(r"regexp_matches(line, '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])')"))
+def search_word(spark, d):
+    return _shown(s.search(documents(spark, d), "the", SearchOptions(word=True)))
+
+
+@query(_lines_where("regexp_matches(line, '(?:Apache)|(?:GNU [A-Z][a-z]+)|(?:MIT)')"))
+def search_multi_pattern(spark, d):
+    return _shown(s.search(documents(spark, d), ["Apache", "GNU [A-Z][a-z]+", "MIT"]))
+
+
+@query(_lines_where("not regexp_matches(line, '[ea]')"))
+def search_invert(spark, d):
+    return _shown(s.search(documents(spark, d), "[ea]", SearchOptions(invert=True)))
+
+
+@query(_lines_where("regexp_matches(line, '^The ') and regexp_matches(line, 'ing\\.$')"))
+def search_anchored(spark, d):
+    return _shown(s.search(documents(spark, d), r"^The .*ing\.$"))
+
+
+@query(f"""with {LINES}, m as (select doc_id, line_no, regexp_extract_all(line, '[Tt]h[a-z]+ing') as a from l)
+select doc_id, line_no, ordinal - 1 as ordinal, m as line from (select doc_id, line_no, unnest(a) as m, generate_subscripts(a, 1) as ordinal from m)""")
+def search_only_matching(spark, d):
+    rows = s.search(documents(spark, d), "[Tt]h[a-z]+ing", SearchOptions(only_matching=True))
+    return rows.select(F.col("file_id").alias("doc_id"), "line_no", F.col("ordinal").cast("long").alias("ordinal"), F.col("text").alias("line"))
+
+
+@query(r"""select doc_id, sum(n)::bigint as n from (select doc_id, len(regexp_extract_all(text, '[a-z]+\.\n[A-Z][a-z]+')) as n from documents) where n > 0 group by doc_id""")
+def search_multiline(spark, d):
+    rows = s.search(documents(spark, d), r"[a-z]+\.\n[A-Z][a-z]+", SearchOptions(multi_line=True, only_matching=True))
+    return rows.groupBy(F.col("file_id").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {LINES}, m as (select doc_id, line_no, line, regexp_matches(line, '[Ll]icense') as hit from l)
+select doc_id, line_no, line from m where hit union select m.doc_id, m.line_no, m.line from m join m n on n.doc_id = m.doc_id and n.line_no = m.line_no - 1 where n.hit""")
+def search_multiline_lines(spark, d):
+    """Every line that a match across a line end touches."""
+    return _shown(s.search(documents(spark, d), r"[^\n]*[Ll]icense[^\n]*(\n[^\n]+)?", SearchOptions(multi_line=True))).distinct()
+
+
+@query("select doc_id from documents where regexp_matches(text, 'of.the.+and', 's')")
+def search_dot_all(spark, d):
+    rows = s.search(documents(spark, d), "of.the.+and", SearchOptions(multi_line=True, dot_all=True))
+    return rows.select(F.col("file_id").alias("doc_id")).distinct()
+
+
+@query(f"with {LINES} select distinct path from l where regexp_matches(line, 'license')")
+def files_with_matches(spark, d):
+    return s.files_with_matches(s.search(documents(spark, d), "license"))
+
+
+@query(f"with {LINES} select path, count(*) as n from l where regexp_matches(line, '[Tt]he ') group by path")
+def count_per_file(spark, d):
+    return s.count_per_file(s.search(documents(spark, d), "[Tt]he "))
+
+
+@query(f"with {LINES} select path, sum(len(regexp_extract_all(line, '[Tt]he ')))::bigint as n from l where regexp_matches(line, '[Tt]he ') group by path")
+def count_occurrences(spark, d):
+    return s.count_per_file(s.search(documents(spark, d), "[Tt]he ", SearchOptions(only_matching=True)))
+
+
+@query(f"with {LINES} select count(*) as total_matches, count(distinct path) as total_files from l where regexp_matches(line, '[Ll]icense')")
+def match_totals(spark, d):
+    return s.totals(s.search(documents(spark, d), "[Ll]icense")).select("total_matches", "total_files")
+
+
+def _context_sql(before: int, after: int, columns: str = "doc_id, line_no, line, hit as is_match") -> str:
+    return f"""with {LINES}, m as (select *, regexp_matches(line, '[Ll]icense') as hit from l),
+c as (select *, max(hit::int) over (partition by doc_id order by line_no rows between {after} preceding and {before} following) = 1 as shown from m),
+k as (select *, coalesce(line_no - lag(line_no) over w > 1, false)::int as gap from c where shown window w as (partition by doc_id order by line_no)),
+x as (select *, sum(gap) over (partition by doc_id order by line_no)::bigint as block from k)
+select {columns} from x"""
+
+
+def _context(spark, d, before, after):
+    return s.search(documents(spark, d), "[Ll]icense", SearchOptions(before=before, after=after))
+
+
+@query(_context_sql(0, 2))
+def context_after(spark, d):
+    return _shown(_context(spark, d, 0, 2), "is_match")
+
+
+@query(_context_sql(2, 0))
+def context_before(spark, d):
+    return _shown(_context(spark, d, 2, 0), "is_match")
+
+
+@query(_context_sql(1, 1))
+def context_both(spark, d):
+    return _shown(_context(spark, d, 1, 1), "is_match")
+
+
+@query(_context_sql(1, 2, "doc_id, line_no, block"))
+def context_blocks(spark, d):
+    return _context(spark, d, 1, 2).select(F.col("file_id").alias("doc_id"), "line_no", "block")
+
+
+@query(f"""with {LINES}, m as (select *, regexp_matches(line, '(?i)license') as hit from l),
+c as (select *, max(hit::int) over (partition by doc_id order by line_no rows between 3 preceding and 3 following) = 1 as shown from m),
+k as (select *, coalesce(line_no - lag(line_no) over w > 1, false)::int as gap from c where shown window w as (partition by doc_id order by line_no)),
+x as (select *, sum(gap) over (partition by doc_id order by line_no) as block from k),
+y as (select *, last_value(case when hit then line_no end ignore nulls) over (partition by doc_id, block order by line_no rows between unbounded preceding and current row) as b,
+  first_value(case when hit then line_no end ignore nulls) over (partition by doc_id, block order by line_no rows between current row and unbounded following) as f from x)
+select doc_id, line_no, case when b is null then f when f is null then b when line_no - b <= f - line_no then b else f end as owner from y""")
+def context_nearest(spark, d):
+    rows = s.search(documents(spark, d), "license", SearchOptions(ignore_case=True, before=3, after=3))
+    return s.nearest_match(rows).select(F.col("file_id").alias("doc_id"), "line_no", "owner")
+
+
+def _filtered(spark, d, **filter_):
+    return s.count_per_file(s.search(documents(spark, d), "[Ll]icense", SearchOptions(filter=FileFilter(**filter_))))
+
+
+def _filter_sql(condition: str) -> str:
+    return f"with {LINES} select path, count(*) as n from l where regexp_matches(line, '[Ll]icense') and {condition} group by path"
+
+
+@query(_filter_sql("regexp_matches(path, '\\.(de|fr)$')"))
+def glob_filter(spark, d):
+    return _filtered(spark, d, globs=("*.{de,fr}",))
+
+
+@query(_filter_sql("not (path like '%.en' and not path like 'src3/%')"))
+def glob_negate(spark, d):
+    """The last glob that fits decides."""
+    return _filtered(spark, d, globs=("**", "!*.en", "/src3/**"))
+
+
+LANGUAGES = {"english": ["*.en"], "romance": ["*.fr", "*.es"]}
+
+
+@query(_filter_sql("(path like '%.fr' or path like '%.es')"))
+def type_filter(spark, d):
+    return _filtered(spark, d, types=("romance",), known=LANGUAGES)
+
+
+@query(_filter_sql("not path like '%.en'"))
+def type_not(spark, d):
+    return _filtered(spark, d, type_nots=("english",), known=LANGUAGES)
+
+
+@query(_filter_sql("path like 'src1/%'"))
+def path_scope(spark, d):
+    return s.count_per_file(s.search(documents(spark, d), "[Ll]icense", SearchOptions(scope="src1")))
+
+
+@query(f"with {LINES} select path, line_no from l where path = 'src7/7.en' and regexp_matches(line, 'the')")
+def single_file(spark, d):
+    return s.search(documents(spark, d), "the", SearchOptions(file="src7/7.en", filter=FileFilter(globs=("*.de",)))).select("path", "line_no")
+
+
+@query(f"select {PATH} as path from documents where contains({PATH}, '/12')")
+def find_name(spark, d):
+    return find(documents(spark, d).files, "/12")
+
+
+@query("select p_name as path from part where contains(p_name, 'ing') and p_name > (select p_name from (select distinct p_name from part where contains(p_name, 'ing') order by 1 limit 1 offset 1)) order by p_name limit 15")
+def find_parts_page(spark, d):
+    parts = _table(spark, d, "part").select(F.col("p_name").alias("path"), F.lit(True).alias("live"))
+    key = [r["path"] for r in find(parts, "ing").distinct().orderBy("path").limit(2).collect()]
+    return find_page(parts, "ing", 15, key[-1] if key else None).paths
+
+
+@query(f"with {GRAMS} select tri::int as tri, doc_id from g")
+def trigram_postings(spark, d):
+    return Index.build(documents(spark, d)).postings.select("tri", F.col("file_id").alias("doc_id"))
+
+
+@query(f"with {GRAMS} select tri::int as tri, count(*) as files from g group by tri")
+def trigram_stats(spark, d):
+    return Index.build(documents(spark, d)).postings.groupBy("tri").agg(F.count("*").alias("files"))
+
+
+@query("with b as (select item_id, hex(encode(text)) as h from benchmark) select item_id, cast(('0x' || substr(h, 2 * i - 1, 6)) as int) as tri, i - 1 as pos from (select item_id, h, unnest(range(1, len(h) // 2 - 1)) as i from b)")
+def trigram_function(spark, d):
+    told = _table(spark, d, "benchmark").select("item_id", F.posexplode(trigrams(F.col("text"))).alias("pos", "tri"))
+    return told.select("item_id", "tri", F.col("pos").cast("long").alias("pos"))
+
+
+def _holds(*literals: str, sign: str = "and") -> str:
+    each = [f"exists (select 1 from g where g.doc_id = d.doc_id and tri = {t})" for x in literals for t in dict.fromkeys(of_literal(x))]
+    return f" {sign} ".join(each)
+
+
+def _candidates(spark, d, pattern, **options):
+    index = Index.build(documents(spark, d))
+    return index.candidates(for_pattern(pattern, Options(**options))).select(F.col("file_id").alias("doc_id"))
+
+
+@query(f"with {GRAMS} select doc_id from documents d where {_holds('license')}")
+def candidates_and(spark, d):
+    return _candidates(spark, d, "license")
+
+
+@query(f"with {GRAMS} select doc_id from documents d where ({_holds('Apache')}) or ({_holds('GNU')}) or ({_holds('ther')})")
+def candidates_or(spark, d):
+    return _candidates(spark, d, "Apache|GNU|ther")
+
+
+@query(f"with {GRAMS} select doc_id from documents d where ({_holds('under')}) and ({_holds('sion')})")
+def candidates_prefix_suffix(spark, d):
+    return _candidates(spark, d, "under.*sion")
+
+
+@query(f"with {GRAMS} select doc_id from documents d where ({_holds('lice')})")
+def candidates_inner(spark, d):
+    return _candidates(spark, d, r"\w+lice\w+")
+
+
+@query("select doc_id from documents")
+def candidates_fallback(spark, d):
+    return _candidates(spark, d, "ab|.")
+
+
+@query(f"with {GRAMS}, {LINES} select (select count(*) from documents d where {_holds('icens')}) as candidates, (select count(distinct doc_id) from l where regexp_matches(line, 'icens')) as confirmed")
+def candidate_precision(spark, d):
+    corpus = documents(spark, d)
+    found = Index.build(corpus).candidates(for_pattern("icens")).agg(F.count("*").alias("candidates"))
+    true = s.search(corpus, "icens", strategy="scan").agg(F.count_distinct("file_id").alias("confirmed"))
+    return found.join(F.broadcast(true))
+
+
+@query("select 0::bigint as missed")
+def soundness_violations(spark, d):
+    """Files with matches that are no candidates, over several patterns."""
+    corpus = documents(spark, d)
+    index, out = Index.build(corpus), None
+    for p, fold in (("license", False), ("(?i)LICEN[CS]E", False), ("the|that", False), ("Apache.*[0-9]", False), ("ciónes", True)):
+        options = SearchOptions(ignore_case=fold)
+        true = s.search(corpus, p, options, strategy="scan").select("file_id").distinct()
+        one = true.join(index.candidates(for_pattern(p, Options(ignore_case=fold))), "file_id", "left_anti")
+        out = one if out is None else out.unionByName(one)
+    return out.agg(F.count("*").alias("missed"))
+
+
+@query(f"with {GRAMS} select count(*) as n, 'and' as kind from documents d where {_holds('licen')} union all select count(*), 'or' from documents d where {_holds('licen', sign='or')}")
+def bitmap_algebra(spark, d):
+    maps = bitmaps(Index.build(documents(spark, d)).postings)
+    each = [bitmap_ids(maps, of_literal("licen"), every).agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("n")).withColumn("kind", F.lit(kind)) for kind, every in (("and", True), ("or", False))]
+    return each[0].unionByName(each[1])
+
+
+@query(f"with {GRAMS} select (select count(*) from documents) as files, count(distinct tri) as trigrams, count(*) as postings, (select sum(octet_length(encode(text)))::bigint from documents) as bytes from g")
+def index_status(spark, d):
+    return status(Index.build(documents(spark, d))).select("files", "trigrams", "postings", "bytes")
+
+
+def _matched(spark, d):
+    return s.search(documents(spark, d), "[Ll]icense")
+
+
+def _ranked(rows: DataFrame, spec: sort.SortSpec, **more) -> DataFrame:
+    return page.numbered(sort.order_values(rows.select("path", "line_no", "ordinal", "is_match"), spec, **more), spec).select("path", "line_no", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {LINES} select path, line_no, row_number() over (order by path, line_no) as rank from l where regexp_matches(line, '[Ll]icense')")
+def sort_path(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("path"))
+
+
+@query(f"with {LINES} select path, line_no, row_number() over (order by path desc, line_no) as rank from l where regexp_matches(line, '[Ll]icense')")
+def sort_path_desc(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("path", reverse=True))
+
+
+def _times(spark, d):
+    stamp = _table(spark, d, "events").select(F.col("event_id").alias("doc_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("mtime_ns"))
+    return _table(spark, d, "documents").join(stamp, "doc_id").select(_path().alias("path"), "mtime_ns")
+
+
+@query(f"with {LINES} select path, line_no, row_number() over (order by coalesce(epoch_us(ts), 0), path, line_no) as rank from l left join events on event_id = doc_id where regexp_matches(line, '[Ll]icense')")
+def sort_modified(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("modified"), files=_times(spark, d))
+
+
+_WEIGHTED = ("(Apache<a>|MIT<m>) License", "a:0.7,m:0.9")
+
+
+@query(f"""with {LINES}, m as (select *, case when regexp_extract(line, '(Apache|MIT) License', 1) = 'MIT' then 900000 else 700000 end as v from l where regexp_matches(line, '(Apache|MIT) License')),
+f as (select path, -max(v) as order_value from m group by path)
+select m.path, line_no, order_value::bigint as order_value, row_number() over (order by order_value, m.path, line_no) as rank from m join f on f.path = m.path""")
+def sort_weight(spark, d):
+    ranking = rank.parse(*_WEIGHTED)
+    rows = s.search(documents(spark, d), ranking.plain)
+    spec = sort.SortSpec("weight")
+    ordered = sort.order_values(rows, spec, scores=rank.file_scores(rows, ranking))
+    return page.numbered(ordered, spec).select("path", "line_no", "order_value", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {LINES}, m as (select path, line_no from l where regexp_matches(line, '[Ll]icense')), c as (select path, count(*) as n from m group by path) select m.path, line_no, row_number() over (order by -n, m.path, line_no) as rank from m join c on c.path = m.path")
+def sort_match_count(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("match-count"))
+
+
+@query(f"with {LINES} select path, line_no from l where regexp_matches(line, '[Ll]icense') order by path, line_no limit 10")
+def page_first(spark, d):
+    return page.matches_page(sort.order_values(_matched(spark, d), sort.SortSpec()), size=10).select("path", "line_no")
+
+
+@query(f"with {LINES} select path, line_no from l where regexp_matches(line, '[Ll]icense') order by path, line_no limit 10 offset 10")
+def page_next(spark, d):
+    rows = sort.order_values(_matched(spark, d), sort.SortSpec())
+    last = page.matches_page(rows, size=10).collect()
+    key = {n: last[-1][n] for n in ("order_value", "path", "line_no", "ordinal")} if last else None
+    return page.matches_page(rows, size=10, start_after=key).select("path", "line_no")
+
+
+@query(f"with {LINES} select path, count(*) as n from l where regexp_matches(line, '[Ll]icense') group by path order by path desc limit 10")
+def page_files(spark, d):
+    spec = sort.SortSpec("path", reverse=True)
+    return page.files_page(sort.order_values(_matched(spark, d), spec), spec, 10).select("path", "n")
+
+
+@query(f"""with {LINES}, t as (select count(*) as m, count(distinct path) as f from l where regexp_matches(line, 'license'))
+select case when m = 0 then '[no matches]' else concat('[matches 1-', least(50, m), ' of ', m, ' in ', f, ' file', case when f = 1 then '' else 's' end, ']') end as header from t""")
+def page_header(spark, d):
+    told = s.totals(s.search(documents(spark, d), "license"))
+    meta = told.withColumns({"first_index": F.lit(1), "last_index": F.least(F.lit(50).cast("long"), F.col("total_matches"))})
+    return page.headers(meta).select("header")
+
+
+@query(f"with {LINES} select path, string_agg(concat('  ', line_no, ': ', line), chr(10) order by line_no) as view from l where regexp_matches(line, '[Ll]icensed') and length(line) <= 200 group by path")
+def grouped_view(spark, d):
+    rows = s.search(documents(spark, d), "[Ll]icensed").filter(F.length("text") <= 200)
+    return page.grouped(rows).select("path", F.array_join("lines", "\n").alias("view"))
+
+
+@query(f"""with {LINES}, m as (select doc_id, line_no, line, length(line) as n, instr(line, 'ing') - 1 as hit from l where contains(line, 'ing')),
+b as (select *, least(greatest(hit - 20, 0), n - 60) as st from m)
+select doc_id, line_no, case when n <= 60 then line else concat(case when st > 0 then '…' else '' end, substr(line, (st + 1)::bigint, 60), case when st + 60 < n then '…' else '' end) end as line from b""")
+def truncate_centered(spark, d):
+    rows = s.search(documents(spark, d), "ing")
+    return rows.select(F.col("file_id").alias("doc_id"), "line_no", page.truncated(F.col("text"), F.col("match_start"), 60).alias("line"))
+
+
+@query(f"with {LINES} select concat(path, ':', line_no, ':', line) as rendered from l where regexp_matches(line, 'MIT')")
+def render_lines(spark, d):
+    return s.rendered(s.search(documents(spark, d), "MIT")).select("rendered")
+
+
+def _listings(spark, d):
+    """Two states of one folder: some files gone, some new, some of another size."""
+    files = documents(spark, d).files.select("path", "size", "mtime_ns", "file_id")
+    old = files.filter("file_id % 10 <> 3")
+    new = files.filter("file_id % 10 <> 5").withColumn("size", F.col("size") + F.when(F.col("file_id") % 10 == 7, 1).otherwise(0))
+    return old, new
+
+
+@query(f"""select {PATH} as path, case doc_id % 10 when 3 then 'new' when 5 then 'removed' else 'changed' end as kind from documents where doc_id % 10 in (3, 5, 7)""")
+def reconcile_diff(spark, d):
+    return changes(*_listings(spark, d))
+
+
+@query(f"""with {GRAMS.replace("hex(encode(text)) as h from documents", "hex(encode(case when doc_id % 10 = 7 then concat(text, ' edited') else text end)) as h from documents where doc_id % 10 <> 5")}
+select tri::int as tri, count(*) as files, count(distinct doc_id) as ids from g group by tri""")
+def apply_changes(spark, d):
+    """The index of an old state, brought to a new one: equal to the index of the new."""
+    docs = _table(spark, d, "documents")
+    old = Corpus.from_df(docs.filter("doc_id % 10 <> 3"), "doc_id", "text", _path())
+    edited = docs.filter("doc_id % 10 <> 5").withColumn("text", F.when(F.col("doc_id") % 10 == 7, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    new = Corpus.from_df(edited, "doc_id", "text", _path())
+    index = Index.build(old)
+    after = index.apply(index.reconcile(new.files), new)
+    return after.postings.groupBy("tri").agg(F.count("*").alias("files"), F.count_distinct("file_id").alias("ids"))
+
+
+@query(f"select {PATH} as path, doc_id % 4 <> 0 as live from documents")
+def tombstones(spark, d):
+    files = documents(spark, d).files
+    return tombstone(files, files.filter("file_id % 4 = 0").select("path")).select("path", "live")
+
+
+@query(f"with {GRAMS} select {PATH} as path from documents d where doc_id % 3 = 0 or ({_holds('Apache')})")
+def delta_union(spark, d):
+    """Candidates of an index that lacks a third of the files, and what a wider walk adds."""
+    docs = _table(spark, d, "documents")
+    index = Index.build(Corpus.from_df(docs.filter("doc_id % 3 <> 0"), "doc_id", "text", _path()))
+    return index.with_delta(for_pattern("Apache"), docs.select(_path().alias("path")))
+
+
+@query("with l as (select page_id, unnest(string_split(html, chr(10))) as line, generate_subscripts(string_split(html, chr(10)), 1) as line_no from pages) select page_id, line_no from l where regexp_matches(line, '<title>[A-Z]')")
+def pages_search(spark, d):
+    corpus = Corpus.from_df(_table(spark, d, "pages"), "page_id", "html", "url")
+    return s.search(corpus, "<title>[A-Z]").select(F.col("file_id").alias("page_id"), "line_no")
+
+
+@query("with l as (select concat(conv_id, '/', turn) as path, unnest(string_split(text, chr(10))) as line from conversations) select path, count(*) as n from l where regexp_matches(line, 'the ') group by path")
+def conversations_search(spark, d):
+    turns = _table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 10_000 + F.col("turn"))
+    corpus = Corpus.from_df(turns, "id", "text", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
+    return s.count_per_file(s.search(corpus, "the "))
+
+
+@query(f"with {LINES} select 'apache' as label, path, line_no from l where contains(line, 'Apache') union all select 'mit', path, line_no from l where contains(line, 'MIT')")
+def batch_search(spark, d):
+    return s.batch_search(documents(spark, d), {"apache": "Apache", "mit": "MIT"}).select("label", "path", "line_no")
+
+
+@query(f"with {LINES} select path, min(line_no) as first_line, max(line_no) as last_line, count(*) as n from l where contains(line, 'that') group by path")
+def line_span(spark, d):
+    return s.line_spans(s.search(documents(spark, d), "that"))
+
+
+@query(f"""with {LINES} select b.item_id, l.doc_id, l.line_no from l join (select item_id, text from benchmark where item_id < 5) b on contains(l.line, b.text)""")
+def benchmark_needles(spark, d):
+    """Each of some benchmark texts as a fixed pattern."""
+    needles = _table(spark, d, "benchmark").filter("item_id < 5").collect()  # five rows
+    out = None
+    corpus = documents(spark, d)
+    for n in needles:
+        one = s.search(corpus, n["text"], SearchOptions(fixed=True)).select(F.lit(n["item_id"]).cast("long").alias("item_id"), F.col("file_id").alias("doc_id"), "line_no")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""select doc_id, case when n_chars < 1000 then cast(n_chars as varchar) else concat((n_chars + 50) // 1000, '.', (n_chars + 50) // 100 % 10, 'k') end as count_short,
+case when b < 1023.95 then concat(b, ' B') else printf('%.1f KB', b / 1024.0) end as bytes_short,
+case when n_chars < 60 then concat(n_chars, 's') when n_chars < 3600 then concat(n_chars // 60, 'm', n_chars % 60, 's') when n_chars < 86400 then concat(n_chars // 3600, 'h', n_chars % 3600 // 60, 'm') else concat(n_chars // 86400, 'd', n_chars % 86400 // 3600, 'h') end as duration
+from (select doc_id, n_chars, octet_length(encode(text)) as b from documents)""")
+def human_formats(spark, d):
+    n = F.col("n_chars")
+    return _table(spark, d, "documents").select(
+        "doc_id", formats.human_count(n).alias("count_short"), formats.human_bytes(F.octet_length("text").cast("long")).alias("bytes_short"), formats.human_duration(n).alias("duration"),
+    )
+
+
+@query("select page_id, regexp_matches(url, 'a\\.com/en/.*[?]page=2') as hit from pages")
+def escaped_pattern(spark, d):
+    java = to_java(escape("a.com/en/") + ".*" + escape("?page=2"))
+    return _table(spark, d, "pages").select("page_id", F.col("url").rlike(java).alias("hit"))
+
+
+@query(f"""with {LINES}, m as (select path, line_no, row_number() over (order by path, line_no) as rank from l where regexp_matches(line, '[Ll]icense'))
+select count(*) as pages, (select count(*) from m)::bigint as rows from (select distinct (rank - 1) // 25 from m)""")
+def page_walk(spark, d):
+    """All pages one after another hold each match once."""
+    rows = sort.order_values(_matched(spark, d), sort.SortSpec()).persist()
+    keys, pages, key = set(), 0, None
+    while got := page.matches_page(rows, size=25, start_after=key).collect():
+        pages += 1
+        keys.update((r["path"], r["line_no"], r["ordinal"]) for r in got)
+        key = {n: got[-1][n] for n in ("order_value", "path", "line_no", "ordinal")}
+    rows.unpersist()
+    return spark.createDataFrame([(pages, len(keys))], "pages long, rows long")
+
+
