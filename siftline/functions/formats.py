@@ -14,10 +14,10 @@ def human_count(n: Column) -> Column:
 
 def human_bytes(n: Column) -> Column:
     """512 B, 1.0 MB; steps of 1024 up to GB."""
-    out = F.format_string("%.1f GB", n / float(1 << 30))
+    out = F.format_string("%.1f GB", F.bround(n / float(1 << 30), 1))
     for power, unit in ((2, "MB"), (1, "KB")):
         v = n / float(1 << 10 * power)
-        out = F.when(v < 1023.95, F.format_string(f"%.1f {unit}", v)).otherwise(out)
+        out = F.when(v < 1023.95, F.format_string(f"%.1f {unit}", F.bround(v, 1))).otherwise(out)
     return F.when(n < 1023.95, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
