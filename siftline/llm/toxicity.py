@@ -18,6 +18,7 @@ triple, and a word's decision is a sum over its triples divided by its norm.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from siftline.llm.common import MEMO_ENTRIES, crc_mod, hash_unit, runs, sample_per_class, small_batches, strings
 
 #: Labelled documents of either label that are sampled for the fit.
-DOCS_EACH = 4000
+DOCS_EACH = 3000
 #: Landmarks, decay of a gap, letters of a window of a longer word, and letters that a triple spans at most.
 LANDMARKS, DECAY, LONGEST, SPAN = 240, 0.55, 20, 7
 #: Words of clean sentences in a fit, and the fits (each with new witnesses and near misses).
@@ -106,7 +107,7 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         for c, p in coded(w):
             groups[len(c)].append((at, c, p))
     for n, items in groups.items():
-        block = max(1, 1_000_000 // _places(n).shape[1])
+        block = max(1, 500_000 // _places(n).shape[1])
         for start in range(0, len(items), block):
             part = items[start : start + block]
             yield np.array([x[0] for x in part]), np.stack([x[1] for x in part]), np.stack([x[2] for x in part])
@@ -114,17 +115,23 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of words (their best window) against landmarks (their first)."""
-    table = np.zeros((len(landmarks), _BASE**3), np.float32)
+    first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for at, c, p in _by_length(landmarks):
-        number, weight = features(c, p)
-        for row, n, w in zip(at.tolist(), number, weight):
-            if not table[row].any():
-                np.add.at(table[row], n, w)
+        for row, n, w in zip(at.tolist(), *features(c, p)):
+            first.setdefault(row, (n, w))
+    # only triples of landmarks have a column; all others share the last, which stays empty
+    used = np.unique(np.concatenate([n for n, _ in first.values()])) if first else np.zeros(0, np.int64)
+    column = np.full(_BASE**3, len(used), np.int32)
+    column[used] = np.arange(len(used))
+    table = np.zeros((len(landmarks), len(used) + 1), np.float32)
+    for row, (n, w) in first.items():
+        np.add.at(table[row], column[n], w)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for at, c, p in _by_length(words):
         number, weight = features(c, p)
+        place = column[number]
         for m in range(len(landmarks)):
-            np.maximum.at(out[:, m], at, (table[m][number] * weight).sum(axis=1))
+            np.maximum.at(out[:, m], at, (table[m][place] * weight).sum(axis=1))
     return out
 
 
@@ -282,7 +289,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     groups: dict[int, list[set[str]]] = {0: [], 1: []}
     for r in read.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "toxic int, words string").distinct().orderBy("toxic", hash_unit("words")).toLocalIterator():
-        groups[r["toxic"]].append(set(r["words"].split("\n")) - {""})
+        groups[r["toxic"]].append(set(map(sys.intern, r["words"].split("\n"))) - {""})
     return train(groups[1], groups[0], counts[1] / (counts[0] + counts[1]))
 
 
