@@ -129,5 +129,6 @@ class ListingReader(DataSourceStreamReader):
 
 def register(spark: SparkSession) -> None:
     """Make both sources known to a session."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CorpusSource)
     spark.dataSource.register(ListingSource)
