@@ -147,9 +147,10 @@ class Model:
     def decide(self, words: list[str]) -> np.ndarray:
         """Decision of each word; words of fewer than three letters have the least."""
         out = np.full(len(words), -3.0)
-        for at, c, p in _by_length(words):
-            number, weight = features(c, p)
-            np.maximum.at(out, at, (self.weight[number] * weight).sum(axis=1) + self.bias)
+        for start in range(0, len(words), 20_000):
+            for at, c, p in _by_length(words[start : start + 20_000]):
+                number, weight = features(c, p)
+                np.maximum.at(out, at + start, (self.weight[number] * weight).sum(axis=1) + self.bias)
         return out
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
