@@ -93,8 +93,16 @@ def measure(text: str) -> tuple:
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _digest(text: str) -> int:
+    """64 bits that tell equal texts, as a signed number."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def measures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, the counts and the measures of every row; null texts have no words."""
+    """doc_id, stratum, digest (of the text), the counts and the measures of every row; null texts have no words."""
     small_batches(df.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +111,10 @@ def measures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum:
             got = [measure(t) for start, end in runs(texts) for t in texts[start:end]]
             columns = [pa.array([int(g[k]) for g in got], pa.int64()) for k in range(5)]
             columns += [pa.array([g[5 + k] for g in got], pa.float64()) for k in range(len(CUTOFFS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "stratum", *_COUNTS, *CUTOFFS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(_digest, texts)), pa.int64()), *columns], ["doc_id", "stratum", "digest", *_COUNTS, *CUTOFFS])
 
     read = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
-    return read.mapInArrow(of, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in CUTOFFS))
+    return read.mapInArrow(of, "doc_id long, stratum string, digest long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in CUTOFFS))
 
 
 def upper_bound(rejected: int, total: int, level: float) -> float:
@@ -136,11 +144,11 @@ def _exceeded(rule: str, tries: list[float]) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, float]]:
     """Certified cutoffs by stratum ("" is all others) and rule, from all labelled rows.
 
-    ``labels`` has doc_id and quality (1 is good). Rows of equal measures, such as
-    copies, count once, for copies are no independent evidence.
+    ``labels`` has doc_id and quality (1 is good). Rows of equal text
+    count once, for copies are no independent evidence.
     """
     told = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality in (0, 1)")
-    held = measured.filter("not base_failed").join(told, "doc_id").select("stratum", "quality", *_COUNTS, *CUTOFFS).distinct()
+    held = measured.filter("not base_failed").join(told, "doc_id").select("stratum", "quality", "digest", *CUTOFFS).distinct()
     top = [r["stratum"] for r in held.filter("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()]
     named = held.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise("") if top else F.lit(""))
     cells = [F.struct(F.lit(rule).alias("rule"), _exceeded(rule, tries).alias("above")) for rule, tries in CUTOFFS.items()]
