@@ -15,6 +15,10 @@ from siftline.plans.regex import Options, PatternError
 from siftline.sources.corpus import Corpus, explode_lines, line_array
 
 
+#: Candidates that become a list in the filter, and those that are broadcast at most.
+LISTED_IDS, BROADCAST_IDS = 1_000, 200_000
+
+
 @dataclass(frozen=True)
 class SearchOptions:
     """What a search looks for and which rows it gives."""
@@ -93,12 +97,26 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
     if strategy == "index" and index is None:
         raise ValueError("no index given")
     if strategy in ("index", "auto") and index is not None and not p.is_fallback:
-        files = files.join(index.candidates(p.query).select("file_id"), "file_id", "left_semi")
+        files = _among(files, index.candidates(p.query).select("file_id"))
     if strategy != "scan" and p.literal:
         files = files.filter(F.contains(F.col("text"), F.lit(p.literal)))
     return files
 
 
+def _among(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """``files`` whose id is among ``ids``, without a shuffle of texts while the ids are few.
+
+    Few ids become a list that Parquet's row group statistics can use, a bounded
+    number is broadcast, and beyond that both sides are joined by their hash.
+    """
+    few = ids.limit(BROADCAST_IDS + 1).toArrow()  # of bounded size
+    if len(few) > BROADCAST_IDS:
+        return files.join(ids, "file_id", "left_semi")
+    if len(few) <= LISTED_IDS:
+        return files.filter(F.col("file_id").isin(few["file_id"].to_pylist()))
+    return files.join(F.broadcast(files.sparkSession.createDataFrame(few)), "file_id", "left_semi")
+
+
 def search(corpus: Corpus, patterns: str | list[str] | Plan, options: SearchOptions = SearchOptions(), index: Index | None = None, strategy: str = "auto") -> DataFrame:
     """Match rows: file_id, path, line_no, ordinal, is_match, text, match_start, block.
 
