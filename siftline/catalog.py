@@ -323,9 +323,9 @@ def candidates_fallback(spark, d):
 @query(f"with {GRAMS}, {LINES} select (select count(*) from documents d where {_holds('icens')}) as candidates, (select count(distinct doc_id) from l where regexp_matches(line, 'icens')) as confirmed")
 def candidate_precision(spark, d):
     corpus = documents(spark, d)
-    found = Index.build(corpus).candidates(for_pattern("icens")).agg(F.count("*").alias("candidates"))
-    true = s.search(corpus, "icens", strategy="scan").agg(F.count_distinct("file_id").alias("confirmed"))
-    return found.join(F.broadcast(true))
+    found = Index.build(corpus).candidates(for_pattern("icens")).select("file_id", F.lit(1).alias("candidate"), F.lit(0).alias("hit"))
+    true = s.search(corpus, "icens", strategy="scan").select("file_id", F.lit(0).alias("candidate"), F.lit(1).alias("hit")).distinct()
+    return found.unionByName(true).agg(F.coalesce(F.sum("candidate"), F.lit(0)).alias("candidates"), F.coalesce(F.sum("hit"), F.lit(0)).alias("confirmed"))
 
 
 @query("select 0::bigint as missed")
@@ -427,10 +427,12 @@ def page_header(spark, d):
     return page.headers(meta).select("header")
 
 
-@query(f"with {LINES} select path, string_agg(concat('  ', line_no, ': ', line), chr(10) order by line_no) as view from l where regexp_matches(line, '[Ll]icensed') and length(line) <= 200 group by path")
+@query(f"""with {LINES}, m as (select path, line_no, line, length(line) as n, length(regexp_extract(line, '^(.*?)[Ll]icensed', 1)) as hit from l where regexp_matches(line, '[Ll]icensed')),
+b as (select *, least(greatest(hit - 66, 0), n - 200) as st from m),
+v as (select path, line_no, case when n <= 200 then line else concat(case when st > 0 then '…' else '' end, substr(line, (st + 1)::bigint, 200), case when st + 200 < n then '…' else '' end) end as line from b)
+select path, string_agg(concat('  ', line_no, ': ', line), chr(10) order by line_no) as view from v group by path""")
 def grouped_view(spark, d):
-    rows = s.search(documents(spark, d), "[Ll]icensed").filter(F.length("text") <= 200)
-    return page.grouped(rows).select("path", F.array_join("lines", "\n").alias("view"))
+    return page.grouped(s.search(documents(spark, d), "[Ll]icensed")).select("path", F.array_join("lines", "\n").alias("view"))
 
 
 @query(f"""with {LINES}, m as (select doc_id, line_no, line, length(line) as n, instr(line, 'ing') - 1 as hit from l where contains(line, 'ing')),
@@ -509,16 +511,11 @@ def line_span(spark, d):
     return s.line_spans(s.search(documents(spark, d), "that"))
 
 
-@query(f"""with {LINES} select b.item_id, l.doc_id, l.line_no from l join (select item_id, text from benchmark where item_id < 5) b on contains(l.line, b.text)""")
+@query(f"with {LINES} select doc_id, line_no from l where exists (select 1 from benchmark b where contains(l.line, b.text) and not contains(b.text, chr(10)))")
 def benchmark_needles(spark, d):
-    """Each of some benchmark texts as a fixed pattern."""
-    needles = _table(spark, d, "benchmark").filter("item_id < 5").collect()  # five rows
-    out = None
-    corpus = documents(spark, d)
-    for n in needles:
-        one = s.search(corpus, n["text"], SearchOptions(fixed=True)).select(F.lit(n["item_id"]).cast("long").alias("item_id"), F.col("file_id").alias("doc_id"), "line_no")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every benchmark text of one line as a fixed pattern of one search."""
+    needles = [r["text"] for r in _table(spark, d, "benchmark").filter(~F.contains("text", F.lit("\n"))).select("text").collect()]  # patterns live on the driver
+    return s.search(documents(spark, d), needles, SearchOptions(fixed=True)).select(F.col("file_id").alias("doc_id"), "line_no")
 
 
 @query("""select doc_id, case when n_chars < 1000 then cast(n_chars as varchar) else concat((n_chars + 50) // 1000, '.', (n_chars + 50) // 100 % 10, 'k') end as count_short,

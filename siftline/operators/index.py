@@ -116,9 +116,10 @@ class Index:
 
     def stats(self) -> DataFrame:
         """One row: live files, distinct trigrams, postings."""
-        files = self.files.agg(F.count_if("live").alias("files"))
-        tri = self.postings.groupBy("tri").count().agg(F.count("*").alias("trigrams"), F.coalesce(F.sum("count"), F.lit(0)).alias("postings"))
-        return files.join(F.broadcast(tri))  # one row each
+        zero = F.lit(0).cast("long")
+        files = self.files.agg(F.count_if("live").alias("files"), zero.alias("trigrams"), zero.alias("postings"))
+        tri = self.postings.groupBy("tri").count().agg(zero.alias("files"), F.count("*").alias("trigrams"), F.coalesce(F.sum("count"), zero).alias("postings"))
+        return files.unionByName(tri).agg(*[F.sum(c).alias(c) for c in ("files", "trigrams", "postings")])  # of two rows
 
     def reconcile(self, listing: DataFrame, by: str = "stat") -> DataFrame:
         """(path, kind) of what a listing (path, size, mtime_ns[, digest]) has new, changed or removed.
@@ -133,9 +134,8 @@ class Index:
         fresh = corpus.files.join(diff.filter("kind <> 'removed'").select("path"), "path", "left_semi")
         gone = diff.filter("kind = 'removed'").select("path", F.lit(True).alias("gone"))
         old = self.files.select("path", F.col("file_id").alias("old_id"))
-        top = self.files.agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("top"))
-        placed = fresh.join(old, "path", "left").join(F.broadcast(top))  # one row
-        placed = placed.withColumn("file_id", F.coalesce("old_id", F.col("top") + 1 + F.col("file_id"))).drop("old_id", "top")
+        top = self.files.agg(F.coalesce(F.max("file_id"), F.lit(-1))).first()[0]
+        placed = fresh.join(old, "path", "left").withColumn("file_id", F.coalesce("old_id", F.lit(top + 1) + F.col("file_id"))).drop("old_id")
         kept = self.files.join(fresh.select("path"), "path", "left_anti").join(gone, "path", "left")
         kept = kept.withColumn("live", F.col("live") & F.col("gone").isNull()).select(FILE_COLUMNS)
         files = kept.unionByName(placed.select(FILE_COLUMNS))

@@ -184,8 +184,18 @@ def paged(rows: DataFrame, spec: SortSpec = SortSpec(), mode: str = "matches", s
 
 
 def numbered(rows: DataFrame, spec: SortSpec = SortSpec()) -> DataFrame:
-    """``rows`` (with order_value) and their place in the total order, for reports."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*ordering(spec))))
+    """``rows`` (with order_value) and their place in the total order, for reports.
+
+    A range-partitioned sort, whose partitions' sizes (one row each) give every
+    partition its first place; no task sees all rows.
+    """
+    placed = rows.orderBy(*ordering(spec)).withColumn("__at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    out = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return out.withColumn("rank", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__at", "__start")
 
 
 __all__ = ["Cursor", "CursorStore", "Page", "count_per_file", "files_page", "grouped", "header", "headers", "matches_page", "numbered", "paged", "staleness", "truncated", "with_context_of"]

@@ -11,9 +11,8 @@ from siftline.operators.index import Index
 
 def status(index: Index, root: str = "", state: str = "ready") -> DataFrame:
     """root, state, files, trigrams, postings, bytes and their short forms."""
-    size = index.files.filter("live").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    row = index.stats().join(F.broadcast(size))  # one row each
-    return row.select(
+    size = index.files.filter("live").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    return index.stats().withColumn("bytes", F.lit(size).cast("long")).select(
         F.lit(root).alias("root"), F.lit(state).alias("state"), "files", "trigrams", "postings", "bytes",
         human_count(F.col("files")).alias("files_short"), human_count(F.col("trigrams")).alias("trigrams_short"), human_bytes(F.col("bytes")).alias("bytes_short"),
     )
