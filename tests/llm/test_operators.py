@@ -418,6 +418,37 @@ def test_spellings_are_a_distribution():
     assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_counts_of_the_word_so_far_are_exact_over_stretches():
+    r = random.Random(3)
+    words = sorted({bytes(r.choice(b"ab\x01\xc3z") for _ in range(r.randint(1, 7))) for _ in range(400)} | {language_model.END}, key=language_model._spelling)
+    times = np.array([r.randint(0, 5) for _ in words])
+    bits = ["".join(f"{b:08b}" for b in language_model._spelling(w)) for w in words]
+    n = len(words)
+    parts = [(0, 3), (3, 4), (4, 5), (5, n // 2), (n // 2, n // 2 + 1), (n // 2 + 1, n - 20), (n - 20, n)]
+    edges = []
+    for p, (a, b) in enumerate(parts):
+        own = language_model.begun(words[a:b], times[a:b])
+        first, last = (own.at(np.full(len(bits[i]) + 1, i - a), np.arange(len(bits[i]) + 1)) for i in (a, b - 1))
+        edges.append((p, words[a], first, words[b - 1], last))
+    around = language_model.borders(edges)
+    for p, (a, b) in enumerate(parts):
+        got = language_model.begun(words[a:b], times[a:b], *around[p])
+        for i in range(a, b):
+            d = np.arange(len(bits[i]) + 1)
+            want = [sum(t for t, o in zip(times, bits) if o[:k] == bits[i][:k]) for k in d]
+            assert (got.at(np.full(len(d), i - a), d) == want).all()
+
+
+def test_word_counts_do_not_collide_in_a_vocabulary_beyond_the_tables():
+    r = random.Random(8)
+    words = sorted({r.randbytes(8).hex().encode() for _ in range(100_000)}, key=language_model._spelling)
+    counts = language_model.begun(words, np.ones(len(words)))
+    # after 12 of 16 digits nearly every word is alone: the next digit is sure
+    which = np.arange(len(words))
+    own, both = counts.at(which, np.full(len(words), 104)), counts.at(which, np.full(len(words), 96))
+    assert (own <= both).all() and (both == 1).mean() > 0.99
+
+
 # 10 -------------------------------------------------------------------------
 
 
