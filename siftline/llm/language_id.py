@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,10 @@ from siftline.llm.common import MEMO_ENTRIES, crc_mod, runs, sample_per_class, s
 DOCS_EACH, CHARS_EACH = 120, 40_000
 #: Words of one sampled document that an automaton takes at most, so that many documents speak.
 WORDS_OF_ONE = 400
-#: Unknown text costs this many times the bits a letter of the worst labelled text.
-STRANGE = 1.5
+#: Unknown text costs this many times the bits a letter that QUANTILE of its language's held-out labelled texts stay below.
+STRANGE, QUANTILE = 1.5, 0.95
+#: Of each so many sampled documents one stays out of the automaton, to tell the costs of unseen text.
+HELD_OF = 4
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -79,13 +81,13 @@ def phrases(moves: dict[int, int], text: str) -> int:
 
 @dataclass
 class Model:
-    """Automata and costs of a phrase by language, and the bits a letter above which text is strange."""
+    """Automata and costs of a phrase by language, and the bits a letter above which text of it is strange."""
 
     langs: list[str]
     keys: list[np.ndarray]
     targets: list[np.ndarray]
     costs: list[float]
-    strange: float = math.inf
+    strange: list[float] = field(default_factory=list)
 
     def ready(self) -> None:
         if not hasattr(self, "moves"):
@@ -118,6 +120,11 @@ class Model:
         return self.langs[best], float(1 / shares.sum()), float(bits[best] / sum(map(len, words)))
 
 
+    def is_strange(self, told: tuple[str, float, float]) -> bool:
+        """Whether what ``predict`` told costs more than the language's limit."""
+        return told[0] != "und" and told[2] > self.strange[self.langs.index(told[0])]
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_each: int = DOCS_EACH, chars_each: int = CHARS_EACH) -> Model:
     """Learn from a bounded sample of rows with text and lang: ``docs_each`` rows and ``chars_each`` characters a language."""
     rows = labelled.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -126,19 +133,25 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         found.setdefault(r["lang"], []).append(_LETTERS.findall(r["text"].lower())[:WORDS_OF_ONE])
     langs = sorted(found)
     model = Model(langs, [], [], [])
+    unseen: list[list] = []
     for name in langs:
         text_ = " "
-        for words in found[name]:
-            if len(text_) < chars_each:
+        unseen.append([])
+        for i, words in enumerate(found[name]):
+            if len(text_) < chars_each and (len(found[name]) < 2 * HELD_OF or i % HELD_OF != HELD_OF - 1):
                 text_ += " ".join(words)[: chars_each - len(text_)] + " "
+            elif words:
+                unseen[-1].append(words)
         moves = automaton(text_)
         model.keys.append(np.fromiter(moves, np.int64, len(moves)))
         model.targets.append(np.fromiter(moves.values(), np.int64, len(moves)))
         model.costs.append(math.log2(len(text_) + 1))
     if langs:
         model.ready()
-        rates = [model.bits(w).min() / sum(map(len, w)) for group in found.values() for w in group if w]
-        model.strange = STRANGE * max(rates)
+        for name, held in zip(langs, unseen):
+            rates = [model.bits(w).min() / sum(map(len, w)) for w in held or found[name] if w]
+            # without the worst ones, so that no single document sets the limit
+            model.strange.append(STRANGE * float(np.quantile(rates, QUANTILE, method="lower")) if rates else math.inf)
     return model
 
 
@@ -146,7 +159,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     """doc_id, lang_pred, score and strange of every row, from its whole text alone.
 
     Null texts and texts without letters are ``und`` with score 0. ``strange``
-    marks text that needs far more phrases than labelled text of any language.
+    marks text that needs far more phrases than labelled text of its language.
     Rows stay as often as they stand; an empty table gives none.
     """
     small_batches(df.sparkSession)
@@ -159,7 +172,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             texts = strings(batch.column(1))
             got = [m.predict(t) for start, end in runs(texts) for t in texts[start:end]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] > m.strange for g in got], pa.bool_())],
+                [batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([m.is_strange(g) for g in got], pa.bool_())],
                 ["doc_id", "lang_pred", "score", "strange"],
             )
 
@@ -176,7 +189,7 @@ def known_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame
     def known(texts):
         m = shared.value
         m.ready()
-        return texts.fillna("").map(lambda t: (p := m.predict(t))[0] != "und" and p[2] <= m.strange)
+        return texts.fillna("").map(lambda t: (p := m.predict(t))[0] != "und" and not m.is_strange(p))
 
     return df.filter(known(F.col(text)))
 

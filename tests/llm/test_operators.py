@@ -276,6 +276,23 @@ def test_language_id(spark, sf, docs, strange, nothing):
     assert language_id.identify(strange, language_id.fit(nothing)).first()["lang_pred"] == "und"
 
 
+def test_one_labelled_junk_document_does_not_let_unknown_languages_in(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(2)
+    junk = " ".join(r.randbytes(8).hex() for _ in range(200))
+    labelled = docs.union(spark.createDataFrame([(10**9 + i, junk, x) for i, x in enumerate(("en", "de", "es", "fr"))], docs.schema))
+    model = language_id.fit(labelled, docs_each=10**6)
+    noise = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(5)) for _ in range(60))
+    unknown = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler", noise,
+    ]
+    assert language_id.known_language(spark.createDataFrame([(x,) for x in unknown], "text string"), model).count() == 0
+    kept = language_id.known_language(docs.filter("lang is not null and length(text) > 200"), model)
+    assert kept.count() > 0.97 * docs.filter("lang is not null and length(text) > 200").count()
+
+
 # 7 --------------------------------------------------------------------------
 
 
