@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import language_id, line_dedup, packing, simhash, toxicity
-from siftline.llm.common import shared_checkpoints, table, tokenizer_path
+from siftline.llm.common import cut, shared_checkpoints, table, tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,9 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each repeated multi-line chunk in one of them only; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """All documents, each repeated multi-line chunk or pair of lines in one of them only; n_chars follows the text."""
+    # pairs first: a chunk that goes would leave the rest of its passage as lone lines
+    out = line_dedup.dedup_lines(cut(line_dedup.dedup_pairs(docs)))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -101,6 +101,45 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", remov
     return out.select(*result, *([lines_out.alias(removed)] if removed else []))
 
 
+def _with_pairs(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with its text's lines and, for each two neighbouring visible lines, place of the first and SHA-256 of both."""
+    lines = F.col(_P + "lines")
+    df = df.withColumn(_P + "lines", F.split(F.col(text), "\n"))
+    following = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    seen = lambda x: F.length(F.trim(x)) > 0
+    both = F.zip_with(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), following, lambda a, b: F.when(seen(a) & seen(b), F.unhex(F.sha2(F.concat_ws("\n", a, b).cast("binary"), 256))))
+    told = F.transform(both, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    return df.withColumn(_P + "pairs", F.filter(told, lambda c: c["h"].isNotNull()))
+
+
+def dedup_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` without the lines of every repeat of two neighbouring visible lines, wherever chunk borders lie.
+
+    Pairs overlap, so a repeated passage of two lines or more goes whole. Equal pairs
+    have equal SHA-256. A pair stays in the smallest doc_id that has it, there where it
+    stands first; every line taken out still stands somewhere. Rows without doc_id and
+    those that share one are treated as ``dedup_lines`` treats them.
+    """
+    plain = _with_pairs(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
+    own = F.array_distinct(F.transform(F.col(_P + "pairs"), lambda c: c["h"]))
+    rows = cut(plain.select("doc_id", F.explode(own).alias("h")))
+    repeats = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1 and first is not null").select("h", "first")
+    lost = rows.filter("doc_id is not null").join(cut(repeats), "h").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias(_P + "lost"))
+    columns = df.columns
+    joined = df.join(lost.withColumnRenamed("doc_id", _P + "id"), F.col(doc_id) == F.col(_P + "id"), "left")
+    whole = _with_pairs(joined, text)
+    pairs = F.col(_P + "pairs")
+    # by hash, then by place: each pair's first place in its text comes before the others
+    firsts = F.array_sort(pairs)
+    before = F.concat(F.array(F.lit(None).cast(whole.schema[_P + "pairs"].dataType.elementType)), F.slice(firsts, F.lit(1), F.greatest(F.size(firsts) - 1, F.lit(0))))
+    whole = whole.withColumn(_P + "again", F.transform(F.filter(F.zip_with(firsts, before, lambda c, b: F.struct(c.alias("c"), c["h"].eqNullSafe(b["h"]).alias("again"), b["i"].alias("b"))), lambda x: x["again"] & (x["c"]["i"] > x["b"] + 1)), lambda x: x["c"]["i"]))
+    taken = F.transform(F.filter(pairs, lambda c: F.coalesce(F.array_contains(F.col(_P + "lost"), c["h"]), F.lit(False))), lambda c: c["i"])
+    whole = whole.withColumn(_P + "out", F.array_union(F.col(_P + "again"), taken))
+    kept = F.filter(F.col(_P + "lines"), lambda x, i: ~(F.array_contains(F.col(_P + "out"), i) | F.array_contains(F.col(_P + "out"), i - 1)))
+    new = F.when(F.size(_P + "out") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
+    return whole.select(*(F.col(c) if c != text else new.alias(text) for c in columns))
+
+
 def oracle(source: str = "documents") -> str:
     """DuckDB SQL for doc_id, text and n_removed of ``dedup_lines`` over a table."""
     return f"""

@@ -115,6 +115,29 @@ def test_line_dedup_strange(spark, strange, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_repeated_passages_between_unlike_lines_go_whole(spark, strange, nothing):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    line = lambda name: " ".join([name, *(str(r.random()) for _ in range(30))])
+    rows, passages = [], []
+    for k in range(40):
+        passage = [line("shared") for _ in range(2 + k % 4)]
+        passages.append(passage)
+        for i in (0, 1):
+            own = [line("own") for _ in range(4)]
+            rows.append((100 * i + k, "\n".join([*own[:2], *passage, *own[2:]])))
+    rows.append((900, "\n".join(["a b", "a b", "a b", "", "end"])))
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.without_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for d, text in rows[:-1]:
+        want = text if d < 100 else "\n".join(x for x in text.split("\n") if x.startswith("own"))
+        assert got[d] == want
+    kept = line_dedup.dedup_pairs(strange)
+    told = {x["doc_id"]: x["text"] for x in kept.collect()}
+    assert kept.columns == strange.columns and kept.count() == len(ROWS) and told[2] is None and told[3] == "" and told[5] == LONG
+    assert line_dedup.dedup_pairs(nothing).count() == 0
+
+
 # 3 --------------------------------------------------------------------------
 
 
