@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 CHARS_AT_ONCE = 3_000_000
 #: Entries of a Python worker's memo of words; it is emptied when full.
 MEMO_ENTRIES = 400_000
+#: Bytes of an Arrow batch, and classes of a sample that are broadcast.
+BATCH_BYTES, CLASSES_AT_ONCE = 8 << 20, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small in Python workers."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let no Arrow batch that goes to a Python worker hold much more than ``most`` bytes, however long its texts are.
+
+    The session's own limit is lowered, never raised.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
+def _bytes(setting: str) -> int:
+    unit = setting[-1].lower()
+    return int(setting[:-1]) * {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit] if unit.isalpha() else int(setting)
 
 
 def crc_mod(column: str, m: int) -> Column:
@@ -79,16 +91,46 @@ def hash_unit(column: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def sample_per_class(df: DataFrame, label: str, key: str, each: int, classes: int = 200, seed: int = 0) -> DataFrame:
-    """At most ``each`` rows of each of the ``classes`` most frequent values of ``label``, chosen by a hash of ``key``.
+def sample_per_class(df: DataFrame, label: str, each: int, seed: int = 0) -> DataFrame:
+    """About ``each`` distinct rows of every value of ``label``, chosen by a hash of the whole row.
 
-    Counts come from all rows; a row first passes a rate of about three times its
-    class's share, so that no class has to meet in one task before it is cut to size.
+    A class of n rows keeps those whose hash is below each / n, so no class has to
+    meet in one task; equal rows count once. Counts come from all rows. The classes
+    are broadcast only if there are few of them.
     """
-    from pyspark.sql import Window
-
-    counts = df.groupBy(label).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), label).limit(classes)
-    near = df.join(F.broadcast(counts), label).withColumn("__u", hash_unit(key, seed))
-    near = near.filter(F.col("__u") * F.col("__n") < F.lit(3.0 * each + 30))
-    order = Window.partitionBy(label).orderBy("__u", key)
-    return near.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= each).drop("__n", "__u", "__k")
+    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
+    if counts.limit(CLASSES_AT_ONCE + 1).count() <= CLASSES_AT_ONCE:
+        counts = F.broadcast(counts)
+    u = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return df.join(counts, label).filter(u * F.col("__n") < F.lit(float(each))).select(df.columns).distinct()
+
+
+_kinds = np.full(0x110000, -1, np.int8)
+_LINE_ENDS, _ENDS = "\n\r\x0b\x0c\x85\u2028\u2029", ".!?…。！？؟।"
+
+
+def kinds(points: np.ndarray) -> np.ndarray:
+    """Of code points: 0 other, 1 letter, 2 white space, 3 sentence end, 4 line end, 5 combining mark."""
+    got = _kinds[points]
+    if (got < 0).any():
+        for p in np.unique(points[got < 0]).tolist():
+            c = chr(p)
+            if c.isalpha():
+                kind = 1
+            elif c in _LINE_ENDS:
+                kind = 4
+            elif c in _ENDS:
+                kind = 3
+            else:
+                kind = 2 if c.isspace() else 5 if unicodedata.category(c)[0] == "M" else 0
+            _kinds[p] = kind
+        got = _kinds[points]
+    return got
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, each with a line feed after it, and the number of the text of each."""
+    low = [t.lower() for t in texts]
+    points = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32) if low else np.zeros(0, np.uint32)
+    sizes = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
+    return points, np.repeat(np.arange(len(low), dtype=np.int32), sizes)

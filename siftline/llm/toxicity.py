@@ -1,26 +1,27 @@
-"""Toxicity by a subsequence string kernel with Nyström landmarks and a linear SVM.
-
-The kernel compares two words by all subsequences of three letters they share,
-each weighted by ``DECAY`` to the power of the letters it spans, so letters put
-in between or left out cost a little and do not break a match; marks between
-letters count as gaps. Landmark words span the feature space (Nyström), and a
-squared-hinge SVM is trained on sentences: a sentence of a toxic document has
-the label of its document and speaks through its most toxic word, which is
-chosen anew after every fit, as only some sentence of the document need be
-toxic. A sentence of a clean document speaks through all its words. A text's
-score is that of its most toxic word, calibrated on the training documents.
-
-The SVM's decision is linear in the kernel to the landmarks, and that is linear
-in the weighted subsequences; so it is folded into one weight for each letter
-triple, and a word's decision is a sum over its triples divided by its norm.
+"""Toxicity by a gap-weighted subsequence kernel, Nyström landmarks and a linear SVM over sentences.
+
+A text is cut into sentences, and a sentence is a row of symbols: its letters of
+any script, lower-cased, and one space between words. Marks and digits inside a
+word and spaces between single letters fall away, so ``i.d.i.o.t`` and ``i d i o t``
+read like the plain word. The kernel compares two stretches of a sentence (``WINDOW``
+symbols from each place on, so across words as well) by all subsequences of four
+symbols that they share, each weighted by ``DECAY`` to the power of the symbols it
+skips; letters put in between or left out cost a little and don't break a match.
+Landmark stretches span the feature space (Nyström). A squared-hinge SVM learns
+from labelled documents: each sentence of a toxic document has its label, but only
+some of them need be toxic, so the document speaks through its most toxic stretch,
+chosen anew after every fit; clean documents speak through their worst stretches
+and many others. A text's score is that of its most toxic stretch, calibrated on
+the training documents.
+
+The decision is linear in the kernel to the landmarks, and that is linear in the
+weighted subsequences; so it is folded into one weight for each hashed subsequence
+of four symbols, and a stretch's decision is a sum of table entries.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-import zlib
-from collections import Counter, defaultdict
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,135 +30,177 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import MEMO_ENTRIES, crc_mod, hash_unit, runs, sample_per_class, small_batches, strings
-
-#: Labelled documents of either label that are sampled for the fit.
-DOCS_EACH = 3000
-#: Landmarks, decay of a gap, letters of a window of a longer word, and letters that a triple spans at most.
-LANDMARKS, DECAY, LONGEST, SPAN = 240, 0.55, 20, 7
-#: Words of clean sentences in a fit, and the fits (each with new witnesses and near misses).
-NEGATIVES, FITS = 12_000, 4
-_BASE = 48
-_MARKS = r"\W\d_"
-_EDGE = re.compile(rf"^[{_MARKS}]+|[{_MARKS}]+$")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)")
-
-
-def units(text: str) -> set[str]:
-    """Distinct lower-case words of a text, also those spelled with spaces; white space separates."""
-    low = text.lower()
-    found = set(low.split())
-    found.update("".join(x.split()) for x in _SPACED.findall(low))
-    return found
-
-
-def _code(char: str) -> int:
-    if "a" <= char <= "z":
-        return ord(char) - 96
-    return 29 + ord(char) % 19
-
-
-def coded(word: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Letter codes and places of a word's windows, with a start and an end sign; marks only take a place."""
-    word = _EDGE.sub("", word)
-    letters = [(_code(c), i + 1) for i, c in enumerate(word) if c.isalpha()]
-    if len(letters) < 3:
-        return []
-    letters = [(27, 0), *letters, (28, len(word) + 1)]
-    out = []
-    for at in range(0, max(1, len(letters) - LONGEST // 2), LONGEST // 2):
-        part = letters[at : at + LONGEST]
-        out.append((np.array([x[0] for x in part], np.int32), np.array([x[1] for x in part], np.int32)))
+from siftline.llm.common import code_points, crc_mod, hash_unit, kinds, runs, small_batches, strings
+
+#: Labelled documents of either label in the fit, taken whole in the order of a hash until their characters are used up.
+DOCS_EACH, CHARS_EACH = 3000, 6_000_000
+#: Places at which the subsequences of a stretch begin, symbols that one spans at most, and the decay of a skipped symbol.
+WINDOW, SPAN, DECAY = 10, 7, 0.6
+#: Landmarks, stretches of clean sentences in a fit, and the fits.
+LANDMARKS, NEGATIVES, FITS = 240, 6000, 3
+#: Bits of the table of hashed subsequences.
+BITS = 20
+_SPACE, _BORDER = np.uint32(32), np.uint32(10)
+_MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F))
+#: Places of the second to the fourth symbol after the first.
+_STEPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
+#: Symbols that are looked up at a time, so that the passes stay in a core's cache.
+_AT_ONCE = 1 << 15
+
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts one after another, a border after each sentence, and the text of each symbol."""
+    points, text = code_points(texts)
+    kind = kinds(points)
+    at = np.flatnonzero((kind == 1) | (kind == 5))
+    if not len(at):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
+    # what lies between two letters: nothing or marks only, white space, or a border
+    count = lambda hit: np.cumsum(np.r_[False, hit], dtype=np.int32)
+    white = (kind == 2) | (kind == 4)
+    # a sentence ends at a mark with white space behind it, or at a full-width mark
+    spaces, ends = count(white), count((kind == 4) | (kind == 3) & (np.r_[white[1:], True] | (points >= 0x3000)))
+    a, b = at[:-1] + 1, at[1:]
+    spaced = spaces[b] > spaces[a]
+    border = ends[b] > ends[a]
+    spaced |= border
+    # spaces between single letters, three at least, fall away
+    start = np.r_[0, np.flatnonzero(spaced) + 1]
+    single = np.diff(np.r_[start, len(at)]) == 1
+    both = single[:-1] & single[1:]
+    three = both & (np.r_[False, both][:-1] | np.r_[both, False][1:])
+    gaps = np.flatnonzero(spaced)
+    spaced[gaps[three & ~border[gaps]]] = False
+    # a letter brings along what follows it: nothing, a space, or space, border, space
+    follow = np.r_[np.where(border, 3, spaced.astype(np.int64)), 3]
+    place = np.cumsum(1 + follow) - follow  # one after a space that begins all
+    out = np.full(int((1 + follow).sum()) + 1, _SPACE, np.uint32)
+    out[place] = points[at]
+    out[place[follow == 3] + 2] = _BORDER
+    owner = np.repeat(text[at], 1 + follow)
+    owner = np.r_[owner[:1], owner]
+    over = np.flatnonzero(follow[:-1] == 3)
+    owner[place[over] + 3] = text[at[over + 1]]  # the space that begins a sentence is its own
+    return out, owner
+
+
+def fours(codes: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(span, slots of the subsequences that begin at each place and reach so far)."""
+    n = max(0, len(codes) - SPAN + 1)
+    first, second, third, last = (codes * m for m in _MIX)
+    shift = np.uint32(32 - BITS)
+    two = {(a, b): first[:n] + second[a : a + n] + third[b : b + n] for b in range(2, SPAN - 1) for a in range(1, b)}
+    for c in range(3, SPAN):
+        end = last[c : c + n]
+        yield c, [(x + end) >> shift for (_, b), x in two.items() if b < c]
+
+
+def _inside(codes: np.ndarray) -> np.ndarray:
+    """Symbols from each place to the next border."""
+    places = np.arange(len(codes), dtype=np.int32)
+    following = np.where(codes == _BORDER, places, np.int32(len(codes)))
+    return np.minimum.accumulate(following[::-1])[::-1] - places
+
+
+def begun(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum of the decayed weights of all subsequences that begin at each place and cross no border."""
+    out = np.zeros(len(codes), np.float32)
+    left = _inside(codes)
+    padded = np.r_[codes, np.full(SPAN, _BORDER, np.uint32)]
+    for at in range(0, len(codes), _AT_ONCE):
+        part = padded[at : at + _AT_ONCE + SPAN - 1]
+        own = out[at : at + _AT_ONCE]
+        for b, slots in fours(part):
+            total = weight.take(slots[0].astype(np.intp))
+            for s in slots[1:]:
+                total += weight.take(s.astype(np.intp))
+            own += total[: len(own)] * (left[at : at + len(own)] > b) * np.float32(DECAY ** (b - 3))
     return out
 
 
-_triples: dict[int, np.ndarray] = {}
-_DECAYED = (DECAY ** np.arange(32)).astype(np.float32)
+def stretches(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Decision, without the bias, of the stretch that begins at each place."""
+    total = np.cumsum(np.r_[0.0, begun(codes, weight)])
+    place = np.arange(len(codes), dtype=np.int32)
+    return (total[np.minimum(place + WINDOW, place + _inside(codes))] - total[:-1]).astype(np.float32)
 
 
-def _places(n: int) -> np.ndarray:
-    """All index triples i < j < k below n that span ``SPAN`` letters at most."""
-    if n not in _triples:
-        i, j, k = np.meshgrid(np.arange(n), np.arange(n), np.arange(n), indexing="ij")
-        keep = (i < j) & (j < k) & (k - i < SPAN)
-        _triples[n] = np.stack([i[keep], j[keep], k[keep]])
-    return _triples[n]
+def best_of_texts(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest value of each text and its place; -inf and -1 for texts without symbols."""
+    best, place = np.full(n, -np.inf), np.full(n, -1, np.int64)
+    if len(values):
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        most = np.maximum.reduceat(values, starts)
+        best[owner[starts]] = most
+        hit = np.flatnonzero(values == np.repeat(most, np.diff(np.r_[starts, len(values)])))[::-1]
+        place[owner[hit]] = hit  # the first of several
+    return best, place
 
 
 def features(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Triple numbers and normalised weights of rows of equal length (rows x triples)."""
-    i, j, k = _places(codes.shape[1])
-    key = (codes[:, i] * _BASE + codes[:, j]) * _BASE + codes[:, k]
-    key = key << 5 | np.minimum(places[:, k] - places[:, i] - 2, 31)
-    key.sort(axis=1)
-    number, weight = key >> 5, _DECAYED[key & 31]
-    # the norm: equal triples of a word add up before they are squared
-    first = np.ones_like(number, bool)
-    first[:, 1:] = number[:, 1:] != number[:, :-1]
-    starts = np.flatnonzero(first.ravel())
-    sums = np.add.reduceat(weight.ravel(), starts)
-    square = np.bincount(starts // number.shape[1], weights=sums * sums, minlength=len(codes))
-    return number, weight / np.sqrt(square)[:, None].astype(np.float32)
-
-
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(positions in ``words``, codes, places) of their windows of equal length, in bounded blocks."""
-    groups = defaultdict(list)
-    for at, w in enumerate(words):
-        for c, p in coded(w):
-            groups[len(c)].append((at, c, p))
-    for n, items in groups.items():
-        block = max(1, 500_000 // _places(n).shape[1])
-        for start in range(0, len(items), block):
-            part = items[start : start + block]
-            yield np.array([x[0] for x in part]), np.stack([x[1] for x in part]), np.stack([x[2] for x in part])
-
-
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of words (their best window) against landmarks (their first)."""
-    first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for at, c, p in _by_length(landmarks):
-        for row, n, w in zip(at.tolist(), *features(c, p)):
-            first.setdefault(row, (n, w))
-    # only triples of landmarks have a column; all others share the last, which stays empty
-    used = np.unique(np.concatenate([n for n, _ in first.values()])) if first else np.zeros(0, np.int64)
-    column = np.full(_BASE**3, len(used), np.int32)
+    """Slots and weights (stretches x subsequences) of the stretches that begin at ``places``."""
+    padded = np.r_[codes, np.full(WINDOW + SPAN, _BORDER, np.uint32)]
+    left = np.r_[_inside(codes), np.zeros(WINDOW + SPAN, np.int64)]
+    begin = places[:, None] + np.arange(WINDOW)
+    inside = np.arange(WINDOW) < left[places][:, None]
+    first, second, third, last = (padded * m for m in _MIX)
+    slots, weights = [], []
+    for a, b, c in _STEPS:
+        slots.append((first[begin] + second[begin + a] + third[begin + b] + last[begin + c]) >> np.uint32(32 - BITS))
+        weights.append(np.where(inside & (left[begin] > c), np.float32(DECAY ** (c - 3)), np.float32(0)))
+    return np.concatenate(slots, axis=1).astype(np.int64), np.concatenate(weights, axis=1)
+
+
+def kernel(x: tuple[np.ndarray, np.ndarray], landmarks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums over shared subsequences of the products of their weights (stretches x landmarks)."""
+    used = np.unique(landmarks[0][landmarks[1] > 0])
+    column = np.full(1 << BITS, len(used), np.int32)
     column[used] = np.arange(len(used))
-    table = np.zeros((len(landmarks), len(used) + 1), np.float32)
-    for row, (n, w) in first.items():
-        np.add.at(table[row], column[n], w)
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for at, c, p in _by_length(words):
-        number, weight = features(c, p)
-        place = column[number]
-        for m in range(len(landmarks)):
-            np.maximum.at(out[:, m], at, (table[m][place] * weight).sum(axis=1))
+    table = np.zeros((len(used) + 1, len(landmarks[0])), np.float32)
+    np.add.at(table, (column[landmarks[0]], np.arange(len(landmarks[0]))[:, None]), landmarks[1])
+    table[len(used)] = 0
+    out = np.zeros((len(x[0]), len(landmarks[0])), np.float32)
+    place = column[x[0]]
+    for at in range(0, len(x[0]), 256):
+        # subsequences that no landmark has need no sum
+        rows, cols = np.nonzero((place[at : at + 256] < len(used)) & (x[1][at : at + 256] > 0))
+        if len(rows):
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            out[at + rows[starts]] = np.add.reduceat(table[place[at + rows, cols]] * x[1][at + rows, cols][:, None], starts, axis=0)
     return out
 
 
 @dataclass
 class Model:
-    """Weight of each letter triple, the bias, and the calibration of a text's decision."""
+    """Weight of each slot of subsequences, the bias, and the calibration of a text's decision."""
 
     weight: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
 
-    def decide(self, words: list[str]) -> np.ndarray:
-        """Decision of each word; words of fewer than three letters have the least."""
-        out = np.full(len(words), -3.0)
-        for start in range(0, len(words), 20_000):
-            for at, c, p in _by_length(words[start : start + 20_000]):
-                number, weight = features(c, p)
-                np.maximum.at(out, at + start, (self.weight[number] * weight).sum(axis=1) + self.bias)
+    def __getstate__(self):
+        used = np.flatnonzero(self.weight)
+        return {**self.__dict__, "weight": (used.astype(np.int32), self.weight[used])}
+
+    def __setstate__(self, state):
+        used, values = state["weight"]
+        self.__dict__.update(state, weight=np.zeros(1 << BITS, np.float32))
+        self.weight[used] = values
+
+    def decide(self, texts: list[str]) -> np.ndarray:
+        """Decision of each text's most toxic stretch; a text without letters has that of nothing shared."""
+        out = np.full(len(texts), self.bias)
+        for start, end in runs(texts, 400_000):
+            codes, owner = symbols(texts[start:end])
+            best, _ = best_of_texts(stretches(codes, self.weight), owner, end - start)
+            out[start:end] = np.maximum(out[start:end], np.where(np.isfinite(best), best, 0) + self.bias)
         return out
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -60, 60)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a squared-hinge SVM by Newton steps; the last column is the bias and is hardly shrunk."""
     w = np.zeros(x.shape[1])
     shrink = np.full(x.shape[1], ridge)
@@ -172,84 +215,108 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.3) ->
     return w
 
 
-def _stems(word: str) -> set[str]:
-    letters = "^" + "".join(c for c in word if c.isalpha()) + "$"
-    return {letters[i : i + 4] for i in range(len(letters) - 3)}
-
-
-def _unlike(docs: list[set[str]]) -> list[set[str]]:
-    """One of each group of documents that share their least hash of a rare word: copies are no independent evidence."""
-    seen = Counter(w for d in docs for w in d)
-    first: dict[int, set[str]] = {}
-    for d in docs:
-        key = min((zlib.crc32(w.encode()) for w in d if seen[w] <= 30), default=None)
-        first.setdefault(key if key is not None else -len(first) - 1, d)
-    return list(first.values())
+def _first_weights(codes: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logarithms of how much likelier a toxic document has each subsequence, shrunk for few documents."""
+    counts = np.zeros((2, 1 << BITS), np.float32)
+    bounds = np.searchsorted(owner, np.arange(len(toxic) + 1))
+    seen = np.zeros(1 << BITS, bool)
+    for d in range(len(toxic)):
+        part = codes[bounds[d] : bounds[d + 1]]
+        if len(part) < SPAN:
+            continue
+        slots = np.concatenate([s for _, rows in fours(part) for s in rows]).astype(np.intp)
+        seen[slots] = True
+        hit = slots[seen[slots]] if len(slots) < 4096 else np.flatnonzero(seen)
+        hit = np.unique(hit) if len(slots) < 4096 else hit
+        counts[int(toxic[d]), hit] += 1
+        seen[hit] = False
+    n = np.bincount(toxic.astype(int), minlength=2)
+    odd = np.log((counts[1] + 2 * n[1] / n.sum()) / n[1]) - np.log((counts[0] + 2 * n[0] / n.sum()) / n[0])
+    # what tells little by chance alone counts as nothing
+    noise = 2 / np.sqrt(1 + counts.sum(axis=0) * n[1] / n.sum())
+    return (np.sign(odd) * np.maximum(np.abs(odd) - noise, 0)).astype(np.float32)
+
+
+def _peaks(value: np.ndarray, wanted: np.ndarray, limit: float) -> np.ndarray:
+    """Places above the limit that no place of the stretch before or after exceeds."""
+    at = np.flatnonzero(wanted & (value > limit))
+    padded = np.r_[np.full(WINDOW, -np.inf), value, np.full(WINDOW, -np.inf)]
+    around = padded[at[:, None] + np.arange(2 * WINDOW + 1)]
+    return at[around.argmax(axis=1) == WINDOW]
+
+
+def _cover(similar: np.ndarray, most: int) -> list[int]:
+    """Rows that together are close to as many others as possible, the best one first."""
+    near = similar > 0.25
+    open_ = np.ones(len(near), bool)
+    out: list[int] = []
+    while len(out) < most:
+        gain = near[:, open_].sum(axis=1)
+        gain[out] = 0
+        i = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[i] < 2:
+            break
+        out.append(i)
+        open_ &= ~near[i]
+    return out
 
 
-def train(toxic: list[set[str]], clean: list[set[str]], prior: float) -> Model | None:
-    """Fit on the word sets of toxic and clean documents' sentences; ``prior`` is the true share of toxic ones."""
-    if not toxic or not clean:
+def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model | None:
+    """Fit on whole labelled texts; ``prior`` is the true share of toxic ones. None without both labels."""
+    toxic = np.asarray(toxic, bool)
+    if toxic.all() or not toxic.any():
         return None
     rng = np.random.default_rng(7)
-    toxic, clean = ([{_EDGE.sub("", w) for w in d} for d in _unlike(x)] for x in (toxic, clean))
-    seen_clean, seen_toxic = Counter(w for d in clean for w in d), Counter(w for d in toxic for w in d)
-    ratio = len(clean) / len(toxic)
-    stems_clean = Counter(s for w in seen_clean for s in _stems(w))
-    suspects = {w for w, n in seen_toxic.items() if seen_clean[w] * 50 <= n * ratio and len(w) >= 3}
-    # so often in toxic documents alone no word stands by chance, not even one of all
-    chance = len(toxic) / (len(toxic) + len(clean))
-    surely = max(3.0, np.log(2 * len(seen_clean) + 2) / -np.log(chance))
-    strong = {w for w in suspects if seen_toxic[w] >= surely}
-    bags = [sorted(d & suspects) for d in toxic]
-    stems = Counter(s for d in bags for s in set().union(*map(_stems, d)))
-    odd = {s: n / (1 + 20 * stems_clean[s]) for s, n in stems.items()}
-    support = {w: seen_toxic[w] + max((odd[s] for s in _stems(w)), default=0.0) for d in bags for w in d}
-    # some labels are wrong: a word speaks for a document only if others of its kind do so too
-    least = 2 + 0.01 * len(toxic)
-    bags = [[w for w in d if w in strong or support[w] >= least] for d in bags]
-    witness = [[w for w in d if w in strong] or sorted(d, key=lambda w: (-support[w], w))[:1] for d in bags]
-    vocabulary = sorted(w for w in seen_clean if len(w) >= 3)
-    negative = [vocabulary[i] for i in np.sort(rng.choice(len(vocabulary), min(NEGATIVES, len(vocabulary)), replace=False))]
-    hard = [negative[i] for i in rng.choice(len(negative), min(LANDMARKS // 3, len(negative)), replace=False)]
+    codes, owner = [], []
+    for start, end in runs(texts, 400_000):
+        c, o = symbols(texts[start:end])
+        codes.append(c)
+        owner.append(o + np.int32(start))
+    codes, owner, n = np.concatenate(codes), np.concatenate(owner), len(texts)
+    weight = _first_weights(codes, owner, toxic)
     model = None
     for _ in range(FITS):
-        count = Counter(w for d in witness for w in d)
-        positive = sorted(count)
-        if not positive:
+        value = stretches(codes, weight)
+        best, place = best_of_texts(value, owner, n)
+        known = place >= 0
+        clean, bad = np.flatnonzero(~toxic & known), np.flatnonzero(toxic & known)
+        if not len(clean) or not len(bad):
             return None
-        top = sorted(positive, key=lambda w: (-count[w], w))[: LANDMARKS - len(hard)]
-        landmarks = list(dict.fromkeys(top + hard))
-        among = kernel(landmarks, landmarks).astype(np.float64)
-        values, vectors = np.linalg.eigh((among + among.T) / 2)
-        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-        rows = positive + negative
-        x = np.c_[kernel(rows, landmarks) @ root, np.ones(len(rows))]
+        # some labels are wrong: stretches no worse than the worst of most clean texts don't speak
+        peaks = _peaks(value, toxic[owner], float(np.quantile(best[clean], 0.9)))
+        positive = peaks if len(peaks) <= NEGATIVES else np.sort(rng.choice(peaks, NEGATIVES, replace=False))
+        if len(positive) < 2:
+            positive = place[bad[np.argsort(-best[bad], kind="stable")[: max(2, len(bad) // 10)]]]
+        worst = clean[best[clean] <= np.quantile(best[clean], 0.99)]
+        hard = place[worst[np.argsort(-best[worst], kind="stable")[: NEGATIVES // 2]]]
+        every = np.flatnonzero(~toxic[owner] & (codes != _BORDER))
+        plain = every[rng.choice(len(every), min(NEGATIVES // 2, len(every)), replace=False)]
+        negative = np.unique(np.r_[hard, plain])
+        x = features(codes, np.r_[positive, negative])
+        chosen = rng.permutation(len(positive))[:1500]
+        some = tuple(v[chosen] for v in x)
+        near = kernel(some, some).astype(np.float64)
+        size = np.sqrt(np.maximum(np.diag(near), 1e-9))
+        marks = chosen[_cover(near / size[:, None] / size, LANDMARKS * 2 // 3)]
+        rest = len(positive) + rng.permutation(len(negative))[: LANDMARKS - len(marks)]
+        marks = np.r_[marks, rest].astype(np.int64)
+        landmarks = tuple(v[marks] for v in x)
+        k = kernel(x, landmarks).astype(np.float64)
+        scale = float(np.mean(np.diag(k[marks])))
+        among = (k[marks] + k[marks].T) / 2 / scale
+        values, vectors = np.linalg.eigh(among)
+        root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+        design = np.c_[k / scale @ root, np.ones(len(k))]
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        cost = np.r_[[1 + count[w] ** 0.5 for w in positive], [1 + seen_clean[w] ** 0.5 for w in negative]] * 4.0
-        cost[: len(positive)] *= max(1.0, cost[len(positive) :].sum() / cost[: len(positive)].sum()) ** 0.5
-        w = _svm(x, y, cost)
-        beta = root @ w[:-1]
-        weight = np.zeros(_BASE**3, np.float32)
-        done = set()
-        for at, c, p in _by_length(landmarks):
-            number, heavy = features(c, p)
-            for row, n, h in zip(at.tolist(), number, heavy):
-                if row not in done:
-                    done.add(row)
-                    np.add.at(weight, n, np.float32(beta[row]) * h)
+        cost = np.where(y > 0, len(negative) / len(positive) / 2, 1.0)
+        w = _svm(design, y, cost)
+        beta = root @ w[:-1] / scale
+        weight = np.zeros(1 << BITS, np.float32)
+        np.add.at(weight, landmarks[0].ravel(), (landmarks[1] * beta[:, None].astype(np.float32)).ravel())
         model = Model(weight, float(w[-1]))
-        decision = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
-        worst = sorted(vocabulary, key=lambda v: -decision[v])
-        negative = sorted(set(negative) | set(worst[: NEGATIVES // 4]))
-        hard = worst[: LANDMARKS // 3]
-        words = sorted({v for d in bags for v in d})
-        of = dict(zip(words, model.decide(words).tolist()))
-        witness = [[v for v in d if v in strong] or [v for v in sorted(d, key=lambda v: (-of[v], v))[:1] if of[v] > -0.5] for d in bags]
-    best = lambda docs: np.array([max(map(known.get, d), default=-3.0) for d in docs])
-    every = sorted(seen_clean.keys() | seen_toxic.keys())
-    known = dict(zip(every, model.decide(every).tolist()))
-    _calibrate(model, best(toxic), best(clean), prior)
+    best, place = best_of_texts(stretches(codes, weight), owner, n)
+    decision = np.maximum(np.where(place >= 0, best, 0), 0) + model.bias
+    _calibrate(model, decision[toxic], decision[~toxic], prior)
     return model
 
 
@@ -269,58 +336,57 @@ def _calibrate(model: Model, toxic: np.ndarray, clean: np.ndarray, prior: float)
     model.slope, model.shift = (max(float(a), 0.1), float(b)) if np.isfinite([a, b]).all() else (4.0, 0.0)
 
 
-def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", docs_each: int = DOCS_EACH) -> Model | None:
-    """Learn from a bounded sample of labelled rows, ``docs_each`` of either label; the share of labels is that of all.
+def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", docs_each: int = DOCS_EACH, chars_each: int = CHARS_EACH) -> Model | None:
+    """Learn from a bounded sample of labelled rows; the share of labels is that of all.
 
-    Rows of labels that contradict each other count as toxic. None without rows of both labels.
+    About ``docs_each`` documents of either label are chosen by a hash of their ids
+    before any text is read; of these, texts are taken whole in the order of a hash
+    until ``chars_each`` characters of a label are used up. Equal texts count once,
+    rows of labels that contradict each other count as toxic, labels other than 0 and
+    1 and null texts as none. The fit is one task of that bounded size on an
+    executor; only the model reaches the driver. None without rows of both labels.
     """
-    told = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("toxic in (0, 1)")
+    told = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     counts = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    # The sample is drawn from the labels' ids before any text is read.
-    chosen = sample_per_class(told, "toxic", "doc_id", docs_each, seed=7).select("doc_id", "toxic")
-    read = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * docs_each rows at most
+    prior = counts[1] / (counts[0] + counts[1])
+    rate = F.when(F.col("toxic") == 1, docs_each / counts[1]).otherwise(docs_each / counts[0])
+    chosen = told.filter(hash_unit("doc_id", 7) < rate)  # about 2 * docs_each rows
     small_batches(df.sparkSession)
+    read = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # rows that share an id may be many: equal texts go, then the hash of the text bounds them
+    rows = read.filter("text is not null").select("toxic", "text", F.xxhash64(F.lit(7), "text").alias("u")).distinct()
+    rows = rows.orderBy("u", "text").limit(4 * docs_each)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, room = [], [], [chars_each, chars_each]
         for batch in batches:
-            sets = pa.array(["\n".join(sorted(units(t))) for t in strings(batch.column(0))], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(1), sets], ["toxic", "words"])
+            for label, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py()
+                if len(t) <= room[label]:
+                    room[label] -= len(t)
+                    texts.append(t)
+                    toxic.append(label)
+        model = train(texts, np.array(toxic, bool), prior) if texts else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    groups: dict[int, list[set[str]]] = {0: [], 1: []}
-    for r in read.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "toxic int, words string").distinct().orderBy("toxic", hash_unit("words")).toLocalIterator():
-        groups[r["toxic"]].append(set(map(sys.intern, r["words"].split("\n"))) - {""})
-    return train(groups[1], groups[0], counts[1] / (counts[0] + counts[1]))
+    found = rows.mapInArrow(learn, "model binary").collect()  # one model of fixed size
+    return next((m for r in found if (m := pickle.loads(r["model"])) is not None), None)
 
 
 def _scores(model: Model | None, texts: list[str]) -> np.ndarray:
-    if model is None:
-        return np.zeros(len(texts))
-    memo = model.__dict__.setdefault("memo", {})
-    decision = []
-    for start, end in runs(texts):
-        found = [units(t) for t in texts[start:end]]
-        new = {w for d in found for w in d if w not in memo}
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = set().union(*found)
-        plain = {w: _EDGE.sub("", w) for w in new}
-        words = list(set(plain.values()))
-        decided = dict(zip(words, model.decide(words).tolist()))
-        memo.update((w, decided[p]) for w, p in plain.items())
-        decision += [max(map(memo.__getitem__, d), default=-3.0) for d in found]
-    return model.probability(np.array(decision, float))
+    return np.zeros(len(texts)) if model is None else model.probability(model.decide(texts))
 
 
 def score(df: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score and predicted of every row, from its whole text alone.
 
-    Null and empty texts have the score of a text without words; without a model
-    every score is 0. Rows stay as often as they stand.
+    Null and empty texts have the score of a text without letters; without a model
+    every score is 0. Rows stay as often as they stand; an empty table gives none.
     """
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: one weight a triple
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: one weight a slot at most
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +398,11 @@ def score(df: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str
 
 
 def harmless(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text scores below 0.5; all columns stay."""
+    """The rows of ``df`` whose text scores below 0.5; all columns stay.
+
+    Null and empty texts score as a text without letters and rows stay as often as
+    they stand; without a model, and of an empty table, every row stays.
+    """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

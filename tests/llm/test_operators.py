@@ -319,29 +319,74 @@ def test_one_labelled_junk_document_does_not_let_unknown_languages_in(spark):
 # 7 --------------------------------------------------------------------------
 
 
-def _kernel(s: str, t: str) -> float:
-    """Three-letter subsequences that span few letters, by definition."""
-
-    def weights(word):
-        codes, places = toxicity.coded(word)[0]
-        out = defaultdict(float)
-        n = len(codes)
-        for i in range(n):
-            for j in range(i + 1, n):
-                for k in range(j + 1, min(n, i + toxicity.SPAN)):
-                    out[codes[i], codes[j], codes[k]] += toxicity.DECAY ** (places[k] - places[i] - 2)
-        return out
-
-    a, b = weights(s), weights(t)
-    return sum(v * b.get(k, 0) for k, v in a.items()) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+def _weights(text: str) -> dict:
+    """Subsequences of four symbols of the stretch that begins at the text's first symbol, by definition."""
+    codes, _ = toxicity.symbols([text])
+    end = int(np.flatnonzero(codes == toxicity._BORDER)[0])
+    row = [*map(int, codes[:end])]
+    out = defaultdict(float)
+    for i in range(min(toxicity.WINDOW, len(row))):
+        for c in range(i + 3, min(len(row), i + toxicity.SPAN)):
+            for a in range(i + 1, c):
+                for b in range(a + 1, c):
+                    out[row[i], row[a], row[b], row[c]] += toxicity.DECAY ** (c - i - 3)
+    return out
 
 
 def test_kernel_equals_its_definition():
-    words = ["idiot", "i.d.i.o.t", "idioot", "banana", "the", "anagram"]
-    got = toxicity.kernel(words, words)
-    want = [[_kernel(a, b) for b in words] for a in words]
-    assert np.allclose(got, want, atol=1e-5)
-    assert got[0, 1] > 0.4 > got[0, 3]
+    texts = ["you idiot", "you i.d.i.o.t", "you idioot", "you banana", "Das Wetter", "слово", "хлеб да соль", "बात"]
+    codes, owner = toxicity.symbols(texts)
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    x = toxicity.features(codes, first)
+    got = toxicity.kernel(x, x)
+    w = [_weights(t) for t in texts]
+    want = [[sum(v * b.get(k, 0) for k, v in a.items()) for b in w] for a in w]
+    assert np.allclose(got, want, atol=1e-3)
+    assert got[0, 1] == pytest.approx(got[0, 0]) and got[0, 2] > 1.5 * got[0, 3]
+    # the folded weights of a landmark are its kernel to every stretch
+    table = np.zeros(1 << toxicity.BITS, np.float32)
+    np.add.at(table, x[0][0], x[1][0])
+    assert np.allclose(toxicity.stretches(codes, table)[first], got[:, 0], atol=1e-3)
+
+
+def test_symbols_know_sentences_marks_and_spelled_words():
+    codes, owner = toxicity.symbols(["A b c d. No-one is 3.5m", "", "x y.z", None or "ÄÖ\nß"])
+    told = "".join(map(chr, codes)).replace("\n", "|")
+    assert told == " abcd | noone is m | x yz | äö | ß | "
+    assert sorted(set(owner.tolist())) == [0, 2, 3]
+
+
+def test_toxicity_learns_an_insult_of_two_words_that_are_clean_apart(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abdegilmnorstu") for _ in range(r.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(1500):
+        text = [r.choice(words) for _ in range(25)]
+        at = r.randrange(20)
+        if i % 3 == 0:
+            text[at : at + 2] = ["dull", "brick"]
+        elif i % 3 == 1:
+            text[at], text[(at + 7) % 25] = "dull", "brick"
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(df, toxicity.learnable(spark.createDataFrame(labels, "doc_id long, toxic int")))
+    got = toxicity.score(df, model).toPandas()
+    held = got[[_held(i, 5, 0) for i in got.doc_id]]
+    assert (held.predicted == (held.doc_id % 3 == 0)).mean() > 0.95
+
+
+def test_op7_on_documents_and_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, toxicity.learnable(spark.read.parquet(f"{sf}/labels.parquet")))
+    labels = pd.read_parquet(f"{sf}/labels.parquet")
+    held = labels[[_held(i, 5, 0) for i in labels.doc_id]]
+    kept = docs.join(spark.createDataFrame(held[["doc_id"]]), "doc_id")
+    got = toxicity.score(kept, model).toPandas().merge(held, on="doc_id")
+    assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() > 0.55
+    again = queries.op7_toxicity(spark, "/root/testdata/sf0.001")
+    assert again.columns == ["doc_id", "held_out", "score", "predicted"] and again.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
 
 
 def test_toxicity(spark, docs, strange, nothing):
