@@ -478,60 +478,94 @@ def test_language_model(spark, sf, docs, strange, nothing):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words), sum(w in counts for w in words), n, _held(r.doc_id, 7, 2))
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in words))
     assert (got.score < 0).all() and (got.bits_per_byte < 4).mean() > 0.9
+    again = queries.op9_language_model(spark, sf).toPandas()
+    assert dict(zip(again.doc_id, again.score)) == dict(zip(got.doc_id, got.score))
     rows = language_model.score(strange).collect()
     assert len(rows) == len(ROWS) and all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (2, 3, 4))
     assert language_model.score(nothing).count() == 0
 
 
-def test_spellings_are_a_distribution():
-    both = np.zeros(2 * int(language_model._OFFSETS[-1]))
-    words = [b"ab", b"ac", b"b", language_model.END]
-    language_model.counts_of(words, np.array([5, 3, 2, 4]), both)
-    model = language_model.learn(both[0::2], both[1::2], words, np.ones(4))
+def _small_model(texts: list[bytes]) -> language_model.Model:
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    code = language_model.Code(np.bincount(flat, minlength=256).astype(float))
+    bits = language_model.table_bits(len(flat))
+    counts = [np.zeros(2 << b, np.uint32) for b in bits]
+    language_model.counted(texts, code, bits, counts)
+    return language_model.Model(code, [language_model.states(c[0::2].astype(float), c[1::2].astype(float)) for c in counts])
+
+
+def _plain_score(model: language_model.Model, text: bytes) -> float:
+    """The same score bit by bit; only the context hashes are taken from the module."""
+    flat = np.frombuffer(text, np.uint8)
+    hashed, _ = language_model.contexts(flat, np.zeros(1, np.int64), language_model.Before())
     total = 0.0
-    # every byte after the start of a word: the probabilities of all 256 choices add up to one
-    heads = [bytes([b]) for b in range(256)]
-    flat, word, contexts = language_model._spelled(heads)
-    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    p = np.zeros(len(flat))
-    last = (contexts[1] & np.uint64(511)).astype(np.int64)
-    for b, slots, bit in language_model._decisions(flat, contexts):
-        x = np.concatenate([model.table[0][slots], model.table[1][slots]])
-        q = model._refine(np.einsum("kn,nk->n", x, model.weights[language_model._gate(x, b)]), last)[0]
-        p += np.log(np.where(bit == 1, q, 1 - q))
-    total = np.exp(p[first]).sum()
-    assert total == pytest.approx(1, abs=1e-6)
-
-
-def test_counts_of_the_word_so_far_are_exact_over_stretches():
-    r = random.Random(3)
-    words = sorted({bytes(r.choice(b"ab\x01\xc3z") for _ in range(r.randint(1, 7))) for _ in range(400)} | {language_model.END}, key=language_model._spelling)
-    times = np.array([r.randint(0, 5) for _ in words])
-    bits = ["".join(f"{b:08b}" for b in language_model._spelling(w)) for w in words]
-    n = len(words)
-    parts = [(0, 3), (3, 4), (4, 5), (5, n // 2), (n // 2, n // 2 + 1), (n // 2 + 1, n - 20), (n - 20, n)]
-    edges = []
-    for p, (a, b) in enumerate(parts):
-        own = language_model.begun(words[a:b], times[a:b])
-        first, last = (own.at(np.full(len(bits[i]) + 1, i - a), np.arange(len(bits[i]) + 1)) for i in (a, b - 1))
-        edges.append((p, words[a], first, words[b - 1], last))
-    around = language_model.borders(edges)
-    for p, (a, b) in enumerate(parts):
-        got = language_model.begun(words[a:b], times[a:b], *around[p])
-        for i in range(a, b):
-            d = np.arange(len(bits[i]) + 1)
-            want = [sum(t for t, o in zip(times, bits) if o[:k] == bits[i][:k]) for k in d]
-            assert (got.at(np.full(len(d), i - a), d) == want).all()
-
-
-def test_word_counts_do_not_collide_in_a_vocabulary_beyond_the_tables():
-    r = random.Random(8)
-    words = sorted({r.randbytes(8).hex().encode() for _ in range(100_000)}, key=language_model._spelling)
-    counts = language_model.begun(words, np.ones(len(words)))
-    # after 12 of 16 digits nearly every word is alone: the next digit is sure
-    which = np.arange(len(words))
-    own, both = counts.at(which, np.full(len(words), 104)), counts.at(which, np.full(len(words), 96))
-    assert (own <= both).all() and (both == 1).mean() > 0.99
+    for i, byte in enumerate(text):
+        if i % language_model.BLOCK == 0:
+            weights = model.weights.copy()
+        for d in range(int(model.code.depth[byte])):
+            node, bit = model.code.node[byte, d], int(model.code.bit[byte, d])
+            state = []
+            for k, table in enumerate(model.tables):
+                bits = len(table).bit_length() - 1
+                x = (int(hashed[k, i]) + int(node)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+                state.append(int(table[x >> (64 - bits)]))
+            x = language_model._LUT[state]
+            gate = 4 * int(sum(abs(v) > np.log(10) for v in x)) + min(d, 3)
+            s = float(np.clip(weights[gate] @ x, -12, 12))
+            p = 1 / (1 + np.exp(-s))
+            weights[gate] += language_model.RATE * (bit - p) * x
+            at = float(np.clip((s + 8) * 2, 0, language_model._MAP - 1.01))
+            row = (text[i - 1] + 1 if i else 0) * language_model._MAP + int(at)
+            refined = model.refined[row] * (1 - at % 1) + model.refined[row + 1] * (at % 1)
+            p = np.clip((p + refined) / 2, 2**-18, 1 - 2**-18)
+            total += np.log10(p if bit else 1 - p)
+    return total
+
+
+def test_score_equals_a_plain_loop(docs, monkeypatch):
+    texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(40)]
+    model = language_model.learned(_small_model(texts[8:]), texts[4:8])
+    some = [texts[0], language_model.END, texts[1][:700] + language_model.END, texts[2]]
+    want = [_plain_score(model, t) for t in some]
+    assert np.allclose(model.log10(some), want, rtol=1e-3)
+    # long texts are worked on in stretches, with the same result
+    long = b" ".join([texts[3][:-1]] * 3)[: 6 * language_model.BLOCK + 100]
+    whole = model.log10([long, texts[0]])
+    monkeypatch.setattr(language_model, "AT_ONCE", 2 * language_model.BLOCK)
+    assert np.allclose(model.log10([long, texts[0]]), whole, rtol=1e-5)
+
+
+def test_scores_see_the_order_of_words_and_learn_within_a_text(docs):
+    texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(60)]
+    model = language_model.learned(_small_model(texts[8:]), texts[4:8])
+    text = next(t for t in texts[8:] if len(t) > 800)
+    words = text.split()
+    random.Random(1).shuffle(words)
+    assert model.log10([text])[0] > model.log10([b" ".join([*words, language_model.END])])[0] + 1
+    odd = b"zq " * 300 + language_model.END
+    assert model.log10([odd])[0] > 0.75 * 300 * model.log10([b"zq " + language_model.END])[0]
+
+
+def test_decisions_are_a_distribution(docs):
+    texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(30)]
+    model = _small_model(texts)
+    # after one beginning the probabilities of all 256 next bytes add up to one
+    head = texts[0][:50]
+    both = model.log10([head + bytes([b]) for b in range(256)]) - model.log10([head])[0]
+    assert (10.0**both).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_counts_of_stretches_equal_those_of_whole_texts(docs, monkeypatch):
+    texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(20)] + [b"x" * 5000 + b" y " * 900 + language_model.END]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    code, bits = language_model.Code(np.bincount(flat, minlength=256).astype(float)), language_model.table_bits(len(flat))
+    got = []
+    for at_once in (1 << 20, 1024):
+        monkeypatch.setattr(language_model, "AT_ONCE", at_once)
+        got.append([np.zeros(2 << b, np.uint32) for b in bits])
+        language_model.counted(texts, code, bits, got[-1])
+    assert all((a == b).all() for a, b in zip(*got))
+    assert got[0][0].sum() == code.depth[flat].sum()
 
 
 # 10 -------------------------------------------------------------------------
