@@ -26,8 +26,6 @@ from siftline.llm.common import MEMO_ENTRIES, cut, longs, runs, small_batches, s
 
 #: Short pieces in a partition that one task packs.
 ITEMS = 100_000
-#: Rounds of packing at most; each works on what the round before released.
-ROUNDS = 6
 #: Bins that a partition releases for each bin above its bound, and besides.
 RELEASE, RELEASE_LEAST = 8, 32
 
@@ -53,10 +51,11 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"] for x in spec.get("added_tokens", ())}
+        # as in the library, the text of a special token is that token, and text ends before it and begins anew after it
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         ranks = {_bytes(token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -67,6 +66,11 @@ class ByteBpe:
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text whose ids, one after another, are the text's ids."""
+        if self.special and self.special.search(text):
+            return [p for i, x in enumerate(self.special.split(text)) if x for p in ([x] if i % 2 else self._plain(x))]
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
         return [x for x in _BORDER.split(text) if x] if _TIGHT.search(text) else _PART.findall(text)
 
     def learn(self, parts: set[str]) -> None:
@@ -217,7 +221,7 @@ def _packed(pool: DataFrame, parts: int, round_: int, capacity: int) -> DataFram
             space = capacity - np.bincount(bins, weights=sizes, minlength=n).astype(np.int64)
             released[np.argsort(-space, kind="stable")[: RELEASE * gap + RELEASE_LEAST]] = True
         part = table["part"][0].as_py()
-        ids = (round_ << 58) | (part << 26) | bins
+        ids = (round_ << 52) | (part << 26) | bins
         kept = table.select(["key", "doc_id", "piece", "start", "length", "ids_crc32"])
         return kept.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("open", pa.array(released[bins]))
 
@@ -236,8 +240,9 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, doc_id
     all_pieces = cut(pieces(df, path, capacity, end_id, doc_id, text))
     full = all_pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("key"), "offset": F.lit(0).cast("long")})
     pool = all_pieces.filter(F.col("length") < capacity)
-    done, before = [full], None
-    for round_ in range(1, ROUNDS + 1):
+    done, before, round_ = [full], None, 0
+    while True:  # each round but the last saves a sequence
+        round_ += 1
         count = pool.count()
         parts = max(1, math.ceil(count / items))
         state = cut(_packed(pool, parts, round_, capacity))
@@ -250,7 +255,7 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, doc_id
             break
         opened = state.filter("open")
         left = opened.agg(F.count_distinct("sequence_id")).first()[0]
-        if not left or parts == 1 and round_ > 1 or round_ == ROUNDS:
+        if not left or parts == 1 and round_ > 1:
             done.append(state)
             break
         done.append(state.filter("not open"))

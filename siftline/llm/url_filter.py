@@ -9,15 +9,17 @@ expression on it. A rule without such a token runs on every URL.
 
 from __future__ import annotations
 
+import json
 import re
 import string
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many rules (short rows) the index is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_RULES = 20_000
+#: Up to so many rules (short rows) the index is part of the plan; beyond, it is joined by a shuffle, a URL's rows in so many parts.
+BROADCAST_RULES, SPLIT = 20_000, 16
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,16 @@ def rarest(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str | None]:
     return {r: min(r.tokens, key=lambda t: (count.get(t, 0), t), default=None) for r in rules}
 
 
+def _index(filed: dict[Rule, str | None], place: dict[int, int]) -> tuple[Column, int]:
+    """The filed rules as one constant, in buckets by the hash of their token, and the number of buckets."""
+    size = 1 << max(4, (2 * len(filed)).bit_length())
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for i, (rule, token) in enumerate(filed.items()):
+        if token:
+            buckets[zlib.crc32(token.encode()) % size].append({"token": token, "place": place[i], "pattern": rule.pattern})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<token:string,place:int,pattern:string>>>"), size
+
+
 def judge(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict and pattern of every row.
 
@@ -91,26 +103,54 @@ def judge(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str =
     null, pattern names the first fitting blocking pattern and the verdict is
     ``block`` where there is one, else ``default``. Null and malformed URLs have
     empty host and path. Rows stay as often as they stand; other columns are not read.
+    Up to BROADCAST_RULES rules the index goes along with the plan and a row is judged
+    by itself, without a shuffle; beyond, rows meet the rules in a join by token.
     """
-    spark = df.sparkSession
     pages = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     filed = rarest(pages.filter("url is not null"), rules)
-    index = [(token, i, r.pattern) for i, (r, token) in enumerate(filed.items()) if token]
-    always = [(i, r) for i, (r, token) in enumerate(filed.items()) if not token]
     order = list(filed)
     ranked = sorted(range(len(order)), key=lambda i: (order[i].kind != "host", -order[i].weight, i))
     place = {i: k for k, i in enumerate(ranked)}
-    by_token = spark.createDataFrame([(t, place[i], p) for t, i, p in index], "token string, place int, pattern string")
-    fetched = pages.filter("url is not null").select("url", F.explode(_tokens(F.col("url"))).alias("token"))
-    fetched = fetched.join(F.broadcast(by_token) if len(index) <= BROADCAST_RULES else by_token, "token")
-    hits = fetched.filter(F.expr("url rlike pattern")).groupBy("url").agg(F.min("place").alias("place"))
-    rest = F.least(F.lit(len(order)), *[F.when(F.col("url").rlike(r.pattern), F.lit(place[i])) for i, r in always], F.col("place"))
-    named = spark.createDataFrame([(place[i], r.kind, r.name, r.verdict) for i, r in enumerate(order)], "best int, kind string, name string, said string")
-    found = pages.join(hits, "url", "left").withColumn("best", rest).join(F.broadcast(named) if len(order) <= BROADCAST_RULES else named, "best", "left")
+    always = [F.when(F.col("url").rlike(order[i].pattern), F.lit(place[i])) for i, token in enumerate(filed.values()) if not token]
+    if len(order) <= BROADCAST_RULES:
+        index, size = _index(filed, place)
+        at = lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")
+        fetched = F.flatten(F.transform(_tokens(F.col("url")), lambda t: F.filter(F.get(index, at(t)), lambda r: r["token"] == t)))
+        hit = F.array_min(F.transform(F.filter(fetched, lambda r: F.regexp_like(F.col("url"), r["pattern"])), lambda r: r["place"]))
+        found = pages.withColumn("place", hit)
+        named = F.from_json(F.lit(json.dumps([{"kind": order[i].kind, "name": order[i].name, "said": order[i].verdict} for i in ranked])), "array<struct<kind:string,name:string,said:string>>")
+        told = found.withColumn("best", F.get(named, _least(len(order), [*always, F.col("place")])))
+    else:
+        told = _joined(pages, filed, place, always)
     host, path = split_url(F.col("url"))
-    return found.select(
+    return told.select(
         "page_id", host.alias("host"), path.alias("path"),
-        F.when(F.col("kind") == "host", F.col("name")).alias("rule"),
-        F.coalesce("said", F.lit(default)).alias("verdict"),
-        F.when(F.col("kind") == "pattern", F.col("name")).alias("pattern"),
+        F.when(F.col("best.kind") == "host", F.col("best.name")).alias("rule"),
+        F.coalesce("best.said", F.lit(default)).alias("verdict"),
+        F.when(F.col("best.kind") == "pattern", F.col("best.name")).alias("pattern"),
     )
+
+
+def _least(none: int, places: list[Column]) -> Column:
+    return F.least(F.lit(none), F.lit(none), *places)
+
+
+def _joined(pages: DataFrame, filed: dict[Rule, str | None], place: dict[int, int], always: list[Column]) -> DataFrame:
+    """``pages`` with ``best`` (kind, name, said), for more rules than a plan should hold.
+
+    Every distinct URL is judged once; a URL of many rows meets its verdict in SPLIT
+    parts, and rows without one in none.
+    """
+    spark = pages.sparkSession
+    rules = [(t, place[i], r.pattern, r.kind, r.name, r.verdict) for i, (r, t) in enumerate(filed.items())]
+    table = spark.createDataFrame(rules, "token string, place int, pattern string, kind string, name string, said string")
+    urls = pages.filter("url is not null").select("url").distinct()
+    hits = urls.select("url", F.explode(_tokens(F.col("url"))).alias("token")).join(table.select("token", "place", "pattern"), "token").filter("url rlike pattern").select("url", "place")
+    if always:
+        hits = hits.unionByName(urls.select("url", _least(len(filed), always).alias("place")).filter(F.col("place") < len(filed)))
+    best = hits.groupBy("url").agg(F.min("place").alias("place")).join(table.select("place", F.struct("kind", "name", "said").alias("best")), "place")
+    best = best.select("url", "best", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("page_id"), F.lit(SPLIT)).cast("int")
+    some = pages.filter("url is not null").withColumn("part", part).join(best, ["url", "part"], "left")
+    none = pages.filter("url is null").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return some.select("page_id", "url", "best").unionByName(none)

@@ -174,7 +174,6 @@ def _check_packing(table: pd.DataFrame, texts: dict, capacity: int):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for doc_id, part in table.groupby("doc_id"):
         ids = np.array(t.encode(texts[doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
         part = part.sort_values("piece")
@@ -214,9 +213,8 @@ def test_byte_bpe_equals_the_library():
 
     path = tokenizer_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     b, r = packing.ByteBpe(path), random.Random(2)
-    texts = ["", "  ", "\n\n\n x", "don't I'll 'S", "<|endoftext|> a", "a  b   c    d", "\t\r\n \r\n", "x \x1c\n y \x85 z\x85", LONG]
+    texts = ["", "  ", "\n\n\n x", "don't I'll 'S", "<|endoftext|> a", "a  <|endoftext|>\n\n<|endoftext|><|endoftext|> <|endoftext|", "x<|endoftext|>'s \n", "a  b   c    d", "\t\r\n \r\n", "x \x1c\n y \x85 z\x85", LONG]
     texts += ["".join(r.choice("abé 's\n \t1!?.  \n日 \x1c\x85") for _ in range(r.randint(1, 40))) for _ in range(1500)]
     for x in texts:
         parts = b.parts(x)
@@ -247,7 +245,7 @@ def test_url_filter_equals_sql(spark, sf):
     assert key(got) == key(want)
 
 
-def test_url_filter_cases(spark):
+def test_url_filter_cases(spark, monkeypatch):
     rules = [url_filter.host_rule(*x) for x in queries.HOST_RULES] + [url_filter.pattern_rule("block", *x) for x in queries.PATTERN_RULES]
     cases = {
         "http://A.Example.NET/en/x?y": ("a.example.net", "/en/x", "example.net/en/", "allow"), "https://x.net": ("x.net", "", None, "allow"), "x://net/": ("net", "/", "net/", "block"),
@@ -256,10 +254,12 @@ def test_url_filter_cases(spark):
         "http://my-casino-x.com/": ("my-casino-x.com", "/", None, "block"), "http://x.com/loaded": ("x.com", "/loaded", None, "allow"), "http://x.com/a?PRINT=1": ("x.com", "/a", None, "block"),
     }
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*cases, *cases])], "page_id long, url string, host string")
-    got = url_filter.judge(df, rules).collect()
-    assert len(got) == 2 * len(cases)
-    for r in got:
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == [*cases.values()][r["page_id"] % len(cases)]
+    for most in (url_filter.BROADCAST_RULES, 0):  # by the index in the plan, and by the join
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+        got = url_filter.judge(df, rules).collect()
+        assert len(got) == 2 * len(cases)
+        for r in got:
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == [*cases.values()][r["page_id"] % len(cases)]
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
@@ -267,6 +267,7 @@ def test_no_python_in_native_plans(spark, sf):
     for name in ("op2_line_dedup", "op5_url_filter"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+    assert "Exchange" not in plan  # a page is judged by itself
 
 
 # 6 --------------------------------------------------------------------------
