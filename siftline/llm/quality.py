@@ -5,14 +5,17 @@ documents of a stratum tell how many a cutoff would reject; an exact
 (Clopper-Pearson) upper bound of the false rejection rate must stay below the
 rule's share of ``RISK``. Cutoffs are tested from the most lenient on until one
 fails (a fixed sequence needs no correction), and the error level is split over
-all strata and rules (Bonferroni), so with probability ``1 - LEVEL`` no stratum
-loses more than ``RISK`` of its good documents. Among the certified cutoffs the
-one is taken that rejects most labelled bad documents, less ``CARE`` times the
-good ones. A stratum with too few labels keeps everything.
+all strata that are tested and all rules (Bonferroni), so with probability
+``1 - LEVEL`` no stratum loses more than ``RISK`` of its good documents. Every
+stratum is tested that has enough labelled good documents for any cutoff to be
+certified; one with fewer keeps everything, and so does null if it has fewer.
+Among the certified cutoffs the one is taken that rejects most labelled bad
+documents, less ``CARE`` times the good ones.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, runs, small_batches, strings
+from siftline.llm.common import CLASSES_AT_ONCE, cut, runs, small_batches, strings
 
 #: Share of a stratum's good documents that all rules together may reject, and the chance of an error.
 RISK, LEVEL = 0.05, 0.05
-#: Strata with most labels that have cutoffs of their own; the others are one stratum.
-STRATA = 50
 #: Measures, each with the cutoffs tried, from lenient to strict.
 CUTOFFS = {
     "symbols_per_char": [x / 200 for x in range(60, 1, -1)],
@@ -39,6 +40,7 @@ CUTOFFS = {
 CARE = 20
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
+_LOWER = re.compile(rb"[a-z]")
 _MARKED = re.compile(rb"[!?*#$%&|~^]{2}|^[|]$")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -83,13 +85,19 @@ def measure(text: str) -> tuple:
     counts = np.bincount(ids)
     distinct = list(seen)
     marked = sum(counts[i] for i, w in enumerate(distinct) if _MARKED.search(w))
-    upper = sum(counts[i] for i, w in enumerate(distinct) if w.isupper() and len(w) > 1)
+    upper = sum(counts[i] for i, w in enumerate(distinct) if len(w) > 1 and not _LOWER.search(w) and _is_upper(w))
     return (
         n, chars, symbols, duplicates, repeated,
-        symbols / chars, float(marked) / n, float(upper) / n, float(counts.max()) / n if n >= 20 else 0.0,
+        symbols / chars, float(marked) / n, float(upper) / n, float(counts.max() - 1) / n,
     )
 
 
+def _is_upper(word: bytes) -> bool:
+    """Whether a word of two letters or more of any script has capitals only."""
+    text = word.decode("utf-8", "surrogatepass")
+    return text.isupper() and sum(map(str.isalpha, text)) > 1
+
+
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -121,8 +129,7 @@ def upper_bound(rejected: int, total: int, level: float) -> float:
     """Exact upper confidence bound of a rate, by bisection of the binomial tail."""
     if rejected >= total:
         return 1.0
-    from math import lgamma, log
-
+    lgamma, log = math.lgamma, math.log
     steps = np.arange(rejected + 1)
     ways = np.array([lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) for k in steps])
     low, high = rejected / total, 1.0
@@ -141,24 +148,15 @@ def _exceeded(rule: str, tries: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, tries)), lambda t: F.col(rule) > t))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, float]]:
-    """Certified cutoffs by stratum ("" is all others) and rule, from all labelled rows.
+def least_good(strata: int, risk: float = RISK, level: float = LEVEL) -> int:
+    """Labelled good documents, none of them rejected, that certify a cutoff if so many strata are tested."""
+    return math.ceil(math.log(level / (len(CUTOFFS) * max(1, strata))) / math.log1p(-risk / len(CUTOFFS)))
 
-    ``labels`` has doc_id and quality (1 is good). Rows of equal text
-    count once, for copies are no independent evidence.
-    """
-    told = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality in (0, 1)")
-    held = measured.filter("not base_failed").join(told, "doc_id").select("stratum", "quality", "digest", *CUTOFFS).distinct()
-    top = [r["stratum"] for r in held.filter("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()]
-    named = held.withColumn("stratum", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise("") if top else F.lit(""))
-    cells = [F.struct(F.lit(rule).alias("rule"), _exceeded(rule, tries).alias("above")) for rule, tries in CUTOFFS.items()]
-    table = named.select("stratum", "quality", F.explode(F.array(*cells)).alias("c")).groupBy("stratum", "quality", "c.rule", "c.above").count().collect()
-    tally: dict[tuple, Counter] = {}
-    for r in table:
-        tally.setdefault((r["stratum"], r["rule"], r["quality"]), Counter())[r["above"]] += r["count"]
-    strata = sorted({s for s, _, _ in tally})
+
+def certified(tally: dict[tuple, Counter], strata: list, risk: float = RISK, level: float = LEVEL) -> dict[object, dict[str, float]]:
+    """Cutoffs by stratum and rule, from counts by (stratum, rule, quality) of how many cutoffs are exceeded."""
     share, error = risk / len(CUTOFFS), level / (len(CUTOFFS) * max(1, len(strata)))
-    found: dict[str, dict[str, float]] = {}
+    found: dict[object, dict[str, float]] = {}
     for stratum in strata:
         for rule, tries in CUTOFFS.items():
             good, bad = (tally.get((stratum, rule, q), Counter()) for q in (1, 0))
@@ -174,6 +172,33 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     return found
 
 
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[object, dict[str, float]]:
+    """Certified cutoffs by stratum and rule, from all labelled rows.
+
+    ``labels`` has doc_id and quality (1 is good). Rows of equal text
+    count once, for copies are no independent evidence. What reaches the driver is a
+    row for each cutoff of a stratum with hundreds of labels.
+    """
+    told = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality in (0, 1)")
+    held = cut(measured.filter("not base_failed").join(told, "doc_id").select("stratum", "quality", "digest", *CUTOFFS).distinct())
+    good = held.filter("quality = 1").groupBy("stratum").agg(F.count("*").alias("n")).filter(F.col("n") >= least_good(1, risk, level))
+    good = {r["stratum"]: r["n"] for r in good.collect()}  # strata with hundreds of labels
+    # strata that no cutoff can be certified for are not tested; fewer tests need fewer labels
+    count = next((k for k in range(len(good), 0, -1) if sum(n >= least_good(k, risk, level) for n in good.values()) >= k), 0)
+    strata = sorted(good, key=lambda s: (-good[s], s is not None, s))[:count]
+    if not strata:
+        return {}
+    names = [s for s in strata if s is not None]
+    tested = F.col("stratum").isin(names) if names else F.lit(False)
+    tested = tested | F.col("stratum").isNull() if None in strata else tested
+    cells = [F.struct(F.lit(rule).alias("rule"), _exceeded(rule, tries).alias("above")) for rule, tries in CUTOFFS.items()]
+    table = held.filter(tested).select("stratum", "quality", F.explode(F.array(*cells)).alias("c")).groupBy("stratum", "quality", "c.rule", "c.above").count().collect()
+    tally: dict[tuple, Counter] = {}
+    for r in table:
+        tally.setdefault((r["stratum"], r["rule"], r["quality"]), Counter())[r["above"]] += r["count"]
+    return certified(tally, strata, risk, level)
+
+
 def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """doc_id, the counts, base_failed, kept and reasons of every row.
 
@@ -183,12 +208,9 @@ def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     stay as often as they stand; labels without a document count for nothing.
     """
     measured = cut(measures(df, doc_id, text, stratum).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
-    certified = cutoffs(measured, labels)
-    rows = [(s, *[rules.get(r) for r in CUTOFFS]) for s, rules in certified.items()]
+    rows = [(s, *[rules.get(r) for r in CUTOFFS]) for s, rules in cutoffs(measured, labels).items()]
     limits = df.sparkSession.createDataFrame(rows, "s string, " + ", ".join(f"limit_{r} double" for r in CUTOFFS))
-    names = [s for s in certified if s]
-    own = F.when(F.col("stratum").isin(names), F.col("stratum")).otherwise("") if names else F.lit("")
-    joined = measured.withColumn("s", own).join(F.broadcast(limits), "s", "left")  # STRATA + 1 rows at most
+    joined = measured.join(F.broadcast(limits) if len(rows) <= CLASSES_AT_ONCE else limits, F.col("stratum").eqNullSafe(F.col("s")), "left")
     reasons = F.filter(F.array(*[F.when(F.col(r) > F.col(f"limit_{r}"), F.lit(r)) for r in CUTOFFS]), lambda x: x.isNotNull())
     out = joined.withColumn("reasons", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(reasons))
     return out.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), F.array_join("reasons", ",").alias("reasons"))

@@ -449,6 +449,63 @@ def test_upper_bound_is_exact():
     assert quality.upper_bound(5, 5, 0.1) == 1.0
 
 
+def _plain_verdicts(rows: list[tuple], labels: dict) -> dict:
+    """kept by doc_id from measures, as the module's docstring tells it, one document after another."""
+    from math import comb
+
+    rules = list(quality.CUTOFFS)
+    told = {d: (lang, quality.measure(t or "")) for d, t, lang in rows}
+    base = {d: m[0] < 10 or 100 * m[4] > 20 * m[0] for d, (_, m) in told.items()}
+    groups = defaultdict(set)
+    for d, t, lang in rows:
+        if labels.get(d) in (0, 1) and not base[d]:
+            groups[lang, labels[d]].add((t, told[d][1][5:]))
+    risk = quality.RISK / len(rules)
+    bound = lambda k, n, e: next((p / 20000 for p in range(20001) if sum(comb(n, i) * (p / 20000) ** i * (1 - p / 20000) ** (n - i) for i in range(k + 1)) <= e), 1.0)
+    langs = {lang for lang, q in groups if q == 1}
+    while True:  # strata that can't be certified are not tested
+        error = quality.LEVEL / (len(rules) * max(1, len(langs)))
+        enough = {x for x in langs if bound(0, len(groups[x, 1]), error) <= risk}
+        if len(enough) == len(langs):
+            break
+        langs = set(sorted(langs, key=lambda x: len(groups[x, 1]))[1:])
+    limits = {}
+    for lang in langs:
+        for k, rule in enumerate(rules):
+            best = 0
+            for t in quality.CUTOFFS[rule]:
+                lost, caught = (sum(m[k] > t for _, m in groups[lang, q]) for q in (1, 0))
+                if bound(lost, len(groups[lang, 1]), error) > risk:
+                    break
+                if caught - quality.CARE * lost > best:
+                    best, limits[lang, k] = caught - quality.CARE * lost, t
+    return {d: not base[d] and not any(m[5 + k] > limits.get((lang, k), 9) for k in range(len(rules))) for d, (lang, m) in told.items()}
+
+
+def test_kept_equals_a_plain_reading_of_the_rules(spark):
+    r = random.Random(5)
+    rows, labels = [], {}
+    for i in range(2600):
+        bad = i % 5 == 0
+        words = [f"w{r.randrange(900)}" + ("##" if r.random() < (0.5 if bad else 0.01) else "") for _ in range(r.randint(8, 30))]
+        if i % 7 == 0:
+            words = [w.upper() for w in words]
+        rows.append((i, " ".join(words), ("aa", None, "few", "bb", "aa")[i % 5 if i % 40 else 2]))
+        if i % 9:
+            labels[i] = int(not bad)
+    rows += [(9000 + i, rows[0][1], "aa") for i in range(50)]
+    labels |= {9000 + i: 0 for i in range(50)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in quality.judge(df, spark.createDataFrame([*labels.items()], "doc_id long, quality int")).collect()}
+    assert got == _plain_verdicts(rows, labels) and 0 < sum(got.values()) < len(got)
+
+
+def test_measures_know_capitals_of_all_scripts_and_short_texts():
+    upper, top = 5 + list(quality.CUTOFFS).index("upper_case"), 5 + list(quality.CUTOFFS).index("top_word")
+    assert quality.measure("ПРИВЕТ МИР")[upper] == quality.measure("HELLO WORLD")[upper] == 1.0
+    assert quality.measure("a a a b")[top] == 0.5 and quality.measure("a b c")[top] == 0
+
+
 def test_certified_cutoffs_reject_bad_and_spare_good(spark):
     r = random.Random(8)
     rows, labels = [], []
