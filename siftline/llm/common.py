@@ -91,6 +91,29 @@ def hash_unit(column: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+#: Rows of one key that a join leaves in one part, and keys of more rows that are broadcast at most.
+PART_ROWS, HOT_KEYS = 100_000, 10_000
+
+
+def join_split(left: DataFrame, right: DataFrame, on: list[str], times: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique, so that no key of many rows of ``left`` meets in one task.
+
+    Column ``times`` of ``right`` tells how many rows of ``left`` have a key, ``total`` how
+    many there are in all. A key of more than PART_ROWS rows, or of a HOT_KEYS-th of
+    all if that is more, is dealt into parts; of such keys there are HOT_KEYS at most,
+    so they can be broadcast. Rows of a part are chosen by their place in ``left``,
+    which should be a table or a checkpoint.
+    """
+    each = max(PART_ROWS, total // HOT_KEYS + 1)
+    parts = F.ceil(F.col(times) / F.lit(each)).cast("int")
+    hot = right.filter(F.col(times) > each).select(*on, parts.alias("__parts"))
+    if not hot.limit(1).count():
+        return left.join(right, on, how)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    spread = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(spread, [*on, "__part"], how).drop("__part")
+
+
 def sample_per_class(df: DataFrame, label: str, each: int, seed: int = 0) -> DataFrame:
     """About ``each`` distinct rows of every value of ``label``, chosen by a hash of the whole row.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, runs, small_batches, strings
+from siftline.llm.common import cut, join_split, small_batches, strings
 
 #: Blocks of bits; with d differing bits each fingerprint is filed C(BLOCKS, d) times.
 BLOCKS = 5
@@ -30,6 +30,8 @@ BLOCKS = 5
 LEAF, FANOUT = 8, 8
 #: Pairs of nodes or fingerprints that are compared at a time.
 AT_ONCE = 1 << 21
+#: Fingerprints that a task links at a time; a file is never parted, so a larger one is linked by itself.
+FILED_AT_ONCE = 1 << 20
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -58,17 +60,19 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * count > n).tolist()))
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null texts count as empty."""
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, keep: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and column ``keep`` of every row; null texts count as empty."""
     small_batches(df.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(1))
             fps = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, fp long")
+    more = [keep] if keep else []
+    kind = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in more)
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(of, "doc_id long, fp long" + kind)
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -174,44 +178,62 @@ def edges(classes: DataFrame, most: int = 3, blocks: int = BLOCKS) -> DataFrame:
         mask = sum(((1 << (bounds[i + 1] - bounds[i])) - 1) << bounds[i] for i in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     filed = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("f"))
-    dealt = filed.select("fp", "f.choice", "f.bits").repartition("choice", "bits")
+    # sorted by Spark, which can spill, so that a task holds some files at a time and not all of its own
+    dealt = filed.select("fp", "f.choice", "f.bits").repartition("choice", "bits").sortWithinPartitions("choice", "bits")
 
-    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_batches = list(batches)
-        if not all_batches:
-            return
-        table = pa.Table.from_batches(all_batches)
-        fps = table["fp"].to_numpy().view(np.uint64)
-        bits, choice = table["bits"].to_numpy(), table["choice"].to_numpy()
-        order = np.lexsort((gray_rank(fps), bits, choice))
-        fps, bits, choice = fps[order], bits[order], choice[order]
-        new = np.r_[True, (bits[1:] != bits[:-1]) | (choice[1:] != choice[:-1])]
-        file = np.cumsum(new)
-        shared = np.flatnonzero(~new | np.r_[~new[1:], False])  # files of one fingerprint link nothing
-        fps, file = fps[shared], file[shared]
+    def linked(fps: np.ndarray, file: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((gray_rank(fps), file))
+        fps, file = fps[order], file[order]
         forest = link(fps, file, most)
         roots = np.array([forest.find(i) for i in range(len(fps))], np.int64) if len(fps) else np.zeros(0, np.int64)
         child = np.flatnonzero(roots != np.arange(len(fps)))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[child].view(np.int64)), pa.array(fps[roots[child]].view(np.int64))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fps[child].view(np.int64)), pa.array(fps[roots[child]].view(np.int64))], ["a", "b"])
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # fingerprints and files, numbered in order
+        last, number, size = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps, choice, bits = (batch.column(k).to_numpy() for k in range(3))
+            new = np.r_[last != (choice[0], bits[0]), (bits[1:] != bits[:-1]) | (choice[1:] != choice[:-1])]
+            file = number + np.cumsum(new)
+            last, number, size = (choice[-1], bits[-1]), int(file[-1]), size + len(fps)
+            held.append((fps.view(np.uint64), file))
+            if size >= FILED_AT_ONCE:
+                fps, file = (np.concatenate(x) for x in zip(*held))
+                whole = file < number  # the last file may go on
+                yield linked(*_shared(fps[whole], file[whole]))
+                held, size = [(fps[~whole], file[~whole])], int((~whole).sum())
+        if held:
+            yield linked(*_shared(*(np.concatenate(x) for x in zip(*held))))
 
     return dealt.mapInArrow(connect, "a long, b long").distinct()
 
 
+def _shared(fps: np.ndarray, file: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without files of one fingerprint, which link nothing; ``file`` ascends."""
+    new = np.r_[True, file[1:] != file[:-1]][: len(file)]
+    some = np.flatnonzero(~new | np.r_[~new[1:], False][: len(file)])
+    return fps[some], file[some]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, for all nodes of ``links`` (a, b).
 
     Large-star rounds tie every node's larger neighbours to its smallest one,
-    small-star rounds its smaller ones; stars are left after few rounds. A hot
-    node costs no more than its own edges: the smallest neighbour is an aggregate.
+    small-star rounds its smaller ones; stars are left after few rounds. The
+    smallest neighbour is an aggregate, and a node of many edges meets it in parts.
     """
     links = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
+        total = links.count()
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("times")).filter("times > 0")
+        large = cut(join_split(both.filter("b > a"), least, ["a"], "times", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times"))
+        tied = join_split(large, small, ["a"], "times", large.count()).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         links = cut(tied.filter("a != b").distinct())
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == now:
@@ -219,6 +241,15 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _classes(rows: DataFrame, most: int, first) -> DataFrame:
+    """(fp, times, root, and by root the least ``first`` as ``chosen``) of the distinct fingerprints of ``rows``."""
+    classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("times")))
+    roots = components(edges(classes.select("fp"), most)).withColumnRenamed("node", "fp")
+    placed = cut(classes.join(roots, "fp", "left").select("fp", "times", "first", F.coalesce("root", "fp").alias("root")))
+    chosen = placed.groupBy("root").agg(F.min("first").alias("chosen"), F.count("*").alias("members"))
+    return join_split(placed, chosen, ["root"], "members", placed.count()).select("fp", "times", "chosen")
+
+
 def near_duplicates(df: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row.
 
@@ -228,18 +259,27 @@ def near_duplicates(df: DataFrame, most: int = 3, doc_id: str = "doc_id", text:
     columns are not read.
     """
     rows = cut(fingerprints(df, doc_id, text))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(edges(classes.select("fp"), most)).withColumnRenamed("node", "fp")
-    placed = classes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _classes(rows, most, F.min("doc_id"))
+    return join_split(rows, named, ["fp"], "times", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen").alias("component_id"))
 
 
 def keep_first(df: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every group of near duplicates: that of the smallest doc_id.
+    """One row of every group of near duplicates: that of the smallest doc_id, there the text of the least hash.
 
-    Rows without a doc_id cannot be named and stay; of repeated rows one stays.
+    Rows that share a doc_id are told apart by their texts, so each group keeps one of
+    its own; rows with the same doc_id and the same text are one. Null and empty texts
+    are near duplicates of each other. Rows without a doc_id cannot be named and stay.
+    An empty table gives none; all columns stay.
     """
-    kept = near_duplicates(df, most, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = df.filter(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(df.filter(F.col(doc_id).isNull())).select(df.columns)
+    told = F.struct(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("x"), F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))).alias("y"))
+    rows = cut(_with_key(fingerprints(df.filter(F.col(doc_id).isNotNull()).withColumn("__key", told), doc_id, text, keep="__key")))
+    kept = _classes(rows, most, F.min(F.struct("doc_id", "x", "y"))).select("chosen.*").distinct()
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    marked = df.withColumns({"__x": told["x"], "__y": told["y"]})
+    named = marked.join(kept, (F.col(doc_id).cast("long") == F.col("__id")) & marked["__x"].eqNullSafe(kept["__x"]) & marked["__y"].eqNullSafe(kept["__y"]), "left_semi")
+    named = named.dropDuplicates([doc_id, "__x", "__y"])
+    return named.select(df.columns).unionByName(df.filter(F.col(doc_id).isNull()))
+
+
+def _with_key(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "fp", "__key.x", "__key.y")

@@ -699,6 +699,39 @@ def test_simhash_strange(spark, strange, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_first(nothing).count() == 0
 
 
+def test_texts_of_a_shared_doc_id_are_kept_one_a_group(spark):
+    r = random.Random(4)
+    a, b = (" ".join(str(r.random()) for _ in range(80)) for _ in range(2))
+    rows = [(1, a, "p"), (1, b, "q"), (1, a, "p"), (2, a, "z"), (3, b, "z"), (None, a, "n")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], rows[1], rows[5]]))
+
+
+def test_keys_of_many_rows_join_in_parts(spark, monkeypatch):
+    from siftline.llm import common
+
+    monkeypatch.setattr(common, "PART_ROWS", 50)
+    left = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = common.join_split(left, right, ["k"], "n", 1000)
+    want = left.join(right, "k")
+    assert sorted(map(tuple, got.select("k", "id", "n", "top").collect())) == sorted(map(tuple, want.select("k", "id", "n", "top").collect()))
+    hot = left.groupBy("k").count().filter("k = 0")
+    assert hot.first()["count"] > 50
+
+
+def test_files_are_linked_some_at_a_time(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 60)
+    fps = sorted({int(b) ^ (1 << int(k)) for b in base for k in r.integers(0, 63, 12)})
+    monkeypatch.setattr(simhash, "FILED_AT_ONCE", 40)
+    got = simhash.components(simhash.edges(spark.createDataFrame([(x,) for x in fps], "fp long"))).collect()
+    root = {x["node"]: x["root"] for x in got}
+    want = _brute_components(fps, fps)
+    groups = lambda keys: sorted(map(sorted, (lambda d: [d[k] for k in d])(_group(fps, keys))))
+    assert groups([root.get(x, x) for x in fps]) == groups(want)
+
+
 # the pipeline ----------------------------------------------------------------
 
 
