@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from siftline.llm.common import code_points, crc_mod, hash_unit, kinds, runs, small_batches, strings
 
 #: Labelled documents of either label in the fit, taken whole in the order of a hash until their characters are used up.
-DOCS_EACH, CHARS_EACH = 3000, 6_000_000
+DOCS_EACH, CHARS_EACH = 3000, 5_000_000
 #: Places at which the subsequences of a stretch begin, symbols that one spans at most, and the decay of a skipped symbol.
 WINDOW, SPAN, DECAY = 10, 7, 0.6
 #: Landmarks, stretches of clean sentences in a fit, and the fits.
@@ -138,20 +138,23 @@ def best_of_texts(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.nda
 
 def features(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights (stretches x subsequences) of the stretches that begin at ``places``."""
-    padded = np.r_[codes, np.full(WINDOW + SPAN, _BORDER, np.uint32)]
-    left = np.r_[_inside(codes), np.zeros(WINDOW + SPAN, np.int64)]
-    begin = places[:, None] + np.arange(WINDOW)
-    inside = np.arange(WINDOW) < left[places][:, None]
-    first, second, third, last = (padded * m for m in _MIX)
+    reach = places[:, None] + np.arange(WINDOW + SPAN - 1)
+    rows = np.where(reach < len(codes), codes[np.minimum(reach, len(codes) - 1)], _BORDER)
+    open_ = np.cumsum(rows == _BORDER, axis=1) == 0  # before the first border
+    first, second, third, last = (rows * m for m in _MIX)
     slots, weights = [], []
     for a, b, c in _STEPS:
-        slots.append((first[begin] + second[begin + a] + third[begin + b] + last[begin + c]) >> np.uint32(32 - BITS))
-        weights.append(np.where(inside & (left[begin] > c), np.float32(DECAY ** (c - 3)), np.float32(0)))
+        w, x, y, z = (v[:, k : k + WINDOW] for v, k in ((first, 0), (second, a), (third, b), (last, c)))
+        slots.append((w + x + y + z) >> np.uint32(32 - BITS))
+        weights.append(np.where(open_[:, c : c + WINDOW], np.float32(DECAY ** (c - 3)), np.float32(0)))
     return np.concatenate(slots, axis=1).astype(np.int64), np.concatenate(weights, axis=1)
 
 
 def kernel(x: tuple[np.ndarray, np.ndarray], landmarks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Sums over shared subsequences of the products of their weights (stretches x landmarks)."""
+    """Sums over shared subsequences of the products of their weights (stretches x landmarks), for some landmarks at a time."""
+    each = 100
+    if len(landmarks[0]) > each:
+        return np.concatenate([kernel(x, tuple(v[at : at + each] for v in landmarks)) for at in range(0, len(landmarks[0]), each)], axis=1)
     used = np.unique(landmarks[0][landmarks[1] > 0])
     column = np.full(1 << BITS, len(used), np.int32)
     column[used] = np.arange(len(used))
@@ -272,11 +275,13 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model | None:
         c, o = symbols(texts[start:end])
         codes.append(c)
         owner.append(o + np.int32(start))
+    bounds = np.cumsum([0, *map(len, codes)]).tolist()
     codes, owner, n = np.concatenate(codes), np.concatenate(owner), len(texts)
+    every_stretch = lambda w: np.concatenate([stretches(codes[a:b], w) for a, b in zip(bounds, bounds[1:])])
     weight = _first_weights(codes, owner, toxic)
     model = None
     for _ in range(FITS):
-        value = stretches(codes, weight)
+        value = every_stretch(weight)
         best, place = best_of_texts(value, owner, n)
         known = place >= 0
         clean, bad = np.flatnonzero(~toxic & known), np.flatnonzero(toxic & known)
@@ -289,8 +294,8 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model | None:
             positive = place[bad[np.argsort(-best[bad], kind="stable")[: max(2, len(bad) // 10)]]]
         worst = clean[best[clean] <= np.quantile(best[clean], 0.99)]
         hard = place[worst[np.argsort(-best[worst], kind="stable")[: NEGATIVES // 2]]]
-        every = np.flatnonzero(~toxic[owner] & (codes != _BORDER))
-        plain = every[rng.choice(len(every), min(NEGATIVES // 2, len(every)), replace=False)]
+        plain = rng.integers(0, len(codes), NEGATIVES)
+        plain = plain[~toxic[owner[plain]] & (codes[plain] != _BORDER)][: NEGATIVES // 2]
         negative = np.unique(np.r_[hard, plain])
         x = features(codes, np.r_[positive, negative])
         chosen = rng.permutation(len(positive))[:1500]
@@ -314,7 +319,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model | None:
         weight = np.zeros(1 << BITS, np.float32)
         np.add.at(weight, landmarks[0].ravel(), (landmarks[1] * beta[:, None].astype(np.float32)).ravel())
         model = Model(weight, float(w[-1]))
-    best, place = best_of_texts(stretches(codes, weight), owner, n)
+    best, place = best_of_texts(every_stretch(weight), owner, n)
     decision = np.maximum(np.where(place >= 0, best, 0), 0) + model.bias
     _calibrate(model, decision[toxic], decision[~toxic], prior)
     return model
