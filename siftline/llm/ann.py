@@ -1,12 +1,17 @@
 """Nearest neighbours by inner product over learned partitions.
 
-A bounded sample's neighbour graph is cut into parts of equal size: recursive
-halving along principal directions, then moves of single vectors to the part
-that holds most of their neighbours, within a slack of the size. A small network
-learns, for each sampled vector, how its neighbours spread over the parts. It
-files every row under its most probable part and sends a query to several most
-probable ones, where all rows are compared exactly. Large parts are dealt into
-blocks, so no part, however popular, has to fit one task.
+Largest inner products become nearest directions by one more component: a row is
+divided by the largest norm of all rows and filled up to length one, a query is
+divided by its own norm and gets a zero. A bounded sample's neighbour graph is cut
+into parts of equal size: recursive halving along principal directions, then moves
+of single vectors to the part that holds most of their neighbours, within a slack
+of the size. A small network learns the parts of sampled rows, and how the
+neighbours of sampled queries spread over the parts. It files every row under its
+most probable part and sends a query to the most probable ones, where all rows are
+compared exactly. How many it visits is measured: sampled queries that the network
+has not learned must find TARGET of their neighbours. The number of parts grows
+with the rows, and large parts are dealt into blocks, so no part, however popular,
+has to fit one task.
 """
 
 from __future__ import annotations
@@ -23,20 +28,22 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import hash_unit
 
-#: Rows of the sample, neighbours of each in the graph, and hidden units of the network.
-SAMPLE, NEIGHBOURS, HIDDEN = 6000, 16, 96
-#: Parts, and parts that a query visits.
-PARTS, VISITS = 32, 22
+#: Rows of the sample at least and for each part, neighbours of each in the graph, and hidden units of the network.
+SAMPLE, SAMPLE_EACH, NEIGHBOURS, HIDDEN = 6000, 64, 16, 96
+#: Rows for which there is one part, and parts at least and at most.
+PART_OF, LEAST_PARTS, MOST_PARTS = 1_000, 8, 256
+#: Share of their neighbours that sampled queries must find, and of the sample one row in so many is such a query.
+TARGET, ASKING = 0.95, 8
 #: Candidates and queries of one block.
 BLOCK, QUERIES = 16_384, 4_096
 
 
-def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The k rows of largest inner product for each row, itself left out."""
+def neighbour_graph(queries: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The k rows of largest inner product for each query, the row of the same place left out."""
     k = min(k, len(x) - 1)
     out = np.empty((len(x), k), np.int64)
     for at in range(0, len(x), 512):
-        s = x[at : at + 512] @ x.T
+        s = queries[at : at + 512] @ x.T
         s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
         out[at : at + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
@@ -120,18 +127,42 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 40, seed: int
     return Router(*p)
 
 
-def fit(x: np.ndarray, parts: int = PARTS) -> Router:
-    """Learn the parts of a sample and their router."""
-    x = x / np.linalg.norm(x, axis=1).max()
-    parts = max(1, min(parts, len(x) // 8))
-    if len(x) < 3 or parts == 1:
-        return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = neighbour_graph(x, NEIGHBOURS)
-    label = balanced_parts(x, graph, parts)
-    target = np.full((len(x), parts), 1e-3)
-    np.add.at(target, (np.arange(len(x)), label), 4.0)
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph.ravel()]), 1.0)
-    return train_router(x, target / target.sum(axis=1, keepdims=True))
+def as_row(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows divided by the largest norm, with a component that fills them up to length one."""
+    x = x / longest
+    return np.c_[x, np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))]
+
+
+def as_query(x: np.ndarray) -> np.ndarray:
+    """Queries of length one, with a zero where rows are filled up."""
+    return np.c_[x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))]
+
+
+def fit(x: np.ndarray, longest: float, parts: int, k: int = 20, target: float = TARGET) -> tuple[Router, int]:
+    """Learn the parts of a sample and their router; also the parts that a query has to visit."""
+    parts = max(1, min(parts, len(x) // 16))
+    if parts == 1:
+        return Router(np.zeros((x.shape[1] + 1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
+    asks = np.arange(len(x)) % ASKING == ASKING - 1
+    rows, queries = as_row(x[~asks], longest), as_query(x[~asks])
+    graph = neighbour_graph(queries, rows, NEIGHBOURS)
+    label = balanced_parts(rows, graph, parts)
+    filed = np.full((len(rows), parts), 1e-3)
+    filed[np.arange(len(rows)), label] = 1
+    spread = np.full((len(rows), parts), 1e-3)
+    np.add.at(spread, (np.repeat(np.arange(len(rows)), graph.shape[1]), label[graph.ravel()]), 1.0)
+    target_ = np.r_[filed / filed.sum(axis=1, keepdims=True), spread / spread.sum(axis=1, keepdims=True)]
+    router = train_router(np.r_[rows, queries], target_)
+    # how far down its list each neighbour of an unlearned query stands
+    own = router.logits(rows).argmax(axis=1)
+    asked = as_query(x[asks])
+    order = np.argsort(-router.logits(asked), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(parts)[None, :], axis=1)
+    found = np.argpartition(-(asked @ rows.T), min(k, len(rows) - 1), axis=1)[:, : min(k, len(rows))]
+    depth = np.take_along_axis(place, own[found], axis=1)
+    share = np.cumsum(np.bincount(depth.ravel(), minlength=parts)) / depth.size
+    return router, int(np.searchsorted(share, target)) + 1
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -146,20 +177,22 @@ def nearest(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray
     are then added up in one fixed order, so that equal vectors have equal scores.
     """
     (qid, q), (cid, c) = queries, candidates
-    cid, first = np.unique(cid, return_index=True)
-    c = c[first]
+    order = np.argsort(cid, kind="stable")
+    cid, c = cid[order], c[order]
+    k_here = k + len(cid) - len(np.unique(cid))  # rows that repeat an id may stand in the way
     out = ([], [], [])
     room = 1e-9 * (1 + np.abs(c).max(initial=0.0) * np.abs(q).max(initial=0.0) * q.shape[1])
     for at in range(0, len(q), 256):
         s = q[at : at + 256] @ c.T
-        own = np.searchsorted(cid, qid[at : at + 256])
-        hit = np.flatnonzero((own < len(cid)) & (cid[np.minimum(own, len(cid) - 1)] == qid[at : at + 256]))
-        s[hit, own[hit]] = -np.inf
-        least = np.partition(s, len(cid) - k, axis=1)[:, len(cid) - k] if len(cid) > k else np.full(len(s), -np.inf)
+        for row, (low, high) in enumerate(zip(np.searchsorted(cid, qid[at : at + 256]), np.searchsorted(cid, qid[at : at + 256], side="right"))):
+            s[row, low:high] = -np.inf
+        least = np.partition(s, len(cid) - k_here, axis=1)[:, len(cid) - k_here] if len(cid) > k_here else np.full(len(s), -np.inf)
         for row in range(len(s)):
             may = np.flatnonzero((s[row] >= least[row] - room) & (s[row] > -np.inf))
             exact = (c[may] * q[at + row]).sum(axis=1)
-            best = np.lexsort((cid[may], -exact))[:k]
+            best = np.lexsort((cid[may], -exact))
+            _, first = np.unique(cid[may[best]], return_index=True)
+            best = best[np.sort(first)[:k]]
             out[0].append(np.full(len(best), qid[at + row]))
             out[1].append(cid[may[best]])
             out[2].append(exact[best])
@@ -173,24 +206,39 @@ def valid(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
 
 
-def search(df: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, parts: int = PARTS, visits: int = VISITS) -> DataFrame:
+def search(df: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, parts: int | None = None, visits: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest of all other rows found.
 
     ``is_query`` is a condition on ``id``. Vectors that are null, zero, or hold null
-    or non-finite components take no part, nor do those of another length than the
-    sample's most common one. Rows that repeat a vec_id count once. With fewer
-    than ``k`` candidates all that were visited are returned.
+    or non-finite components take no part. Only vectors of one length have an inner
+    product, so each length is searched by itself. A vec_id that several rows have
+    counts once, with its best score. With fewer than ``k`` candidates all that were
+    visited are returned. ``parts`` and ``visits`` are set by the rows unless given.
     """
     spark = df.sparkSession
     rows = valid(df, vec_id, embedding)
-    sample = rows.orderBy(hash_unit("id", 3), "id").limit(SAMPLE).toArrow()
-    out = "query_id long, vec_id long, score double"
-    if not len(sample):
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    lengths = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy("dims").collect()  # one row a length
+    found = None
+    for r in lengths:
+        one = _found(rows.filter(F.size("v") == r["dims"]), is_query, r["dims"], r["n"], r["longest"], k, parts, visits)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = np.diff(sample["v"].combine_chunks().offsets.to_numpy())
-    dims = int(np.bincount(sizes).argmax())
-    x = _matrix(sample.filter(pa.array(sizes == dims))["v"], dims)
-    router = fit(np.unique(x, axis=0), parts)
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(rows: DataFrame, is_query, dims: int, n: int, longest: float, k: int, parts: int | None, visits: int | None) -> DataFrame:
+    """(query_id, vec_id, score) of the k best in each part that a query visits; ``rows`` are n vectors of ``dims`` components."""
+    spark = rows.sparkSession
+    out = "query_id long, vec_id long, score double"
+    parts = parts or min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, round(math.log2(n / PART_OF)))))
+    sample = rows.orderBy(hash_unit("id", 3), "id").limit(max(SAMPLE, SAMPLE_EACH * parts)).toArrow()  # of bounded size
+    x = np.unique(_matrix(sample["v"], dims), axis=0)
+    router, needed = fit(np.random.default_rng(5).permutation(x), longest, parts, k)
+    visits = visits or needed
     shared = spark.sparkContext.broadcast(router)  # of fixed size
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +246,16 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "em
             if not len(batch):
                 continue
             m, query = _matrix(batch.column(1), dims), batch.column(2).to_numpy(zero_copy_only=False)
-            logits = shared.value.logits(m / np.linalg.norm(m, axis=1, keepdims=True))
-            order = np.argsort(-logits, axis=1, kind="stable")[:, :visits]
+            own = shared.value.logits(as_row(m, longest)).argmax(axis=1)
             asks = np.flatnonzero(query)
+            order = np.argsort(-shared.value.logits(as_query(m[asks])), axis=1, kind="stable")[:, :visits]
             at = np.r_[np.arange(len(m)), np.repeat(asks, order.shape[1])]
-            part = np.r_[order[:, 0], order[asks].ravel()]
+            part = np.r_[own, order.ravel()]
             role = np.r_[np.zeros(len(m), bool), np.ones(len(at) - len(m), bool)]
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(role), batch.column(0).take(take), batch.column(1).take(take)], ["part", "asks", "id", "v"])
 
-    filed = rows.filter(F.size("v") == dims).withColumn("q", is_query).mapInArrow(file, "part int, asks boolean, id long, v array<double>")
+    filed = rows.withColumn("q", is_query).mapInArrow(file, "part int, asks boolean, id long, v array<double>")
     count = {(r["part"], r["asks"]): r["count"] for r in filed.groupBy("part", "asks").count().collect()}  # two rows a part
     most = max([p for p, _ in count], default=0) + 1
     shape = [(p, max(1, math.ceil(count.get((p, False), 0) / BLOCK)), max(1, math.ceil(count.get((p, True), 0) / QUERIES))) for p in range(most)]
@@ -222,10 +270,7 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "em
         ask, rest = table.filter(table["asks"]), table.filter(pc.invert(table["asks"]))
         if not len(ask) or not len(rest):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qid, first = np.unique(ask["id"].to_numpy(), return_index=True)
-        q, c, s = nearest((qid, _matrix(ask["v"], dims)[first]), (rest["id"].to_numpy(), _matrix(rest["v"], dims)), k)
+        q, c, s = nearest((ask["id"].to_numpy(), _matrix(ask["v"], dims)), (rest["id"].to_numpy(), _matrix(rest["v"], dims)), k)
         return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(c.astype(np.int64)), "score": pa.array(s.astype(float))})
 
-    found = dealt.select("part", "c", "b", "asks", "id", "v").groupBy("part", "c", "b").applyInArrow(compare, out)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.select("part", "c", "b", "asks", "id", "v").groupBy("part", "c", "b").applyInArrow(compare, out)

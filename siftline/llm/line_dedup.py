@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut
+from siftline.llm.common import cut, join_split
 
 #: Lines under the rolling hash, and its multiplier.
 WINDOW, FACTOR = 2, 31
@@ -61,11 +61,14 @@ def _with_chunks(df: DataFrame, text: str) -> DataFrame:
 
 
 def repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, first): hashes of multi-line chunks that occur twice or more, and the smallest doc_id that has each."""
+    """(a, b, first, n): hashes of multi-line chunks that occur twice or more, the smallest doc_id that has each, and how often it stands.
+
+    Null and empty texts have no such chunk; a chunk that only rows without doc_id hold is none.
+    """
     chunks = _with_chunks(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
     rows = chunks.select("doc_id", F.explode(F.filter(F.col(_P + "chunks"), lambda c: c["multi"])).alias("c")).select("doc_id", "c.a", "c.b", "c.body")
     met = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("body").alias("low"), F.max("body").alias("high"))
-    return met.filter("n > 1 and low = high and first is not null").select("a", "b", "first")
+    return met.filter("n > 1 and low = high and first is not null").select("a", "b", "first", "n")
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
@@ -82,7 +85,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", remov
     plain = _with_chunks(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
     own = F.array_distinct(F.transform(F.filter(F.col(_P + "chunks"), lambda c: c["multi"]), lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"))))
     held = plain.filter("doc_id is not null").select("doc_id", F.explode(own).alias("h")).select("doc_id", "h.a", "h.b")
-    lost = held.join(repeats, ["a", "b"]).filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias(_P + "lost"))
+    total = repeats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lost = join_split(held, repeats, ["a", "b"], "n", total).filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias(_P + "lost"))
     columns = df.columns
     joined = df.join(lost.withColumnRenamed("doc_id", _P + "id"), F.col(doc_id) == F.col(_P + "id"), "left")
     whole = _with_chunks(joined, text)
@@ -123,8 +127,10 @@ def dedup_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     plain = _with_pairs(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
     own = F.array_distinct(F.transform(F.col(_P + "pairs"), lambda c: c["h"]))
     rows = cut(plain.select("doc_id", F.explode(own).alias("h")))
-    repeats = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1 and first is not null").select("h", "first")
-    lost = rows.filter("doc_id is not null").join(cut(repeats), "h").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias(_P + "lost"))
+    repeats = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1 and first is not null")
+    repeats = cut(repeats)
+    total = repeats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lost = join_split(rows.filter("doc_id is not null"), repeats, ["h"], "n", total).filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias(_P + "lost"))
     columns = df.columns
     joined = df.join(lost.withColumnRenamed("doc_id", _P + "id"), F.col(doc_id) == F.col(_P + "id"), "left")
     whole = _with_pairs(joined, text)

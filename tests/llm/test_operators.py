@@ -162,11 +162,52 @@ def test_ann_strange(spark):
     rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(0, 60)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [1.0, None, 1.0]), (160, [1.0, float("nan"), 1.0]), (180, [float("inf"), 1.0, 1.0]), (200, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (20, [1.0, 2.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     got = ann.search(df, F.col("id") % 20 == 0, k=5, visits=99).orderBy("query_id", "rank").collect()
+    # vec_id 200 is alone with its length
     assert {r["query_id"] for r in got} == {0, 20, 40}
     assert [r["vec_id"] for r in got if r["query_id"] == 0] == [2, 5, 8, 11, 14] or [r["score"] for r in got if r["query_id"] == 0] == [1.25] * 5
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def _recall(spark, x, **more):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") % 20 == 0, k=20, **more).toPandas()
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == q].vec_id))
+    return hits / (20 * len(range(0, len(x), 20)))
+
+
+def test_ann_on_clusters_and_uneven_norms(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 24))[r.integers(0, 60, 12_000)] + r.normal(size=(12_000, 24)) * 0.35
+    for scale in (np.ones((len(x), 1)), r.lognormal(0, 0.5, (len(x), 1))):
+        y = x * scale
+        longest = np.linalg.norm(y, axis=1).max()
+        router, visits = ann.fit(r.permutation(y)[:6000], longest, 16)
+        size = np.bincount(router.logits(ann.as_row(y, longest)).argmax(axis=1), minlength=16)
+        order = np.argsort(-router.logits(ann.as_query(y[::20])), axis=1)[:, :visits]
+        compared = size[order].sum(axis=1).mean() / len(y)
+        assert compared < 0.3
+        assert _recall(spark, y) >= 0.9
+
+
+def test_ann_of_repeated_ids_and_several_lengths(spark):
+    rows = [(i, [float(i % 7), 1.0, 2.0]) for i in range(50)] + [(3, [9.0, 9.0, 9.0]), (40, [50.0, 0.0, 0.0])] + [(100 + i, [1.0, float(i)]) for i in range(30)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=4, visits=99).toPandas()
+    for q, part in got.groupby("query_id"):
+        mine = [np.array(v) for i, v in rows if i == q]
+        best = defaultdict(lambda: -np.inf)
+        for i, v in rows:
+            for m in mine:
+                if i != q and len(m) == len(v):
+                    best[i] = max(best[i], float(m @ v))
+        want = sorted(best, key=lambda i: (-best[i], i))[:4]
+        assert part.sort_values("rank").vec_id.tolist() == want
+    assert set(got.query_id) == {0, 20, 40, 100, 120}
+
+
 # 4 --------------------------------------------------------------------------
 
 
@@ -567,7 +608,7 @@ def _plain_score(model: language_model.Model, text: bytes) -> float:
                 bits = len(table).bit_length() - 1
                 x = (int(hashed[k, i]) + int(node)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
                 state.append(int(table[x >> (64 - bits)]))
-            x = language_model._LUT[state]
+            x = np.array(state) * 8 / 127
             gate = 4 * int(sum(abs(v) > np.log(10) for v in x)) + min(d, 3)
             s = float(np.clip(weights[gate] @ x, -12, 12))
             p = 1 / (1 + np.exp(-s))
