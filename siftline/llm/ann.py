@@ -31,9 +31,9 @@ from siftline.llm.common import hash_unit
 #: Rows of the sample at least and for each part, neighbours of each in the graph, and hidden units of the network.
 SAMPLE, SAMPLE_EACH, NEIGHBOURS, HIDDEN = 6000, 64, 16, 96
 #: Rows for which there is one part, and parts at least and at most.
-PART_OF, LEAST_PARTS, MOST_PARTS = 1_000, 8, 256
+PART_OF, LEAST_PARTS, MOST_PARTS = 500, 8, 128
 #: Share of their neighbours that sampled queries must find, and of the sample one row in so many is such a query.
-TARGET, ASKING = 0.95, 8
+TARGET, ASKING = 0.94, 8
 #: Candidates and queries of one block.
 BLOCK, QUERIES = 16_384, 4_096
 
