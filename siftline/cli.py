@@ -2,6 +2,7 @@
 
     python -m siftline.cli [flags] PATTERN [PATH]
     python -m siftline.cli --compact [flags] PATTERN [PATH]
+    python -m siftline.cli --cursor CURSOR
     python -m siftline.cli --find NEEDLE [PATH]
     python -m siftline.cli --tools [PATH]
 """
@@ -48,26 +49,49 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--page-size", type=int, default=50)
     p.add_argument("--limit", type=int, default=1000)
     p.add_argument("--after-path")
+    p.add_argument("--cursor")
     p.add_argument("positional", nargs="*")
     return p
 
 
+def _walked(text: str, walked: list[bool]) -> str:
+    """A page whose cursor also tells which files the folder's walk took in."""
+    from siftline.operators import page
+
+    head, mark, token = text.rpartition("[more: cursor ")
+    if not mark:
+        return text
+    cursor = page.Cursor.decode(token.removesuffix("]"))
+    cursor.options["walk"] = list(walked)
+    return f"{head}{mark}{cursor.encode()}]"
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     """Run a command; 0 with results, 1 without, 2 for an error."""
-    from siftline.operators import rank, sort
+    from siftline.config import EngineConfig
+    from siftline.operators import page, rank, sort
     from siftline.operators.filters import FileFilter
     from siftline.operators.find import find_page
     from siftline.operators.search import SearchOptions, plan, rendered, search
-    from siftline.plans.regex import PatternError
+    from siftline.plans.regex import PatternError, join
     from siftline.sources.corpus import Corpus
     from siftline.tools import Tools, check_sort, serve
 
     write = (out or sys.stdout).write
     a = parser().parse_args(argv)
     rest = list(a.positional)
-    patterns = a.regexp or ([rest.pop(0)] if rest and not a.tools else [])
+    patterns = a.regexp or ([rest.pop(0)] if rest and not a.tools and a.cursor is None else [])
     root = rest[0] if rest else "."
     try:
+        if a.cursor is not None:
+            if a.regexp or rest or a != parser().parse_args(["--cursor", a.cursor, *["--compact"] * a.compact]):
+                raise ValueError("a cursor stands alone; it holds the search that it continues")
+            spark = spark or SparkSession.builder.appName("siftline").getOrCreate()
+            at = page.Cursor.decode(a.cursor)
+            walked = at.options.pop("walk", [False, False])
+            text = Tools(Corpus.from_path(spark, at.root, *walked), cursors=page.OpenCursors()).content_search(cursor=at.encode())
+            write(_walked(text, walked) + "\n")
+            return 0
         if not patterns and not a.tools:
             raise ValueError("no pattern")
         key, reverse = (a.sortr, True) if a.sortr else (a.sort, False)
@@ -77,27 +101,31 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         options = SearchOptions(a.ignore_case, a.word, a.fixed, a.multi_line, False, a.invert, a.only_matching, before, after, FileFilter(tuple(a.globs), tuple(a.types), tuple(a.type_nots)))
         named = os.path.isfile(root)
         if named:
-            options = SearchOptions(**{**options.__dict__, "file": os.path.abspath(root)})
-        ranking = rank.parse(patterns[0], a.weights, a.fixed) if a.weights else None
+            options = SearchOptions(**{**options.__dict__, "file": os.path.basename(root)})
+        ranking = rank.parse(join(patterns, a.fixed), a.weights, a.fixed) if a.weights else None
         searched = [ranking.plain] if ranking else patterns
         if not (a.find or a.tools):
             plan(searched, options)
         spark = spark or SparkSession.builder.appName("siftline").getOrCreate()
         folder = os.path.dirname(os.path.abspath(root)) if named else root
         corpus = Corpus.from_path(spark, folder, a.hidden or named, a.no_ignore or named)
+        # paths are shown below the folder as it was typed
+        prefix = "" if named or not rest else root if root.endswith("/") else root + "/"
         if a.tools:
-            serve(Tools(corpus), sys.stdin, write)
+            config = EngineConfig.load()
+            serve(Tools(corpus, config.open_index(corpus), page.CursorStore(config.cursor_ttl_secs)), sys.stdin, write)
             return 0
         if a.find:
             got = find_page(corpus.files, patterns[0], a.limit, a.after_path)
             for r in got.paths.orderBy("path").collect():
-                write(r["path"] + "\n")
+                write(prefix + r["path"] + "\n")
             return 0 if got.total else 1
         if a.compact:
-            text = Tools(corpus).content_search(
-                patterns, a.ignore_case, a.word, a.fixed, a.multi_line, a.invert, a.only_matching, a.globs, a.types, a.type_nots, a.files_only, a.count, a.page_size, spec.key, spec.reverse, a.weights, max(before, after),
+            walked = [a.hidden or named, a.no_ignore or named]
+            text = Tools(corpus, cursors=page.OpenCursors()).content_search(
+                patterns, a.ignore_case, a.word, a.fixed, a.multi_line, a.invert, a.only_matching, a.globs, a.types, a.type_nots, a.files_only, a.count, a.page_size, key, reverse, a.weights, 0, None, before, after,
             )
-            write(text + "\n")
+            write(_walked(text, walked) + "\n")
             return 1 if text.startswith("[no") else 0
         if a.files_only or a.count:
             raise ValueError("-l and -c go with --compact")
@@ -105,7 +133,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         scores = rank.file_scores(rows, ranking, options.pattern_options()) if ranking else None
         ordered = sort.order_values(rows, spec, corpus.files, scores).orderBy(*sort.ordering(spec))
         shown, last = 0, None
-        for r in rendered(ordered, a.line_numbers, not named).toLocalIterator():
+        for r in rendered(ordered, a.line_numbers, not named, prefix).toLocalIterator():
             if (before or after) and spec.key == "none" and last is not None and last != (r["path"], r["block"]):
                 write("--\n")
             last = (r["path"], r["block"])

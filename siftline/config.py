@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import tomllib
 from dataclasses import dataclass, fields, replace
 
@@ -35,6 +36,34 @@ class EngineConfig:
                 raise ValueError(f"setting {key} has the wrong type")
         return replace(cls(**told), **given)
 
+    def place(self, root: str) -> str:
+        """The folder of a corpus's index; empty if indexes are not kept."""
+        import hashlib
+
+        return f"{self.cache_dir.rstrip('/')}/{hashlib.sha256(root.encode()).hexdigest()[:16]}" if self.cache_dir else ""
+
+    def open_index(self, corpus, clock=time.perf_counter):
+        """The index of a corpus: the kept one brought up to date, else a new one, kept if its build took long enough."""
+        from siftline.operators.index import Index
+        from siftline.streaming.refresh import bring_up_to_date
+
+        spark, place = corpus.files.sparkSession, self.place(corpus.root)
+        if place:
+            try:
+                Index.load(spark, place, check=False)
+            except ValueError:
+                pass
+            else:
+                bring_up_to_date(spark, place, corpus)
+                return Index.load(spark, place)
+        start = clock()
+        index = Index.build(corpus)
+        index = Index(index.files.persist(), index.postings.persist(), corpus)
+        index.postings.count()
+        if place and self.keep((clock() - start) * 1000):
+            index.save(place)
+        return index
+
     def keep(self, built_in_ms: float) -> bool:
         """Whether an index that took so long to build is worth storing."""
         return built_in_ms >= self.persist_threshold_ms

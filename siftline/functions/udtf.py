@@ -10,11 +10,19 @@ from pyspark.sql.functions import udtf
 
 @udtf(returnType="line_no bigint, line string")
 class SearchLines:
-    """The lines of a text that a pattern of Python's ``re`` fits; for ad-hoc SQL, not for large scans."""
+    """The lines of a text that a pattern fits; for ad-hoc SQL, not for large scans.
+
+    Patterns that the engine refuses are refused here too. They run in Python's ``re``,
+    which reads the engine's syntax alike but for Unicode properties and POSIX classes;
+    a pattern with these is refused by ``re``, not read in another way.
+    """
 
     def eval(self, text: str, pattern: str) -> Iterator[tuple]:
         import re
 
+        from siftline.plans.regex import parse
+
+        parse(pattern)
         found = re.compile(pattern)
         lines = (text or "").split("\n")
         for i, line in enumerate(lines[:-1] if lines[-1] == "" else lines, 1):

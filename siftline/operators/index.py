@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +20,20 @@ FILE_COLUMNS = ["file_id", "path", "size", "mtime_ns", "live", "is_binary"]
 
 @dataclass(frozen=True)
 class Index:
-    """``files`` (FILE_COLUMNS) and ``postings`` (tri, file_id); immutable, an update makes a new one."""
+    """``files`` (FILE_COLUMNS) and ``postings`` (tri, file_id); immutable, an update makes a new one.
+
+    ``file_id`` ties the two tables together and means nothing outside; an index and a
+    corpus meet by path. ``of`` is the corpus that the index is known to be up to date with.
+    """
 
     files: DataFrame
     postings: DataFrame
+    of: Corpus | None = field(default=None, compare=False)
 
     @classmethod
     def build(cls, corpus: Corpus) -> Index:
         """Index of a corpus; binary files have no postings."""
-        return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files))
+        return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files), corpus)
 
     def save(self, path: str, partitions: int | None = None) -> None:
         """Write a new version folder, postings sorted by trigram so that a lookup skips row groups, then make it current."""
@@ -108,6 +113,23 @@ class Index:
             return live.select("file_id", "path")
         return live.select("file_id", "path").join(self.matching_ids(query), "file_id", "left_semi")
 
+    def may_match(self, query: Query, files: DataFrame) -> DataFrame:
+        """(path) of those of ``files`` that may match: candidates, and what the index doesn't know in its present state.
+
+        ``files`` has path, size and mtime_ns; a file that is new, changed or taken back
+        in since the index was built is searched whatever the index says of it.
+        """
+        known = self.files.filter("live").select("path", "size", "mtime_ns")
+        strange = files.select("path", "size", "mtime_ns").join(known, ["path", "size", "mtime_ns"], "left_anti").select("path")
+        return self.candidates(query).select("path").unionByName(strange).distinct()
+
+    def freshness(self, rows: DataFrame, corpus: Corpus) -> DataFrame:
+        """``rows`` (path) with ``changed``: whether the file is another than the index knows; an extension."""
+        known = self.files.filter("live").select("path", F.col("size").alias("__size"), F.col("mtime_ns").alias("__mtime"))
+        now = corpus.files.select("path", "size", "mtime_ns").join(known, "path", "left")
+        same = F.coalesce((F.col("size") == F.col("__size")) & (F.col("mtime_ns") == F.col("__mtime")), F.lit(False))
+        return rows.join(now.select("path", (~same).alias("changed")), "path", "left")
+
     def with_delta(self, query: Query, toggled: DataFrame, keep: Column | None = None) -> DataFrame:
         """(path): candidates, and of a wider listing ``toggled`` (path) what the index does not hold live."""
         inside = self.candidates(query, keep).select("path")
@@ -130,17 +152,22 @@ class Index:
         return changes(self.files.filter("live"), listing, by)
 
     def apply(self, diff: DataFrame, corpus: Corpus) -> Index:
-        """The index after ``diff``: postings of new and changed files from ``corpus``, removed ones kept as not live."""
+        """The index after ``diff``: postings of new and changed files from ``corpus``, removed ones kept as not live.
+
+        Paths keep their ids; a new path gets a hash of itself, so ids are right whatever
+        the corpus calls its files.
+        """
         fresh = corpus.files.join(diff.filter("kind <> 'removed'").select("path"), "path", "left_semi")
         gone = diff.filter("kind = 'removed'").select("path", F.lit(True).alias("gone"))
         old = self.files.select("path", F.col("file_id").alias("old_id"))
-        top = self.files.agg(F.coalesce(F.max("file_id"), F.lit(-1))).first()[0]
-        placed = fresh.join(old, "path", "left").withColumn("file_id", F.coalesce("old_id", F.lit(top + 1) + F.col("file_id"))).drop("old_id")
+        # the path's hash and not the corpus's id: a folder or table of another day may number its files anew
+        new_id = F.xxhash64(F.lit(17), "path").bitwiseAND(F.lit((1 << 63) - 1))
+        placed = fresh.join(old, "path", "left").withColumn("file_id", F.coalesce("old_id", new_id)).drop("old_id")
         kept = self.files.join(fresh.select("path"), "path", "left_anti").join(gone, "path", "left")
         kept = kept.withColumn("live", F.col("live") & F.col("gone").isNull()).select(FILE_COLUMNS)
         files = kept.unionByName(placed.select(FILE_COLUMNS))
         touched = placed.select("file_id").unionByName(kept.filter("not live").select("file_id"))
-        return Index(files, self.postings.join(touched, "file_id", "left_anti").unionByName(extract(placed)))
+        return Index(files, self.postings.join(touched, "file_id", "left_anti").unionByName(extract(placed)), corpus)
 
 
 def changes(old: DataFrame, new: DataFrame, by: str = "stat") -> DataFrame:

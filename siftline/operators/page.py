@@ -143,6 +143,16 @@ class CursorStore:
         return Cursor.decode(text)
 
 
+class OpenCursors:
+    """Cursors that are their own tokens, for callers that outlive no process; nothing is kept."""
+
+    def put(self, cursor: Cursor) -> str:
+        return cursor.encode()
+
+    def take(self, token: str) -> Cursor:
+        return Cursor.decode(token)
+
+
 def staleness(cursor: Cursor, total: int, fingerprint: int) -> str | None:
     """A note if the results changed since the cursor was made."""
     if cursor.fingerprint == fingerprint and cursor.prev_total == total:
@@ -186,10 +196,11 @@ def paged(rows: DataFrame, spec: SortSpec = SortSpec(), mode: str = "matches", s
 def numbered(rows: DataFrame, spec: SortSpec = SortSpec()) -> DataFrame:
     """``rows`` (with order_value) and their place in the total order, for reports.
 
-    A range-partitioned sort, whose partitions' sizes (one row each) give every
-    partition its first place; no task sees all rows.
+    A range-partitioned sort is written to the session's checkpoint folder; its
+    partitions' sizes (one row each) give every partition its first place, and no task
+    sees all rows.
     """
-    placed = rows.orderBy(*ordering(spec)).withColumn("__at", F.monotonically_increasing_id()).persist()
+    placed = _written(rows.orderBy(*ordering(spec)).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
@@ -198,4 +209,14 @@ def numbered(rows: DataFrame, spec: SortSpec = SortSpec()) -> DataFrame:
     return out.withColumn("rank", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__at", "__start")
 
 
-__all__ = ["Cursor", "CursorStore", "Page", "count_per_file", "files_page", "grouped", "header", "headers", "matches_page", "numbered", "paged", "staleness", "truncated", "with_context_of"]
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder, so that its partitions stay as they are; a folder is set only where none is, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-"))
+    return df.checkpoint()
+
+
+__all__ = ["Cursor", "CursorStore", "OpenCursors", "Page", "count_per_file", "files_page", "grouped", "header", "headers", "matches_page", "numbered", "paged", "staleness", "truncated", "with_context_of"]

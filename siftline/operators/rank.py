@@ -13,14 +13,17 @@ from siftline.plans import regex
 from siftline.plans.regex import Options
 
 _LABEL = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_MARK = re.compile(r"<([A-Za-z_][A-Za-z0-9_]*)>")
+#: An opening bracket with what belongs to it: a group's name or flags.
+_OPEN = re.compile(r"\((\?P?<\w+>|\?[a-zA-Z-]*:|\?[a-zA-Z-]+(?=\)))?")
 
 
 @dataclass(frozen=True)
 class Ranking:
-    """The pattern without labels, the same with a group around each labelled branch, and the groups' weights."""
+    """The pattern without labels, the same with an empty group at each label, and the groups' numbers and weights."""
 
     plain: str
-    grouped: str = ""
+    marked: str = ""
     weights: tuple[tuple[int, float], ...] = ()
 
 
@@ -48,51 +51,38 @@ def parse_weights(spec: str) -> dict[str, float]:
 def parse(pattern: str, spec: str | None = None, fixed: bool = False) -> Ranking:
     """Strip declared ``<label>`` marks; each weighs the branch before it, up to the last bracket or bar.
 
-    Other angle brackets, escaped characters and classes are ordinary pattern text.
+    Other angle brackets, escaped characters and classes are ordinary pattern text. In
+    place of a label the marked pattern has an empty group, which takes part in a match
+    just when the branch before it does.
     """
     if spec is None:
         return Ranking(pattern)
     if fixed:
         raise ValueError("weights don't go with a fixed text, which has no branches")
-    weights = parse_weights(spec)
-    plain, pieces, marks = [], [], []
-    branch = 0  # the piece at which the current branch begins
-    i = 0
+    known = parse_weights(spec)
+    plain, marked, weights = [], [], []
+    groups, begun, i = 0, False, 0  # begun: the current branch has some text
     while i < len(pattern):
         c = pattern[i]
-        step = 1
-        if c == "\\":
-            step = 2
-        elif c == "[":
-            step = _class_length(pattern, i)
-        elif c == "<" and not "".join(plain[-2:]).endswith(("(?", "(?P")) and (m := re.compile(rf"<({_LABEL.pattern})>").match(pattern, i)) and m[1] in weights:
-            if branch == len(pieces):
-                raise ValueError(f"label <{m[1]}> has no branch before it")
-            marks.append(weights[m[1]])
-            pieces[branch] = "(?P<w%d>" % (len(marks) - 1) + pieces[branch]
-            pieces.append(")")
-            branch = len(pieces)
-            i = m.end()
+        label = _MARK.match(pattern, i)
+        if label and label[1] in known:
+            if not begun:
+                raise ValueError(f"label <{label[1]}> has no branch before it")
+            groups += 1
+            weights.append((groups, known[label[1]]))
+            marked.append("()")
+            begun, i = False, label.end()
             continue
-        text = pattern[i : i + step]
-        plain.append(text)
-        pieces.append(text)
-        if c in "(|)" and step == 1:
-            branch = len(pieces)
-            if c == "(" and (m := re.compile(r"\?(?:P?<\w+>|[a-zA-Z-]*:)").match(pattern, i + 1)):
-                plain.append(m[0])
-                pieces.append(m[0])
-                branch = len(pieces)
-                i = m.end()
-                continue
+        opened = _OPEN.match(pattern, i)
+        step = 2 if c == "\\" else _class_length(pattern, i) if c == "[" else len(opened[0]) if opened else 1
+        if opened:
+            groups += opened[1] is None or opened[1].startswith(("?P<", "?<"))
+        begun = c not in "(|)"
+        plain.append(pattern[i : i + step])
+        marked.append(plain[-1])
         i += step
-    if not marks:
-        return Ranking("".join(plain))
-    grouped = "".join(pieces)
-    node = regex.parse(grouped)
-    order = _named_groups(grouped)
-    assert node is not None
-    return Ranking("".join(plain), grouped, tuple((order[f"w{k}"], w) for k, w in enumerate(marks)))
+    regex.parse("".join(marked))
+    return Ranking("".join(plain), "".join(marked), tuple(weights)) if weights else Ranking("".join(plain))
 
 
 def _class_length(pattern: str, at: int) -> int:
@@ -115,38 +105,48 @@ def _class_length(pattern: str, at: int) -> int:
     return len(pattern) - at
 
 
-def _named_groups(pattern: str) -> dict[str, int]:
-    """Numbers of the named groups of a pattern."""
-    out, n, i = {}, 0, 0
-    while i < len(pattern):
-        if pattern[i] == "\\":
-            i += 2
-            continue
-        if pattern[i] == "[":
-            i += _class_length(pattern, i)
-            continue
-        if pattern[i] == "(":
-            m = re.compile(r"\(\?P?<(\w+)>").match(pattern, i)
-            if m or pattern[i + 1 : i + 2] != "?":
-                n += 1
-                if m:
-                    out[m[1]] = n
-        i += 1
-    return out
-
-
 def score(text: Column, ranking: Ranking, options: Options = Options()) -> Column:
     """The largest weight of the branches in a line's first match, 0 at least."""
     if not ranking.weights:
         return F.lit(0.0)
-    java = regex.to_java(ranking.grouped, options)
-    out = [F.lit(0.0)]
+    java = regex.to_java(ranking.marked, options)
+    out = [F.lit(0.0), F.lit(0.0)]
+    behind = len(re.findall(r"(?<!\\)\((?!\?)", "".join(_without_classes(java)))) + 1
     for group, weight in ranking.weights:
-        # a branch took part if the first match has text for its group
-        out.append(F.when(F.regexp_extract(text, java, group) != "", F.lit(weight)).otherwise(F.lit(0.0)))
-    return F.greatest(*out) if len(out) > 1 else out[0]
+        # a reference to an empty group fits only if the group took part; then a neighbouring character is taken up
+        told = f"(?>{java})(?:\\{group}(?:(?=([\\s\\S]))|(?<=([\\s\\S]))))?"
+        beside = F.concat(F.regexp_extract(text, told, behind), F.regexp_extract(text, told, behind + 1)) != ""
+        alone = text.rlike(f"(?>{java})\\{group}")  # an empty line has no neighbouring character, and one place only
+        out.append(F.when(F.when(text == "", alone).otherwise(beside), F.lit(weight)).otherwise(F.lit(0.0)))
+    return F.greatest(*out)
+
+
+def _without_classes(pattern: str) -> list[str]:
+    """The parts of a pattern outside its classes."""
+    out, i = [], 0
+    while i < len(pattern):
+        step = 2 if pattern[i] == "\\" else _class_length(pattern, i) if pattern[i] == "[" else 1
+        if pattern[i] != "[":
+            out.append(pattern[i : i + step])
+        i += step
+    return out
 
 
 def file_scores(rows: DataFrame, ranking: Ranking, options: Options = Options()) -> DataFrame:
     """(path, score): the best score of each file's match rows."""
     return rows.filter("is_match").groupBy("path").agg(F.max(score(F.col("text"), ranking, options)).alias("score"))
+
+
+def relevance(ranked: DataFrame, touched: DataFrame) -> DataFrame:
+    """One row a ranking: queries, precision_at_1 and mrr of what was wanted; an extension.
+
+    ``ranked`` has ranking, query, path and rank (from 1), ``touched`` the wanted query and
+    path. A query whose wanted file is not among its ranked ones counts as 0.
+    """
+    wanted = touched.select("query", "path").distinct()
+    names = ranked.select("ranking").distinct()
+    asked = names.join(ranked.select("ranking", "query").distinct(), "ranking").join(wanted.select("query").distinct(), "query", "left_semi")
+    best = ranked.join(wanted, ["query", "path"]).groupBy("ranking", "query").agg(F.min("rank").alias("rank"))
+    told = asked.join(best, ["ranking", "query"], "left")
+    first, reciprocal = F.coalesce((F.col("rank") == 1).cast("double"), F.lit(0.0)), F.coalesce(1.0 / F.col("rank"), F.lit(0.0))
+    return told.groupBy("ranking").agg(F.count("*").alias("queries"), F.avg(first).alias("precision_at_1"), F.avg(reciprocal).alias("mrr"))

@@ -16,7 +16,9 @@ from siftline.sources.corpus import Corpus, explode_lines, line_array
 
 
 #: Candidates that become a list in the filter, and those that are broadcast at most.
-LISTED_IDS, BROADCAST_IDS = 1_000, 200_000
+LISTED, BROADCAST = 1_000, 200_000
+#: Bytes of a corpus below which reading it is cheaper than looking up candidates first.
+SCANNED_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,9 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
     """The files a search reads: path filters, then the index's candidates, then files with the required text.
 
     ``strategy``: scan (filters only), prefilter (and the required text), index
-    (and candidates), auto (index where it narrows, else prefilter). All give the same matches.
+    (and candidates), auto (index where it narrows and the corpus is so large that
+    a lookup is cheaper than reading it, else prefilter). All give the same matches,
+    also with an index of an earlier state of the corpus.
     """
     o = p.options
     files = corpus.files.filter("live and not is_binary")
@@ -91,30 +95,37 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
         files = files.filter(F.col("path") == o.file)  # a named file is searched whatever the filters say
     else:
         if not o.filter.is_empty:
-            files = files.filter(o.filter.condition(F.col("path")))
+            files = files.filter(o.filter.condition(F.col("path"), corpus.root))
         if o.scope:
             files = files.filter((F.col("path") == o.scope) | F.startswith(F.col("path"), F.lit(o.scope.rstrip("/") + "/")))
     if strategy == "index" and index is None:
         raise ValueError("no index given")
+    if strategy == "auto" and index is not None and _bytes(corpus.files) < SCANNED_BYTES:
+        strategy = "prefilter"
     if strategy in ("index", "auto") and index is not None and not p.is_fallback:
-        files = _among(files, index.candidates(p.query).select("file_id"))
+        files = _among(files, index.candidates(p.query).select("path") if index.of is corpus else index.may_match(p.query, files))
     if strategy != "scan" and p.literal:
         files = files.filter(F.contains(F.col("text"), F.lit(p.literal)))
     return files
 
 
-def _among(files: DataFrame, ids: DataFrame) -> DataFrame:
-    """``files`` whose id is among ``ids``, without a shuffle of texts while the ids are few.
+def _bytes(df: DataFrame) -> int:
+    """What the optimizer takes a table's size to be."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Few ids become a list that Parquet's row group statistics can use, a bounded
+
+def _among(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """``files`` whose path is among ``paths``, without a shuffle of texts while the paths are few.
+
+    Few paths become a list that Parquet's row group statistics can use, a bounded
     number is broadcast, and beyond that both sides are joined by their hash.
     """
-    few = ids.limit(BROADCAST_IDS + 1).toArrow()  # of bounded size
-    if len(few) > BROADCAST_IDS:
-        return files.join(ids, "file_id", "left_semi")
-    if len(few) <= LISTED_IDS:
-        return files.filter(F.col("file_id").isin(few["file_id"].to_pylist()))
-    return files.join(F.broadcast(files.sparkSession.createDataFrame(few)), "file_id", "left_semi")
+    few = paths.limit(BROADCAST + 1).toArrow()  # of bounded size
+    if len(few) > BROADCAST:
+        return files.join(paths, "path", "left_semi")
+    if len(few) <= LISTED:
+        return files.filter(F.col("path").isin(few["path"].to_pylist()))
+    return files.join(F.broadcast(files.sparkSession.createDataFrame(few)), "path", "left_semi")
 
 
 def search(corpus: Corpus, patterns: str | list[str] | Plan, options: SearchOptions = SearchOptions(), index: Index | None = None, strategy: str = "auto") -> DataFrame:
@@ -156,18 +167,25 @@ def _rows(df: DataFrame, ordinal: Column, text: Column, start: Column, is_match:
 
 
 def _with_context(files: DataFrame, p: Plan) -> DataFrame:
-    """Matched lines and their neighbours; each file's lines are dealt with within its own row."""
+    """Matched lines and their neighbours, without a shuffle: a file's row is cut into its blocks, and these into lines."""
     o = p.options
     told = files.select("file_id", "path", line_array(F.col("text")).alias("all"))
     wanted = lambda x: ~x.rlike(p.java) if o.invert else x.rlike(p.java)
     told = told.withColumn("hits", F.filter(F.transform("all", lambda x, i: F.when(wanted(x), i)), lambda i: i.isNotNull())).filter(F.size("hits") > 0)
+    # a block begins at a hit whose context leaves a gap to that of the hit before, and ends where the next one begins
+    gap = o.before + o.after + 1
+    hits, count = F.col("hits"), F.size("hits")
+    starts = F.filter(hits, lambda h, i: (i == 0) | (h - F.get(hits, i - 1) > gap))
+    ends = F.filter(hits, lambda h, i: (i == count - 1) | (F.get(hits, i + 1) - h > gap))
     last = F.size("all") - 1
-    spans = told.select("file_id", "path", "all", F.explode("hits").alias("hit"), last.alias("last"))
-    near = spans.select("file_id", "path", "hit", F.explode(F.sequence(F.greatest(F.col("hit") - o.before, F.lit(0)), F.least(F.col("hit") + o.after, F.col("last")))).alias("pos"), F.get("all", F.col("pos")).alias("line"))
-    shown = near.groupBy("file_id", "path", "pos").agg(F.max(F.col("pos") == F.col("hit")).alias("is_match"), F.first("line").alias("line"))
-    by_file = Window.partitionBy("file_id").orderBy("pos")
-    shown = shown.withColumn("gap", F.col("pos") - F.lag("pos").over(by_file) > 1)
-    shown = shown.withColumn("block", F.sum(F.coalesce(F.col("gap"), F.lit(False)).cast("long")).over(by_file)).withColumn("line_no", (F.col("pos") + 1).cast("long"))
+
+    def block(first: Column, final: Column) -> Column:
+        low, high = F.greatest(first - o.before, F.lit(0)), F.least(final + o.after, last)
+        return F.struct(low.alias("low"), F.slice("all", low + 1, high - low + 1).alias("lines"))
+
+    blocks = told.withColumn("starts", starts).withColumn("ends", ends).select("file_id", "path", F.posexplode(F.zip_with("starts", "ends", block)).alias("block", "b"))
+    shown = blocks.select("file_id", "path", "block", "b.low", F.posexplode("b.lines").alias("pos", "line"))
+    shown = shown.withColumn("is_match", wanted(F.col("line"))).withColumn("line_no", (F.col("low") + F.col("pos") + 1).cast("long"))
     start = F.when(F.col("is_match") & F.lit(not o.invert), F.regexp_instr("line", F.lit(p.java))).otherwise(0)
     whole = _rows(shown, F.lit(0), F.col("line"), start, F.col("is_match"), F.col("block"))
     if not o.only_matching or o.invert:

@@ -12,9 +12,13 @@ from siftline.functions.trigrams import is_binary
 
 @dataclass(frozen=True)
 class Corpus:
-    """``files``: file_id, path, text, size, mtime_ns, live, is_binary. Ids are unique."""
+    """``files``: file_id, path, text, size, mtime_ns, live, is_binary. Ids and paths are unique.
+
+    Paths of a folder are relative to ``root``, so globs, scopes and what is printed are too.
+    """
 
     files: DataFrame
+    root: str = ""
 
     @classmethod
     def from_df(cls, df: DataFrame, id: str, text: str, path: str | Column | None = None, mtime_ns: str | Column | None = None) -> Corpus:
@@ -32,12 +36,15 @@ class Corpus:
     @classmethod
     def from_path(cls, spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False) -> Corpus:
         """The files under a folder that the ignore rules leave, read and decoded on the executors."""
+        import os
+
         from siftline.sources.datasource import register
 
         register(spark)
+        root = os.path.abspath(root)  # workers stand in other folders
         options = {"path": root, "hidden": str(hidden).lower(), "noIgnore": str(no_ignore).lower()}
         found = spark.read.format("siftline_corpus").options(**options).load()
-        return cls(found.withColumn("live", F.lit(True)).withColumn("is_binary", is_binary(F.col("text"))))
+        return cls(found.withColumn("live", F.lit(True)).withColumn("is_binary", is_binary(F.col("text"))), root)
 
     def lines(self) -> DataFrame:
         """file_id, path, line_no (from 1), line. A file ends at its first NUL; a binary file has no lines."""

@@ -1,7 +1,13 @@
-"""Python data source ``siftline_corpus``: walk on the driver, read and decode on the executors."""
+"""Python data source ``siftline_corpus``: walk on the driver, read and decode on the executors.
+
+It is for folders that every executor sees under the same path (a shared mount, or one
+machine); corpora in a store that only Spark reads are tables. Paths are relative to
+the folder, and a file's id is a hash of its path, so that it outlives other files.
+"""
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,15 +20,22 @@ LISTING = "path string, size long, mtime_ns long, listed_at long"
 FILES_EACH, BYTES_EACH = 512, 64 << 20
 
 
+def path_id(path: str) -> int:
+    """63 bits of a relative path's hash."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass")) >> 1
+
+
 class Files(InputPartition):
-    """Some files and the number of the first."""
+    """Some files, and a number that tells listings apart."""
 
-    def __init__(self, first: int, paths: list[str]):
-        self.first, self.paths = first, paths
+    def __init__(self, number: int, paths: list[str]):
+        self.number, self.paths = number, paths
 
 
 class CorpusSource(DataSource):
-    """Options: path, hidden, noIgnore; prefix restricts the files by path."""
+    """Options: path, hidden, noIgnore; prefix restricts the files by the beginning of their paths."""
 
     @classmethod
     def name(cls) -> str:
@@ -36,46 +49,42 @@ class CorpusSource(DataSource):
 
 
 class CorpusReader(DataSourceReader):
+    """No filters are pushed down: Spark keeps a pushed filter for later queries of the same table, which then lose files."""
+
     def __init__(self, options):
         self.options = dict(options)
-        self.prefixes: list[str] = []
-
-    def pushFilters(self, filters):
-        from pyspark.sql.datasource import EqualTo, StringStartsWith
-
-        for f in filters:
-            if isinstance(f, (StringStartsWith, EqualTo)) and f.attribute == ("path",):
-                self.prefixes.append(f.value)
-            yield f  # Spark checks them again
 
     def partitions(self) -> list[Files]:
         from siftline.sources.walk import walk
 
         flag = lambda n: str(self.options.get(n, "false")).lower() == "true"
         out: list[Files] = []
-        size = 0
-        for i, path in enumerate(walk(self.options["path"], flag("hidden"), flag("noIgnore"))):
-            if any(not path.startswith(p) for p in self.prefixes):
+        size, root = 0, os.path.abspath(self.options["path"])
+        for full in walk(root, flag("hidden"), flag("noIgnore")):
+            path = os.path.relpath(full, root)
+            if not path.startswith(self.options.get("prefix", "")):
                 continue
             if not out or len(out[-1].paths) >= FILES_EACH or size > BYTES_EACH:
-                out.append(Files(i, []))
+                out.append(Files(len(out), []))
                 size = 0
-            out[-1].paths.append((i, path))
-            size += _size(path)
+            out[-1].paths.append(path)
+            size += _size(full)
         return out or [Files(0, [])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         from siftline.sources.corpus import decode_bytes
         from siftline.sources.walk import stat
 
-        for i, path in partition.paths:
-            told = stat(path)  # before the read, so that a change in between is seen later
+        root = os.path.abspath(self.options["path"])
+        for path in partition.paths:
+            full = os.path.join(root, path)
+            told = stat(full)  # before the read, so that a change in between is seen later
             try:
-                with open(path, "rb") as f:
+                with open(full, "rb") as f:
                     text = decode_bytes(f.read())
             except OSError:
                 text = None
-            yield (i, path, text, *told)
+            yield (path_id(path), path, text, *told)
 
 
 def _size(path: str) -> int:
@@ -108,7 +117,8 @@ class ListingReader(DataSourceStreamReader):
         from siftline.sources.walk import stat, walk
 
         flag = lambda n: str(self.options.get(n, "false")).lower() == "true"
-        return [(p, *stat(p)[:2]) for p in walk(self.options["path"], flag("hidden"), flag("noIgnore"))]
+        root = os.path.abspath(self.options["path"])
+        return [(os.path.relpath(p, root), *stat(p)[:2]) for p in walk(root, flag("hidden"), flag("noIgnore"))]
 
     def initialOffset(self) -> dict:
         return {"digest": -1}
@@ -121,7 +131,7 @@ class ListingReader(DataSourceStreamReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for path, size, mtime in self._listing():
-            yield (path, size, mtime, partition.first)
+            yield (path, size, mtime, partition.number)
 
     def commit(self, end: dict) -> None:
         pass
@@ -129,6 +139,5 @@ class ListingReader(DataSourceStreamReader):
 
 def register(spark: SparkSession) -> None:
     """Make both sources known to a session."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CorpusSource)
     spark.dataSource.register(ListingSource)

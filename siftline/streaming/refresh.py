@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,7 @@ def follow(listings: DataFrame, index_path: str, corpus_of: Callable[[SparkSessi
 def folder_listings(spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False) -> DataFrame:
     """A stream of a folder's listings."""
     register(spark)
-    return spark.readStream.format("siftline_listing").options(path=root, hidden=str(hidden).lower(), noIgnore=str(no_ignore).lower()).load()
+    return spark.readStream.format("siftline_listing").options(path=os.path.abspath(root), hidden=str(hidden).lower(), noIgnore=str(no_ignore).lower()).load()
 
 
 def matches_of_stream(documents: DataFrame, java_pattern: str, id: str, text: str) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import functions as F
-
 from siftline.operators import page, rank, sort
 from siftline.operators.filters import FileFilter
 from siftline.operators.find import find_page
 from siftline.operators.index import Index
 from siftline.operators.search import SearchOptions, search
+from siftline.operators.status import Progress
 from siftline.operators.status import status as index_status
+from siftline.plans import regex
 from siftline.sources.corpus import Corpus
 
 #: Paths of a file_search page.
@@ -24,29 +24,36 @@ class Tools:
 
     corpus: Corpus
     index: Index | None = None
-    cursors: page.CursorStore = field(default_factory=page.CursorStore)
+    cursors: page.CursorStore | page.OpenCursors = field(default_factory=page.CursorStore)
+    progress: Progress | None = None
 
     def content_search(
         self, pattern: str | list[str] | None = None, case_insensitive: bool = False, word: bool = False, fixed_strings: bool = False, multi_line: bool = False,
         invert_match: bool = False, only_matching: bool = False, globs: list[str] = (), types: list[str] = (), type_nots: list[str] = (), files_only: bool = False,
         count: bool = False, page_size: int = page.PAGE_SIZE, sort_by: str = "none", reverse: bool = False, weights: str | None = None, context: int = 0, cursor: str | None = None,
+        before: int | None = None, after: int | None = None,
     ) -> str:
-        """One page of results as text; ``cursor`` continues a page before and replaces all else."""
+        """One page of results as text; ``cursor`` continues a page before and stands alone."""
         note = None
         if cursor is not None:
+            given = (pattern, case_insensitive, word, fixed_strings, multi_line, invert_match, only_matching, list(globs), list(types), list(type_nots), files_only, count, sort_by, reverse, weights, context, before, after)
+            if given != (None, False, False, False, False, False, False, [], [], [], False, False, "none", False, None, 0, None, None):
+                raise ValueError("a cursor stands alone; it holds the search that it continues")
             try:
                 at = self.cursors.take(cursor)
             except KeyError:
                 raise ValueError("unknown or spent cursor; search again") from None
+            if at.root != self.corpus.root:
+                raise ValueError("the cursor is of another folder")
         else:
             if pattern is None:
                 raise ValueError("no pattern")
             options = {
                 "ignore_case": case_insensitive, "word": word, "fixed": fixed_strings, "multi_line": multi_line, "invert": invert_match, "only_matching": only_matching,
-                "before": context, "after": context, "globs": list(globs), "types": list(types), "type_nots": list(type_nots),
+                "before": context if before is None else before, "after": context if after is None else after, "globs": list(globs), "types": list(types), "type_nots": list(type_nots),
             }
             mode = "count" if count else "files" if files_only else "matches"
-            at = page.Cursor(mode, [pattern] if isinstance(pattern, str) else list(pattern), options, max(1, page_size), sort_by, reverse, weights)
+            at = page.Cursor(mode, [pattern] if isinstance(pattern, str) else list(pattern), options, max(1, page_size), sort_by, reverse, weights, root=self.corpus.root)
         check_sort(at.sort, at.weights)
         told = dict(at.options)
         chosen = FileFilter(*(tuple(told.pop(k)) for k in ("globs", "types", "type_nots")))
@@ -55,7 +62,7 @@ class Tools:
         scores, patterns = None, at.patterns
         ranking = None
         if at.weights is not None:
-            ranking = rank.parse(patterns[0], at.weights, options.fixed)
+            ranking = rank.parse(regex.join(patterns, options.fixed), at.weights, options.fixed)
             patterns = [ranking.plain]
         rows = search(self.corpus, patterns, options, self.index)
         if ranking is not None:
@@ -63,7 +70,7 @@ class Tools:
         got = page.paged(rows, spec, at.mode, at.page_size, at.last_key, at.shown, self.corpus.files, scores)
         if cursor is not None:
             note = page.staleness(at, got.total_matches, got.fingerprint)
-        body = self._body(at.mode, got, rows, context=options.before or options.after)
+        body = self._body(at.mode, got, rows, options.before or options.after)
         more = None
         if got.has_more:
             after = page.Cursor(**{**at.__dict__, "last_key": got.last_key, "shown": got.last_index, "prev_total": got.total_matches, "fingerprint": got.fingerprint})
@@ -78,7 +85,15 @@ class Tools:
             order.setdefault(r["path"], len(order))
         shown = page.with_context_of(got.rows, rows) if context else got.rows
         views = sorted(page.grouped(shown).collect(), key=lambda r: order.get(r["path"], len(order)))
-        return [line for v in views for line in (v["path"], *v["lines"])]
+        stale = self._stale(list(order))
+        return [line for v in views for line in (v["path"] + (" (changed since index)" if v["path"] in stale else ""), *v["lines"])]
+
+    def _stale(self, paths: list[str]) -> set[str]:
+        """Those of a page's files that the index knows in another state."""
+        if self.index is None or self.index.of is self.corpus or not paths:
+            return set()
+        some = self.corpus.files.sparkSession.createDataFrame([(p,) for p in paths], "path string")
+        return {r["path"] for r in self.index.freshness(some, self.corpus).filter("changed").collect()}
 
     def file_search(self, query: str, limit: int = FIND_LIMIT, after: str | None = None) -> str:
         """One page of paths that contain ``query``."""
@@ -89,9 +104,10 @@ class Tools:
         return "\n".join([head, *paths] + ([f"[more: after {got.next_after}]"] if got.next_after else []))
 
     def status(self) -> str:
-        """What the index holds."""
+        """What the index holds, or how far its build is."""
         if self.index is None:
-            return "state      no index; searches scan"
+            told = self.progress.told() if self.progress else None
+            return f"state      building, {told[0]} of {told[1]} files; searches scan" if told else "state      no index; searches scan"
         r = index_status(self.index).first()
         return f"state      {r['state']}\nfiles      {r['files_short']}\ntrigrams   {r['trigrams_short']}\nsize       {r['bytes_short']}"
 
@@ -136,8 +152,3 @@ def serve(tools: Tools, lines, write) -> None:
                 answer = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "parse error"}}
             if answer is not None:
                 write(json.dumps(answer) + "\n")
-
-
-def path_column(df, *names: str):
-    """A path of several columns."""
-    return F.concat_ws("/", *[F.col(n).cast("string") for n in names])

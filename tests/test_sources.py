@@ -2,21 +2,27 @@
 
 import io
 import os
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.cli import main
 from siftline.config import EngineConfig
 from siftline.functions import udtf
+from siftline.functions.formats import shell_quote
+from siftline.operators.filters import FileFilter
+from siftline.operators.find import git_scoped
 from siftline.operators.index import Index
-from siftline.operators.search import search
+from siftline.operators.search import SearchOptions, search
+from siftline.operators.status import Progress, follow as follow_status
 from siftline.plans.query import for_pattern
 from siftline.sources.corpus import Corpus
 from siftline.sources.walk import walk
-from siftline.streaming.refresh import bring_up_to_date, folder_listings, follow
+from siftline.streaming.refresh import bring_up_to_date, folder_listings, follow, matches_of_stream
 
 
-def _tree(root, files: dict[str, str]) -> str:
+def _grow(root, files: dict) -> str:
     for name, text in files.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -24,85 +30,200 @@ def _tree(root, files: dict[str, str]) -> str:
     return str(root)
 
 
-CASES = {
-    "every source": ({".git/HEAD": "", "keep.txt": "", "g.txt": "", "i.txt": "", "r.txt": "", "e.txt": "", ".gitignore": "g.txt\n", ".ignore": "i.txt\n", ".rgignore": "r.txt\n", ".git/info/exclude": "e.txt"}, {}, ["keep.txt"]),
-    "no git": ({"a.txt": "", "b.txt": "", ".gitignore": "b.txt\n"}, {}, ["a.txt", "b.txt"]),
-    "parent": ({".git/HEAD": "", ".gitignore": "*.log\n", "src/a.rs": "", "src/debug.log": ""}, {}, ["src/a.rs"]),
-    "hidden": ({"v.txt": "", ".h.txt": ""}, {}, ["v.txt"]),
-    "with hidden": ({"v.txt": "", ".h.txt": ""}, {"hidden": True}, [".h.txt", "v.txt"]),
-    "no ignore": ({"keep.txt": "", "skip.log": "", ".ignore": "*.log\n"}, {"no_ignore": True}, ["keep.txt", "skip.log"]),
-    "ignore outranks": ({".git/HEAD": "", ".gitignore": "*.log\n", ".ignore": "!keep.log\n", "keep.log": "", "x.log": ""}, {}, ["keep.log"]),
-    "folder rule": ({".git/HEAD": "", ".gitignore": "build/\n", "build/a": "", "src/build/b": "", "src/c": ""}, {}, ["src/c"]),
-    "anchored": ({".git/HEAD": "", ".gitignore": "/a.txt\nd/*.x\n!d/k.x\n", "a.txt": "", "s/a.txt": "", "d/j.x": "", "d/k.x": ""}, {}, ["d/k.x", "s/a.txt"]),
-    "deeper wins": ({".git/HEAD": "", ".gitignore": "*.t\n", "s/.gitignore": "!*.t\n", "a.t": "", "s/b.t": ""}, {}, ["s/b.t"]),
-}
-
-
-@pytest.mark.parametrize("name", CASES)
+#: What stands in a folder (names, or names with ignore rules), flags of the walk, and the names that it finds.
+WALKS = {
+    "one rule in each kind of file": (
+        {".git/config": "", "brook.md": "", "pond.md": "", "lake.md": "", "sea.md": "", "tarn.md": "", ".gitignore": "pond.md", ".ignore": "lake.md", ".rgignore": "sea.md", ".git/info/exclude": "tarn.md\n"}, {}, ["brook.md"]),
+    "git's rules outside a repository": ({"oak.c": "", "elm.c": "", ".gitignore": "elm.c"}, {}, ["elm.c", "oak.c"]),
+    "rules reach into folders": ({".git/config": "", ".gitignore": "*.tmp", "a/b/leaf.tmp": "", "a/b/leaf.c": ""}, {}, ["a/b/leaf.c"]),
+    "dots are left out": ({"root": "", ".moss": "", ".fern/leaf": ""}, {}, ["root"]),
+    "dots are taken in": ({"root": "", ".moss": "", ".fern/leaf": ""}, {"hidden": True}, [".fern/leaf", ".moss", "root"]),
+    "no rules at all": ({".ignore": "*", "kept": "", "also": ""}, {"no_ignore": True}, ["also", "kept"]),
+    "ignore outranks git": ({".git/config": "", ".gitignore": "*.dat", ".ignore": "!good.dat", "good.dat": "", "bad.dat": ""}, {}, ["good.dat"]),
+    "rgignore outranks ignore": ({".ignore": "*.dat", ".rgignore": "!good.dat", "good.dat": "", "bad.dat": ""}, {}, ["good.dat"]),
+    "a folder goes with all below": ({".ignore": "cache/", "cache/x/y": "", "lib/cache/z": "", "lib/kept": ""}, {}, ["lib/kept"]),
+    "anchors": ({".ignore": "/top\nin/*.o\n!in/need.o", "top": "", "sub/top": "", "in/skip.o": "", "in/need.o": ""}, {}, ["in/need.o", "sub/top"]),
+    "the deeper file decides": ({".ignore": "*.csv", "data/.ignore": "!*.csv", "top.csv": "", "data/low.csv": ""}, {}, ["data/low.csv"]),
+    "comments and blanks": ({".ignore": "# nothing\n\n   \n\\#odd\n", "#odd": "", "even": ""}, {}, ["even"]),
+}
+
+
+@pytest.mark.parametrize("name", WALKS)
 def test_walk(tmp_path, name):
-    files, flags, want = CASES[name]
-    root = _tree(tmp_path, files)
+    files, flags, want = WALKS[name]
+    root = _grow(tmp_path, files)
     assert [os.path.relpath(p, root) for p in walk(root, **flags)] == want
 
 
+def _paths(rows) -> set[str]:
+    return {r["path"] for r in rows.select("path").collect()}
+
+
 def test_corpus_of_a_folder(spark, tmp_path):
-    root = _tree(tmp_path, {"u8.txt": "a NEEDLE", "u16.txt": b"\xff\xfe" + "wide NEEDLE".encode("utf-16-le"), "bin.dat": b"\0\0NEEDLE", "_x.txt": "NEEDLE", "k=v/y.txt": "none"})
+    root = _grow(tmp_path, {"plain.txt": "a heron", "wide.txt": b"\xff\xfe" + "wide heron".encode("utf-16-le"), "raw.bin": b"\0\0heron", "_under.txt": "heron", "day=1/p.txt": "none"})
     c = Corpus.from_path(spark, root)
-    got = {os.path.relpath(r["path"], root) for r in search(c, "NEEDLE").collect()}
-    assert got == {"u8.txt", "u16.txt", "_x.txt"}
+    assert _paths(search(c, "heron")) == {"plain.txt", "wide.txt", "_under.txt"}
     index = Index.build(c)
-    assert {os.path.relpath(r["path"], root) for r in index.candidates(for_pattern("NEEDLE")).collect()} == got
-    assert c.files.filter(c.files.path.startswith(f"{root}/k=v")).count() == 1
+    assert _paths(index.candidates(for_pattern("heron"))) == {"plain.txt", "wide.txt", "_under.txt"}
+    assert _paths(c.files) == {"plain.txt", "wide.txt", "raw.bin", "_under.txt", "day=1/p.txt"}
+    assert c.files.filter(c.files.path.startswith("day=1/")).count() == 1
+
+
+def test_globs_and_scopes_are_relative_to_the_folder(spark, tmp_path):
+    c = Corpus.from_path(spark, _grow(tmp_path, {"lib/a.py": "tern", "lib/sub/b.py": "tern", "c.py": "tern", "d.rs": "tern"}))
+    found = lambda *globs: _paths(search(c, "tern", SearchOptions(filter=FileFilter(globs=globs))))
+    assert found("lib/*") == {"lib/a.py", "lib/sub/b.py"} and found("/c.py") == {"c.py"} and found("!lib/**") == {"c.py", "d.rs"}
+    assert found("/*.py") == {"c.py"} and found("lib/*.py") == {"lib/a.py"}
+    assert _paths(search(c, "tern", SearchOptions(scope="lib/sub"))) == {"lib/sub/b.py"}
+
+
+def test_a_file_in_front_changes_no_other(spark, tmp_path):
+    root = _grow(tmp_path, {"m.txt": "curlew", "n.txt": "curlew and plover"})
+    place = str(tmp_path.parent / f"{tmp_path.name}-index")
+    Index.build(Corpus.from_path(spark, root)).save(place)
+    _grow(tmp_path, {"a.txt": "plover first", "m.txt": "plover instead"})
+    os.remove(f"{root}/n.txt")
+    _grow(tmp_path, {"z.txt": "curlew last"})
+    now, stored = Corpus.from_path(spark, root), Index.load(spark, place)
+    after = stored.apply(stored.reconcile(now.files), now)
+    for index in (stored, after, Index(after.files, after.postings)):
+        for pattern in ("plover", "curlew", "plover|curlew", "first$"):
+            assert _paths(search(now, pattern, index=index, strategy="index")) == _paths(search(now, pattern, strategy="scan"))
+    assert _paths(search(now, "plover", index=stored)) == {"a.txt", "m.txt"}
+    told = {r["path"]: r["changed"] for r in stored.freshness(now.files.select("path"), now).collect()}
+    assert told == {"a.txt": True, "m.txt": True, "z.txt": True}
 
 
 def test_refresh_follows_a_folder(spark, tmp_path):
-    root = _tree(tmp_path / "files", {"a.txt": "WIDGET"})
+    root = _grow(tmp_path / "files", {"one.txt": "a GULL"})
     place = str(tmp_path / "index")
     corpus = lambda s: Corpus.from_path(s, root)
     assert bring_up_to_date(spark, place, corpus(spark)) == 1
     assert bring_up_to_date(spark, place, corpus(spark)) == 0
-    _tree(tmp_path / "files", {"b.txt": "WIDGET too"})
+    _grow(tmp_path / "files", {"0.txt": "a GULL too"})
     run = follow(folder_listings(spark, root), place, corpus, str(tmp_path / "checkpoint"))
     try:
         run.processAllAvailable()
-        assert Index.load(spark, place).candidates(for_pattern("WIDGET")).count() == 2
-        os.remove(f"{root}/a.txt")
+        assert _paths(Index.load(spark, place).candidates(for_pattern("GULL"))) == {"one.txt", "0.txt"}
+        os.remove(f"{root}/one.txt")
+        run.processAllAvailable()
+        index = Index.load(spark, place)
+        assert _paths(search(corpus(spark), "GULL", index=index, strategy="index")) == {"0.txt"}
+    finally:
+        run.stop()
+
+
+def test_a_stream_of_documents_is_searched(spark, tmp_path):
+    spark.createDataFrame([(1, "x\nowl"), (2, "none"), (3, "owl")], "id long, body string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, body string").parquet(str(tmp_path / "in"))
+    run = matches_of_stream(stream, "owl", "id", "body").writeStream.format("memory").queryName("owls").start()
+    try:
         run.processAllAvailable()
-        assert Index.load(spark, place).candidates(for_pattern("WIDGET")).count() == 1
+        assert sorted(map(tuple, spark.sql("select * from owls").collect())) == [(1, 2, "owl"), (3, 1, "owl")]
     finally:
         run.stop()
 
 
 def test_table_functions(spark):
     udtf.register(spark)
-    assert [tuple(r) for r in spark.sql("select * from search_lines('a\nfoo\nbar foo', 'fo+')").collect()] == [(2, "foo"), (3, "bar foo")]
-    assert [r[0] for r in spark.sql("select * from trigrams('abcd')").collect()] == [0x616263, 0x626364]
-
+    assert [tuple(r) for r in spark.sql("select * from search_lines('q\\nrat\\nthe rat', 'ra+t')").collect()] == [(2, "rat"), (3, "the rat")]
+    assert [r[0] for r in spark.sql("select * from trigrams('wxyz')").collect()] == [0x777879, 0x78797A]
+    with pytest.raises(Exception, match="PatternError|backreference|escape"):
+        spark.sql(r"select * from search_lines('q', '(q)\\1')").collect()
 
-def test_command_line(spark, tmp_path):
-    root = _tree(tmp_path, {"a.py": "foo\nbar\nfoo bar\n", "s/b.rs": "FOO\n"})
 
+def _run(spark, root):
     def run(*args):
         out = io.StringIO()
         return main([*args], spark, out), out.getvalue().replace(root + "/", "")
 
-    assert run("foo", root) == (0, "a.py:1:foo\na.py:3:foo bar\n")
-    assert run("-i", "foo", root, "-t", "rust")[1] == "s/b.rs:1:FOO\n"
-    assert run("-i", "-s", "-N", "-o", "-e", "foo", "-e", "bar", root)[1] == "a.py:foo\na.py:bar\na.py:foo\na.py:bar\n"
-    assert run("foo", f"{root}/a.py") == (0, "1:foo\n3:foo bar\n")
-    assert run("nothing", root)[0] == 1
-    assert run("(", root)[0] == 2 and run("-t", "nope", "x", root)[0] == 2 and run("--sort", "weight", "x", root)[0] == 2
-    assert run("--find", ".rs", root) == (0, "s/b.rs\n")
-    assert run("--compact", "-c", "foo", root)[1].startswith("[count 1-1 of 1 file · 2 matches]")
-    assert run("-A1", "bar", root)[1] == "a.py:2:bar\na.py:3:foo bar\n"
+    return run
 
 
-def test_settings(tmp_path):
+def test_command_line(spark, tmp_path):
+    root = _grow(tmp_path, {"m.py": "wren\nlark\nwren lark\n", "deep/n.rs": "WREN\n"})
+    run = _run(spark, root)
+    assert run("wren", root) == (0, "m.py:1:wren\nm.py:3:wren lark\n")
+    assert run("-i", "wren", root, "-t", "rust")[1] == "deep/n.rs:1:WREN\n"
+    assert run("-i", "wren", root, "-g", "deep/*")[1] == "deep/n.rs:1:WREN\n"
+    assert run("-i", "-s", "-N", "-o", "-e", "wren", "-e", "lark", root)[1] == "m.py:wren\nm.py:lark\nm.py:wren\nm.py:lark\n"
+    assert run("wren", f"{root}/m.py") == (0, "1:wren\n3:wren lark\n")
+    assert run("absent", root)[0] == 1
+    assert run("(", root)[0] == 2 and run("-t", "nope", "x", root)[0] == 2 and run("--sort", "weight", "x", root)[0] == 2
+    assert run("--find", ".rs", root) == (0, "deep/n.rs\n")
+    assert run("--compact", "-c", "wren", root)[1].startswith("[count 1-1 of 1 file · 2 matches]")
+    assert run("-A1", "lark", root)[1] == "m.py:2:lark\nm.py:3:wren lark\n"
+    # labels may stand in any of several patterns
+    weighed = ("-i", "-e", "lark<low>", "-e", "wren<high>", "--sort", "weight", "--weights", "low:1,high:2")
+    assert run("-N", *weighed, root)[1] == "deep/n.rs:WREN\nm.py:wren\nm.py:lark\nm.py:wren lark\n"
+
+
+def test_command_line_paths_are_those_typed(spark, tmp_path, monkeypatch):
+    root = _grow(tmp_path, {"deep/n.rs": "wren\n"})
+    monkeypatch.chdir(tmp_path)
+    run = _run(spark, root)
+    assert run("wren")[1] == "deep/n.rs:1:wren\n" and run("wren", "deep")[1] == "deep/n.rs:1:wren\n" and run("wren", "./deep/")[1] == "./deep/n.rs:1:wren\n" and run("wren", ".")[1] == "./deep/n.rs:1:wren\n"
+
+
+def test_compact_context_is_one_sided_and_cursors_go_on(spark, tmp_path):
+    root = _grow(tmp_path, {"p.txt": "before\nwren 1\nafter\n", "q.txt": "wren 2\n", ".r.txt": "wren 3\n"})
+    run = _run(spark, root)
+    assert run("--compact", "-A1", "wren 1", root)[1].splitlines()[1:] == ["p.txt", "  2: wren 1", "  3- after"]
+    assert run("--compact", "-B1", "wren 1", root)[1].splitlines()[1:] == ["p.txt", "  1- before", "  2: wren 1"]
+    got, text = [], run("--compact", "--hidden", "--page-size", "1", "--sort", "path", "wren", root)[1]
+    for _ in range(3):
+        got += text.splitlines()[1:3]
+        last = text.splitlines()[-1]
+        if not last.startswith("[more: cursor "):
+            break
+        code, text = run("--cursor", last.removeprefix("[more: cursor ").removesuffix("]"))
+        assert code == 0
+    assert got == [".r.txt", "  1: wren 3", "p.txt", "  2: wren 1", "q.txt", "  1: wren 2"]
+    token = run("--compact", "--page-size", "1", "wren", root)[1].splitlines()[-1].removeprefix("[more: cursor ").removesuffix("]")
+    assert run("--cursor", token, "wren")[0] == 2 and run("--cursor", token, "-i")[0] == 2 and run("--cursor", "nonsense")[0] == 2
+
+
+def test_settings(spark, tmp_path):
     place = tmp_path / "c.toml"
-    place.write_text("persist_threshold_ms = 5\n")
+    place.write_text("persist_threshold_ms = 7\n")
     config = EngineConfig.load(str(place), cache_dir="/x")
-    assert config == EngineConfig("/x", 5) and config.keep(6) and not config.keep(4)
-    for bad in ("nope = 1", "cache_dir = 3"):
+    assert config == EngineConfig("/x", 7) and config.keep(8) and not config.keep(6)
+    for bad in ("odd = 1", "cache_dir = 3"):
         place.write_text(bad)
         with pytest.raises(ValueError):
             EngineConfig.load(str(place))
+
+
+def test_an_index_is_kept_if_its_build_took_long_enough(spark, tmp_path):
+    root = _grow(tmp_path / "files", {"a.txt": "stork"})
+    corpus = Corpus.from_path(spark, root)
+    for seconds, kept in ((0.1, False), (0.3, True)):
+        ticks = iter((0.0, seconds))
+        config = EngineConfig(str(tmp_path / "cache"), 200)
+        assert _paths(config.open_index(corpus, lambda: next(ticks)).candidates(for_pattern("stork"))) == {"a.txt"}
+        assert os.path.exists(config.place(corpus.root)) == kept
+    _grow(tmp_path / "files", {"b.txt": "stork"})
+    again = config.open_index(Corpus.from_path(spark, root))
+    assert _paths(again.candidates(for_pattern("stork"))) == {"a.txt", "b.txt"}
+
+
+def test_progress_and_status_are_followed(spark, tmp_path):
+    corpus = Corpus.from_path(spark, _grow(tmp_path, {f"{i}.txt": "x" for i in range(20)}))
+    progress, done = Progress(corpus.files), threading.Event()
+    assert progress.told() == (0, 20)
+
+    def build():
+        Index.build(Corpus(progress.counted())).postings.count()
+        done.set()
+
+    worker = threading.Thread(target=build)
+    worker.start()
+    frames = list(follow_status(progress.told, 0.01, done.is_set))
+    worker.join()
+    assert frames[0] == (0, 20) and frames[-1] == (20, 20) and len(frames) == len(set(frames))
+
+
+def test_path_lists_and_quotes(spark):
+    files = spark.createDataFrame([("a b",), ("it's",), ("plain",)], "path string")
+    assert [r[0] for r in files.select(shell_quote(F.col("path"))).collect()] == ["'a b'", "'it'\\''s'", "plain"]
+    assert _paths(git_scoped(files, files.filter("path <> 'plain'"))) == {"a b", "it's"}
