@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHARS_AT_ONCE = 3_000_000
 #: Entries of a Python worker's memo of words; it is emptied when full.
 MEMO_ENTRIES = 400_000
+#: Short rows of a file of a checkpoint.
+FILE_ROWS = 500_000
 #: Bytes of an Arrow batch, and classes of a sample that are broadcast.
 BATCH_BYTES, CLASSES_AT_ONCE = 8 << 20, 20_000
 
@@ -38,10 +40,14 @@ def shared_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut.
+
+    If it has ``rows`` short rows at most, it is written as a file for each FILE_ROWS of
+    them: a checkpoint writes a file for every partition, empty ones too.
+    """
     shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)
 
 
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
@@ -95,21 +101,23 @@ def hash_unit(column: str, seed: int = 0) -> Column:
 PART_ROWS, HOT_KEYS = 100_000, 10_000
 
 
-def join_split(left: DataFrame, right: DataFrame, on: list[str], times: str, total: int, how: str = "inner") -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, on: list[str], times: str, total: int, how: str = "inner", written: bool = False) -> DataFrame:
     """``left`` joined with ``right``, whose keys are unique, so that no key of many rows of ``left`` meets in one task.
 
     Column ``times`` of ``right`` tells how many rows of ``left`` have a key, ``total`` how
     many there are in all. A key of more than PART_ROWS rows, or of a HOT_KEYS-th of
     all if that is more, is dealt into parts; of such keys there are HOT_KEYS at most,
-    so they can be broadcast. Rows of a part are chosen by their place in ``left``,
-    which should be a table or a checkpoint.
+    so they can be broadcast. A row's part follows from a hash of the row, so that a task
+    that runs again deals alike; of a ``written`` table, from its place, so that equal
+    rows are dealt out too.
     """
     each = max(PART_ROWS, total // HOT_KEYS + 1)
     parts = F.ceil(F.col(times) / F.lit(each)).cast("int")
     hot = right.filter(F.col(times) > each).select(*on, parts.alias("__parts"))
     if not hot.limit(1).count():
         return left.join(right, on, how)
-    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    row = F.monotonically_increasing_id() if written else F.xxhash64(*left.columns)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(row, F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     spread = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     return dealt.join(spread, [*on, "__part"], how).drop("__part")
 

@@ -245,7 +245,7 @@ def pack(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, doc_id
         round_ += 1
         count = pool.count()
         parts = max(1, math.ceil(count / items))
-        state = cut(_packed(pool, parts, round_, capacity))
+        state = cut(_packed(pool, parts, round_, capacity), count)
         bins = state.agg(F.count_distinct("sequence_id")).first()[0]
         if before is not None and bins > before[1]:
             done.append(before[0])

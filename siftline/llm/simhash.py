@@ -218,36 +218,37 @@ def _shared(fps: np.ndarray, file: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[some], file[some]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root): the smallest node of each connected component, for all nodes of ``links`` (a, b).
 
     Large-star rounds tie every node's larger neighbours to its smallest one,
     small-star rounds its smaller ones; stars are left after few rounds. The
     smallest neighbour is an aggregate, and a node of many edges meets it in parts.
+    ``rows`` is a bound of the number of links, if one is known.
     """
-    links = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links, mark = cut(links, rows), None
     while True:
-        total = links.count()
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("times")).filter("times > 0")
-        large = cut(join_split(both.filter("b > a"), least, ["a"], "times", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times"))
-        tied = join_split(large, small, ["a"], "times", large.count()).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        links = cut(tied.filter("a != b").distinct())
+        # the count of rows and their hashes tell whether a round changed them; stars never have more rows
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == now:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = now
+        mark, total = now, now[0]
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("times")).filter("times > 0")
+        large = join_split(both.filter("b > a"), least, ["a"], "times", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("times"))
+        tied = join_split(large, small, ["a"], "times", total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        links = cut(tied.filter("a != b").distinct(), total)
 
 
-def _classes(rows: DataFrame, most: int, first) -> DataFrame:
-    """(fp, times, root, and by root the least ``first`` as ``chosen``) of the distinct fingerprints of ``rows``."""
-    classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("times")))
-    roots = components(edges(classes.select("fp"), most)).withColumnRenamed("node", "fp")
-    placed = cut(classes.join(roots, "fp", "left").select("fp", "times", "first", F.coalesce("root", "fp").alias("root")))
+def _classes(rows: DataFrame, total: int, most: int, first) -> DataFrame:
+    """(fp, times, and by component the least ``first`` as ``chosen``) of the distinct fingerprints of ``total`` rows."""
+    classes = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("times")), total)
+    roots = components(edges(classes.select("fp"), most), total).withColumnRenamed("node", "fp")
+    placed = cut(classes.join(roots, "fp", "left").select("fp", "times", "first", F.coalesce("root", "fp").alias("root")), total)
     chosen = placed.groupBy("root").agg(F.min("first").alias("chosen"), F.count("*").alias("members"))
-    return join_split(placed, chosen, ["root"], "members", placed.count()).select("fp", "times", "chosen")
+    return join_split(placed, chosen, ["root"], "members", total).select("fp", "times", "chosen")
 
 
 def near_duplicates(df: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,8 +260,9 @@ def near_duplicates(df: DataFrame, most: int = 3, doc_id: str = "doc_id", text:
     columns are not read.
     """
     rows = cut(fingerprints(df, doc_id, text))
-    named = _classes(rows, most, F.min("doc_id"))
-    return join_split(rows, named, ["fp"], "times", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen").alias("component_id"))
+    total = rows.count()
+    named = _classes(rows, total, most, F.min("doc_id"))
+    return join_split(rows, named, ["fp"], "times", total, written=True).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("chosen").alias("component_id"))
 
 
 def keep_first(df: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,7 +275,7 @@ def keep_first(df: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str =
     """
     told = F.struct(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("x"), F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))).alias("y"))
     rows = cut(_with_key(fingerprints(df.filter(F.col(doc_id).isNotNull()).withColumn("__key", told), doc_id, text, keep="__key")))
-    kept = _classes(rows, most, F.min(F.struct("doc_id", "x", "y"))).select("chosen.*").distinct()
+    kept = _classes(rows, rows.count(), most, F.min(F.struct("doc_id", "x", "y"))).select("chosen.*").distinct()
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), F.col("y").alias("__y"))
     marked = df.withColumns({"__x": told["x"], "__y": told["y"]})
     named = marked.join(kept, (F.col(doc_id).cast("long") == F.col("__id")) & marked["__x"].eqNullSafe(kept["__x"]) & marked["__y"].eqNullSafe(kept["__y"]), "left_semi")
