@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import formats
@@ -17,8 +20,10 @@ from siftline.operators.index import Index, bitmap_ids, bitmaps, changes, tombst
 from siftline.operators.search import SearchOptions
 from siftline.operators.status import status
 from siftline.plans.query import for_pattern, of_literal
-from siftline.plans.regex import Options, escape, to_java
+from siftline.plans.regex import Options, escape, join, to_java
 from siftline.sources.corpus import Corpus
+from siftline.streaming.refresh import follow, matches_of_stream
+from siftline.tools import Tools, handle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,9 +88,9 @@ def search_indexed(spark, d):
     return _shown(s.search(corpus, "[Ll]icense", index=Index.build(corpus), strategy="index"))
 
 
-@query(_lines_where("regexp_matches(line, '[a-z.]+\\s+license\\s+[a-z.]+')"))
+@query(_lines_where("regexp_matches(line, '[A-Za-z]+\\s+License,\\s+Version')"))
 def search_prefilter(spark, d):
-    return _shown(s.search(documents(spark, d), r"[a-z.]+\s+license\s+[a-z.]+", strategy="prefilter"))
+    return _shown(s.search(documents(spark, d), r"[A-Za-z]+\s+License,\s+Version", strategy="prefilter"))
 
 
 @query(_lines_where("regexp_matches(line, '[a-zA-Z0-9_.]+@[a-zA-Z0-9_.]+')"))
@@ -328,17 +333,20 @@ def candidate_precision(spark, d):
     return found.unionByName(true).agg(F.coalesce(F.sum("candidate"), F.lit(0)).alias("candidates"), F.coalesce(F.sum("hit"), F.lit(0)).alias("confirmed"))
 
 
-@query("select 0::bigint as missed")
+_SOUND = {"license": ("license", False), "either": ("(?i)LICEN[CS]E", False), "words": ("the|that", False), "tail": ("Apache.*[0-9]", False), "folded": ("ciónes", True), "class": ("[A-Z][a-z]+ing[.,]", False)}
+
+
+@query(f"with {LINES} " + " union all ".join(f"select '{k}' as name, count(distinct doc_id) as files, 0::bigint as missed from l where regexp_matches(line, '{'(?i)' * fold + p}')" for k, (p, fold) in _SOUND.items()))
 def soundness_violations(spark, d):
-    """Files with matches that are no candidates, over several patterns."""
+    """By pattern: files with a match, and those of them that the index left out."""
     corpus = documents(spark, d)
     index, out = Index.build(corpus), None
-    for p, fold in (("license", False), ("(?i)LICEN[CS]E", False), ("the|that", False), ("Apache.*[0-9]", False), ("ciónes", True)):
-        options = SearchOptions(ignore_case=fold)
-        true = s.search(corpus, p, options, strategy="scan").select("file_id").distinct()
-        one = true.join(index.candidates(for_pattern(p, Options(ignore_case=fold))), "file_id", "left_anti")
+    for name, (p, fold) in _SOUND.items():
+        true = s.search(corpus, p, SearchOptions(ignore_case=fold), strategy="scan").select("file_id").distinct()
+        found = index.candidates(for_pattern(p, Options(ignore_case=fold))).select("file_id", F.lit(1).alias("found"))
+        one = true.join(found, "file_id", "left").agg(F.count("*").alias("files"), F.count_if(F.col("found").isNull()).alias("missed")).select(F.lit(name).alias("name"), "files", "missed")
         out = one if out is None else out.unionByName(one)
-    return out.agg(F.count("*").alias("missed"))
+    return out
 
 
 @query(f"with {GRAMS} select count(*) as n, 'and' as kind from documents d where {_holds('licen')} union all select count(*), 'or' from documents d where {_holds('licen', sign='or')}")
@@ -514,8 +522,12 @@ def line_span(spark, d):
 @query(f"with {LINES} select doc_id, line_no from l where exists (select 1 from benchmark b where contains(l.line, b.text) and not contains(b.text, chr(10)))")
 def benchmark_needles(spark, d):
     """Every benchmark text of one line as a fixed pattern of one search."""
-    needles = [r["text"] for r in _table(spark, d, "benchmark").filter(~F.contains("text", F.lit("\n"))).select("text").collect()]  # patterns live on the driver
-    return s.search(documents(spark, d), needles, SearchOptions(fixed=True)).select(F.col("file_id").alias("doc_id"), "line_no")
+    needles = _table(spark, d, "benchmark").filter(~F.contains("text", F.lit("\n"))).select("text").distinct()
+    out, texts = None, [r["text"] for r in needles.toLocalIterator()]
+    for at in range(0, len(texts), 500):  # patterns live on the driver, some of them in each search
+        one = s.search(documents(spark, d), texts[at : at + 500], SearchOptions(fixed=True)).select(F.col("file_id").alias("doc_id"), "line_no")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct() if out is not None else spark.createDataFrame([], "doc_id long, line_no long")
 
 
 @query("""select doc_id, case when n_chars < 1000 then cast(n_chars as varchar) else concat((n_chars + 50) // 1000, '.', (n_chars + 50) // 100 % 10, 'k') end as count_short,
@@ -540,12 +552,382 @@ select count(*) as pages, (select count(*) from m)::bigint as rows from (select
 def page_walk(spark, d):
     """All pages one after another hold each match once."""
     rows = sort.order_values(_matched(spark, d), sort.SortSpec()).persist()
-    keys, pages, key = set(), 0, None
+    pages, shown, key = 0, 0, None
     while got := page.matches_page(rows, size=25, start_after=key).collect():
-        pages += 1
-        keys.update((r["path"], r["line_no"], r["ordinal"]) for r in got)
+        # a page begins after the last one's end, so no match comes twice
+        assert key is None or (got[0]["path"], got[0]["line_no"]) >= (key["path"], key["line_no"])
+        pages, shown = pages + 1, shown + len(got)
         key = {n: got[-1][n] for n in ("order_value", "path", "line_no", "ordinal")}
     rows.unpersist()
-    return spark.createDataFrame([(pages, len(keys))], "pages long, rows long")
+    return spark.createDataFrame([(pages, shown)], "pages long, rows long")
+
+
+# an index of another state of the corpus ------------------------------------
+
+#: Documents of the state that an index was built of, and how those of the present state differ from it.
+_OLD, _NOW = "doc_id % 10 <> 3", "doc_id % 10 <> 5"
+_EDITED = "case when doc_id % 10 = 7 then concat(text, chr(10), 'a new License') else text end"
+_NOW_LINES = LINES.replace("from documents)", f"from (select * exclude (text), {_EDITED} as text from documents where {_NOW}))")
+
+
+def _states(spark, d):
+    docs = _table(spark, d, "documents")
+    old = Corpus.from_df(docs.filter(_OLD), "doc_id", "text", _path())
+    # the present state numbers its files in another way
+    edited = docs.filter(_NOW).withColumn("text", F.when(F.col("doc_id") % 10 == 7, F.concat("text", F.lit("\na new License"))).otherwise(F.col("text"))).withColumn("number", F.col("doc_id") * 7 + 3)
+    return old, Corpus.from_df(edited, "number", "text", _path())
+
+
+_AFTER = f"with {_NOW_LINES} select path, line_no, line from l where regexp_matches(line, '[Ll]icense')"
+
+
+def _after(rows):
+    return rows.select("path", "line_no", F.col("text").alias("line"))
+
+
+@query(_AFTER)
+def search_stale(spark, d):
+    """Files that are new, changed or gone since the index was built."""
+    old, now = _states(spark, d)
+    return _after(s.search(now, "[Ll]icense", index=Index.build(old), strategy="index"))
+
+
+@query(_AFTER)
+def search_after_apply(spark, d):
+    old, now = _states(spark, d)
+    index = Index.build(old)
+    after = index.apply(index.reconcile(now.files), now)
+    return _after(s.search(now, "[Ll]icense", index=Index(after.files, after.postings), strategy="index"))
+
+
+@query(f"with {LINES} select path, line_no, line from l where regexp_matches(line, '[Ll]icense') and doc_id % 10 <> 3")
+def search_after_revival(spark, d):
+    """The index of the first state, brought to the second and back: removed files live again."""
+    old, now = _states(spark, d)
+    index = Index.build(old)
+    there = index.apply(index.reconcile(now.files), now)
+    back = there.apply(there.reconcile(old.files), old)
+    return _after(s.search(old, "[Ll]icense", index=Index(back.files, back.postings), strategy="index"))
+
+
+@query(f"select {PATH} as path, doc_id % 10 in (3, 7) as changed from documents where {_NOW}")
+def freshness_flags(spark, d):
+    old, now = _states(spark, d)
+    return Index.build(old).freshness(now.files.select("path"), now).select("path", "changed")
+
+
+def _scratch(spark) -> str:
+    """A new folder that driver and workers see: in the checkpoint folder, or a temporary one where none is set, as in tests."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    return tempfile.mkdtemp(prefix="catalog-", dir=shared if shared.startswith("/") and os.path.isdir(shared) else None)
+
+
+@query(_lines_where("regexp_matches(line, '[Ll]icense')"))
+def search_saved(spark, d):
+    """Through an index that was saved and loaded."""
+    place, corpus = _scratch(spark) + "/index", documents(spark, d)
+    Index.build(corpus).save(place)
+    return _shown(s.search(corpus, "[Ll]icense", index=Index.load(spark, place), strategy="index"))
+
+
+@query(f"with {GRAMS} select {PATH} as path from documents d where {PATH} like '%.de' and ({_holds('enschaft')})")
+def candidates_kept(spark, d):
+    """Candidates among the paths that a filter keeps."""
+    index = Index.build(documents(spark, d))
+    return index.candidates(for_pattern("enschaft"), F.col("path").endswith(".de")).select("path")
+
+
+# folders ---------------------------------------------------------------------
+
+#: Benchmark items as files of a folder; some are hidden, some ignored, some in UTF-16, some binary.
+_FILE = "concat(case when item_id % 5 = 0 then 'keep/' else '' end, case when item_id % 7 = 0 then '.' else '' end, 'item', item_id, case when item_id % 3 = 0 then '.skip' else '.txt' end)"
+_ITEMS = f"i as (select *, {_FILE} as path from benchmark), seen as (select * from i where item_id % 7 <> 0 and item_id % 3 <> 0)"
+
+
+def _folder(spark, d, change=lambda r, raw: raw) -> str:
+    """The items of ``benchmark`` (a small table) as a folder's files."""
+    root = _scratch(spark)
+    for r in _table(spark, d, "benchmark").withColumn("path", F.expr(_FILE)).toLocalIterator():
+        os.makedirs(os.path.dirname(f"{root}/{r['path']}"), exist_ok=True)
+        with open(f"{root}/{r['path']}", "wb") as f:
+            f.write(change(r, r["text"].encode()))
+    with open(f"{root}/.ignore", "w") as f:
+        f.write("# leave these out\n*.skip\n")
+    return root
+
+
+@query(f"with {_ITEMS} select path, octet_length(encode(text)) as size from seen")
+def walk_folder(spark, d):
+    """Ignored and hidden files are left out; sizes are those on disk."""
+    return Corpus.from_path(spark, _folder(spark, d)).files.select("path", "size")
+
+
+@query(f"with {_ITEMS} select path from i where item_id % 3 <> 0")
+def walk_hidden(spark, d):
+    return Corpus.from_path(spark, _folder(spark, d), hidden=True).files.filter("path <> '.ignore'").select("path")
+
+
+@query(f"with {_ITEMS} select path from i where item_id % 7 <> 0")
+def walk_no_ignore(spark, d):
+    return Corpus.from_path(spark, _folder(spark, d), no_ignore=True).files.select("path")
+
+
+_FOLDER_LINES = _ITEMS + ", l as (select path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from seen)"
+
+
+@query(f"with {_FOLDER_LINES} select path, line_no, line from l where regexp_matches(line, '[a-z]+ing')")
+def folder_search(spark, d):
+    corpus = Corpus.from_path(spark, _folder(spark, d))
+    return _after(s.search(corpus, "[a-z]+ing", index=Index.build(corpus), strategy="index"))
+
+
+@query(f"with {_FOLDER_LINES} select path, line_no, line from l where regexp_matches(line, 'the') and path like 'keep/%' and path not like '%5.txt'")
+def folder_globs(spark, d):
+    """Globs are relative to the folder."""
+    filter_ = FileFilter(globs=("keep/*", "!/keep/*5.txt"))
+    return _after(s.search(Corpus.from_path(spark, _folder(spark, d)), "the", SearchOptions(filter=filter_)))
+
+
+@query(f"with {_ITEMS} select path, text from seen")
+def folder_decode(spark, d):
+    """Some files in UTF-16 of either order, some with a byte order mark."""
+    marks = {0: lambda t: b"\xef\xbb\xbf" + t.encode(), 1: lambda t: b"\xff\xfe" + t.encode("utf-16-le"), 2: lambda t: b"\xfe\xff" + t.encode("utf-16-be")}
+    root = _folder(spark, d, lambda r, raw: marks.get(r["item_id"] % 4, str.encode)(r["text"]))
+    return Corpus.from_path(spark, root).files.select("path", "text")
+
+
+@query(f"with {_FOLDER_LINES} select path, line_no, line from l where contains(line, 'the') and not regexp_matches(path, '[02468][.]txt$')")
+def folder_binary(spark, d):
+    """Files that begin with a NUL have no lines; of others the text ends there."""
+    root = _folder(spark, d, lambda r, raw: b"\0" + raw if r["item_id"] % 2 == 0 else raw + b"\n" * 1100 + b"\0the end")
+    corpus = Corpus.from_path(spark, root)
+    return s.search(corpus, "the", index=Index.build(corpus)).select("path", "line_no", F.col("text").alias("line"))
+
+
+# surfaces ------------------------------------------------------------------------
+
+
+def _cli(spark, *args: str) -> DataFrame:
+    """Lines that a command writes."""
+    from siftline.cli import main
+
+    out = io.StringIO()
+    main([*args], spark, out)
+    return spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "line string")
+
+
+@query(f"with {_FOLDER_LINES} select concat(path, ':', line_no, ':', line) as line from l where regexp_matches(line, '(?i)that')")
+def cli_search(spark, d):
+    root = _folder(spark, d)
+    return _cli(spark, "-i", "that", root).select(F.replace("line", F.lit(root + "/"), F.lit("")).alias("line"))
+
+
+@query(f"with {_ITEMS} select path as line from seen where contains(path, '1')")
+def cli_find(spark, d):
+    root = _folder(spark, d)
+    return _cli(spark, "--find", "1", root).select(F.replace("line", F.lit(root + "/"), F.lit("")).alias("line"))
+
+
+@query(f"with {_FOLDER_LINES}, c as (select path, count(*) as n from l where contains(line, 'the') group by path) select concat(path, ': ', n) as line from c union all select concat('[count 1-', count(*), ' of ', count(*), ' file', case when count(*) = 1 then '' else 's' end, ' · ', sum(n), ' match', case when sum(n) = 1 then '' else 'es' end, ']') from c")
+def cli_count(spark, d):
+    return _cli(spark, "--compact", "-c", "--page-size", "100000", "the", _folder(spark, d))
+
+
+@query(f"with {_FOLDER_LINES} select path, line_no, line from l where contains(line, 'the')")
+def cli_cursors(spark, d):
+    """Pages one after another, each by the cursor that the page before gave."""
+    from siftline.cli import main
+
+    rows, args = [], ["--compact", "--page-size", "7", "the", _folder(spark, d)]
+    while args:
+        out = io.StringIO()
+        main(args, spark, out)
+        args, path = [], None
+        for line in out.getvalue().splitlines():
+            if line.startswith("[more: cursor "):
+                args = ["--cursor", line[14:-1]]
+            elif line.startswith("  "):
+                number, _, text = line.strip(" ").partition(": ")
+                rows.append((path, int(number), text))
+            elif not line.startswith("["):
+                path = line
+    shown = spark.createDataFrame(rows, "path string, line_no long, shown string")
+    # long lines are shown in part
+    whole = _after(s.search(Corpus.from_path(spark, _folder(spark, d)), "the"))
+    part = F.regexp_replace("shown", "^…|…$", "")
+    return shown.join(whole, ["path", "line_no"]).filter(F.contains("line", part)).select("path", "line_no", "line")
+
+
+@query(f"""with {LINES}, c as (select path, count(*) as n from l where regexp_matches(line, '[Ll]icense') group by path), f as (select count(*) as f, sum(n) as m from c)
+select concat(path, ': ', n) as line from (select * from c order by path limit 20) union all select concat('[count 1-', least(20, f), ' of ', f, ' file', case when f = 1 then '' else 's' end, ' · ', m, ' match', case when m = 1 then '' else 'es' end, ']') from f""")
+def tool_content_search(spark, d):
+    text = Tools(documents(spark, d)).content_search("[Ll]icense", count=True, page_size=20, sort_by="path")
+    return spark.createDataFrame([(x,) for x in text.splitlines() if not x.startswith("[more")], "line string")
+
+
+@query(f"select {PATH} as line from documents where contains({PATH}, '/1') order by 1 limit 30")
+def tool_file_search(spark, d):
+    text = Tools(documents(spark, d)).file_search("/1", limit=30)
+    return spark.createDataFrame([(x,) for x in text.splitlines() if not x.startswith("[")], "line string")
+
+
+@query(f"with {GRAMS} select (select count(*) from documents) as files, count(distinct tri) as trigrams from g")
+def tool_status(spark, d):
+    """What the status tool answers to a request, read back from its short numbers."""
+    corpus = documents(spark, d)
+    index = Index.build(corpus)
+    reply = handle(Tools(corpus, index), {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "status", "arguments": {}}})
+    told = dict(x.split(maxsplit=1) for x in reply["result"]["content"][0]["text"].splitlines())
+    exact = index.stats().select("files", "trigrams")
+    row = exact.select(formats.human_count(F.col("files")).alias("f"), formats.human_count(F.col("trigrams")).alias("t")).first()
+    return exact.filter(F.lit((told["files"], told["trigrams"]) == (row["f"], row["t"])))
+
+
+@query(f"""with {LINES}, m as (select row_number() over (order by path, line_no) as k, count(*) over () as n from l where regexp_matches(line, '[Ll]icense'))
+select distinct (k - 1) // 30 + 1 as page, ((k - 1) // 30) * 30 + 1 as first_index, least(n, ((k - 1) // 30 + 1) * 30) as last_index, n > ((k - 1) // 30 + 1) * 30 as has_more from m""")
+def page_bounds(spark, d):
+    rows, told, key, shown = _matched(spark, d), [], None, 0
+    while True:
+        p = page.paged(rows, sort.SortSpec("path"), size=30, start_after=key, shown=shown)
+        if p.total_matches:
+            told.append((len(told) + 1, p.first_index, p.last_index, p.has_more))
+        cursor = page.Cursor.decode(page.Cursor("matches", ["[Ll]icense"], {}, 30, "path", False, None, p.last_key, p.last_index).encode())
+        key, shown = cursor.last_key, cursor.shown
+        if not p.has_more:
+            return spark.createDataFrame(told, "page long, first_index long, last_index long, has_more boolean")
+
+
+@query(_lines_where("regexp_matches(line, '^[A-Z][a-z]+ing')"))
+def udtf_search_lines(spark, d):
+    from siftline.functions import udtf
+
+    udtf.register(spark)
+    found = spark.sql("select d.doc_id, s.line_no, s.line from {docs} d, lateral search_lines(d.text, '^[A-Z][a-z]+ing') s", docs=_table(spark, d, "documents"))
+    return found.select("doc_id", "line_no", "line")
+
+
+def _streamed(stream: DataFrame, spark) -> DataFrame:
+    """What a stream gives until it has nothing more."""
+    place = _scratch(spark)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out")
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
+@query(_lines_where("regexp_matches(line, '[Ll]icensed')"))
+def stream_search(spark, d):
+    """Documents that arrive as a stream of files."""
+    docs = _table(spark, d, "documents")
+    arriving = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*").parquet(_as_folder(spark, docs))
+    return _streamed(matches_of_stream(arriving, "[Ll]icensed", "doc_id", "text"), spark).select(F.col("file_id").alias("doc_id"), "line_no", "line")
+
+
+def _as_folder(spark, df: DataFrame) -> str:
+    place = _scratch(spark) + "/in"
+    df.repartition(3).write.parquet(place)
+    return place
+
+
+@query(_AFTER)
+def stream_refresh(spark, d):
+    """A stored index that followed the corpus from an earlier state, by one refresh for each batch of listings."""
+    old, now = _states(spark, d)
+    place = _scratch(spark)
+    Index.build(old).save(f"{place}/index")
+    listing = now.files.select("path", "size", "mtime_ns")
+    batches = spark.readStream.schema(listing.schema).option("maxFilesPerTrigger", 2).parquet(_as_folder(spark, listing))
+    run = follow(batches, f"{place}/index", lambda _: now, f"{place}/checkpoint")
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return _after(s.search(now, "[Ll]icense", index=Index.load(spark, f"{place}/index"), strategy="index"))
+
+
+# further orders ---------------------------------------------------------------------
+
+
+def _rank_sql(key: str, condition: str = "regexp_matches(line, '[Ll]icense')", more: str = "") -> str:
+    return f"with {LINES} select path, line_no, row_number() over (order by {key}, path, line_no) as rank from l {more} where {condition}"
+
+
+@query(_rank_sql("0"))
+def sort_none(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec())
+
+
+@query(_rank_sql("coalesce(epoch_us(ts), 0)", more="left join events on event_id = doc_id"))
+def sort_accessed(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("accessed"), files=_times(spark, d).withColumnRenamed("mtime_ns", "atime_ns"))
+
+
+@query(_rank_sql("coalesce(epoch_us(ts), 0) desc, path desc", more="left join events on event_id = doc_id").replace("path desc, path, line_no", "path desc, line_no"))
+def sort_created_desc(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("created", reverse=True), files=_times(spark, d).withColumnRenamed("mtime_ns", "ctime_ns"))
+
+
+@query(_rank_sql("case when path like 'src3/%' then 0 else 1 end"))
+def sort_in_folder(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("in-folder:src3"))
+
+
+@query(_rank_sql("case when path like 'src1/%' then 0 else 2 end"))
+def sort_folder_distance(spark, d):
+    return _ranked(_matched(spark, d), sort.SortSpec("folder-distance:src1"))
+
+
+_KIND = "case when doc_id % 3 = 0 then 'vendor/' when doc_id % 3 = 1 then 'tests/' else '' end || " + PATH
+
+
+@query(_rank_sql("path").replace("row_number() over (order by path, path, line_no)", "row_number() over (order by case when path like 'vendor/%' then 2 when path like 'tests/%' then 1 else 0 end, path, line_no)").replace(PATH, _KIND))
+def sort_path_kind(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, "vendor/").when(F.col("doc_id") % 3 == 1, "tests/").otherwise("")
+    corpus = Corpus.from_df(_table(spark, d, "documents"), "doc_id", "text", F.concat(kind, _path()))
+    return _ranked(s.search(corpus, "[Ll]icense"), sort.SortSpec("path-kind"))
+
+
+def _weighted(spark, d, patterns: list[str], spec: str):
+    ranking = rank.parse(join(patterns), spec)
+    rows = s.search(documents(spark, d), ranking.plain)
+    ordered = sort.order_values(rows, sort.SortSpec("weight"), scores=rank.file_scores(rows, ranking))
+    return page.numbered(ordered, sort.SortSpec("weight")).select("path", "line_no", "order_value", F.col("rank").cast("long").alias("rank"))
+
+
+def _weight_sql(value: str, condition: str) -> str:
+    return f"""with {LINES}, m as (select path, line_no, {value} as v from l where {condition}), f as (select path, -max(v) as order_value from m group by path)
+select m.path, line_no, order_value::bigint as order_value, row_number() over (order by order_value, m.path, line_no) as rank from m join f on f.path = m.path"""
+
+
+@query(_weight_sql("case when regexp_extract(line, '(Apache|MIT|under the)', 1) = 'MIT' then 900000 when regexp_extract(line, '(Apache|MIT|under the)', 1) = 'Apache' then 400000 else 0 end", "regexp_matches(line, 'Apache|MIT|under the')"))
+def sort_weight_multi(spark, d):
+    """Labels in several patterns."""
+    return _weighted(spark, d, ["Apache<a>", "MIT<m>", "under the"], "a:0.4,m:0.9")
+
+
+_REST = r"regexp_extract(line, '\bLicense\b.*')"
+
+
+@query(_weight_sql(f"case when regexp_matches({_REST}, '^License *$') then 700000 when starts_with({_REST}, 'License, Version') then 300000 else 0 end", r"regexp_matches(line, '\bLicense\b')"))
+def sort_weight_empty_branch(spark, d):
+    """A labelled branch may take part in a match without text."""
+    return _weighted(spark, d, [r"\bLicense\b( *$<end>|, Version<v>|)"], "end:0.7,v:0.3")
+
+
+@query(f"with {LINES} select concat('in/', path, ':', line) as rendered from l where regexp_matches(line, 'MIT')")
+def render_prefix(spark, d):
+    """Below a folder as it was typed, without line numbers."""
+    return s.rendered(s.search(documents(spark, d), "MIT"), line_numbers=False, prefix="in/").select("rendered")
 
 
+@query("""with w as (select doc_id, quality from labels), r as (select *, row_number() over (order by -quality, doc_id) as a, row_number() over (order by doc_id) as b, doc_id % 11 as q from w),
+p as (select 'good first' as ranking, q, doc_id, row_number() over (partition by q order by -quality, doc_id) as k from r union all select 'by id', q, doc_id, row_number() over (partition by q order by doc_id) from r),
+t as (select q, max(doc_id) as doc_id from r group by q)
+select ranking, count(*) as queries, round(avg(case when k = 1 then 1.0 else 0.0 end), 9) as precision_at_1, round(avg(1.0 / k), 9) as mrr from p join t using (q, doc_id) group by ranking""")
+def relevance_eval(spark, d):
+    """Two orders of labelled documents, eleven queries, each wanting its last document."""
+    labels = _table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "quality", (F.col("doc_id") % 11).cast("string").alias("query"))
+    by = lambda name, *keys: labels.select(F.lit(name).alias("ranking"), "query", "path", F.row_number().over(Window.partitionBy("query").orderBy(*keys)).alias("rank"))
+    ranked = by("good first", F.desc("quality"), "doc_id").unionByName(by("by id", "doc_id"))
+    touched = labels.groupBy("query").agg(F.max("doc_id").cast("string").alias("path"))
+    told = rank.relevance(ranked, touched)
+    return told.select("ranking", "queries", F.round("precision_at_1", 9).alias("precision_at_1"), F.round("mrr", 9).alias("mrr"))

@@ -52,12 +52,12 @@ class CorpusReader(DataSourceReader):
     """No filters are pushed down: Spark keeps a pushed filter for later queries of the same table, which then lose files."""
 
     def __init__(self, options):
-        self.options = dict(options)
+        self.options = {k.lower(): v for k, v in options.items()}  # Spark doesn't keep their case
 
     def partitions(self) -> list[Files]:
         from siftline.sources.walk import walk
 
-        flag = lambda n: str(self.options.get(n, "false")).lower() == "true"
+        flag = lambda n: str(self.options.get(n.lower(), "false")).lower() == "true"
         out: list[Files] = []
         size, root = 0, os.path.abspath(self.options["path"])
         for full in walk(root, flag("hidden"), flag("noIgnore")):
@@ -111,12 +111,12 @@ class ListingReader(DataSourceStreamReader):
     """An offset is a digest of the listing, so unchanged folders make no batch."""
 
     def __init__(self, options):
-        self.options = dict(options)
+        self.options = {k.lower(): v for k, v in options.items()}  # Spark doesn't keep their case
 
     def _listing(self) -> list[tuple[str, int, int]]:
         from siftline.sources.walk import stat, walk
 
-        flag = lambda n: str(self.options.get(n, "false")).lower() == "true"
+        flag = lambda n: str(self.options.get(n.lower(), "false")).lower() == "true"
         root = os.path.abspath(self.options["path"])
         return [(os.path.relpath(p, root), *stat(p)[:2]) for p in walk(root, flag("hidden"), flag("noIgnore"))]
 

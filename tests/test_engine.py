@@ -23,7 +23,7 @@ NAMES = sorted(catalog.QUERIES)
 def oracle(sf):
     c = duckdb.connect()
     c.execute("set timezone = 'UTC'")
-    for t in "part events documents pages benchmark conversations".split():
+    for t in "part events documents pages benchmark conversations labels".split():
         c.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     return c
 
@@ -51,11 +51,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id", "line_no", "line"]
 
 
-def test_confirm(spark):
-    c = _corpus(spark, ("a.txt", "alpha\nbeta NEEDLE gamma\ndelta"), ("b.txt", "xx foo yy foo zz"))
-    assert _told(rendered(search(c, "NEEDLE")), "rendered") == [("a.txt:2:beta NEEDLE gamma",)]
-    assert _told(search(c, "NEEDLE", SearchOptions(invert=True)), "path", "line_no") == [("a.txt", 1), ("a.txt", 3), ("b.txt", 1)]
-    assert _told(search(c, "foo", SearchOptions(only_matching=True)), "text", "ordinal", "match_start") == [("foo", 0, 4), ("foo", 1, 11)]
+def test_lines_with_and_without_a_match(spark):
+    c = _corpus(spark, ("day.log", "dawn\nnoon bell rings\ndusk"), ("night.log", "tick tock tick"))
+    assert _told(rendered(search(c, "bell")), "rendered") == [("day.log:2:noon bell rings",)]
+    assert _told(search(c, "bell", SearchOptions(invert=True)), "path", "line_no") == [("day.log", 1), ("day.log", 3), ("night.log", 1)]
+    assert _told(search(c, "tick", SearchOptions(only_matching=True)), "text", "ordinal", "match_start") == [("tick", 0, 1), ("tick", 1, 11)]
 
 
 def test_strange_texts(spark):
@@ -112,14 +112,17 @@ def test_filters(spark, filter_, kept):
     assert {r[0] for r in paths.filter(filter_.condition(F.col("path"))).collect()} == kept
 
 
-@pytest.mark.parametrize(
-    ("pattern", "spec", "plain", "scores"),
-    [
-        ("Hello (world<w1>|earth<w2>)!", "w1:0.7,w2:0.3", "Hello (world|earth)!", {"Hello world!": 0.7, "Hello earth!": 0.3, "Hello mars!": 0.0}),
-        ("(foo<lo>|foobar<hi>)", "lo:0.2,hi:0.9", "(foo|foobar)", {"xfoobar": 0.2}), ("a<lo>.*b<hi>", "lo:0.2,hi:0.9", "a.*b", {"xaYYbz": 0.9}),
-        ("a<x>b", "w:1", "a<x>b", {"a<x>b": 0.0}), ("x<n>|y", "n:-3", "x|y", {"x": 0.0}), ("([<w>]|b<w>)", "w:2", "([<w>]|b)", {"b": 2.0}),
-    ],
-)
+WEIGHTS = [
+    ("ship (sails<fast>|sinks<slow>)[.]", "fast:3,slow:0.5", "ship (sails|sinks)[.]", {"a ship sails.": 3.0, "ship sinks.": 0.5, "ship rests.": 0.0}),
+    ("(net<a>|netting<b>)", "a:1,b:4", "(net|netting)", {"the netting": 1.0}),  # the first branch that fits is taken
+    ("tide<in> .*ebb<out>", "in:0.25,out:0.75", "tide .*ebb", {"tide and ebb": 0.75}),
+    ("q<other>r", "w:1", "q<other>r", {"q<other>r": 0.0}), ("mast<n>|oar", "n:-2", "mast|oar", {"mast": 0.0}), ("([<w>]+|keel<w>)", "w:6", "([<w>]+|keel)", {"keel": 6.0, "<w>": 0.0}),
+    ("(z*<none>|deck)", "none:2", "(z*|deck)", {"rope": 2.0, "zz": 2.0, "": 2.0}),  # a branch without text takes part too
+    ("^$|(buoy<b>)?x", "b:7", "^$|(buoy)?x", {"": 0.0, "buoyx": 7.0, "x": 0.0}), (r"(\()(a<v>|b)[()]", "v:1", r"(\()(a|b)[()]", {"(a)": 1.0, "(b(": 0.0}),
+]
+
+
+@pytest.mark.parametrize(("pattern", "spec", "plain", "scores"), WEIGHTS)
 def test_weights(spark, pattern, spec, plain, scores):
     ranking = rank.parse(pattern, spec)
     assert ranking.plain == plain
@@ -127,16 +130,16 @@ def test_weights(spark, pattern, spec, plain, scores):
     assert {r["t"]: pytest.approx(r["s"]) for r in rows} == scores
 
 
-@pytest.mark.parametrize(("pattern", "spec"), [("foo<w>", "w"), ("foo<w>", "w:abc"), ("foo<w>", ""), ("(<w>foo)", "w:0.5"), ("a<w>", "w:inf"), ("a<w>", "1w:2")])
+@pytest.mark.parametrize(("pattern", "spec"), [("sail<w>", "w"), ("sail<w>", "w:many"), ("sail<w>", " , "), ("(<w>sail)", "w:2"), ("sail<w>", "w:nan"), ("sail<w>", "9w:2"), ("sail|<w>", "w:1")])
 def test_bad_weights(pattern, spec):
     with pytest.raises(ValueError):
         rank.parse(pattern, spec)
     with pytest.raises(ValueError):
-        rank.parse("foo", "w:1", fixed=True)
+        rank.parse("sail", "w:1", fixed=True)
 
 
 def test_pages_hold_everything_once_in_order(spark):
-    c = _corpus(spark, ("src/a/b.rs", "x\nx"), ("src/a.rs", "x\n\nx"), ("src/ab.rs", "x"))
+    c = _corpus(spark, ("isle/bay/cove", "x\nx"), ("isle/bay-2", "x\n\nx"), ("isle/bays", "x"))
     for spec in (sort.SortSpec(), sort.SortSpec("path", reverse=True), sort.SortSpec("match-count")):
         rows = search(c, "x")
         got, key, shown = [], None, 0
@@ -147,8 +150,8 @@ def test_pages_hold_everything_once_in_order(spark):
             key, shown = p.last_key, p.last_index
             if not p.has_more:
                 break
-        assert len(got) == len(set(got)) == 5 and got[0][0] == ("src/ab.rs" if spec.reverse else "src/a.rs")
-    assert [r[0] for r in search(c, "x").select("path").distinct().orderBy("path").collect()] == ["src/a.rs", "src/a/b.rs", "src/ab.rs"]
+        assert len(got) == len(set(got)) == 5 and got[0][0] == ("isle/bays" if spec.reverse else "isle/bay-2")
+    assert [r[0] for r in search(c, "x").select("path").distinct().orderBy("path").collect()] == ["isle/bay-2", "isle/bay/cove", "isle/bays"]
     assert page.paged(search(c, "nothing")).header == "[no matches]"
     assert page.paged(search(c, "x"), mode="count").header == "[count 1-3 of 3 files · 5 matches]"
     assert page.paged(search(c, "x"), mode="files", size=2).header == "[files 1-2 of 3]"
@@ -160,18 +163,19 @@ def test_fingerprint_follows_the_matches(spark):
     assert prints[0] == prints[1] != prints[2]
 
 
-def test_truncation(spark):
-    line = "é" * 400 + "NEEDLE" + "y" * 400
+@pytest.mark.parametrize(("line", "want"), [("ß" * 90 + "pearl" + "-" * 90, "…" + "ß" * 10 + "pearl" + "-" * 15 + "…"), ("pearl" + "." * 90, "pearl" + "." * 25 + "…"), ("." * 90 + "pearl", "…" + "." * 25 + "pearl"), ("a pearl", "a pearl")])
+def test_truncation(spark, line, want):
     row = _corpus(spark, ("a", line))
-    text = search(row, "NEEDLE").select(page.truncated(F.col("text"), F.col("match_start"), 60).alias("t")).first()["t"]
-    assert text == "…" + "é" * 20 + "NEEDLE" + "y" * 34 + "…"
+    assert search(row, "pearl").select(page.truncated(F.col("text"), F.col("match_start"), 30).alias("t")).first()["t"] == want
 
 
 def test_context_belongs_to_its_page(spark):
-    c = _corpus(spark, ("a", "c1\nhit\nc2\n\n\n\nc3\nhit\nc4"))
-    rows = search(c, "hit", SearchOptions(before=1, after=1))
-    first = page.matches_page(sort.order_values(rows, sort.SortSpec()), size=1)
-    assert sorted(r["line_no"] for r in page.with_context_of(first, rows).collect()) == [1, 2, 3]
+    c = _corpus(spark, ("a", "o\no\nfind\no\nfind\no\no\no\no\nfind"))
+    rows = search(c, "find", SearchOptions(before=1, after=2))
+    for k, lines in enumerate(([2, 3, 4], [5, 6, 7], [9, 10])):
+        key = {"order_value": 0, "path": "a", "line_no": (0, 3, 5)[k], "ordinal": 0}
+        part = page.matches_page(sort.order_values(rows, sort.SortSpec()), size=1, start_after=key)
+        assert sorted(r["line_no"] for r in page.with_context_of(part, rows).collect()) == lines
 
 
 def test_cursor():
@@ -193,30 +197,119 @@ def test_cursor():
     assert page.staleness(cursor, 9, -5) is None and "9 then, 10 now" in page.staleness(cursor, 10, -5)
 
 
+def _found(index, pattern):
+    return {r["path"] for r in index.candidates(for_pattern(pattern)).collect()}
+
+
 def test_index_save_load_apply(spark, tmp_path):
-    files = [("a", "WIDGET one"), ("b", "other"), ("c", "WIDGET two")]
-    old = _corpus(spark, *files)
+    old = _corpus(spark, ("elm", "ripe PEAR"), ("fir", "bare"), ("oak", "more PEARs"))
     index = Index.build(old)
     index.save(str(tmp_path / "i"))
     loaded = Index.load(spark, str(tmp_path / "i"))
-    assert {r["path"] for r in loaded.candidates(for_pattern("WIDGET")).collect()} == {"a", "c"}
-    new = _corpus(spark, ("a", "WIDGET one"), ("b", "a WIDGET now"), ("d", "WIDGET new"))
+    assert _found(loaded, "PEAR") == {"elm", "oak"}
+    # another listing numbers its files anew
+    new = _corpus(spark, ("ash", "new PEAR"), ("elm", "ripe PEAR"), ("fir", "now a PEAR"))
     diff = loaded.reconcile(new.files)
-    assert {tuple(r) for r in diff.collect()} == {("b", "changed"), ("c", "removed"), ("d", "new")}
+    assert {tuple(r) for r in diff.collect()} == {("ash", "new"), ("fir", "changed"), ("oak", "removed")}
     after = loaded.apply(diff, new)
-    assert {r["path"] for r in after.candidates(for_pattern("WIDGET")).collect()} == {"a", "b", "d"}
+    assert _found(after, "PEAR") == {"ash", "elm", "fir"}
     after.save(str(tmp_path / "i"))
-    assert Index.load(spark, str(tmp_path / "i")).stats().first()["files"] == 3
-    assert after.files.filter("not live").select("path").collect()[0][0] == "c"
+    again = Index.load(spark, str(tmp_path / "i"))
+    assert again.stats().first()["files"] == 3 and after.files.filter("not live").first()["path"] == "oak"
     back = after.apply(after.reconcile(old.files), old)
-    assert {r["path"] for r in back.candidates(for_pattern("WIDGET")).collect()} == {"a", "c"}
-    damaged = Index(index.files.filter("path <> 'a'"), index.postings)
+    assert _found(back, "PEAR") == {"elm", "oak"}
+    for one, corpus in ((loaded, new), (after, new), (again, new), (back, old), (again, old)):
+        for pattern in ("PEAR", "bare", "new|more", "ripe P"):
+            told = [{tuple(r) for r in search(corpus, pattern, index=one, strategy=k).select("path", "line_no").collect()} for k in ("scan", "index")]
+            assert told[0] == told[1]
+    damaged = Index(index.files.filter("path <> 'elm'"), index.postings)
     damaged.save(str(tmp_path / "bad"))
     for bad in ("bad", "missing"):
         with pytest.raises(ValueError):
             Index.load(spark, str(tmp_path / bad))
 
 
+def test_tables_and_indexes_of_random_states_agree(spark):
+    import random
+
+    r = random.Random(12)
+    state = {f"f{i}": " ".join(r.choice(["ivy", "moss", "fern", "reed"]) for _ in range(3)) for i in range(12)}
+    index, corpus = None, None
+    for _ in range(4):
+        files = sorted(state.items(), key=lambda _: r.random())
+        corpus = _corpus(spark, *files)
+        if index is None:
+            index = Index.build(corpus)
+        else:
+            stale = {x["path"] for x in search(corpus, "fern", index=index, strategy="index").select("path").collect()}
+            assert stale == {p for p, t in files if "fern" in t}
+            index = index.apply(index.reconcile(corpus.files), corpus)
+        for word in ("ivy", "moss", "moss fern"):
+            got = {x["path"] for x in search(corpus, word, index=Index(index.files, index.postings), strategy="index").select("path").collect()}
+            assert got == {p for p, t in files if word in t}
+        for name in r.sample(sorted(state), 4):
+            del state[name]
+        state |= {f"f{r.randrange(16)}": "x" * r.randrange(9) + r.choice([" ivy", " fern moss fern"]) for _ in range(5)}
+
+
+def test_auto_reads_a_small_corpus_and_looks_up_for_a_large_one(spark, monkeypatch):
+    from siftline.operators import search as module
+
+    c = catalog.documents(spark, "/root/testdata/sf0.001")
+    index, asked = Index.build(c), []
+    many = search(c, "license", strategy="scan").count()
+    monkeypatch.setattr(Index, "candidates", lambda self, q, keep=None, real=Index.candidates: asked.append(q) or real(self, q, keep))
+    assert search(c, "license", index=index).count() == many and not asked
+    monkeypatch.setattr(module, "SCANNED_BYTES", 0)
+    assert search(c, "license", index=index).count() == many and asked
+
+
+def test_context_and_plain_searches_have_no_shuffle(spark):
+    c = _corpus(spark, ("a", "x\ny"))
+    for options in (SearchOptions(), SearchOptions(before=2, after=1), SearchOptions(only_matching=True), SearchOptions(before=1, only_matching=True)):
+        assert "Exchange" not in search(c, "x", options)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("before,after", [(0, 1), (1, 0), (2, 2), (0, 3), (9, 9)])
+def test_context_equals_a_plain_reading(spark, before, after):
+    import random
+
+    r = random.Random(before * 10 + after)
+    texts = [(f"p{k}", "\n".join(r.choice(["m", "-", "-", "-"]) for _ in range(r.randint(1, 30)))) for k in range(12)]
+    got = {(x["path"], x["line_no"]): (x["is_match"], x["block"]) for x in search(_corpus(spark, *texts), "m", SearchOptions(before=before, after=after)).collect()}
+    want = {}
+    for path, text in texts:
+        lines, block, last = text.split("\n"), -1, None
+        for i in range(len(lines)):
+            if any("m" in x for x in lines[max(0, i - after) : i + before + 1]):
+                block += last is None or i - last > 1
+                last = i
+                want[path, i + 1] = ("m" in lines[i], block)
+    assert got == want
+
+
+def test_orders_by_path(spark):
+    names = ["src/core/a.c", "src/core/test_a.c", "vendor/z.c", "src/b.spec.js", "docs/x", "src/core/deep/q.c"]
+    rows = spark.createDataFrame([(n, 1, 0, True) for n in names], "path string, line_no long, ordinal int, is_match boolean")
+
+    def order(key):
+        spec = sort.SortSpec(key)
+        return [r["path"] for r in sort.order_values(rows, spec).orderBy(*sort.ordering(spec)).collect()]
+
+    assert order("path-kind") == ["docs/x", "src/core/a.c", "src/core/deep/q.c", "src/b.spec.js", "src/core/test_a.c", "vendor/z.c"]
+    assert order("in-folder:src/core")[:3] == ["src/core/a.c", "src/core/deep/q.c", "src/core/test_a.c"]
+    assert order("folder-distance:src/core") == ["src/core/a.c", "src/core/test_a.c", "src/b.spec.js", "src/core/deep/q.c", "docs/x", "vendor/z.c"]
+    with pytest.raises(ValueError):
+        sort.SortSpec("in-folder")
+
+
+def test_relevance(spark):
+    ranked = spark.createDataFrame([("r", "q1", "a", 1), ("r", "q1", "b", 2), ("r", "q2", "a", 1), ("r", "q2", "b", 2), ("s", "q1", "b", 1), ("s", "q1", "a", 2), ("s", "q2", "c", 1)], "ranking string, query string, path string, rank int")
+    touched = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q9", "a")], "query string, path string")
+    got = {r["ranking"]: tuple(r)[1:] for r in rank.relevance(ranked, touched).collect()}
+    assert got == {"r": (2, 0.5, 0.75), "s": (2, 0.0, 0.25)}
+
+
 def test_changes_of_empty_listings(spark):
     none = spark.createDataFrame([], "path string, size long, mtime_ns long")
     some = spark.createDataFrame([("a", 1, 2)], none.schema)
@@ -233,11 +326,14 @@ def test_index_narrows_by_many_trigrams(spark, sf):
 
 
 def test_find(spark):
-    files = _corpus(spark, *[(p, "") for p in ("conf_a", "conf_b", "conf_c", "other")]).files
-    first = find_page(files, "conf", 2)
-    assert (first.total, first.start, first.next_after) == (3, 0, "conf_b")
-    second = find_page(files, "conf", 2, first.next_after)
-    assert (second.start, second.next_after, [r[0] for r in second.paths.collect()]) == (2, None, ["conf_c"])
+    files = _corpus(spark, *[(p, "") for p in ("kelp/3", "reef/1", "kelp/1", "kelp/2", "kelp/4")]).files
+    told, key = [], None
+    while True:
+        got = find_page(files, "kelp", 3, key)
+        told.append((got.total, got.start, [r[0] for r in got.paths.collect()]))
+        if (key := got.next_after) is None:
+            break
+    assert told == [(4, 0, ["kelp/1", "kelp/2", "kelp/3"]), (4, 3, ["kelp/4"])]
 
 
 def test_decode(spark):
@@ -257,6 +353,14 @@ def test_tools(spark):
     assert t.content_search("foo", types=["rust"], files_only=True).splitlines() == ["[files 1-1 of 1]", "b.rs"]
     ranked = t.content_search(r"(1<lo>|3<hi>)", sort_by="weight", weights="lo:1,hi:2")
     assert ranked.splitlines()[1] == "b.rs"
+    for more in ({"pattern": "foo"}, {"word": True}, {"page_size": 2, "before": 1}):
+        token = t.content_search("foo", page_size=2).splitlines()[-1].removeprefix("[more: cursor ").removesuffix("]")
+        with pytest.raises(ValueError, match="stands alone"):
+            t.content_search(cursor=token, **more)
+    both = t.content_search(["3<hi>", "1<lo>"], sort_by="weight", weights="lo:1,hi:2")
+    assert [x for x in both.splitlines() if x[0] != "["] == ["b.rs", "  1: foo 3", "a.py", "  1: foo 1"]
+    old = Tools(_corpus(spark, ("a.py", "foo 1 and more"), ("b.rs", "foo 3")), t.index)
+    assert [x for x in old.content_search("foo").splitlines() if "index" in x] == ["a.py (changed since index)"]
     assert t.file_search(".rs").splitlines() == ["[paths 1-1 of 1]", "b.rs"]
     assert "files      2" in t.status()
     call = {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "content_search", "arguments": {"pattern": "("}}}
