@@ -796,6 +796,103 @@ def test_pipeline(spark, sf, docs, tmp_path):
     _check_packing(rows.toPandas(), dict(zip(left.doc_id, left.text)), 1024)
 
 
+def _pipeline_docs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = pd.read_parquet(f"{sf}/labels.parquet")
+    clean = [int(i) for i in labels[(labels.toxic == 0) & (labels.quality == 1)].doc_id if not _held(i, 5, 0)]
+    texts = {r["doc_id"]: r["text"] for r in docs.filter(F.col("doc_id").isin(clean)).collect() if len(r["text"]) > 600}
+    first = min(texts)
+    more = [(None, texts[first]), (900_001, None), (900_002, ""), (900_003, "..."), (900_004, texts[first]), (900_004, texts[first]), (900_005, "мама мыла раму и пошла гулять по старому парку вместе с подругой " * 4), (900_006, texts[first] + " word " * 30_000)]
+    rows = [(i, t, None, "s", None if t is None else len(t), "x", "y") for i, t in more]
+    strange = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string, token string")
+    return docs.withColumns({"fp": F.lit("x"), "token": F.lit("y")}).unionByName(strange), texts[first]
+
+
+def test_pipeline_run_with_strange_rows(spark, sf, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    docs, _ = _pipeline_docs(spark, sf)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    shutil.copy(f"{sf}/labels.parquet", tmp_path / "labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    ids = set(got.doc_id.dropna())
+    assert not {900_001, 900_002, 900_003, 900_005} & ids and got.doc_id.isna().any()
+    assert got.groupby("sequence_id").length.sum().max() <= 1024
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, str(tmp_path))
+        assert kept.columns == before.columns, name
+        kept.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+    assert set(kept.toPandas().doc_id.dropna()) == ids
+    told = {r["doc_id"]: r for r in kept.collect()}
+    assert all(r["n_chars"] == len(r["text"]) for r in told.values()) and list(kept.toPandas().doc_id).count(900_004) <= 1
+
+
+def test_pipeline_of_nothing(spark, sf):
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf)
+        assert out.count() == 0 and (name == "packing" or out.columns == rows.columns)
+
+
+def test_stages_equal_plain_readings(spark, sf, docs):
+    """Language and toxicity stages keep just what the operators' own queries tell of the whole table."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    told = queries.op6_language_id(spark, sf).toPandas()
+    want = set(told[(told.lang_pred != "und") & ~told.strange].doc_id)
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, table, sf).select("doc_id").collect()} == want
+    told = queries.op7_toxicity(spark, sf).toPandas()
+    want = set(told[told.predicted == 0].doc_id)
+    assert {r["doc_id"] for r in corpus_pipeline.harmless(spark, table, sf).select("doc_id").collect()} == want
+
+
+def _plain_language(model, text: str) -> tuple[str, bool]:
+    """Language and strangeness, one lane after another through plain automata."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    if not words:
+        return "und", False
+    row = " " + " ".join(words) + " "
+    lanes = [row[at : at + language_id.LANE] for at in range(0, len(row), language_id.LANE)]
+    bits = []
+    for k, root in enumerate(model.roots.tolist()):
+        end = model.roots[k + 1] if k + 1 < len(model.roots) else 1 << 40
+        own = (model.edges >> 21 >= root) & (model.edges >> 21 < end)
+        moves = dict(zip((model.edges[own] - (root << 21)).tolist(), (model.targets[own] - root).tolist()))
+        bits.append([language_id.phrases(moves, x) * model.costs[k] for x in lanes])
+    total = [sum(x) for x in bits]
+    best = int(np.argmin(total))
+    letters = sum(map(len, words))
+    return model.langs[best], sum(map(min, zip(*bits))) > model.strange[best] * letters + language_id.SLACK * model.costs[best]
+
+
+def test_op6_equals_a_plain_parse(spark, sf, docs):
+    model = language_id.fit(language_id.learnable(spark.read.parquet(f"{sf}/documents.parquet")))
+    model.ready()
+    texts = [*docs.text.head(25), "", "½ ² ① 42", "Grüße aus Köln, wo es regnet", "x" * 700, "zq xv " * 90]
+    names, score, strange = model.predict(texts)
+    assert [*zip(names, strange.tolist())] == [_plain_language(model, t) for t in texts]
+    assert names[26] == "und" and ((score > 0) == (np.array(names) != "und")).all()
+
+
+def test_words_keep_their_marks_and_letters_of_all_scripts():
+    codes, owner, letters = language_id.words_only(["हिन्दी भाषा", "½²", "\u0301e\u0301 a", "日本"])
+    told = ["".join(map(chr, codes[owner == i])) for i in range(4)]
+    assert told == [" हिन्दी भाषा ", "", " e\u0301 a ", " 日本 "] and letters.tolist()[1] == 0
+
+
+def test_excerpts_share_a_budget():
+    assert language_id.shares([5, 100, 40], 90) == [5, 45, 40] and language_id.shares([3, 4], 90) == [3, 4] and sum(language_id.shares([9] * 7, 20)) <= 20
+    text = "".join(chr(65 + i // 1000) for i in range(26_000))
+    assert len(language_id.excerpt(text, 2000)) == 2000 and len(set(language_id.excerpt(text, 2000))) == 10 and language_id.excerpt("ab", 5) == "ab"
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
