@@ -10,7 +10,7 @@ neighbours of sampled queries spread over the parts. It files every row under it
 most probable part and sends a query to the most probable ones, where all rows are
 compared exactly. How many it visits is measured: sampled queries that the network
 has not learned must find TARGET of their neighbours. The number of parts grows
-with the rows, and large parts are dealt into blocks, so no part, however popular,
+with the root of the rows, and large parts are dealt into blocks, so no part, however popular,
 has to fit one task.
 """
 
@@ -30,8 +30,8 @@ from siftline.llm.common import hash_unit
 
 #: Rows of the sample at least and for each part, neighbours of each in the graph, and hidden units of the network.
 SAMPLE, SAMPLE_EACH, NEIGHBOURS, HIDDEN = 6000, 64, 16, 96
-#: Rows for which there is one part, and parts at least and at most.
-PART_OF, LEAST_PARTS, MOST_PARTS = 500, 8, 128
+#: There are as many parts as the root of the rows holds this, about, and at least and at most so many.
+PART_ROOT, LEAST_PARTS, MOST_PARTS = 7, 8, 256
 #: Share of their neighbours that sampled queries must find, and of the sample one row in so many is such a query.
 TARGET, ASKING = 0.94, 8
 #: Candidates and queries of one block.
@@ -234,7 +234,7 @@ def _found(rows: DataFrame, is_query, dims: int, n: int, longest: float, k: int,
     """(query_id, vec_id, score) of the k best in each part that a query visits; ``rows`` are n vectors of ``dims`` components."""
     spark = rows.sparkSession
     out = "query_id long, vec_id long, score double"
-    parts = parts or min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, round(math.log2(n / PART_OF)))))
+    parts = parts or min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, round(math.log2(n**0.5 / PART_ROOT)))))
     sample = rows.orderBy(hash_unit("id", 3), "id").limit(max(SAMPLE, SAMPLE_EACH * parts)).toArrow()  # of bounded size
     x = np.unique(_matrix(sample["v"], dims), axis=0)
     router, needed = fit(np.random.default_rng(5).permutation(x), longest, parts, k)
