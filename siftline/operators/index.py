@@ -35,8 +35,11 @@ class Index:
         """Index of a corpus; binary files have no postings."""
         return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files), corpus)
 
-    def save(self, path: str, partitions: int | None = None) -> None:
-        """Write a new version folder, postings sorted by trigram so that a lookup skips row groups, then make it current."""
+    def save(self, path: str, partitions: int | None = None, keep: int = 2) -> None:
+        """Write a new version folder, postings sorted by trigram so that a lookup skips row groups, then make it current.
+
+        The last ``keep`` versions stay, for searches that still read one; older ones are removed.
+        """
         spark = self.files.sparkSession
         version = _latest(spark, path) + 1
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -45,6 +48,7 @@ class Index:
         self.postings.repartitionByRange(n, "tri", "file_id").sortWithinPartitions("tri", "file_id").write.parquet(f"{target}/postings")
         # a version counts once its mark exists, and that is written last
         spark.createDataFrame([(json.dumps({"format": VERSION}),)], "value string").coalesce(1).write.text(f"{target}/mark")
+        _remove_before(spark, path, version - keep + 1)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, check: bool = True) -> Index:
@@ -200,6 +204,16 @@ def bitmap_ids(maps: DataFrame, leaves: list[int], every: bool) -> DataFrame:
     return met.select("bucket", F.bitmap_count("bits").alias("count"))
 
 
+def _remove_before(spark: SparkSession, path: str, version: int) -> None:
+    """Remove the version folders below a number."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for p in [s.getPath() for s in fs.listStatus(folder)]:
+        if p.getName().startswith("v=") and int(p.getName()[2:]) < version:
+            fs.delete(p, True)
+
+
 def _latest(spark: SparkSession, path: str) -> int:
     """The highest complete version under a folder, 0 if none."""
     jvm = spark.sparkContext._jvm

@@ -222,6 +222,9 @@ def test_index_save_load_apply(spark, tmp_path):
         for pattern in ("PEAR", "bare", "new|more", "ripe P"):
             told = [{tuple(r) for r in search(corpus, pattern, index=one, strategy=k).select("path", "line_no").collect()} for k in ("scan", "index")]
             assert told[0] == told[1]
+    for _ in range(2):
+        back.save(str(tmp_path / "i"))
+    assert sorted(x.name for x in (tmp_path / "i").iterdir()) == ["v=000003", "v=000004"]
     damaged = Index(index.files.filter("path <> 'elm'"), index.postings)
     damaged.save(str(tmp_path / "bad"))
     for bad in ("bad", "missing"):
@@ -235,7 +238,7 @@ def test_tables_and_indexes_of_random_states_agree(spark):
     r = random.Random(12)
     state = {f"f{i}": " ".join(r.choice(["ivy", "moss", "fern", "reed"]) for _ in range(3)) for i in range(12)}
     index, corpus = None, None
-    for _ in range(4):
+    for _ in range(3):
         files = sorted(state.items(), key=lambda _: r.random())
         corpus = _corpus(spark, *files)
         if index is None:
@@ -244,7 +247,7 @@ def test_tables_and_indexes_of_random_states_agree(spark):
             stale = {x["path"] for x in search(corpus, "fern", index=index, strategy="index").select("path").collect()}
             assert stale == {p for p, t in files if "fern" in t}
             index = index.apply(index.reconcile(corpus.files), corpus)
-        for word in ("ivy", "moss", "moss fern"):
+        for word in ("ivy", "moss fern"):
             got = {x["path"] for x in search(corpus, word, index=Index(index.files, index.postings), strategy="index").select("path").collect()}
             assert got == {p for p, t in files if word in t}
         for name in r.sample(sorted(state), 4):
