@@ -7,14 +7,14 @@ once: its characters lie in flat numpy arrays beside those of all other new
 words, every round finds each word's best pair by a segmented minimum, merges
 the leftmost such pair of every word at the same time, and compacts the arrays,
 until no word has a pair left. Words that are longer than ``LONG_WORD``
-characters (runs without spaces) take the same merges from a priority queue,
-so that one huge run does not cost a round a character.
+characters (runs without spaces) merge all places of their best pair in a round,
+wherever that is the same as one after another: no pair that arises may come before
+those that are left. So one huge run does not cost a round a character.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -70,7 +70,6 @@ class Codec:
                 left, right = symbol.get(piece[:k]), symbol.get(piece[k:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = (order[score], made)
-        self.pairs = pairs
         self.bits = max(10, int(len(pairs) * 6).bit_length())
         slots = 1 << self.bits
         self.key, self.value = np.full(slots, -1, np.int64), np.full(slots, _NONE, np.int64)
@@ -99,8 +98,11 @@ class Codec:
             at = (at + 1) & (len(self.key) - 1)
         return out
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Symbols of every word when no pair is left; unknown characters are ``base + code point``."""
+    def merge(self, words: list[str], every: bool = False) -> list[list[int]]:
+        """Symbols of every word when no pair is left; unknown characters are ``base + code point``.
+
+        With ``every`` a round merges all places of a word's best pair where it may.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = "".join(words)
         points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -109,10 +111,33 @@ class Codec:
         symbols = of[inverse] if len(points) else np.zeros(0, np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         found: list[list[int]] = [[] for _ in words]
-        self._rounds(symbols, word, found)
+        self._rounds(symbols, word, found, every)
         return found
 
-    def _rounds(self, symbols: np.ndarray, word: np.ndarray, found: list[list[int]]) -> None:
+    def _every(self, symbols: np.ndarray, word: np.ndarray, pair: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Places that a round merges: of overlapping hits the leftmost ones; only a word's first where a new pair would come before its others."""
+        run = np.r_[True, (np.diff(hits) > 1) | (word[hits[1:]] != word[hits[:-1]])]
+        nth = np.arange(len(hits)) - np.maximum.accumulate(np.where(run, np.arange(len(hits)), 0))
+        chosen = hits[nth % 2 == 0]
+        rank, made = pair[chosen] >> 20, pair[chosen] & 0xFFFFF
+        merged = symbols.copy()
+        merged[chosen] = made
+        taken = np.zeros(len(symbols) + 2, bool)
+        taken[chosen + 1] = True  # second symbols, which go
+        least = np.full(len(chosen), _NONE >> 20)
+        # the symbol before, as merges further left leave it, and the one behind, as it stands
+        before = np.maximum(chosen - 1 - taken[np.maximum(chosen - 1, 0)], 0)
+        some = np.flatnonzero((chosen > 0) & (word[before] == word[chosen]))
+        least[some] = self._look(merged[before[some]], made[some]) >> 20
+        behind = np.minimum(chosen + 2, len(symbols) - 1)
+        some = np.flatnonzero((chosen + 2 < len(symbols)) & (word[behind] == word[chosen]))
+        least[some] = np.minimum(least[some], self._look(made[some], symbols[behind[some]]) >> 20)
+        first = np.r_[True, word[chosen][1:] != word[chosen][:-1]]
+        alone = np.zeros(int(word.max()) + 1, bool)
+        alone[word[chosen[least <= rank]]] = True
+        return chosen[first | ~alone[word[chosen]]]
+
+    def _rounds(self, symbols: np.ndarray, word: np.ndarray, found: list[list[int]], every: bool) -> None:
         pair = np.full(len(symbols), _NONE, np.int64)
         same = np.flatnonzero(word[1:] == word[:-1]) if len(word) else np.zeros(0, np.int64)
         pair[same] = self._look(symbols[same], symbols[same + 1])
@@ -135,7 +160,7 @@ class Codec:
                     return
                 starts = np.cumsum(sizes) - sizes
             hits = np.flatnonzero(rank == np.repeat(best, sizes))
-            first = hits[np.r_[True, word[hits][1:] != word[hits][:-1]]]
+            first = self._every(symbols, word, pair, hits) if every else hits[np.r_[True, word[hits][1:] != word[hits][:-1]]]
             symbols[first] = pair[first] & 0xFFFFF
             keep = np.ones(len(symbols), bool)
             keep[first + 1] = False
@@ -147,31 +172,6 @@ class Codec:
                 pair[at[(at + 1 >= len(symbols)) | (word[at] != word[np.minimum(at + 1, len(symbols) - 1)])]] = _NONE
                 pair[inner] = self._look(symbols[inner], symbols[inner + 1])
 
-    def _queued(self, text: str) -> list[int]:
-        """The same merges for one long word, from a priority queue."""
-        symbols = [self.char_symbol.get(c, self.base + ord(c)) for c in text]
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (x := self.pairs.get(symbols[i] << 32 | symbols[j])):
-                heapq.heappush(heap, (x[0], i, j, symbols[i], symbols[j], x[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if symbols[i] != a or symbols[j] != b or after[i] != j:
-                continue
-            symbols[i], symbols[j] = made, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [s for s in symbols if s >= 0]
-
     def _ids(self, symbols: list[int]) -> list[int]:
         if max(symbols, default=0) < len(self.pieces):
             return symbols
@@ -199,7 +199,7 @@ class Codec:
             self.memo[w] = self._kept(symbols)
         for w in new:
             if len(w) > LONG_WORD:
-                self.memo[w] = self._kept(self._queued(w))
+                self.memo[w] = self._kept(self.merge([w], every=True)[0])
 
     def _kept(self, symbols: list[int]) -> tuple[int, str, str]:
         if max(symbols) < len(self.pieces):  # whole pieces only: each decodes by itself

@@ -69,6 +69,18 @@ def test_codec_equals_the_library(library):
         assert c.decode(ids) == library.decode(ids)
 
 
+def test_long_words_merge_everywhere_at_once_and_equal_the_library(library):
+    c, r = sentencepiece_codec.codec(tokenizer_path("piece_bpe_32k.model")), random.Random(7)
+    alphabets = ["ab", "thean", "abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdef0123456789+/", "的一是不了人我在", "ion-_tes", "é"]
+    for k in range(60):
+        word = "".join(r.choice(alphabets[k % len(alphabets)]) for _ in range(r.choice([401, 700, 2500])))
+        assert c.encode(word) == library.encode(word)
+        parts = [r.choice(["the", "ing", "tion", "http", "www", "ab", "aa", "x", "0"]) for _ in range(400)]
+        assert c.encode("".join(parts)) == library.encode("".join(parts))
+    long = "the" * 40_000 + "".join(r.choice("abcdef0123456789") for _ in range(60_000))
+    assert c.encode(long) == library.encode(long)
+
+
 def test_op1(spark, strange, nothing, library):
     path = tokenizer_path("piece_bpe_32k.model")
     got = sentencepiece_codec.round_trip(strange, path).collect()
