@@ -10,7 +10,7 @@ from siftline.operators import page, rank, sort
 from siftline.operators.filters import FileFilter
 from siftline.operators.find import find_page
 from siftline.operators.index import Index, changes
-from siftline.operators.search import SearchOptions, count_per_file, nearest_match, plan, rendered, search, totals
+from siftline.operators.search import SearchOptions, nearest_match, plan, rendered, search, totals
 from siftline.plans.query import for_pattern
 from siftline.plans.regex import PatternError
 from siftline.sources.corpus import Corpus, decode
