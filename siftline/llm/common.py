@@ -18,7 +18,7 @@ MEMO_ENTRIES = 400_000
 #: Short rows of a file of a checkpoint.
 FILE_ROWS = 500_000
 #: Bytes of an Arrow batch, and classes of a sample that are broadcast.
-BATCH_BYTES, CLASSES_AT_ONCE = 8 << 20, 20_000
+BATCH_BYTES, CLASSES_AT_ONCE = 4 << 20, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
