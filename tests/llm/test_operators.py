@@ -596,9 +596,17 @@ def test_language_model(spark, sf, docs, strange, nothing):
     assert language_model.score(nothing).count() == 0
 
 
+def _pairs(texts: list[bytes]) -> np.ndarray:
+    counts = np.full((257, 256), 0.01)
+    for t in texts:
+        for a, b in zip([0, *(x + 1 for x in t)], t):
+            counts[a, b] += 1
+    return counts
+
+
 def _small_model(texts: list[bytes]) -> language_model.Model:
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    code = language_model.Code(np.bincount(flat, minlength=256).astype(float))
+    code = language_model.Code(_pairs(texts))
     bits = language_model.table_bits(len(flat))
     counts = [np.zeros(2 << b, np.uint32) for b in bits]
     language_model.counted(texts, code, bits, counts)
@@ -613,12 +621,13 @@ def _plain_score(model: language_model.Model, text: bytes) -> float:
     for i, byte in enumerate(text):
         if i % language_model.BLOCK == 0:
             weights = model.weights.copy()
-        for d in range(int(model.code.depth[byte])):
-            node, bit = model.code.node[byte, d], int(model.code.bit[byte, d])
+        step = (text[i - 1] + 1 if i else 0) * 256 + byte
+        for d in range(int(model.code.depth[step])):
+            node, bit = int(model.code.node[step, d]) * 0xD6E8FEB86659FD93, int(model.code.bit[step, d])
             state = []
             for k, table in enumerate(model.tables):
                 bits = len(table).bit_length() - 1
-                x = (int(hashed[k, i]) + int(node)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+                x = (int(hashed[k, i]) + node) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
                 state.append(int(table[x >> (64 - bits)]))
             x = np.array(state) * 8 / 127
             gate = 4 * int(sum(abs(v) > np.log(10) for v in x)) + min(d, 3)
@@ -669,14 +678,14 @@ def test_decisions_are_a_distribution(docs):
 def test_counts_of_stretches_equal_those_of_whole_texts(docs, monkeypatch):
     texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(20)] + [b"x" * 5000 + b" y " * 900 + language_model.END]
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    code, bits = language_model.Code(np.bincount(flat, minlength=256).astype(float)), language_model.table_bits(len(flat))
+    code, bits = language_model.Code(_pairs(texts)), language_model.table_bits(len(flat))
     got = []
     for at_once in (1 << 20, 1024):
         monkeypatch.setattr(language_model, "AT_ONCE", at_once)
         got.append([np.zeros(2 << b, np.uint32) for b in bits])
         language_model.counted(texts, code, bits, got[-1])
     assert all((a == b).all() for a, b in zip(*got))
-    assert got[0][0].sum() == code.depth[flat].sum()
+    assert got[0][0].sum() == sum(code.depth[a * 256 + b] for t in texts for a, b in zip([0, *(x + 1 for x in t)], t))
 
 
 # 10 -------------------------------------------------------------------------
