@@ -222,9 +222,9 @@ def test_index_save_load_apply(spark, tmp_path):
         for pattern in ("PEAR", "bare", "new|more", "ripe P"):
             told = [{tuple(r) for r in search(corpus, pattern, index=one, strategy=k).select("path", "line_no").collect()} for k in ("scan", "index")]
             assert told[0] == told[1]
-    for _ in range(2):
-        back.save(str(tmp_path / "i"))
-    assert sorted(x.name for x in (tmp_path / "i").iterdir()) == ["v=000003", "v=000004"]
+    for _ in range(3):
+        index.save(str(tmp_path / "many"))
+    assert sorted(x.name for x in (tmp_path / "many").iterdir()) == ["v=000002", "v=000003"]
     damaged = Index(index.files.filter("path <> 'elm'"), index.postings)
     damaged.save(str(tmp_path / "bad"))
     for bad in ("bad", "missing"):
