@@ -630,11 +630,11 @@ def search_saved(spark, d):
     return _shown(s.search(corpus, "[Ll]icense", index=Index.load(spark, place), strategy="index"))
 
 
-@query(f"with {GRAMS} select {PATH} as path from documents d where {PATH} like '%.de' and ({_holds('enschaft')})")
+@query(f"with {GRAMS} select {PATH} as path from documents d where {PATH} like '%.de' and ({_holds('schlich')})")
 def candidates_kept(spark, d):
     """Candidates among the paths that a filter keeps."""
     index = Index.build(documents(spark, d))
-    return index.candidates(for_pattern("enschaft"), F.col("path").endswith(".de")).select("path")
+    return index.candidates(for_pattern("schlich"), F.col("path").endswith(".de")).select("path")
 
 
 # folders ---------------------------------------------------------------------
