@@ -23,17 +23,19 @@ class Index:
     """``files`` (FILE_COLUMNS) and ``postings`` (tri, file_id); immutable, an update makes a new one.
 
     ``file_id`` ties the two tables together and means nothing outside; an index and a
-    corpus meet by path. ``of`` is the corpus that the index is known to be up to date with.
+    corpus meet by path. ``of`` is the corpus that the index is known to be up to date with,
+    ``numbered`` one whose own ids it has, so that these may meet by id.
     """
 
     files: DataFrame
     postings: DataFrame
     of: Corpus | None = field(default=None, compare=False)
+    numbered: Corpus | None = field(default=None, compare=False)
 
     @classmethod
     def build(cls, corpus: Corpus) -> Index:
         """Index of a corpus; binary files have no postings."""
-        return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files), corpus)
+        return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files), corpus, corpus)
 
     def save(self, path: str, partitions: int | None = None, keep: int = 2) -> None:
         """Write a new version folder, postings sorted by trigram so that a lookup skips row groups, then make it current.
@@ -113,10 +115,14 @@ class Index:
         live = self.files.filter("live")
         if keep is not None:
             live = live.filter(keep)
-        if query.is_all or len(query.leaves()) > MOST_LEAVES:
+        if not self.narrows(query):
             return live.select("file_id", "path")
         return live.select("file_id", "path").join(self.matching_ids(query), "file_id", "left_semi")
 
+    def narrows(self, query: Query) -> bool:
+        """Whether a lookup is worth it."""
+        return not query.is_all and len(query.leaves()) <= MOST_LEAVES
+
     def may_match(self, query: Query, files: DataFrame) -> DataFrame:
         """(path) of those of ``files`` that may match: candidates, and what the index doesn't know in its present state.
 

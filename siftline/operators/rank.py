@@ -111,27 +111,12 @@ def score(text: Column, ranking: Ranking, options: Options = Options()) -> Colum
         return F.lit(0.0)
     java = regex.to_java(ranking.marked, options)
     out = [F.lit(0.0), F.lit(0.0)]
-    behind = len(re.findall(r"(?<!\\)\((?!\?)", "".join(_without_classes(java)))) + 1
     for group, weight in ranking.weights:
-        # a reference to an empty group fits only if the group took part; then a neighbouring character is taken up
-        told = f"(?>{java})(?:\\{group}(?:(?=([\\s\\S]))|(?<=([\\s\\S]))))?"
-        beside = F.concat(F.regexp_extract(text, told, behind), F.regexp_extract(text, told, behind + 1)) != ""
-        alone = text.rlike(f"(?>{java})\\{group}")  # an empty line has no neighbouring character, and one place only
-        out.append(F.when(F.when(text == "", alone).otherwise(beside), F.lit(weight)).otherwise(F.lit(0.0)))
+        # the first match, held fast; a reference to an empty group fits only if the group took part in it
+        out.append(F.when(text.rlike(f"\\A(?>[\\s\\S]*?(?:{java}))\\{group}"), F.lit(weight)).otherwise(F.lit(0.0)))
     return F.greatest(*out)
 
 
-def _without_classes(pattern: str) -> list[str]:
-    """The parts of a pattern outside its classes."""
-    out, i = [], 0
-    while i < len(pattern):
-        step = 2 if pattern[i] == "\\" else _class_length(pattern, i) if pattern[i] == "[" else 1
-        if pattern[i] != "[":
-            out.append(pattern[i : i + step])
-        i += step
-    return out
-
-
 def file_scores(rows: DataFrame, ranking: Ranking, options: Options = Options()) -> DataFrame:
     """(path, score): the best score of each file's match rows."""
     return rows.filter("is_match").groupBy("path").agg(F.max(score(F.col("text"), ranking, options)).alias("score"))

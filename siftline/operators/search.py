@@ -103,7 +103,10 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
     if strategy == "auto" and index is not None and _bytes(corpus.files) < SCANNED_BYTES:
         strategy = "prefilter"
     if strategy in ("index", "auto") and index is not None and not p.is_fallback:
-        files = _among(files, index.candidates(p.query).select("path") if index.of is corpus else index.may_match(p.query, files))
+        if index.numbered is corpus:
+            files = _among(files, index.matching_ids(p.query)) if index.narrows(p.query) else files
+        else:
+            files = _among(files, index.candidates(p.query).select("path") if index.of is corpus else index.may_match(p.query, files))
     if strategy != "scan" and p.literal:
         files = files.filter(F.contains(F.col("text"), F.lit(p.literal)))
     return files
@@ -114,18 +117,19 @@ def _bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _among(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """``files`` whose path is among ``paths``, without a shuffle of texts while the paths are few.
+def _among(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """``files`` whose key is among ``keys`` (path or file_id), without a shuffle of texts while these are few.
 
-    Few paths become a list that Parquet's row group statistics can use, a bounded
+    Few keys become a list that Parquet's row group statistics can use, a bounded
     number is broadcast, and beyond that both sides are joined by their hash.
     """
-    few = paths.limit(BROADCAST + 1).toArrow()  # of bounded size
+    (key,) = keys.columns
+    few = keys.limit(BROADCAST + 1).toArrow()  # of bounded size
     if len(few) > BROADCAST:
-        return files.join(paths, "path", "left_semi")
+        return files.join(keys, key, "left_semi")
     if len(few) <= LISTED:
-        return files.filter(F.col("path").isin(few["path"].to_pylist()))
-    return files.join(F.broadcast(files.sparkSession.createDataFrame(few)), "path", "left_semi")
+        return files.filter(F.col(key).isin(few[key].to_pylist()))
+    return files.join(F.broadcast(files.sparkSession.createDataFrame(few)), key, "left_semi")
 
 
 def search(corpus: Corpus, patterns: str | list[str] | Plan, options: SearchOptions = SearchOptions(), index: Index | None = None, strategy: str = "auto") -> DataFrame:
