@@ -87,7 +87,7 @@ def test_a_file_in_front_changes_no_other(spark, tmp_path):
     now, stored = Corpus.from_path(spark, root), Index.load(spark, place)
     after = stored.apply(stored.reconcile(now.files), now)
     for index in (stored, after, Index(after.files, after.postings)):
-        for pattern in ("plover", "curlew", "plover|curlew", "first$"):
+        for pattern in ("plover", "curlew|first$"):
             assert _paths(search(now, pattern, index=index, strategy="index")) == _paths(search(now, pattern, strategy="scan"))
     assert _paths(search(now, "plover", index=stored)) == {"a.txt", "m.txt"}
     told = {r["path"]: r["changed"] for r in stored.freshness(now.files.select("path"), now).collect()}
