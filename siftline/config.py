@@ -58,7 +58,7 @@ class EngineConfig:
                 return Index.load(spark, place)
         start = clock()
         index = Index.build(corpus)
-        index = Index(index.files.persist(), index.postings.persist(), corpus, corpus)
+        index = Index(index.files.persist(), index.postings.persist(), index.of, index.numbered)
         index.postings.count()
         if place and self.keep((clock() - start) * 1000):
             index.save(place)

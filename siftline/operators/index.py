@@ -24,7 +24,8 @@ class Index:
 
     ``file_id`` ties the two tables together and means nothing outside; an index and a
     corpus meet by path. ``of`` is the corpus that the index is known to be up to date with,
-    ``numbered`` one whose own ids it has, so that these may meet by id.
+    ``numbered`` one whose own ids it has, so that these may meet by id. A folder's files
+    are read anew by every search and may have changed, so both are for tables only.
     """
 
     files: DataFrame
@@ -35,7 +36,7 @@ class Index:
     @classmethod
     def build(cls, corpus: Corpus) -> Index:
         """Index of a corpus; binary files have no postings."""
-        return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files), corpus, corpus)
+        return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files), *[None if corpus.root else corpus] * 2)
 
     def save(self, path: str, partitions: int | None = None, keep: int = 2) -> None:
         """Write a new version folder, postings sorted by trigram so that a lookup skips row groups, then make it current.
@@ -177,7 +178,7 @@ class Index:
         kept = kept.withColumn("live", F.col("live") & F.col("gone").isNull()).select(FILE_COLUMNS)
         files = kept.unionByName(placed.select(FILE_COLUMNS))
         touched = placed.select("file_id").unionByName(kept.filter("not live").select("file_id"))
-        return Index(files, self.postings.join(touched, "file_id", "left_anti").unionByName(extract(placed)), corpus)
+        return Index(files, self.postings.join(touched, "file_id", "left_anti").unionByName(extract(placed)), None if corpus.root else corpus)
 
 
 def changes(old: DataFrame, new: DataFrame, by: str = "stat") -> DataFrame:

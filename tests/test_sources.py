@@ -203,6 +203,11 @@ def test_an_index_is_kept_if_its_build_took_long_enough(spark, tmp_path):
         assert _paths(config.open_index(corpus, lambda: next(ticks)).candidates(for_pattern("stork"))) == {"a.txt"}
         assert os.path.exists(config.place(corpus.root)) == kept
     _grow(tmp_path / "files", {"b.txt": "stork"})
+    # an index in memory is older than the folder by now
+    held = EngineConfig().open_index(corpus)
+    _grow(tmp_path / "files", {"0.txt": "stork"})
+    assert _paths(search(Corpus.from_path(spark, root), "stork", index=held, strategy="index")) == {"0.txt", "a.txt", "b.txt"}
+    os.remove(f"{root}/0.txt")
     again = config.open_index(Corpus.from_path(spark, root))
     assert _paths(again.candidates(for_pattern("stork"))) == {"a.txt", "b.txt"}
 
