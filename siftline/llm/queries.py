@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and ``pipeline`` with production parameters, and their SQL."""
+"""The queries op1 to op13 and ``pipeline`` with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import ann, language_id, language_model, line_dedup, packing, quality, sentencepiece_codec, simhash, toxicity, url_filter
+from siftline.llm import ann, importance, language_id, language_model, line_dedup, packing, quality, quality_classifier, sentencepiece_codec, simhash, toxicity, url_filter
 from siftline.llm.common import crc_mod, table, tokenizer_path
 
 
@@ -101,6 +101,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), most=3)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, quality_classifier.learnable(table(spark, sf_dir, "labels")))
+    return quality_classifier.score(docs, model).select("doc_id", _fold(5, 0), "score", "predicted")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight against the benchmark texts, and the ranks of those drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_dedup": op2_line_dedup,
@@ -112,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language_model": op9_language_model,
     "op10_simhash": op10_simhash,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op13_importance_resampling": op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
