@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftline.llm import ann, importance, language_id, language_model, line_dedup, packing, quality, quality_classifier, sentencepiece_codec, simhash, toxicity, url_filter
+from siftline.llm import ann, collocation, importance, language_id, language_model, line_dedup, packing, quality, quality_classifier, sentencepiece_codec, simhash, toxicity, url_filter
 from siftline.llm.common import crc_mod, table, tokenizer_path
 
 
@@ -108,6 +108,11 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", _fold(5, 0), "score", "predicted")
 
 
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2000 phrases of two to four words."""
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight against the benchmark texts, and the ranks of those drawn."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_model": op9_language_model,
     "op10_simhash": op10_simhash,
     "op11_quality_classifier": op11_quality_classifier,
+    "op12_collocation": op12_collocation,
     "op13_importance_resampling": op13_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
