@@ -33,11 +33,12 @@ CHARS, WORDS, MARKS = 3, 2, 6
 CHARS_AT_ONCE, TEXTS_AT_ONCE = 400_000, 128
 
 _M1, _M2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
+_KINDS = np.arange(1, 40, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(values: np.ndarray, kind: int) -> np.ndarray:
     """Hashes of well spread bits; ``kind`` keeps n-grams of different sorts apart."""
-    out = (values + np.uint64(kind)) * _M1
+    out = (values ^ _KINDS[kind]) * _M1
     out ^= out >> np.uint64(29)
     out *= _M2
     return out ^ (out >> np.uint64(32))
