@@ -1,16 +1,19 @@
 """URL rules found through their rarest literal token, with DataFrame functions only.
 
-Host rules and pattern rules are regular expressions alike. Each has literal
-tokens (runs of a-z and 0-9) that every fitting URL holds whole; the corpus
-tells how many URLs hold each token, and a rule is filed under its rarest one.
-A URL's tokens fetch the rules filed under them, and only those run their
-expression on it. A rule without such a token runs on every URL.
+Host rules and pattern rules are regular expressions alike. An expression is read
+as its alternatives; each has literal tokens (runs of a-z and 0-9) that every URL
+it fits holds whole. The corpus tells how many URLs hold each token, and a rule is
+filed under the rarest token of each of its alternatives. A URL's tokens fetch the
+rules filed under them, and only those run their expression on it. A rule with an
+alternative that has no token runs on every URL.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import re._constants as sre
+import re._parser as parser
 import string
 import zlib
 from dataclasses import dataclass
@@ -20,16 +23,18 @@ from pyspark.sql import functions as F
 
 #: Up to so many rules (short rows) the index is part of the plan; beyond, it is joined by a shuffle, a URL's rows in so many parts.
 BROADCAST_RULES, SPLIT = 20_000, 16
+#: Alternatives of a part of an expression that are told apart; what has more counts as unknown.
+ALTERNATIVES = 64
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` decides; ``tokens`` stand whole in each fitting URL; a larger ``weight`` wins."""
+    """``pattern`` decides; each fitting URL holds all ``tokens`` of one alternative; a larger ``weight`` wins."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[tuple[str, ...], ...]
     weight: int
     kind: str
 
@@ -41,7 +46,7 @@ def host_rule(verdict: str, rule: str) -> Rule:
     literal = "".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c) for c in host)
     pattern = rf"^(?s:(?:(?!://).)*)://(?:[^/?#]*\.)?{literal}{re.escape(path)}" + ("" if path else "(?:[/?#]|$)")
     tokens = re.findall("[a-z0-9]+", host.lower()) + re.findall("[a-z0-9]+(?=[^a-z0-9])", path.lower())
-    return Rule(rule, verdict, pattern, tuple(dict.fromkeys(tokens)), len(rule), "host")
+    return Rule(rule, verdict, pattern, (tuple(dict.fromkeys(tokens)),), len(rule), "host")
 
 
 def pattern_rule(verdict: str, name: str, pattern: str) -> Rule:
@@ -49,16 +54,63 @@ def pattern_rule(verdict: str, name: str, pattern: str) -> Rule:
     return Rule(name, verdict, f"(?i){pattern}", literal_tokens(pattern), 0, "pattern")
 
 
-def literal_tokens(pattern: str) -> tuple[str, ...]:
-    """Tokens that stand whole in every match: literal runs outside groups and
-    classes, with a literal mark, an anchor or a class of marks on either side."""
-    marks = r"(?:\\[./?&=_\-]|[/&=_%:,;!~-]|\[[/?&=_.#-]+\](?![?*+{]))"
-    if "|" in re.sub(r"\([^()]*\)", "", pattern):
-        return ()
-    flat = re.sub(r"\([^()]*\)[?*+]?", "*", pattern)
-    flat = re.sub(r"\[(?![/?&=_.#-]+\])[^\]]*\](?:\{[^}]*\}|[?*+])?", "*", flat)
-    found = re.findall(rf"{marks}([A-Za-z0-9]+)(?={marks}(?![?*+{{]))", flat)
-    return tuple(dict.fromkeys(x.lower() for x in found))
+#: In what an expression fits, beside single characters: any text, and an end of the URL.
+_ANY, _END = "any", "end"
+
+
+def _fits(items) -> list[tuple]:
+    """The alternatives of a parsed expression, each as characters, sets of characters, _ANY and _END in a row."""
+    out: list[tuple] = [()]
+    for op, arg in items:
+        one: list[tuple] = [(_ANY,)]
+        if op is sre.LITERAL:
+            one = [(chr(arg),)]
+        elif op is sre.IN and all(k is sre.LITERAL for k, _ in arg):
+            one = [(frozenset(chr(x) for _, x in arg),)]
+        elif op is sre.AT and arg in (sre.AT_BEGINNING, sre.AT_BEGINNING_STRING, sre.AT_END, sre.AT_END_STRING):
+            one = [(_END,)]
+        elif op is sre.SUBPATTERN:
+            one = _fits(arg[3])
+        elif op is sre.BRANCH:
+            one = [x for branch in arg[1] for x in _fits(branch)]
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            least, most, inner = arg
+            if most == 1:
+                one = _fits(inner) if least else [(), *_fits(inner)]
+            elif least:
+                one = [(*x, _ANY) for x in _fits(inner)]
+        if len(out) * len(one) > ALTERNATIVES:
+            one = [(_ANY,)]
+        out = [(*x, *y) for x in out for y in one]
+    return out
+
+
+def literal_tokens(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """For each alternative of an expression, the tokens that stand whole in all it fits.
+
+    A token is a run of single letters and digits between marks: other ASCII
+    characters, sets of these, or an end of the URL.
+    """
+
+    def mark(x) -> bool:
+        chars = x if isinstance(x, frozenset) else {x} if len(x) == 1 else set()
+        return x is _END or bool(chars) and all(c.isascii() and not c.isalnum() for c in chars)
+
+    def tokens(row: tuple) -> tuple[str, ...]:
+        found, run, open_ = [], "", False
+        for x in (*row, _ANY):
+            if isinstance(x, str) and len(x) == 1 and x.isascii() and x.isalnum():
+                run += x.lower()
+                continue
+            if mark(x) and open_ and run:
+                found.append(run)
+            run, open_ = "", mark(x)
+        return tuple(dict.fromkeys(found))
+
+    try:
+        return tuple(dict.fromkeys(map(tokens, _fits(parser.parse(pattern)))))
+    except re.error:  # an expression that only the engine reads
+        return ((),)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -74,24 +126,29 @@ def _tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(url), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def rarest(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str | None]:
-    """Each rule's token that fewest URLs hold; counts cover all rows of ``urls`` (column url)."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+def rarest(urls: DataFrame, rules: list[Rule]) -> dict[Rule, tuple[str, ...]]:
+    """Under which tokens each rule is filed: of each alternative the one that fewest URLs hold; none for a rule that runs on all.
+
+    Counts cover all rows of ``urls`` (column url); null URLs hold none, repeated ones count each,
+    and of equally rare tokens the smaller one is taken, of an empty table too.
+    """
+    wanted = sorted({t for r in rules for row in r.tokens for t in row})
     if not wanted:
-        return dict.fromkeys(rules)
+        return dict.fromkeys(rules, ())
     known = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
     held = urls.select(F.explode(_tokens(F.col("url"))).alias("token"))
     counts = held.join(F.broadcast(known) if len(wanted) <= BROADCAST_RULES else known, "token").groupBy("token").count()
     count = {r["token"]: r["count"] for r in counts.collect()}  # a row for each token of the rules at most
-    return {r: min(r.tokens, key=lambda t: (count.get(t, 0), t), default=None) for r in rules}
+    rare = lambda row: min(row, key=lambda t: (count.get(t, 0), t))
+    return {r: tuple(dict.fromkeys(map(rare, r.tokens))) if r.tokens and all(r.tokens) else () for r in rules}
 
 
-def _index(filed: dict[Rule, str | None], place: dict[int, int]) -> tuple[Column, int]:
+def _index(filed: dict[Rule, tuple[str, ...]], place: dict[int, int]) -> tuple[Column, int]:
     """The filed rules as one constant, in buckets by the hash of their token, and the number of buckets."""
-    size = 1 << max(4, (2 * len(filed)).bit_length())
+    size = 1 << max(4, (2 * sum(map(len, filed.values()))).bit_length())
     buckets: list[list[dict]] = [[] for _ in range(size)]
-    for i, (rule, token) in enumerate(filed.items()):
-        if token:
+    for i, (rule, tokens) in enumerate(filed.items()):
+        for token in tokens:
             buckets[zlib.crc32(token.encode()) % size].append({"token": token, "place": place[i], "pattern": rule.pattern})
     return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<token:string,place:int,pattern:string>>>"), size
 
@@ -111,7 +168,7 @@ def judge(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str =
     order = list(filed)
     ranked = sorted(range(len(order)), key=lambda i: (order[i].kind != "host", -order[i].weight, i))
     place = {i: k for k, i in enumerate(ranked)}
-    always = [F.when(F.col("url").rlike(order[i].pattern), F.lit(place[i])) for i, token in enumerate(filed.values()) if not token]
+    always = [F.when(F.col("url").rlike(order[i].pattern), F.lit(place[i])) for i, tokens in enumerate(filed.values()) if not tokens]
     if len(order) <= BROADCAST_RULES:
         index, size = _index(filed, place)
         at = lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")
@@ -135,17 +192,17 @@ def _least(none: int, places: list[Column]) -> Column:
     return F.least(F.lit(none), F.lit(none), *places)
 
 
-def _joined(pages: DataFrame, filed: dict[Rule, str | None], place: dict[int, int], always: list[Column]) -> DataFrame:
+def _joined(pages: DataFrame, filed: dict[Rule, tuple[str, ...]], place: dict[int, int], always: list[Column]) -> DataFrame:
     """``pages`` with ``best`` (kind, name, said), for more rules than a plan should hold.
 
     Every distinct URL is judged once; a URL of many rows meets its verdict in SPLIT
     parts, and rows without one in none.
     """
     spark = pages.sparkSession
-    rules = [(t, place[i], r.pattern, r.kind, r.name, r.verdict) for i, (r, t) in enumerate(filed.items())]
-    table = spark.createDataFrame(rules, "token string, place int, pattern string, kind string, name string, said string")
+    rules = [(list(t), place[i], r.pattern, r.kind, r.name, r.verdict) for i, (r, t) in enumerate(filed.items())]
+    table = spark.createDataFrame(rules, "tokens array<string>, place int, pattern string, kind string, name string, said string")
     urls = pages.filter("url is not null").select("url").distinct()
-    hits = urls.select("url", F.explode(_tokens(F.col("url"))).alias("token")).join(table.select("token", "place", "pattern"), "token").filter("url rlike pattern").select("url", "place")
+    hits = urls.select("url", F.explode(_tokens(F.col("url"))).alias("token")).join(table.select(F.explode("tokens").alias("token"), "place", "pattern"), "token").filter("url rlike pattern").select("url", "place")
     if always:
         hits = hits.unionByName(urls.select("url", _least(len(filed), always).alias("place")).filter(F.col("place") < len(filed)))
     best = hits.groupBy("url").agg(F.min("place").alias("place")).join(table.select("place", F.struct("kind", "name", "said").alias("best")), "place")

@@ -316,6 +316,46 @@ def test_url_filter_cases(spark, monkeypatch):
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
+def test_pattern_rules_are_fetched_by_their_tokens(spark, sf):
+    """Every rule of the query is filed, and few of a URL's rules run."""
+    told = {n: url_filter.literal_tokens(p) for n, p in queries.PATTERN_RULES}
+    assert told["affiliate"] == (("ref",),) and told["calendar"] == (("calendar",),) and set(told["session"]) == {("sid",), ("phpsessid",), ("jsessionid",)}
+    assert set(told["gambling"]) == {("casino",), ("poker",), ("slots",), ("betting",)} and set(told["advert"]) == {("ad",), ("ads",), ("adserver",), ("banner",), ("banners",)}
+    rules = [url_filter.host_rule(*x) for x in queries.HOST_RULES] + [url_filter.pattern_rule("block", *x) for x in queries.PATTERN_RULES]
+    urls = spark.read.parquet(f"{sf}/pages.parquet").select("url")
+    filed = url_filter.rarest(urls, rules)
+    assert sum(not t for t in filed.values()) == 0
+    tokens = [set(re.findall("[a-z0-9]+", r["url"].lower())) for r in urls.collect()]
+    fetched = sum(any(t in held for t in under) for held in tokens for under in filed.values())
+    assert fetched < 0.25 * len(tokens) * len(rules)
+
+
+def test_tokens_stand_in_all_that_fits():
+    """Whatever an expression fits holds all tokens of one of its alternatives; strings are grown from the expression."""
+    r = random.Random(11)
+    part = ["/", "ad", "x?", "[/.]", "[a-c]", "(?:ads|b)", "(?:/|=)", "(?:q|)", "7+", "(?:ab){2}", ".", "-", "(?:on/)*", "$", "[^/]", "\\.", "(?:a|b/c)?"]
+    text = ["/", "ad", "ads", "x", "a", "b", "c", "q", "7", "ab", "-", ".", "on/", "=", "AD"]
+    fitting = 0
+    for _ in range(3000):
+        pattern = "".join(r.choice(part) for _ in range(r.randrange(1, 5)))
+        rows = url_filter.literal_tokens(pattern)
+        for _ in range(6):
+            url = "".join(r.choice(text) for _ in range(r.randrange(1, 7)))
+            if re.search(f"(?i){pattern}", url):
+                fitting += 1
+                held = set(re.findall("[a-z0-9]+", url.lower()))
+                assert any(held.issuperset(row) for row in rows), (pattern, url, rows)
+    assert fitting > 1000 and url_filter.literal_tokens("(?<n>x)/y/") == ((),)
+
+
+def test_url_filter_of_strange_pages(spark):
+    rules = [url_filter.host_rule(*x) for x in queries.HOST_RULES] + [url_filter.pattern_rule("block", *x) for x in queries.PATTERN_RULES]
+    far = "http://x.info/" + "a/" * 200_000 + "?page=1234"
+    df = spark.createDataFrame([(None, "http://x.org/fr/", 1, "p"), (None, None, 2, "p"), (1, far, 3, "p"), (1, far, 3, "p")], "page_id long, url string, place int, best string")
+    got = [(r["page_id"], r["rule"], r["verdict"], r["pattern"]) for r in url_filter.judge(df, rules).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, "org/fr/", "allow", None), (None, None, "allow", None), (1, None, "block", "deep-page"), (1, None, "block", "deep-page")]))
+
+
 def test_no_python_in_native_plans(spark, sf):
     for name in ("op2_line_dedup", "op5_url_filter"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
