@@ -3,11 +3,11 @@
 An occurrence is a pointer into a window of a word and the words after it. What
 can't be frequent is cut off first: windows end before a word, or a pair, that
 is too rare, which a bit table of fixed size tells (it may keep too much, never
-too little). Equal windows are added up, then projected to the frequent
-prefixes they begin with: all pointers of a prefix meet in one task, which
-extends it depth first, word by word, as long as a phrase is frequent. A prefix with
-too many different windows gives way to its extensions, each a prefix with a task of
-its own. Counts are exact; scores are whole numbers from decimals.
+too little). Equal windows of a stretch of text are added up and projected to the
+frequent prefix they begin with: all pointers of a prefix meet in one task, which
+extends it depth first, word by word, as long as a phrase is frequent. A word, or a pair,
+that is too frequent for one task gives way to its extensions, each a prefix with a task
+of its own. Counts are exact; scores are whole numbers from decimals.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ LEAST, LONGEST, COVERED, TOP = 30, 4, 80, 2000
 BYTES_AT_ONCE, WORDS_AT_ONCE = 4_000_000, 400_000
 #: Bits of the tables of frequent words and pairs: so many for each entry, between two powers of two.
 BITS_EACH, FEWEST, MOST = 32, 20, 27
-#: Windows of one prefix that meet in a task; a prefix of more gives way to its extensions. PREFIXES bounds how many do.
+#: Occurrences of a prefix that meet in a task; a prefix of more gives way to its extensions. PREFIXES bounds how many do.
 PREFIX_WINDOWS, PREFIXES = 200_000, 10_000
+#: Bits of a pair's hash, and words of all text for which pairs are counted in a part of their own.
+PAIR_BITS, PART_WORDS = 40, 2_000_000
 #: Phrases of a language that are ranked at a time.
 RANKED = 200_000
 
@@ -139,28 +141,60 @@ def _numbered(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[
                 yield lang, numbers.words, at, pair ^ (pair >> np.uint64(27))
 
 
-def pair_counts(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, f): how often each pair of neighbouring frequent words stands, by a hash; colliding pairs count together."""
+def pair_counts(texts: DataFrame, table: np.ndarray, words: int, least: int) -> DataFrame:
+    """(h, f): the pairs of neighbouring frequent words that stand ``least`` times, by a hash; colliding pairs count together.
+
+    A stretch of text sends its pairs sorted, as differences in planes of bytes, a row for
+    each part of the hashes; there are as many parts as ``words`` (of all text) asks for.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(table)
+    bits = min(30, max(4, (words // PART_WORDS).bit_length()))
+    planes = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    plain = lambda b: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, at, pair in _numbered(batches, shared.value):
-            h, n = np.unique(pair[(at[:-1] >= 0) & (at[1:] >= 0)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), longs(n)], ["h", "f"])
+            h, n = np.unique(pair[(at[:-1] >= 0) & (at[1:] >= 0)] >> np.uint64(64 - PAIR_BITS), return_counts=True)
+            part = (h >> np.uint64(PAIR_BITS - bits)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else np.zeros(0, np.int64)
+            ends = np.r_[starts[1:], len(h)]
+            rows = [(planes(np.diff(h[a:b], prepend=np.uint64(0))), planes(n[a:b])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["part", "h", "n"])
+
+    def added(h: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate(h), return_inverse=True) if h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(keys[total >= least].astype(np.int64)), longs(total[total >= least])], ["h", "f"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, n = None, [], []
+        for batch in batches:
+            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and h:
+                    yield added(h, n)
+                    h, n = [], []
+                now = part
+                h.append(np.cumsum(plain(keys)))
+                n.append(plain(counts))
+        yield added(h, n)
 
-    return texts.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    dealt = texts.mapInArrow(count, "part int, h binary, n binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "h long, f long")
 
 
-def windows(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, f): a word and the words after it, up to ``longest`` in all, as often as they stand.
+def windows(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, hot: set[tuple[str, bytes]] = frozenset(), hot_pairs: Sequence[int] = (), longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, f, depth): a word and the words after it, up to ``longest`` in all, as often as they stand in a stretch of text.
 
     A window ends before the first pair that is too rare; a word whose own pair is has none.
+    ``depth`` tells how many of its words are the prefix whose task extends it: one, two if
+    the word is ``hot``, all if the pair is too.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((words, pairs))
-    down = np.uint64(64 - (len(pairs) * 8).bit_length() + 1)
+    shared = texts.sparkSession.sparkContext.broadcast((words, pairs, hot, np.array(sorted(hot_pairs), np.uint64)))
+    down, short = np.uint64(64 - (len(pairs) * 8).bit_length() + 1), np.uint64(64 - PAIR_BITS)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = shared.value
+        words, pairs, hot, hot_pairs = shared.value
         for lang, known, at, pair in _numbered(batches, words):
             fine = (at[:-1] >= 0) & (at[1:] >= 0) & _is_set(pairs, (pair >> down).astype(np.int64))
             (start,) = np.nonzero(fine)
@@ -174,11 +208,15 @@ def windows(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int
             for p in places:  # exact: a window's rank is built from that of its head
                 _, key = np.unique(key * (len(known) + 1) + p + 1, return_inverse=True)
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            grid = np.stack(places, 1)[first].tolist()
-            phrases = [b" ".join([known[x] for x in row if x >= 0]) for row in grid]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), _strings(phrases), longs(n)], ["lang", "phrase", "f"])
+            grid = np.stack(places, 1)[first]
+            depth = np.ones(len(first), np.int8)
+            if hot:
+                often = np.array([(lang, w) in hot for w in known], bool)[grid[:, 0]]
+                depth[often] = np.where(np.isin(pair[start[first]] >> short, hot_pairs), longest, 2)[often]
+            phrases = [b" ".join([known[x] for x in row if x >= 0]) for row in grid.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), _strings(phrases), longs(n), pa.array(depth)], ["lang", "phrase", "f", "depth"])
 
-    return texts.mapInArrow(project, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(project, "lang string, phrase string, f long, depth byte")
 
 
 def grow(rows: list[list[str]], counts: list[int], pointers: Sequence[int], depth: int, least: int, longest: int) -> Iterator[tuple[list[str], int]]:
@@ -195,62 +233,39 @@ def grow(rows: list[list[str]], counts: list[int], pointers: Sequence[int], dept
                 yield from grow(rows, counts, at, depth + 1, least, longest)
 
 
-def seeded(found: DataFrame, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
-    """Windows (written) with ``seed``, the prefix whose task extends them, and ``depth``, its words; then the prefixes that gave way, with their counts.
+def mined(found: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, f) of all frequent phrases of two words or more, from their windows.
 
-    A prefix of more than PREFIX_WINDOWS windows, or of a PREFIXES-th of all if that is
-    more, gives way to its extensions by one word, so at most PREFIXES of a length do and
-    can be broadcast. Windows that end with such a prefix need no task.
+    A prefix whose task doesn't see all windows of a shorter one sends its share of that one's count.
     """
-    total = found.count()
-    each = max(PREFIX_WINDOWS, total // PREFIXES + 1)
-    out = found.withColumn("seed", F.substring_index("phrase", " ", 1)).withColumn("depth", F.lit(1))
-    gone = []
-    for depth in range(1, longest):
-        of = out.filter(F.col("depth") == depth).groupBy("lang", "seed").agg(F.count("*").alias("__n"), F.sum("f").alias("__f")).filter(F.col("__n") > each)
-        hot = cut(of)
-        if not hot.limit(1).count():
-            break
-        gone.append(hot.select("lang", F.col("seed").alias("phrase"), F.col("__f").alias("f")))
-        out = out.join(F.broadcast(hot.select("lang", "seed", F.lit(True).alias("__hot"))), ["lang", "seed"], "left")
-        deeper = F.coalesce(F.col("__hot"), F.lit(False)) & (F.col("depth") == depth)
-        longer = F.substring_index("phrase", " ", depth + 1)
-        out = out.filter(~deeper | (longer != F.col("seed"))).withColumn("seed", F.when(deeper, longer).otherwise(F.col("seed")))
-        out = out.withColumn("depth", F.when(deeper, depth + 1).otherwise(F.col("depth"))).select("lang", "phrase", "f", "seed", "depth")
-    return out, gone
 
-
-def mined(found: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, f) of all frequent phrases of two words or more, from their windows (written)."""
-    rows, gone = seeded(found, longest)
-
-    def one(lang: str, depth: int, texts: list[str], counts: list[int], out: list) -> None:
-        told = [t.split(" ") for t in texts]
-        if depth > 1 and (f := sum(counts)) >= least:
-            out.append((lang, " ".join(told[0][:depth]), f))
-        out += [(lang, " ".join(w), f) for w, f in grow(told, counts, range(len(told)), depth, least, longest)]
+    def one(lang: str, depth: int, told: list[list[str]], counts: list[int], out: list) -> None:
+        seed = told[0][:depth]
+        total = sum(counts)
+        # only a whole window is a prefix of more than two words; of the shorter ones it is a part
+        out += [(lang, " ".join(seed[:k]), total) for k in range(2, len(seed) + 1) if k < depth or total >= least]
+        out += [(lang, " ".join(w), f) for w, f in grow(told, counts, range(len(told)), len(seed), least, longest)]
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, texts, counts, out = None, [], [], []
+        key, told, counts, out = None, [], [], []
         for batch in batches:
-            for lang, phrase, f, seed, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (lang, seed, depth):
-                    if texts:
-                        one(key[0], key[2], texts, counts, out)
-                    key, texts, counts = (lang, seed, depth), [], []
-                texts.append(phrase)
+            for lang, phrase, f, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = phrase.split(" ")
+                if key != (lang, words[:depth]):
+                    if told:
+                        one(key[0], held, told, counts, out)
+                    key, held, told, counts = (lang, words[:depth]), depth, [], []
+                told.append(words)
                 counts.append(f)
             yield _phrases(out)
             out = []
-        if texts:
-            one(key[0], key[2], texts, counts, out)
+        if told:
+            one(key[0], held, told, counts, out)
         yield _phrases(out)
 
-    dealt = rows.select("lang", "phrase", "f", "seed", "depth").repartition("lang", "seed").sortWithinPartitions("lang", "seed")
-    out = dealt.mapInArrow(extend, "lang string, phrase string, f long")
-    for hot in gone[1:]:  # counts of single words are known
-        out = out.unionByName(hot.filter(F.col("f") >= least))
-    return out
+    seed = F.expr("substring_index(phrase, ' ', depth)")
+    dealt = found.select("lang", "phrase", "f", "depth").repartition("lang", seed).sortWithinPartitions("lang", seed)
+    return dealt.mapInArrow(extend, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
 def _phrases(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
@@ -316,10 +331,14 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     bits = _bits(words.count())
     key = F.crc32(F.concat("lang", F.lit(" "), "phrase").cast("binary"))
     frequent = bit_table(words.select(F.shiftrightunsigned(key, 32 - bits).alias("slot")), bits)
-    pairs = cut(pair_counts(texts, frequent).filter(F.col("f") >= least).select("h"))
+    total = counts.filter("phrase is null").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    each = max(PREFIX_WINDOWS, total // PREFIXES + 1)  # so at most PREFIXES words, and pairs, are more frequent
+    pairs = cut(pair_counts(texts, frequent, total, least))
     bits = _bits(pairs.count())
-    fine = bit_table(pairs.select(F.shiftrightunsigned("h", 64 - bits).alias("slot")), bits)
-    phrases = cut(mined(cut(windows(texts, frequent, fine, longest)), least, longest))
+    fine = bit_table(pairs.select(F.shiftrightunsigned("h", PAIR_BITS - bits).alias("slot")), bits)
+    hot = {(r["lang"], r["phrase"].encode()) for r in words.filter(F.col("f") > each).collect()}
+    hot_pairs = [r["h"] for r in pairs.filter(F.col("f") > each).collect()] if hot else []
+    phrases = cut(mined(windows(texts, frequent, fine, hot, hot_pairs, longest), least, longest))
     chosen = best(cut(scored(phrases, words, longest).join(covered(phrases, longest=longest), ["lang", "phrase"], "left_anti")), top)
     totals = counts.filter("phrase is null").select("lang", F.col("f").alias("n"))
     return chosen.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
