@@ -18,6 +18,7 @@ from siftline.operators.filters import FileFilter
 from siftline.operators.find import find, find_page
 from siftline.operators.index import Index, bitmap_ids, bitmaps, changes, tombstone
 from siftline.operators.search import SearchOptions
+from siftline.operators.segments import StoredIndex
 from siftline.operators.status import status
 from siftline.plans.query import for_pattern, of_literal
 from siftline.plans.regex import Options, escape, join, to_java
@@ -626,8 +627,8 @@ def _scratch(spark) -> str:
 def search_saved(spark, d):
     """Through an index that was saved and loaded."""
     place, corpus = _scratch(spark) + "/index", documents(spark, d)
-    Index.build(corpus).save(place)
-    return _shown(s.search(corpus, "[Ll]icense", index=Index.load(spark, place), strategy="index"))
+    StoredIndex.build(corpus, place)
+    return _shown(s.search(corpus, "[Ll]icense", index=StoredIndex.open(spark, place), strategy="index"))
 
 
 @query(f"with {GRAMS} select {PATH} as path from documents d where {PATH} like '%.de' and ({_holds('schlich')})")
@@ -833,7 +834,7 @@ def stream_refresh(spark, d):
     """A stored index that followed the corpus from an earlier state, by one refresh for each batch of listings."""
     old, now = _states(spark, d)
     place = _scratch(spark)
-    Index.build(old).save(f"{place}/index")
+    StoredIndex.build(old, f"{place}/index")
     listing = now.files.select("path", "size", "mtime_ns")
     batches = spark.readStream.schema(listing.schema).option("maxFilesPerTrigger", 2).parquet(_as_folder(spark, listing))
     run = follow(batches, f"{place}/index", lambda _: now, f"{place}/checkpoint")
@@ -841,7 +842,7 @@ def stream_refresh(spark, d):
         run.processAllAvailable()
     finally:
         run.stop()
-    return _after(s.search(now, "[Ll]icense", index=Index.load(spark, f"{place}/index"), strategy="index"))
+    return _after(s.search(now, "[Ll]icense", index=StoredIndex.open(spark, f"{place}/index"), strategy="index"))
 
 
 # further orders ---------------------------------------------------------------------

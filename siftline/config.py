@@ -45,23 +45,24 @@ class EngineConfig:
     def open_index(self, corpus, clock=time.perf_counter):
         """The index of a corpus: the kept one brought up to date, else a new one, kept if its build took long enough."""
         from siftline.operators.index import Index
+        from siftline.operators.segments import StoredIndex
         from siftline.streaming.refresh import bring_up_to_date
 
         spark, place = corpus.files.sparkSession, self.place(corpus.root)
         if place:
             try:
-                Index.load(spark, place, check=False)
+                StoredIndex.open(spark, place)
             except ValueError:
                 pass
             else:
                 bring_up_to_date(spark, place, corpus)
-                return Index.load(spark, place)
+                return StoredIndex.open(spark, place)
         start = clock()
         index = Index.build(corpus)
         index = Index(index.files.persist(), index.postings.persist(), index.of, index.numbered)
         index.postings.count()
         if place and self.keep((clock() - start) * 1000):
-            index.save(place)
+            return StoredIndex.build(corpus, place)
         return index
 
     def keep(self, built_in_ms: float) -> bool:

@@ -1,21 +1,21 @@
-"""The trigram index: build, store, look up, and bring up to date."""
+"""The trigram index as tables: build, look up, and bring up to date; ``segments`` stores one."""
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.trigrams import postings as extract
 from siftline.plans.query import Query
 from siftline.sources.corpus import Corpus
 
-VERSION = 1
 #: Trigrams of a condition beyond which the lookup isn't worth it and everything is a candidate.
 MOST_LEAVES = 600
-FILE_COLUMNS = ["file_id", "path", "size", "mtime_ns", "live", "is_binary"]
+FILE_COLUMNS = ["file_id", "path", "size", "mtime_ns", "digest", "live", "is_binary"]
+#: What tells a file's state: a digest of its content where the corpus has one, else size and time.
+STATE = ["size", "mtime_ns", "digest"]
 
 
 @dataclass(frozen=True)
@@ -38,36 +38,6 @@ class Index:
         """Index of a corpus; binary files have no postings."""
         return cls(corpus.files.select(FILE_COLUMNS), extract(corpus.files), *[None if corpus.root else corpus] * 2)
 
-    def save(self, path: str, partitions: int | None = None, keep: int = 2) -> None:
-        """Write a new version folder, postings sorted by trigram so that a lookup skips row groups, then make it current.
-
-        The last ``keep`` versions stay, for searches that still read one; older ones are removed.
-        """
-        spark = self.files.sparkSession
-        version = _latest(spark, path) + 1
-        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        target = f"{path}/v={version:06d}"
-        self.files.write.parquet(f"{target}/files")
-        self.postings.repartitionByRange(n, "tri", "file_id").sortWithinPartitions("tri", "file_id").write.parquet(f"{target}/postings")
-        # a version counts once its mark exists, and that is written last
-        spark.createDataFrame([(json.dumps({"format": VERSION}),)], "value string").coalesce(1).write.text(f"{target}/mark")
-        _remove_before(spark, path, version - keep + 1)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, check: bool = True) -> Index:
-        """The current version; raises ValueError on another format or postings without a file."""
-        version = _latest(spark, path)
-        if not version:
-            raise ValueError(f"no index in {path}")
-        source = f"{path}/v={version:06d}"
-        meta = json.loads(spark.read.text(f"{source}/mark").first()[0])
-        if meta.get("format") != VERSION:
-            raise ValueError(f"index format {meta.get('format')} is not {VERSION}")
-        out = cls(spark.read.parquet(f"{source}/files"), spark.read.parquet(f"{source}/postings"))
-        if check and out.postings.select("file_id").distinct().join(out.files, "file_id", "left_anti").limit(1).count():
-            raise ValueError("index is damaged: postings of unknown files")
-        return out
-
     def matching_ids(self, query: Query) -> DataFrame:
         """(file_id) of files whose trigrams fulfil a condition that is not ``all``: one pass over its postings."""
         leaves = sorted(query.leaves())
@@ -127,18 +97,20 @@ class Index:
     def may_match(self, query: Query, files: DataFrame) -> DataFrame:
         """(path) of those of ``files`` that may match: candidates, and what the index doesn't know in its present state.
 
-        ``files`` has path, size and mtime_ns; a file that is new, changed or taken back
+        ``files`` has path and STATE; a file that is new, changed or taken back
         in since the index was built is searched whatever the index says of it.
         """
-        known = self.files.filter("live").select("path", "size", "mtime_ns")
-        strange = files.select("path", "size", "mtime_ns").join(known, ["path", "size", "mtime_ns"], "left_anti").select("path")
+        strange = state(files, "s").join(state(self.files.filter("live"), "s"), ["path", "s"], "left_anti").select("path")
         return self.candidates(query).select("path").unionByName(strange).distinct()
 
+    def share(self, query: Query) -> float:
+        """The share of files that a condition is thought to leave; an index that keeps no counts hopes for the best."""
+        return 1.0 if query.is_all else 0.0
+
     def freshness(self, rows: DataFrame, corpus: Corpus) -> DataFrame:
         """``rows`` (path) with ``changed``: whether the file is another than the index knows; an extension."""
-        known = self.files.filter("live").select("path", F.col("size").alias("__size"), F.col("mtime_ns").alias("__mtime"))
-        now = corpus.files.select("path", "size", "mtime_ns").join(known, "path", "left")
-        same = F.coalesce((F.col("size") == F.col("__size")) & (F.col("mtime_ns") == F.col("__mtime")), F.lit(False))
+        now = state(corpus.files, "is").join(state(self.files.filter("live"), "was"), "path", "left")
+        same = F.coalesce(F.col("is") == F.col("was"), F.lit(False))
         return rows.join(now.select("path", (~same).alias("changed")), "path", "left")
 
     def with_delta(self, query: Query, toggled: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -157,8 +129,8 @@ class Index:
     def reconcile(self, listing: DataFrame, by: str = "stat") -> DataFrame:
         """(path, kind) of what a listing (path, size, mtime_ns[, digest]) has new, changed or removed.
 
-        Files are the same if size and time are; with ``by="digest"`` if a column
-        digest is, in the listing and in ``files``.
+        Files are the same if size and time are, and the digest where both sides have
+        it; with ``by="digest"`` if that is.
         """
         return changes(self.files.filter("live"), listing, by)
 
@@ -183,9 +155,11 @@ class Index:
 
 def changes(old: DataFrame, new: DataFrame, by: str = "stat") -> DataFrame:
     """(path, kind) between two listings by a full outer join; kind is new, changed or removed."""
-    keys = ["digest"] if by == "digest" else ["size", "mtime_ns"]
-    a = old.select("path", F.struct(*keys).alias("was"))
-    b = new.select("path", F.struct(*keys).alias("is"))
+    if by == "digest":
+        a, b = (x.select("path", F.struct("digest").alias(n)) for x, n in ((old, "was"), (new, "is")))
+    else:
+        both = "digest" in old.columns and "digest" in new.columns
+        a, b = state(old, "was", both), state(new, "is", both)
     kind = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "changed")
     return a.join(b, "path", "full_outer").select("path", kind.alias("kind")).filter("kind is not null")
 
@@ -211,23 +185,7 @@ def bitmap_ids(maps: DataFrame, leaves: list[int], every: bool) -> DataFrame:
     return met.select("bucket", F.bitmap_count("bits").alias("count"))
 
 
-def _remove_before(spark: SparkSession, path: str, version: int) -> None:
-    """Remove the version folders below a number."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for p in [s.getPath() for s in fs.listStatus(folder)]:
-        if p.getName().startswith("v=") and int(p.getName()[2:]) < version:
-            fs.delete(p, True)
-
-
-def _latest(spark: SparkSession, path: str) -> int:
-    """The highest complete version under a folder, 0 if none."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return 0
-    found = [s.getPath() for s in fs.listStatus(folder)]
-    done = [int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "mark/_SUCCESS"))]
-    return max(done, default=0)
+def state(files: DataFrame, name: str, digests: bool = True) -> DataFrame:
+    """(path, ``name``): what tells the state of each file, as one value that can be compared."""
+    known = [F.coalesce(c, F.lit(0)).cast("long") for c in STATE if c in files.columns and (digests or c != "digest")]
+    return files.select("path", F.struct(*known).alias(name))

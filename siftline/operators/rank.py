@@ -37,7 +37,7 @@ def parse_weights(spec: str) -> dict[str, float]:
         if not _LABEL.fullmatch(label):
             raise ValueError(f"weight label {label!r} must be a word")
         try:
-            value = float(weight)
+            value = float(weight.replace("_", "x"))  # Python's marks within numbers are none here
         except ValueError:
             raise ValueError(f"weight {weight!r} of {label!r} is not a number") from None
         if not math.isfinite(value):

@@ -17,8 +17,8 @@ from siftline.sources.corpus import Corpus, explode_lines, line_array
 
 #: Candidates that become a list in the filter, and those that are broadcast at most.
 LISTED, BROADCAST = 1_000, 200_000
-#: Bytes of a corpus below which reading it is cheaper than looking up candidates first.
-SCANNED_BYTES = 1 << 30
+#: Measured by bench.py: seconds that a lookup's jobs take, and bytes a second and core that are read for a pattern, and for its required text.
+LOOKUP_SECONDS, MATCHED_BYTES, REQUIRED_BYTES = 0.4, 30e6, 100e6
 
 
 @dataclass(frozen=True)
@@ -85,9 +85,9 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
     """The files a search reads: path filters, then the index's candidates, then files with the required text.
 
     ``strategy``: scan (filters only), prefilter (and the required text), index
-    (and candidates), auto (index where it narrows and the corpus is so large that
-    a lookup is cheaper than reading it, else prefilter). All give the same matches,
-    also with an index of an earlier state of the corpus.
+    (and candidates), auto (index where a lookup costs less than reading the files that it is
+    thought to leave out, else prefilter). All give the same matches, also with
+    an index of an earlier state of the corpus.
     """
     o = p.options
     files = corpus.files.filter("live and not is_binary")
@@ -100,7 +100,7 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
             files = files.filter((F.col("path") == o.scope) | F.startswith(F.col("path"), F.lit(o.scope.rstrip("/") + "/")))
     if strategy == "index" and index is None:
         raise ValueError("no index given")
-    if strategy == "auto" and index is not None and _bytes(corpus.files) < SCANNED_BYTES:
+    if strategy == "auto" and index is not None and not worth_a_lookup(p, index, corpus):
         strategy = "prefilter"
     if strategy in ("index", "auto") and index is not None and not p.is_fallback:
         if index.numbered is corpus:
@@ -112,6 +112,15 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
     return files
 
 
+def worth_a_lookup(p: Plan, index: Index, corpus: Corpus) -> bool:
+    """Whether an index is thought to save more reading than its lookup costs, by the corpus's size and the counts of its trigrams."""
+    if p.is_fallback or not index.narrows(p.query):
+        return False
+    rate = (REQUIRED_BYTES if p.literal else MATCHED_BYTES) * corpus.files.sparkSession.sparkContext.defaultParallelism
+    read = _bytes(corpus.files) / rate
+    return read > LOOKUP_SECONDS and read * (1 - index.share(p.query)) > LOOKUP_SECONDS
+
+
 def _bytes(df: DataFrame) -> int:
     """What the optimizer takes a table's size to be."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -12,7 +12,10 @@ from siftline.functions.trigrams import is_binary
 
 @dataclass(frozen=True)
 class Corpus:
-    """``files``: file_id, path, text, size, mtime_ns, live, is_binary. Ids and paths are unique.
+    """``files``: file_id, path, text, size, mtime_ns, digest, live, is_binary. Ids and paths are unique.
+
+    A table without times tells an edited row by a digest of its text, which is only computed
+    where states are compared; a table with times and a folder tell it by size and time.
 
     Paths of a folder are relative to ``root``, so globs, scopes and what is printed are too.
     """
@@ -22,20 +25,24 @@ class Corpus:
 
     @classmethod
     def from_df(cls, df: DataFrame, id: str, text: str, path: str | Column | None = None, mtime_ns: str | Column | None = None) -> Corpus:
-        """A corpus of a table's rows; without a path the id is the path."""
+        """A corpus of a table's rows; without a path the id is the path, without times the text's digest tells edits."""
         named = F.col(id).cast("string") if path is None else F.col(path) if isinstance(path, str) else path
         time = F.lit(0) if mtime_ns is None else F.col(mtime_ns) if isinstance(mtime_ns, str) else mtime_ns
         content = F.col(text)
+        digest = F.xxhash64(content) if mtime_ns is None else F.lit(None).cast("long")
         return cls(
             df.select(
                 F.col(id).cast("long").alias("file_id"), named.alias("path"), content.alias("text"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("size"),
-                time.cast("long").alias("mtime_ns"), F.lit(True).alias("live"), is_binary(content).alias("is_binary"),
+                time.cast("long").alias("mtime_ns"), digest.alias("digest"), F.lit(True).alias("live"), is_binary(content).alias("is_binary"),
             )
         )
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False) -> Corpus:
-        """The files under a folder that the ignore rules leave, read and decoded on the executors."""
+    def from_path(cls, spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False, digests: bool = False) -> Corpus:
+        """The files under a folder that the ignore rules leave, read and decoded on the executors.
+
+        With ``digests`` an edit that keeps size and time is seen too, at the price of reading every file.
+        """
         import os
 
         from siftline.sources.datasource import register
@@ -44,7 +51,8 @@ class Corpus:
         root = os.path.abspath(root)  # workers stand in other folders
         options = {"path": root, "hidden": str(hidden).lower(), "noIgnore": str(no_ignore).lower()}
         found = spark.read.format("siftline_corpus").options(**options).load()
-        return cls(found.withColumn("live", F.lit(True)).withColumn("is_binary", is_binary(F.col("text"))), root)
+        digest = F.xxhash64("text") if digests else F.lit(None).cast("long")
+        return cls(found.withColumn("digest", digest).withColumn("live", F.lit(True)).withColumn("is_binary", is_binary(F.col("text"))), root)
 
     def lines(self) -> DataFrame:
         """file_id, path, line_no (from 1), line. A file ends at its first NUL; a binary file has no lines."""

@@ -9,26 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siftline.operators.index import Index
+from siftline.operators.segments import StoredIndex
 from siftline.sources.corpus import Corpus
 from siftline.sources.datasource import register
 
 
 def bring_up_to_date(spark: SparkSession, path: str, corpus: Corpus) -> int:
-    """Save a new version of the index in ``path`` if the corpus differs from it; how many files did.
+    """Add what a corpus has new, changed or removed to the index in ``path``, then merge if that is due; how many files differed.
 
-    Without an index one is built. Searches of the version before go on undisturbed.
+    Without an index one is built. What is written grows with the changes, and searches
+    of the version before go on undisturbed.
     """
     try:
-        index = Index.load(spark, path, check=False)
+        index = StoredIndex.open(spark, path)
     except ValueError:
-        Index.build(corpus).save(path)
-        return corpus.files.count()
+        return StoredIndex.build(corpus, path).live_files
     diff = index.reconcile(corpus.files).persist()
     try:
         n = diff.count()
         if n:
-            index.apply(diff, corpus).save(path)
+            index.apply(diff, corpus).merged()
         return n
     finally:
         diff.unpersist()

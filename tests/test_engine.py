@@ -1,12 +1,16 @@
 """Search, index, filters, ranking, pages: laws and small cases."""
 
+import random
+import re
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from siftline import catalog
-from siftline.operators import page, rank, sort
+from siftline.operators import page, rank, segments, sort
 from siftline.operators.filters import FileFilter
 from siftline.operators.find import find_page
 from siftline.operators.index import Index, changes
@@ -112,30 +116,96 @@ def test_filters(spark, filter_, kept):
     assert {r[0] for r in paths.filter(filter_.condition(F.col("path"))).collect()} == kept
 
 
-WEIGHTS = [
-    ("ship (sails<fast>|sinks<slow>)[.]", "fast:3,slow:0.5", "ship (sails|sinks)[.]", {"a ship sails.": 3.0, "ship sinks.": 0.5, "ship rests.": 0.0}),
-    ("(net<a>|netting<b>)", "a:1,b:4", "(net|netting)", {"the netting": 1.0}),  # the first branch that fits is taken
-    ("tide<in> .*ebb<out>", "in:0.25,out:0.75", "tide .*ebb", {"tide and ebb": 0.75}),
-    ("q<other>r", "w:1", "q<other>r", {"q<other>r": 0.0}), ("mast<n>|oar", "n:-2", "mast|oar", {"mast": 0.0}), ("([<w>]+|keel<w>)", "w:6", "([<w>]+|keel)", {"keel": 6.0, "<w>": 0.0}),
-    ("(z*<none>|deck)", "none:2", "(z*|deck)", {"rope": 2.0, "zz": 2.0, "": 2.0}),  # a branch without text takes part too
-    ("^$|(buoy<b>)?x", "b:7", "^$|(buoy)?x", {"": 0.0, "buoyx": 7.0, "x": 0.0}), (r"(\()(a<v>|b)[()]", "v:1", r"(\()(a|b)[()]", {"(a)": 1.0, "(b(": 0.0}),
-]
-
-
-@pytest.mark.parametrize(("pattern", "spec", "plain", "scores"), WEIGHTS)
-def test_weights(spark, pattern, spec, plain, scores):
-    ranking = rank.parse(pattern, spec)
-    assert ranking.plain == plain
-    rows = spark.createDataFrame([(t,) for t in scores], "t string").select("t", rank.score(F.col("t"), ranking).alias("s")).collect()
-    assert {r["t"]: pytest.approx(r["s"]) for r in rows} == scores
-
-
-@pytest.mark.parametrize(("pattern", "spec"), [("sail<w>", "w"), ("sail<w>", "w:many"), ("sail<w>", " , "), ("(<w>sail)", "w:2"), ("sail<w>", "w:nan"), ("sail<w>", "9w:2"), ("sail|<w>", "w:1")])
-def test_bad_weights(pattern, spec):
-    with pytest.raises(ValueError):
-        rank.parse(pattern, spec)
+def _grown(r: random.Random, depth: int = 0):
+    """A random pattern: parts in a row, each a text or choices between labelled branches, some of them without text."""
+    out = []
+    for _ in range(r.randrange(1, 4)):
+        if depth < 2 and r.random() < 0.5:
+            inner = [_grown(r, depth + 1) if r.random() < 0.85 else [] for _ in range(r.randrange(1, 4))]
+            # a label stands behind text of its branch, not behind a bracket
+            out.append([(x, r.choice([None, "u", "v", "w"]) if x and isinstance(x[-1], str) else None) for x in inner])
+        else:
+            out.append("".join(r.choice("abc") for _ in range(r.randrange(1, 3))))
+    return out
+
+
+def _spelled(parts, labels: bool) -> str:
+    branch = lambda b: _spelled(b[0], labels) + (f"<{b[1]}>" if labels and b[1] else "")
+    return "".join(p if isinstance(p, str) else "(" + "|".join(map(branch, p)) + ")" for p in parts)
+
+
+def _readings(parts) -> list[tuple[str, frozenset]]:
+    """Every text that a pattern fits, the preferred ones first, with the labels of the branches it takes."""
+    out = [("", frozenset())]
+    for p in parts:
+        own = [(p, frozenset())] if isinstance(p, str) else [(t, of | {label} if label else of) for inner, label in p for t, of in _readings(inner)]
+        out = [(x + y, f | g) for x, f in out for y, g in own]
+    return out
+
+
+def _plain_score(parts, weights: dict, line: str) -> float:
+    readings = _readings(parts)
+    for at in range(len(line) + 1):
+        for text, labels in readings:
+            if line.startswith(text, at):
+                return max([0.0, *(weights[x] for x in labels if x in weights)])
+    return 0.0
+
+
+def test_scores_equal_a_plain_reading_of_grown_patterns(spark):
+    r = random.Random(8)
+    seen = 0
+    for _ in range(25):
+        parts = _grown(r)
+        if len(_readings(parts)) > 400:
+            continue
+        weights = {x: r.choice([-1.0, 0.25, 2.0, 7.5]) for x in r.sample("uvw", r.randrange(1, 4))}
+        spec = ",".join(f"{k}:{v}" for k, v in weights.items())
+        # a mark that isn't declared is plain text, so only declared ones are written
+        marked = re.sub(r"<(\w)>", lambda m: m[0] if m[1] in weights else "", _spelled(parts, True))
+        ranking = rank.parse(marked, spec)
+        assert ranking.plain == _spelled(parts, False)
+        lines = ["".join(r.choice("abc") for _ in range(r.randrange(0, 9))) for _ in range(30)] + [t for t, _ in _readings(parts)[:20]]
+        rows = spark.createDataFrame([(t,) for t in lines], "t string").select("t", rank.score(F.col("t"), ranking).alias("s")).collect()
+        want = [_plain_score(parts, weights, x["t"]) for x in rows]
+        assert [x["s"] for x in rows] == want, (marked, spec)
+        seen += sum(x > 0 for x in want)
+    assert seen > 50
+
+
+def test_marks_that_are_text(spark):
+    """Undeclared marks, and declared ones in classes, belong to the pattern."""
+    for pattern, spec, plain, scores in (
+        ("([<w>]+|keel<w>)", "w:6", "([<w>]+|keel)", {"keel": 6.0, "<w>": 0.0}), ("oar<unknown>|mast<w>", "w:1", "oar<unknown>|mast", {"oar<unknown>": 0.0, "mast": 1.0, "oar": 0.0}),
+        (r"(\()(a<v>|b)[()]", "v:1", r"(\()(a|b)[()]", {"(a)": 1.0, "(b(": 0.0}), ("^$|(buoy<b>)?x", "b:7", "^$|(buoy)?x", {"": 0.0, "buoyx": 7.0, "x": 0.0}),
+    ):
+        ranking = rank.parse(pattern, spec)
+        rows = spark.createDataFrame([(t,) for t in scores], "t string").select("t", rank.score(F.col("t"), ranking).alias("s")).collect()
+        assert ranking.plain == plain and {r["t"]: r["s"] for r in rows} == scores
+
+
+def test_weights_are_read_as_their_grammar_says():
+    """Random lists of terms: those of labels and finite numbers alone are taken."""
+    r = random.Random(4)
+    number, taken = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0
+    for _ in range(20_000):
+        spec = "".join(r.choice(["a", "b1", "_", ":", ":", ",", ".5", "2", "-", "nan", "1e9", "inf", " ", "é"]) for _ in range(r.randrange(0, 9)))
+        terms = [t.strip() for t in spec.split(",") if t.strip()]
+        fine = bool(terms) and all(re.fullmatch(rf"[A-Za-z_]\w*:\s*{number}", t, re.ASCII) for t in terms)
+        try:
+            got = rank.parse_weights(spec)
+        except ValueError:
+            got = None
+        assert (got is not None) == fine, spec
+        if fine:
+            taken += 1
+            assert got == {t.partition(":")[0]: float(t.partition(":")[2]) for t in terms}
+    assert taken > 50
+    for pattern in ("<w>oar", "(<w>oar)", "oar|<w>"):  # a label needs a branch
+        with pytest.raises(ValueError):
+            rank.parse(pattern, "w:2")
     with pytest.raises(ValueError):
-        rank.parse("sail", "w:1", fixed=True)
+        rank.parse("oar<w>", "w:2", fixed=True)
 
 
 def test_pages_hold_everything_once_in_order(spark):
@@ -201,40 +271,116 @@ def _found(index, pattern):
     return {r["path"] for r in index.candidates(for_pattern(pattern)).collect()}
 
 
-def test_index_save_load_apply(spark, tmp_path):
-    old = _corpus(spark, ("elm", "ripe PEAR"), ("fir", "bare"), ("oak", "more PEARs"))
-    index = Index.build(old)
-    index.save(str(tmp_path / "i"))
-    loaded = Index.load(spark, str(tmp_path / "i"))
-    assert _found(loaded, "PEAR") == {"elm", "oak"}
-    # another listing numbers its files anew
-    new = _corpus(spark, ("ash", "new PEAR"), ("elm", "ripe PEAR"), ("fir", "now a PEAR"))
-    diff = loaded.reconcile(new.files)
-    assert {tuple(r) for r in diff.collect()} == {("ash", "new"), ("fir", "changed"), ("oak", "removed")}
-    after = loaded.apply(diff, new)
-    assert _found(after, "PEAR") == {"ash", "elm", "fir"}
-    after.save(str(tmp_path / "i"))
-    again = Index.load(spark, str(tmp_path / "i"))
-    assert again.stats().first()["files"] == 3 and after.files.filter("not live").first()["path"] == "oak"
-    back = after.apply(after.reconcile(old.files), old)
-    assert _found(back, "PEAR") == {"elm", "oak"}
-    for one, corpus in ((loaded, new), (after, new), (again, new), (back, old), (again, old)):
-        for pattern in ("PEAR", "new|more"):
-            told = [{tuple(r) for r in search(corpus, pattern, index=one, strategy=k).select("path", "line_no").collect()} for k in ("scan", "index")]
-            assert told[0] == told[1]
+def _states(r: random.Random, n: int):
+    """States of a folder, one after another: some files go, some come, some are edited, some in their old size."""
+    words = ["ivy", "moss", "fern", "reed"]
+    state = {f"f{i}": " ".join(r.choice(words) for _ in range(3)) for i in range(12)}
+    while True:
+        yield dict(state)
+        for name in r.sample(sorted(state), min(2, len(state))):
+            del state[name]
+        state |= {f"f{r.randrange(n)}": "x" * r.randrange(9) + r.choice([" ivy", " fern moss fern"]) for _ in range(3)}
+        for name in r.sample(sorted(state), 2):  # the size stays
+            state[name] = state[name].replace("moss", "MOSS").replace("ivy", "yvi")
+
+
+def test_stored_index_follows_many_states(spark, tmp_path, monkeypatch):
+    """A log of segments and tombstones, merged when that is due, finds what a scan finds, as does every older version."""
+    monkeypatch.setattr(segments, "SMALLEST", 3)
+    monkeypatch.setattr(segments, "FAN", 3)
+    place, r, index, merges = str(tmp_path / "log"), random.Random(3), None, 0
+    for k, state in enumerate(_states(r, 40)):
+        corpus = _corpus(spark, *sorted(state.items(), key=lambda _: r.random()))
+        if index is None:
+            index = segments.StoredIndex.build(corpus, place)
+        else:
+            diff = index.reconcile(corpus.files)
+            changed = diff.filter("kind <> 'removed'").count()
+            older, index = index, index.apply(diff, corpus)
+            if changed:
+                assert index.log["segments"][-1]["files"] == changed  # what is written grows with the changes
+            assert index.reconcile(corpus.files).count() == 0
+            while index.due():
+                index, merges = index.merged(keep=100), merges + 1
+            assert {x["path"] for x in older.files.filter("live").select("path").collect()} == before
+        before = set(state)
+        again = segments.StoredIndex.open(spark, place)
+        assert again.log == index.log and index.live_files == len(state) == again.files.filter("live").count()
+        if k % 10 == 9:
+            fresh = Index.build(corpus)
+            for pattern in ("moss fern", "yvi|MOSS"):
+                for most in (segments.READ_BYTES, 0):  # few postings on the driver, many bucket by bucket
+                    monkeypatch.setattr(segments, "READ_BYTES", most)
+                    assert _found(again, pattern) == _found(fresh, pattern)
+                told = [{tuple(x) for x in search(corpus, pattern, index=again, strategy=s).select("path", "line_no").collect()} for s in ("scan", "index")]
+                assert told[0] == told[1]
+            tri = lambda i: sorted(map(tuple, i.postings.join(i.files, "file_id").select("path", "tri").collect()))
+            assert tri(again) == tri(fresh) and tuple(again.stats().first()) == tuple(fresh.stats().first())
+        if k == 19:
+            break
+    assert merges >= 4 and len(index.log["segments"]) < 8
+
+
+def test_containers_keep_their_places():
+    r = np.random.default_rng(6)
+    kinds = set()
+    for n in (1, 2, 3, 40, 256, 257, 3000, segments.BUCKET):
+        for places in (np.sort(r.choice(segments.BUCKET, n, replace=False)), np.arange(segments.BUCKET - n, segments.BUCKET)):
+            kind, data = segments.encode(places)
+            kinds.add(kind)
+            assert (np.flatnonzero(segments.decode(kind, data)) == places).all() and len(data) <= segments.BUCKET // 8
+    assert kinds == {segments.ARRAY, segments.BITS, segments.RUNS}
+
+
+def test_writers_of_one_log_do_not_overwrite_each_other(spark, tmp_path):
+    place = str(tmp_path / "log")
+    first = _corpus(spark, ("elm", "ripe pear"), ("oak", "bare"))
+    index = segments.StoredIndex.build(first, place)
+    a, b = _corpus(spark, ("elm", "ripe plum"), ("oak", "bare")), _corpus(spark, ("elm", "ripe fig!"), ("oak", "bare"))
+    index.apply(index.reconcile(a.files), a)
+    held = {x.name for x in (tmp_path / "log").iterdir()}
+    with pytest.raises(segments.Conflict):
+        index.apply(index.reconcile(b.files), b)
+    assert {x.name for x in (tmp_path / "log").iterdir()} == held  # nothing of the slower one stays
+    now = segments.StoredIndex.open(spark, place)
+    after = now.apply(now.reconcile(b.files), b)
+    assert _found(after, "fig") == {"elm"} and _found(after, "pear|plum") == set() and _found(index, "pear") == {"elm"}
+    none = spark.createDataFrame([], "id long, path string, text string")
+    empty = after.apply(after.reconcile(Corpus.from_df(none, "id", "text", "path").files), Corpus.from_df(none, "id", "text", "path"))
+    assert empty.live_files == 0 and _found(empty, "bare") == set() and _found(empty, ".") == set()
+    thread = empty.merge_in_background()
+    thread.join(120)
+    assert not thread.is_alive() and not segments.StoredIndex.open(spark, place).due()
+    assert segments.StoredIndex.build(Corpus.from_df(none, "id", "text", "path"), str(tmp_path / "none")).live_files == 0
+
+
+def test_damaged_and_missing_logs(spark, tmp_path):
+    place = tmp_path / "log"
+    segments.StoredIndex.build(_corpus(spark, ("elm", "pear")), str(place))
     for _ in range(3):
-        index.save(str(tmp_path / "many"))
-    assert sorted(x.name for x in (tmp_path / "many").iterdir()) == ["v=000002", "v=000003"]
-    damaged = Index(index.files.filter("path <> 'elm'"), index.postings)
-    damaged.save(str(tmp_path / "bad"))
-    for bad in ("bad", "missing"):
+        index = segments.StoredIndex.build(_corpus(spark, ("elm", "pear")), str(place))
+    assert sorted(x.name for x in place.iterdir() if x.name.startswith("v-")) == ["v-3", "v-4"]
+    assert len([x for x in place.iterdir() if x.name.startswith("s-")]) == 2
+    (place / index.log["segments"][0]["name"]).rename(place / "elsewhere")
+    with pytest.raises(ValueError, match="damaged"):
+        segments.StoredIndex.open(spark, str(place))
+    (place / "v-5").write_text('{"format": 1}')
+    for bad in (place, tmp_path / "missing"):
         with pytest.raises(ValueError):
-            Index.load(spark, str(tmp_path / bad))
+            segments.StoredIndex.open(spark, str(bad))
 
 
-def test_tables_and_indexes_of_random_states_agree(spark):
-    import random
+def test_an_edit_that_keeps_the_size_is_seen(spark):
+    old, now = _corpus(spark, ("a", "one fox ran"), ("b", "owl")), _corpus(spark, ("a", "one owl ran"), ("b", "owl"))
+    index = Index.build(old)
+    for one in (index, index.apply(index.reconcile(now.files), now)):
+        assert {r["path"] for r in search(now, "owl", index=Index(one.files, one.postings), strategy="index").collect()} == {"a", "b"}
+    assert [tuple(r) for r in index.reconcile(now.files).collect()] == [("a", "changed")]
+    timed = spark.createDataFrame([(1, "a", "one fox ran", 5)], "id long, path string, text string, t long")
+    assert Corpus.from_df(timed, "id", "text", "path", "t").files.first()["digest"] is None
+
 
+def test_tables_and_indexes_of_random_states_agree(spark):
     r = random.Random(12)
     state = {f"f{i}": " ".join(r.choice(["ivy", "moss", "fern", "reed"]) for _ in range(3)) for i in range(12)}
     index, corpus = None, None
@@ -255,16 +401,26 @@ def test_tables_and_indexes_of_random_states_agree(spark):
         state |= {f"f{r.randrange(16)}": "x" * r.randrange(9) + r.choice([" ivy", " fern moss fern"]) for _ in range(5)}
 
 
-def test_auto_reads_a_small_corpus_and_looks_up_for_a_large_one(spark, monkeypatch):
+def test_auto_weighs_a_lookup_against_what_it_saves(spark, sf, tmp_path, monkeypatch):
     from siftline.operators import search as module
 
-    c = catalog.documents(spark, "/root/testdata/sf0.001")
-    index, asked = Index.build(c), []
-    many = search(c, "license", strategy="scan").count()
-    monkeypatch.setattr(Index, "matching_ids", lambda self, q, real=Index.matching_ids: asked.append(q) or real(self, q))
-    assert search(c, "license", index=index).count() == many and not asked
-    monkeypatch.setattr(module, "SCANNED_BYTES", 0)
-    assert search(c, "license", index=index).count() == many and asked
+    c = catalog.documents(spark, sf)
+    index, asked = segments.StoredIndex.build(c, str(tmp_path / "i")), []
+    many = {p: search(c, p, strategy="scan").count() for p in ("license", "[a-z]he ", ".")}
+    monkeypatch.setattr(Index, "matching_ids", lambda self, q: 1 / 0)
+    real = segments.StoredIndex.matching_ids
+    monkeypatch.setattr(segments.StoredIndex, "matching_ids", lambda self, q: asked.append(q) or real(self, q))
+    assert all(search(c, p, index=index).count() == n for p, n in many.items()) and not asked  # a small corpus is read
+    monkeypatch.setattr(module, "_bytes", lambda df: 1 << 40)
+    assert all(search(c, p, index=index).count() == n for p, n in many.items())
+    assert len(asked) == 2
+    # of a corpus that is read in two lookups' time, a condition that leaves most files saves too little
+    asked.clear()
+    monkeypatch.setattr(module, "_bytes", lambda df: int(2 * module.LOOKUP_SECONDS * module.MATCHED_BYTES * spark.sparkContext.defaultParallelism))
+    assert index.share(for_pattern("the |and ")) > 0.5 > index.share(for_pattern("icense|zzqx")) and index.share(for_pattern("zzq|xqj")) < 0.01
+    for p in ("the |and ", "icense|zzqx"):
+        search(c, p, index=index).count()
+    assert asked == [for_pattern("icense|zzqx")]
 
 
 def test_context_and_plain_searches_have_no_shuffle(spark):
@@ -275,8 +431,6 @@ def test_context_and_plain_searches_have_no_shuffle(spark):
 
 @pytest.mark.parametrize("before,after", [(0, 1), (1, 0), (2, 2), (0, 3), (9, 9)])
 def test_context_equals_a_plain_reading(spark, before, after):
-    import random
-
     r = random.Random(before * 10 + after)
     texts = [(f"p{k}", "\n".join(r.choice(["m", "-", "-", "-"]) for _ in range(r.randint(1, 30)))) for k in range(12)]
     got = {(x["path"], x["line_no"]): (x["is_match"], x["block"]) for x in search(_corpus(spark, *texts), "m", SearchOptions(before=before, after=after)).collect()}

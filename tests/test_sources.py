@@ -2,6 +2,8 @@
 
 import io
 import os
+import random
+import subprocess
 import threading
 
 import pytest
@@ -15,6 +17,7 @@ from siftline.operators.filters import FileFilter
 from siftline.operators.find import git_scoped
 from siftline.operators.index import Index
 from siftline.operators.search import SearchOptions, search
+from siftline.operators.segments import StoredIndex
 from siftline.operators.status import Progress, follow as follow_status
 from siftline.plans.query import for_pattern
 from siftline.sources.corpus import Corpus
@@ -30,29 +33,63 @@ def _grow(root, files: dict) -> str:
     return str(root)
 
 
-#: What stands in a folder (names, or names with ignore rules), flags of the walk, and the names that it finds.
-WALKS = {
-    "one rule in each kind of file": (
-        {".git/config": "", "brook.md": "", "pond.md": "", "lake.md": "", "sea.md": "", "tarn.md": "", ".gitignore": "pond.md", ".ignore": "lake.md", ".rgignore": "sea.md", ".git/info/exclude": "tarn.md\n"}, {}, ["brook.md"]),
-    "git's rules outside a repository": ({"oak.c": "", "elm.c": "", ".gitignore": "elm.c"}, {}, ["elm.c", "oak.c"]),
-    "rules reach into folders": ({".git/config": "", ".gitignore": "*.tmp", "a/b/leaf.tmp": "", "a/b/leaf.c": ""}, {}, ["a/b/leaf.c"]),
-    "dots are left out": ({"root": "", ".moss": "", ".fern/leaf": ""}, {}, ["root"]),
-    "dots are taken in": ({"root": "", ".moss": "", ".fern/leaf": ""}, {"hidden": True}, [".fern/leaf", ".moss", "root"]),
-    "no rules at all": ({".ignore": "*", "kept": "", "also": ""}, {"no_ignore": True}, ["also", "kept"]),
-    "ignore outranks git": ({".git/config": "", ".gitignore": "*.dat", ".ignore": "!good.dat", "good.dat": "", "bad.dat": ""}, {}, ["good.dat"]),
-    "rgignore outranks ignore": ({".ignore": "*.dat", ".rgignore": "!good.dat", "good.dat": "", "bad.dat": ""}, {}, ["good.dat"]),
-    "a folder goes with all below": ({".ignore": "cache/", "cache/x/y": "", "lib/cache/z": "", "lib/kept": ""}, {}, ["lib/kept"]),
-    "anchors": ({".ignore": "/top\nin/*.o\n!in/need.o", "top": "", "sub/top": "", "in/skip.o": "", "in/need.o": ""}, {}, ["in/need.o", "sub/top"]),
-    "the deeper file decides": ({".ignore": "*.csv", "data/.ignore": "!*.csv", "top.csv": "", "data/low.csv": ""}, {}, ["data/low.csv"]),
-    "comments and blanks": ({".ignore": "# nothing\n\n   \n\\#odd\n", "#odd": "", "even": ""}, {}, ["even"]),
-}
-
-
-@pytest.mark.parametrize("name", WALKS)
-def test_walk(tmp_path, name):
-    files, flags, want = WALKS[name]
-    root = _grow(tmp_path, files)
-    assert [os.path.relpath(p, root) for p in walk(root, **flags)] == want
+def _tree(r: random.Random) -> dict:
+    folders = ["", "a/", "b/", "a/c/", ".d/", "a/b/c/"]
+    return {r.choice(folders) + r.choice(["x", "y.o", "z.txt", ".w", "a", "#k", "x y"]) + r.choice(["", "", "1"]): "" for _ in range(14)}
+
+
+def _rules(r: random.Random) -> list[str]:
+    body = ["x", "*.o", "a/", "/b", "c/*", "**/z.txt", "b/**", "?1", "[xy]*", ".w", "*", "a/b", "\\#k", "x y", "# note", "", "  "]
+    return [("!" if r.random() < 0.3 else "") + r.choice(body) for _ in range(r.randrange(0, 4))]
+
+
+def _of_git(folder) -> list[str]:
+    """What git lists of a folder whose files it doesn't know yet."""
+    git = lambda *a: subprocess.run(["git", "-c", "core.excludesFile=", *a], cwd=folder, check=True, capture_output=True).stdout
+    if not (folder / ".git").exists():
+        git("init", "-q")
+        (folder / ".git" / "info" / "exclude").write_text("")
+    return sorted(x.decode() for x in git("ls-files", "-z", "--others", "--exclude-standard").split(b"\0") if x)
+
+
+def _tidy(tree: dict) -> dict:
+    """A tree without names that are files and folders at once."""
+    return {p: t for p, t in tree.items() if not any(q.startswith(p + "/") for q in tree)}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_walk_lists_what_git_lists(tmp_path, seed):
+    """Random trees with rules in several folders, with dots and without."""
+    r = random.Random(seed)
+    tree = _tidy(_tree(r))
+    tree |= {f: "\n".join(_rules(r)) for f in (".gitignore", "a/.gitignore", "b/.gitignore") if r.random() < 0.7 and f.rpartition("/")[0] not in tree}
+    root = _grow(tmp_path, tree)
+    want = _of_git(tmp_path)
+    told = lambda **flags: [os.path.relpath(p, root) for p in walk(root, **flags)]
+    assert told(hidden=True) == want
+    assert told() == [p for p in want if not any(x.startswith(".") for x in p.split("/"))]
+    assert told(no_ignore=True) == sorted(p for p in tree if not any(x.startswith(".") for x in p.split("/")))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_kinds_of_rules_outrank_each_other(tmp_path, seed):
+    """Rules of four kinds of file at the root decide as if they stood in one, the stronger ones further down."""
+    r = random.Random(100 + seed)
+    tree = _tidy(_tree(r))
+    order = [".git/info/exclude", ".gitignore", ".ignore", ".rgignore"]  # from the weakest on
+    rules = {k: _rules(r) for k in order}
+    one, many = tmp_path / "one", tmp_path / "many"
+    _grow(one, tree | {".gitignore": "\n".join(x for k in order for x in rules[k])})
+    _grow(many, tree)
+    want = [p for p in _of_git(one) if p != ".gitignore"]
+    _of_git(many)
+    _grow(many, {k: "\n".join(v) for k, v in rules.items()})
+    told = lambda **flags: [p for p in (os.path.relpath(p, many) for p in walk(str(many), hidden=True, **flags)) if p not in order and not p.startswith(".git/")]
+    assert told() == want
+    # outside a repository git's own rules count for nothing
+    (many / ".git").rename(tmp_path / "gone")
+    _grow(one, {".gitignore": "\n".join(x for k in order[2:] for x in rules[k])})
+    assert told() == [p for p in _of_git(one) if p != ".gitignore"]
 
 
 def _paths(rows) -> set[str]:
@@ -80,11 +117,11 @@ def test_globs_and_scopes_are_relative_to_the_folder(spark, tmp_path):
 def test_a_file_in_front_changes_no_other(spark, tmp_path):
     root = _grow(tmp_path, {"m.txt": "curlew", "n.txt": "curlew and plover"})
     place = str(tmp_path.parent / f"{tmp_path.name}-index")
-    Index.build(Corpus.from_path(spark, root)).save(place)
+    StoredIndex.build(Corpus.from_path(spark, root), place)
     _grow(tmp_path, {"a.txt": "plover first", "m.txt": "plover instead"})
     os.remove(f"{root}/n.txt")
     _grow(tmp_path, {"z.txt": "curlew last"})
-    now, stored = Corpus.from_path(spark, root), Index.load(spark, place)
+    now, stored = Corpus.from_path(spark, root), StoredIndex.open(spark, place)
     after = stored.apply(stored.reconcile(now.files), now)
     for index in (stored, after, Index(after.files, after.postings)):
         for pattern in ("plover", "curlew|first$"):
@@ -104,10 +141,10 @@ def test_refresh_follows_a_folder(spark, tmp_path):
     run = follow(folder_listings(spark, root), place, corpus, str(tmp_path / "checkpoint"))
     try:
         run.processAllAvailable()
-        assert _paths(Index.load(spark, place).candidates(for_pattern("GULL"))) == {"one.txt", "0.txt"}
+        assert _paths(StoredIndex.open(spark, place).candidates(for_pattern("GULL"))) == {"one.txt", "0.txt"}
         os.remove(f"{root}/one.txt")
         run.processAllAvailable()
-        index = Index.load(spark, place)
+        index = StoredIndex.open(spark, place)
         assert _paths(search(corpus(spark), "GULL", index=index, strategy="index")) == {"0.txt"}
     finally:
         run.stop()
