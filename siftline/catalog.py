@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import formats
 from siftline.functions.trigrams import trigrams
-from siftline.operators import page, rank, sort
+from siftline.operators import batch, page, rank, sort
 from siftline.operators import search as s
 from siftline.operators.filters import FileFilter
 from siftline.operators.find import find, find_page
@@ -512,7 +512,7 @@ def conversations_search(spark, d):
 
 @query(f"with {LINES} select 'apache' as label, path, line_no from l where contains(line, 'Apache') union all select 'mit', path, line_no from l where contains(line, 'MIT')")
 def batch_search(spark, d):
-    return s.batch_search(documents(spark, d), {"apache": "Apache", "mit": "MIT"}).select("label", "path", "line_no")
+    return batch.batch_search(documents(spark, d), {"apache": "Apache", "mit": "MIT"}).select("label", "path", "line_no")
 
 
 @query(f"with {LINES} select path, min(line_no) as first_line, max(line_no) as last_line, count(*) as n from l where contains(line, 'that') group by path")
@@ -522,13 +522,20 @@ def line_span(spark, d):
 
 @query(f"with {LINES} select doc_id, line_no from l where exists (select 1 from benchmark b where contains(l.line, b.text) and not contains(b.text, chr(10)))")
 def benchmark_needles(spark, d):
-    """Every benchmark text of one line as a fixed pattern of one search."""
-    needles = _table(spark, d, "benchmark").filter(~F.contains("text", F.lit("\n"))).select("text").distinct()
-    out, texts = None, [r["text"] for r in needles.toLocalIterator()]
-    for at in range(0, len(texts), 500):  # patterns live on the driver, some of them in each search
-        one = s.search(documents(spark, d), texts[at : at + 500], SearchOptions(fixed=True)).select(F.col("file_id").alias("doc_id"), "line_no")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct() if out is not None else spark.createDataFrame([], "doc_id long, line_no long")
+    """Every benchmark text of one line as a fixed text, all in one pass."""
+    items = _table(spark, d, "benchmark").select(F.col("text").alias("needle"))
+    return batch.needle_search(documents(spark, d), items.filter(~F.contains("needle", F.lit("\n")))).select(F.col("file_id").alias("doc_id"), "line_no").distinct()
+
+
+@query("""with f as (select doc_id, item_id, d.text as t, b.text as k from documents d, benchmark b where contains(d.text, b.text)),
+p as (select doc_id, item_id, k, unnest(string_split(t, k)) as gap, generate_subscripts(string_split(t, k), 1) as i, len(string_split(t, k)) as n from f),
+s as (select doc_id, item_id, i, n, 1 + sum(length(gap) - length(replace(gap, chr(10), ''))) over (partition by doc_id, item_id order by i) + (i - 1) * (length(k) - length(replace(k, chr(10), ''))) as line_no from p)
+select distinct doc_id, item_id, line_no::bigint as line_no from s where i < n""")
+def benchmark_passages(spark, d):
+    """Where each benchmark text begins in a document, texts of several lines too, all in one pass."""
+    items = _table(spark, d, "benchmark")
+    found = batch.needle_search(documents(spark, d), items.select(F.col("text").alias("needle")))
+    return found.join(items, F.col("needle") == F.col("text")).select(F.col("file_id").alias("doc_id"), "item_id", "line_no").distinct()
 
 
 @query("""select doc_id, case when n_chars < 1000 then cast(n_chars as varchar) else concat((n_chars + 50) // 1000, '.', (n_chars + 50) // 100 % 10, 'k') end as count_short,

@@ -279,17 +279,6 @@ def line_spans(rows: DataFrame) -> DataFrame:
     return rows.filter("is_match").groupBy("path").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n"))
 
 
-def batch_search(corpus: Corpus, queries: dict[str, str], options: SearchOptions = SearchOptions(), index: Index | None = None) -> DataFrame:
-    """Several labelled searches as one result with a column ``label``; an extension."""
-    out = None
-    for label, pattern in queries.items():
-        one = search(corpus, pattern, options, index).withColumn("label", F.lit(label))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        raise ValueError("no query")
-    return out
-
-
 def rendered(rows: DataFrame, line_numbers: bool = True, paths: bool = True, prefix: str = "") -> DataFrame:
     """``rows`` with ``rendered``: ``path:line:text``, with ``-`` instead of ``:`` for context."""
     sep = F.when(F.col("is_match"), F.lit(":")).otherwise(F.lit("-"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from siftline import catalog
-from siftline.operators import page, rank, segments, sort
+from siftline.operators import batch, page, rank, segments, sort
 from siftline.operators.filters import FileFilter
 from siftline.operators.find import find_page
 from siftline.operators.index import Index, changes
@@ -267,6 +267,44 @@ def test_cursor():
     assert page.staleness(cursor, 9, -5) is None and "9 then, 10 now" in page.staleness(cursor, 10, -5)
 
 
+def test_batch_search_equals_searches_one_after_another(spark, sf):
+    c = catalog.documents(spark, sf)
+    index = Index.build(c)
+    queries = {"lic": "[Ll]icense", "mit": "MIT", "the": r"\bthe$", "none": "zqzq", "dot": "^.{0,3}$", "both": "GNU|Apache", "mail": r"[\w.]+@[\w.]+", "again": "MIT"}
+    for options, given in ((SearchOptions(), index), (SearchOptions(), None), (SearchOptions(ignore_case=True), None), (SearchOptions(fixed=True), index), (SearchOptions(word=True, filter=FileFilter(globs=("*.en",))), None), (SearchOptions(after=1), None)):
+        got = batch.batch_search(c, queries, options, given)
+        want = [(label, *r) for label, p in queries.items() for r in search(c, p, options, strategy="scan").collect()]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    with pytest.raises(ValueError):
+        batch.batch_search(c, {})
+
+
+def test_needles_of_a_table(spark):
+    files = [("a", "one two\nthree\n\ntwo threefour\nno"), ("b", None), ("c", ""), ("d", "\0two"), ("e", "x" * 2000 + "two\n\0two"), ("f", "ααβ\nα.*\\Eβ\n" * 3), ("g", "aXa\naXaXa")]
+    needles = ["two", "e\n\nt", "two\nthree", "no", "α", "α.*\\Eβ", "β\nα", "\n", "a\n", None, "", "two", "zzz", "aXa", "o\nt", "\\E", "ee\n\ntwo th"]
+    c = _corpus(spark, *files)
+    want = set()
+    for path, text in files:
+        body = (text or "").partition("\0")[0]
+        if text and "\0" in text[:1024]:
+            continue
+        for n in {n for n in needles if n}:
+            if "\n" not in n:
+                lines = body.split("\n")
+                want |= {(n, path, i) for i, line in enumerate(lines[:-1] if lines[-1] == "" else lines, 1) if n in line}
+            else:
+                at = body.find(n)
+                while at >= 0:
+                    want.add((n, path, body.count("\n", 0, at) + 1))
+                    at = body.find(n, at + len(n))
+    df = spark.createDataFrame([(n,) for n in needles], "n string")
+    for index in (None, Index.build(c)):
+        assert {(r["needle"], r["path"], r["line_no"]) for r in batch.needle_search(c, df, "n", index).collect()} == want
+    assert batch.needle_search(c, df.limit(0), "n").count() == 0
+    many = spark.range(3000).select(F.concat(F.lit("t"), "id", F.lit(" three")).alias("n")).unionByName(df)
+    assert batch.needle_search(c, many, "n").count() == len(want)
+
+
 def _found(index, pattern):
     return {r["path"] for r in index.candidates(for_pattern(pattern)).collect()}
 
