@@ -397,10 +397,8 @@ _WEIGHTED = ("(Apache<a>|MIT<m>) License", "a:0.7,m:0.9")
 f as (select path, -max(v) as order_value from m group by path)
 select m.path, line_no, order_value::bigint as order_value, row_number() over (order by order_value, m.path, line_no) as rank from m join f on f.path = m.path""")
 def sort_weight(spark, d):
-    ranking = rank.parse(*_WEIGHTED)
-    rows = s.search(documents(spark, d), ranking.plain)
-    spec = sort.SortSpec("weight")
-    ordered = sort.order_values(rows, spec, scores=rank.file_scores(rows, ranking))
+    ranking, spec = rank.parse(*_WEIGHTED), sort.SortSpec("weight")
+    ordered = rank.weighted(s.search(documents(spark, d), ranking.plain), ranking)
     return page.numbered(ordered, spec).select("path", "line_no", "order_value", F.col("rank").cast("long").alias("rank"))
 
 
@@ -810,7 +808,7 @@ def udtf_search_lines(spark, d):
     from siftline.functions import udtf
 
     udtf.register(spark)
-    found = spark.sql("select d.doc_id, s.line_no, s.line from {docs} d, lateral search_lines(d.text, '^[A-Z][a-z]+ing') s", docs=_table(spark, d, "documents"))
+    found = spark.sql("select doc_id, inline(found) from (select doc_id, matching_lines(text, '^[A-Z][a-z]+ing') as found from {docs})", docs=_table(spark, d, "documents"))
     return found.select("doc_id", "line_no", "line")
 
 

@@ -50,22 +50,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=1000)
     p.add_argument("--after-path")
     p.add_argument("--cursor")
+    p.add_argument("--index", metavar="DIR", help="search through an index kept below this folder, brought up to date first")
     p.add_argument("positional", nargs="*")
     return p
 
 
-def _walked(text: str, walked: list[bool]) -> str:
-    """A page whose cursor also tells which files the folder's walk took in."""
-    from siftline.operators import page
-
-    head, mark, token = text.rpartition("[more: cursor ")
-    if not mark:
-        return text
-    cursor = page.Cursor.decode(token.removesuffix("]"))
-    cursor.options["walk"] = list(walked)
-    return f"{head}{mark}{cursor.encode()}]"
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     """Run a command; 0 with results, 1 without, 2 for an error."""
     from siftline.config import EngineConfig
@@ -78,19 +67,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     from siftline.tools import Tools, check_sort, serve
 
     write = (out or sys.stdout).write
-    a = parser().parse_args(argv)
+    a = parser().parse_intermixed_args(argv)
     rest = list(a.positional)
     patterns = a.regexp or ([rest.pop(0)] if rest and not a.tools and a.cursor is None else [])
     root = rest[0] if rest else "."
+
+    def kept(corpus):
+        """The index of a folder, where indexes are kept; hidden files and such that it lacks are read."""
+        config = EngineConfig.load(**({"cache_dir": a.index, "persist_threshold_ms": 0} if a.index else {}))
+        return config.open_index(corpus) if config.cache_dir else None
+
     try:
         if a.cursor is not None:
-            if a.regexp or rest or a != parser().parse_args(["--cursor", a.cursor, *["--compact"] * a.compact]):
+            if a.regexp or rest or a != parser().parse_intermixed_args(["--cursor", a.cursor, *["--compact"] * a.compact, *(["--index", a.index] if a.index else [])]):
                 raise ValueError("a cursor stands alone; it holds the search that it continues")
             spark = spark or SparkSession.builder.appName("siftline").getOrCreate()
             at = page.Cursor.decode(a.cursor)
-            walked = at.options.pop("walk", [False, False])
-            text = Tools(Corpus.from_path(spark, at.root, *walked), cursors=page.OpenCursors()).content_search(cursor=at.encode())
-            write(_walked(text, walked) + "\n")
+            at.options.setdefault("walk", [False, False])
+            corpus = Corpus.from_path(spark, at.root)
+            write(Tools(corpus, kept(corpus), cursors=page.OpenCursors()).content_search(cursor=at.encode()) + "\n")
             return 0
         if not patterns and not a.tools:
             raise ValueError("no pattern")
@@ -113,7 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         prefix = "" if named or not rest else root if root.endswith("/") else root + "/"
         if a.tools:
             config = EngineConfig.load()
-            serve(Tools(corpus, config.open_index(corpus), page.CursorStore(config.cursor_ttl_secs)), sys.stdin, write)
+            serve(Tools(corpus, kept(corpus) or config.open_index(corpus), page.CursorStore(config.cursor_ttl_secs)), sys.stdin, write)
             return 0
         if a.find:
             got = find_page(corpus.files, patterns[0], a.limit, a.after_path)
@@ -121,15 +116,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
                 write(prefix + r["path"] + "\n")
             return 0 if got.total else 1
         if a.compact:
-            walked = [a.hidden or named, a.no_ignore or named]
-            text = Tools(corpus, cursors=page.OpenCursors()).content_search(
+            plain = Corpus.from_path(spark, folder)
+            text = Tools(plain, kept(plain), cursors=page.OpenCursors()).content_search(
                 patterns, a.ignore_case, a.word, a.fixed, a.multi_line, a.invert, a.only_matching, a.globs, a.types, a.type_nots, a.files_only, a.count, a.page_size, key, reverse, a.weights, 0, None, before, after,
+                a.hidden or named, a.no_ignore or named,
             )
-            write(_walked(text, walked) + "\n")
+            write(text + "\n")
             return 1 if text.startswith("[no") else 0
         if a.files_only or a.count:
             raise ValueError("-l and -c go with --compact")
-        rows = search(corpus, searched, options)
+        index = None if named else kept(Corpus.from_path(spark, folder))
+        rows = search(corpus, searched, options, index, "auto" if index is None else "index")
         scores = rank.file_scores(rows, ranking, options.pattern_options()) if ranking else None
         ordered = sort.order_values(rows, spec, corpus.files, scores).orderBy(*sort.ordering(spec))
         shown, last = 0, None

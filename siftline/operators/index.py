@@ -90,6 +90,10 @@ class Index:
             return live.select("file_id", "path")
         return live.select("file_id", "path").join(self.matching_ids(query), "file_id", "left_semi")
 
+    def candidate_paths(self, query: Query) -> tuple[DataFrame, bool]:
+        """(path) of candidates, and whether they are known to be few enough to broadcast."""
+        return self.candidates(query).select("path"), False
+
     def narrows(self, query: Query) -> bool:
         """Whether a lookup is worth it."""
         return not query.is_all and len(query.leaves()) <= MOST_LEAVES

@@ -200,7 +200,7 @@ def numbered(rows: DataFrame, spec: SortSpec = SortSpec()) -> DataFrame:
     partitions' sizes (one row each) give every partition its first place, and no task
     sees all rows.
     """
-    placed = _written(rows.orderBy(*ordering(spec)).withColumn("__at", F.monotonically_increasing_id()))
+    placed = written(rows.orderBy(*ordering(spec)).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
@@ -209,7 +209,7 @@ def numbered(rows: DataFrame, spec: SortSpec = SortSpec()) -> DataFrame:
     return out.withColumn("rank", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__at", "__start")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """``df`` in the shared checkpoint folder, so that its partitions stay as they are; a folder is set only where none is, as in tests."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():

@@ -122,6 +122,21 @@ def file_scores(rows: DataFrame, ranking: Ranking, options: Options = Options())
     return rows.filter("is_match").groupBy("path").agg(F.max(score(F.col("text"), ranking, options)).alias("score"))
 
 
+def weighted(rows: DataFrame, ranking: Ranking, options: Options = Options()) -> DataFrame:
+    """``rows`` with the order_value of the weight order, from one search.
+
+    Rows are scored once and written to the checkpoint folder; the files' best scores, added up
+    where the rows are before any shuffle, are joined to them.
+    """
+    from siftline.operators.page import written
+    from siftline.operators.sort import SCORE_STEPS
+
+    told = F.when(F.col("is_match"), -F.round(score(F.col("text"), ranking, options) * SCORE_STEPS).cast("long"))
+    scored = written(rows.withColumn("__value", told))
+    best = scored.filter("is_match").groupBy("path").agg(F.min("__value").alias("order_value"))
+    return scored.drop("__value").join(best, "path", "left").withColumn("order_value", F.coalesce("order_value", F.lit(0).cast("long")))
+
+
 def relevance(ranked: DataFrame, touched: DataFrame) -> DataFrame:
     """One row a ranking: queries, precision_at_1 and mrr of what was wanted; an extension.
 

@@ -105,8 +105,11 @@ def narrowed(corpus: Corpus, p: Plan, index: Index | None = None, strategy: str
     if strategy in ("index", "auto") and index is not None and not p.is_fallback:
         if index.numbered is corpus:
             files = _among(files, index.matching_ids(p.query)) if index.narrows(p.query) else files
+        elif index.of is corpus:
+            keys, few = index.candidate_paths(p.query)
+            files = files.join(F.broadcast(keys), "path", "left_semi") if few else _among(files, keys)
         else:
-            files = _among(files, index.candidates(p.query).select("path") if index.of is corpus else index.may_match(p.query, files))
+            files = _among(files, index.may_match(p.query, files))
     if strategy != "scan" and p.literal:
         files = files.filter(F.contains(F.col("text"), F.lit(p.literal)))
     return files

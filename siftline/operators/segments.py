@@ -415,35 +415,69 @@ class StoredIndex(Index):
         parts = [self.share(q) for q in query.items]
         return min(parts) if query.kind == "and" else min(1.0, sum(parts))
 
-    def matching_ids(self, query: Query) -> DataFrame:
-        """(file_id) of live files whose trigrams fulfil a condition that is not ``all``.
+    @cached_property
+    def _held_containers(self) -> DataFrame:
+        """All postings and tombstones, buckets numbered through all segments."""
+        postings = [self._table(s["name"], "postings").withColumn("bucket", F.col("bucket") + F.lit(s["number"] << (SEGMENT_SHIFT - PLACE_BITS))) for s in self.log["segments"]]
+        return self._union(postings + [self._table(d["name"], "dead") for d in self.log["dead"]], CONTAINERS)
 
-        Few postings are read by the driver, as a list of bounded size; more meet bucket by bucket.
-        """
+    @cached_property
+    def _paths(self) -> DataFrame:
+        return self._union([self._rows(s).select("file_id", "path") for s in self.log["segments"]], "file_id long, path string")
+
+    def resident(self) -> StoredIndex:
+        """This version with postings and paths kept in the executors' memory, for many searches."""
+        self._held_containers.persist().count()
+        self._paths.persist().count()
+        self.common  # noqa: B018
+        return self
+
+    def _read(self, query: Query) -> np.ndarray | None:
+        """Ids that fulfil a condition, if its postings are few enough for the driver to read; else None."""
         leaves = sorted(query.leaves())
-        hits = [self._table(s["name"], "postings").filter(F.col("tri").isin(leaves)).withColumn("bucket", F.col("bucket") + F.lit(s["number"] << (SEGMENT_SHIFT - PLACE_BITS))) for s in self.log["segments"]]
-        hits = self._union(hits + [self._table(d["name"], "dead") for d in self.log["dead"]], CONTAINERS)
-        most = sum(min(self.common.get(t, self.live_files // COMMON), self.live_files) for t in leaves) * 2 + sum(d["n"] for d in self.log["dead"]) * 2
+        most = 2 * sum(min(self.common.get(t, self.live_files // COMMON), self.live_files) for t in leaves) + 2 * sum(d["n"] for d in self.log["dead"])
         if most > READ_BYTES:
-            return evaluated(query, hits)
+            return None
         buckets: dict[int, dict] = {}
-        for tri, bucket, kind, n, data in zip(*(c.to_pylist() for c in hits.toArrow().columns), strict=True):
+        for tri, bucket, kind, n, data in zip(*(c.to_pylist() for c in self._containers_of(leaves).toArrow().columns), strict=True):
             buckets.setdefault(bucket, {}).setdefault(tri, []).append((n, kind, data))
-        ids = [_evaluate(query, b, rows) for b, rows in buckets.items()]
-        return self._spark.createDataFrame(pa.table({"file_id": np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)}))
+        return np.concatenate([*(_evaluate(query, b, rows) for b, rows in buckets.items()), np.zeros(0, np.int64)]).astype(np.int64)
+
+    def _containers_of(self, leaves: list[int]) -> DataFrame:
+        return self._held_containers.filter(F.col("tri").isin([*leaves, DEAD] if self.log["dead"] else leaves))
+
+    def matching_ids(self, query: Query) -> DataFrame:
+        """(file_id) of live files whose trigrams fulfil a condition that is not ``all``.
+
+        Few postings are read by the driver, as a list of bounded size; more meet bucket by bucket.
+        """
+        ids = self._read(query)
+        if ids is None:
+            return evaluated(query, self._containers_of(sorted(query.leaves())))
+        return self._spark.createDataFrame(pa.table({"file_id": ids}))
 
     def candidates(self, query: Query, keep: Column | None = None) -> DataFrame:
         """(file_id, path) of live files that may match; ``keep`` is a condition over paths."""
         if not self.narrows(query):
             live = self.files.filter("live")
             return (live if keep is None else live.filter(keep)).select("file_id", "path")
-        rows = self._union([self._rows(s).select("file_id", "path") for s in self.log["segments"]], "file_id long, path string")
-        rows = rows if keep is None else rows.filter(keep)
-        ids = self.matching_ids(query)
-        few = ids.limit(BROADCAST + 1).toArrow()  # of bounded size
-        if len(few) <= LISTED:
-            return rows.filter(F.col("file_id").isin(few["file_id"].to_pylist()))
-        return rows.join(F.broadcast(self._spark.createDataFrame(few)) if len(few) <= BROADCAST else ids, "file_id", "left_semi")
+        found, _ = self._found(query)
+        return found if keep is None else found.filter(keep)
+
+    def _found(self, query: Query) -> tuple[DataFrame, bool]:
+        """(file_id, path) of live files that may match, and whether they are few enough to broadcast."""
+        ids = self._read(query)
+        if ids is not None and len(ids) <= LISTED:
+            return self._paths.filter(F.col("file_id").isin(ids.tolist())), True
+        few = ids is not None and len(ids) <= BROADCAST
+        met = evaluated(query, self._containers_of(sorted(query.leaves()))) if ids is None else self._spark.createDataFrame(pa.table({"file_id": ids}))
+        return self._paths.join(F.broadcast(met) if few else met, "file_id", "left_semi"), few
+
+    def candidate_paths(self, query: Query) -> tuple[DataFrame, bool]:
+        if not self.narrows(query):
+            return super().candidate_paths(query)
+        found, few = self._found(query)
+        return found.select("path"), few
 
     # changes
 

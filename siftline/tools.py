@@ -31,13 +31,15 @@ class Tools:
         self, pattern: str | list[str] | None = None, case_insensitive: bool = False, word: bool = False, fixed_strings: bool = False, multi_line: bool = False,
         invert_match: bool = False, only_matching: bool = False, globs: list[str] = (), types: list[str] = (), type_nots: list[str] = (), files_only: bool = False,
         count: bool = False, page_size: int = page.PAGE_SIZE, sort_by: str = "none", reverse: bool = False, weights: str | None = None, context: int = 0, cursor: str | None = None,
-        before: int | None = None, after: int | None = None,
+        before: int | None = None, after: int | None = None, hidden: bool = False, no_ignore: bool = False,
     ) -> str:
         """One page of results as text; ``cursor`` continues a page before and stands alone."""
         note = None
+        if (hidden or no_ignore) and not self.corpus.root:
+            raise ValueError("hidden and no_ignore are for folders")
         if cursor is not None:
-            given = (pattern, case_insensitive, word, fixed_strings, multi_line, invert_match, only_matching, list(globs), list(types), list(type_nots), files_only, count, sort_by, reverse, weights, context, before, after)
-            if given != (None, False, False, False, False, False, False, [], [], [], False, False, "none", False, None, 0, None, None):
+            given = (pattern, case_insensitive, word, fixed_strings, multi_line, invert_match, only_matching, list(globs), list(types), list(type_nots), files_only, count, sort_by, reverse, weights, context, before, after, hidden, no_ignore)
+            if given != (None, False, False, False, False, False, False, [], [], [], False, False, "none", False, None, 0, None, None, False, False):
                 raise ValueError("a cursor stands alone; it holds the search that it continues")
             try:
                 at = self.cursors.take(cursor)
@@ -50,12 +52,15 @@ class Tools:
                 raise ValueError("no pattern")
             options = {
                 "ignore_case": case_insensitive, "word": word, "fixed": fixed_strings, "multi_line": multi_line, "invert": invert_match, "only_matching": only_matching,
-                "before": context if before is None else before, "after": context if after is None else after, "globs": list(globs), "types": list(types), "type_nots": list(type_nots),
+                "before": context if before is None else before, "after": context if after is None else after, "globs": list(globs), "types": list(types), "type_nots": list(type_nots), "walk": [hidden, no_ignore],
             }
             mode = "count" if count else "files" if files_only else "matches"
             at = page.Cursor(mode, [pattern] if isinstance(pattern, str) else list(pattern), options, max(1, page_size), sort_by, reverse, weights, root=self.corpus.root)
         check_sort(at.sort, at.weights)
         told = dict(at.options)
+        corpus = self.corpus
+        if any(walked := told.pop("walk", [False, False])):  # a wider walk than the corpus's own; what the index doesn't know is read
+            corpus = Corpus.from_path(corpus.files.sparkSession, corpus.root, *walked)
         chosen = FileFilter(*(tuple(told.pop(k)) for k in ("globs", "types", "type_nots")))
         options = SearchOptions(**told, filter=chosen)
         spec = sort.SortSpec(at.sort, at.reverse)
@@ -64,10 +69,10 @@ class Tools:
         if at.weights is not None:
             ranking = rank.parse(regex.join(patterns, options.fixed), at.weights, options.fixed)
             patterns = [ranking.plain]
-        rows = search(self.corpus, patterns, options, self.index)
+        rows = search(corpus, patterns, options, self.index)
         if ranking is not None:
             scores = rank.file_scores(rows, ranking, options.pattern_options())
-        got = page.paged(rows, spec, at.mode, at.page_size, at.last_key, at.shown, self.corpus.files, scores)
+        got = page.paged(rows, spec, at.mode, at.page_size, at.last_key, at.shown, corpus.files, scores)
         if cursor is not None:
             note = page.staleness(at, got.total_matches, got.fingerprint)
         body = self._body(at.mode, got, rows, options.before or options.after)
@@ -120,6 +125,28 @@ def check_sort(key: str, weights: str | None) -> None:
         raise ValueError("weights go with sort=weight only")
 
 
+#: Versions of the tool protocol that are spoken, the latest last; fixed values.
+PROTOCOLS = ("2024-11-05", "2025-03-26", "2025-06-18")
+_KINDS = {"str": "string", "bool": "boolean", "int": "integer", "list[str]": "array"}
+
+
+def schema(call) -> dict:
+    """The JSON schema of a tool's arguments, read off its signature; ``sort_by`` is called sort outside."""
+    import inspect
+
+    properties, required = {}, []
+    for name, p in inspect.signature(call).parameters.items():
+        kinds = [_KINDS[k] for k in (x.strip() for x in str(p.annotation).split("|")) if k in _KINDS]
+        each = [{"type": k} | ({"items": {"type": "string"}} if k == "array" else {}) for k in kinds]
+        name = "sort" if name == "sort_by" else name
+        properties[name] = each[0] if len(each) == 1 else {"anyOf": each}
+        if p.default is inspect.Parameter.empty:
+            required.append(name)
+        elif isinstance(p.default, (bool, int, str)):
+            properties[name] = properties[name] | {"default": p.default}
+    return {"type": "object", "properties": properties, "additionalProperties": False} | ({"required": required} if required else {})
+
+
 def handle(tools: Tools, request: dict) -> dict | None:
     """Answer one JSON-RPC 2.0 request; notifications have no answer."""
     name, params = request.get("method"), request.get("params") or {}
@@ -127,8 +154,14 @@ def handle(tools: Tools, request: dict) -> dict | None:
         return None
     reply = {"jsonrpc": "2.0", "id": request["id"]}
     calls = {"content_search": tools.content_search, "file_search": tools.file_search, "status": tools.status}
+    if name == "initialize":
+        asked = params.get("protocolVersion")
+        spoken = asked if asked in PROTOCOLS else PROTOCOLS[-1]
+        return reply | {"result": {"protocolVersion": spoken, "capabilities": {"tools": {}}, "serverInfo": {"name": "siftline", "version": "1"}}}
+    if name == "ping":
+        return reply | {"result": {}}
     if name == "tools/list":
-        return reply | {"result": {"tools": [{"name": n, "description": (f.__doc__ or "").strip()} for n, f in calls.items()]}}
+        return reply | {"result": {"tools": [{"name": n, "description": (f.__doc__ or "").strip(), "inputSchema": schema(f)} for n, f in calls.items()]}}
     if name != "tools/call" or params.get("name") not in calls:
         return reply | {"error": {"code": -32601, "message": "method not found"}}
     arguments = dict(params.get("arguments") or {})

@@ -166,7 +166,14 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("select * from search_lines('q\\nrat\\nthe rat', 'ra+t')").collect()] == [(2, "rat"), (3, "the rat")]
     assert [r[0] for r in spark.sql("select * from trigrams('wxyz')").collect()] == [0x777879, 0x78797A]
     with pytest.raises(Exception, match="PatternError|backreference|escape"):
-        spark.sql(r"select * from search_lines('q', '(q)\\1')").collect()
+        spark.sql(r"select * from search_lines('q', '(q)\\\\1')").collect()
+    for bad in ("(?=q)", "[[:alpha:]]", "(?P<n>q)"):
+        with pytest.raises(Exception, match="PatternError"):
+            spark.sql(f"select * from search_lines('q', '{bad}')").collect()
+    d = spark.createDataFrame([(1, "q\nrat\nthe rat\n"), (2, None), (3, "rat\0rat"), (4, "")], "id int, t string")
+    found = spark.sql("select id, inline(f) from (select id, matching_lines(t, 'ra+t$') as f from {d})", d=d)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "rat"), (1, 3, "the rat"), (3, 1, "rat")]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and spark.sql("select * from trigrams('xy')").count() == 0
 
 
 def _run(spark, root):
@@ -195,6 +202,23 @@ def test_command_line(spark, tmp_path):
     assert run("-N", *weighed, root)[1] == "deep/n.rs:WREN\nm.py:wren\nm.py:lark\nm.py:wren lark\n"
 
 
+def test_command_line_searches_through_a_kept_index(spark, tmp_path, monkeypatch):
+    root = _grow(tmp_path / "files", {"m.py": "wren\nlark\n", "n.rs": "WREN\n", ".h": "wren\n", "skip.o": "wren\n", ".ignore": "*.o"})
+    run, kept = _run(spark, root), str(tmp_path / "kept")
+    asked = []
+    real = StoredIndex.may_match
+    monkeypatch.setattr(StoredIndex, "may_match", lambda self, q, files: asked.append(q) or real(self, q, files))
+    for args in (("-i", "wren"), ("wren", "--hidden"), ("lark|WREN",), ("wren", "--no-ignore"), ("-v", "wren"), ("nothing here",)):
+        assert run("--index", kept, *args, root) == run(*args, root)
+        assert run("--index", kept, "--compact", *args, root) == run("--compact", *args, root)
+    assert asked and len(os.listdir(kept)) == 1
+    _grow(tmp_path / "files", {"z.txt": "wren again\n"})
+    assert run("--index", kept, "wren", root)[1] == "m.py:1:wren\nz.txt:1:wren again\n"
+    text = run("--index", kept, "--compact", "--page-size", "1", "wren", root)[1]
+    token = text.splitlines()[-1].removeprefix("[more: cursor ").removesuffix("]")
+    assert run("--cursor", token, "--index", kept)[1].splitlines()[1:] == ["z.txt", "  1: wren again"]
+
+
 def test_command_line_paths_are_those_typed(spark, tmp_path, monkeypatch):
     root = _grow(tmp_path, {"deep/n.rs": "wren\n"})
     monkeypatch.chdir(tmp_path)
