@@ -43,11 +43,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    If it has ``rows`` short rows at most, it is written as a file for each FILE_ROWS of
-    them: a checkpoint writes a file for every partition, empty ones too.
+    If it has ``rows`` short rows at most, these are dealt out, after the work that makes
+    them, into a file for each FILE_ROWS: a checkpoint writes a file for every partition,
+    empty ones too.
     """
     shared_checkpoints(df.sparkSession)
-    return (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)
+    return (df if rows is None else df.repartition(rows // FILE_ROWS + 1)).checkpoint(eager=True)
 
 
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
