@@ -5,25 +5,29 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftline.config import EngineConfig
 from siftline.functions import formats
 from siftline.functions.trigrams import trigrams
 from siftline.operators import batch, page, rank, sort
 from siftline.operators import search as s
 from siftline.operators.filters import FileFilter
-from siftline.operators.find import find, find_page
-from siftline.operators.index import Index, bitmap_ids, bitmaps, changes, tombstone
+from siftline.operators.find import NameIndex, find, find_page, git_scoped
+from siftline.operators.index import Index, bitmap_ids, bitmaps, changes, changes_by_folder, tombstone
 from siftline.operators.search import SearchOptions
 from siftline.operators.segments import StoredIndex
-from siftline.operators.status import status
+from siftline.operators.status import Progress, status
 from siftline.plans.query import for_pattern, of_literal
 from siftline.plans.regex import Options, escape, join, to_java
 from siftline.sources.corpus import Corpus
-from siftline.streaming.refresh import follow, matches_of_stream
+from siftline.streaming.cursors import cursor_answers
+from siftline.streaming.live import LiveStatus
+from siftline.streaming.refresh import folder_listings, follow, matches_of_stream
 from siftline.tools import Tools, handle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,16 +560,16 @@ def escaped_pattern(spark, d):
 @query(f"""with {LINES}, m as (select path, line_no, row_number() over (order by path, line_no) as rank from l where regexp_matches(line, '[Ll]icense'))
 select count(*) as pages, (select count(*) from m)::bigint as rows from (select distinct (rank - 1) // 25 from m)""")
 def page_walk(spark, d):
-    """All pages one after another hold each match once."""
-    rows = sort.order_values(_matched(spark, d), sort.SortSpec()).persist()
-    pages, shown, key = 0, 0, None
-    while got := page.matches_page(rows, size=25, start_after=key).collect():
-        # a page begins after the last one's end, so no match comes twice
-        assert key is None or (got[0]["path"], got[0]["line_no"]) >= (key["path"], key["line_no"])
-        pages, shown = pages + 1, shown + len(got)
-        key = {n: got[-1][n] for n in ("order_value", "path", "line_no", "ordinal")}
-    rows.unpersist()
-    return spark.createDataFrame([(pages, shown)], "pages long, rows long")
+    """All pages of a kept result hold each match once."""
+    kept = page.Snapshot.write(sort.order_values(_matched(spark, d), sort.SortSpec()), _place(spark), size=25)
+    return kept.pages().select("page", "path", "line_no", "ordinal").distinct().agg(F.count_distinct("page").alias("pages"), F.count("*").alias("rows"))
+
+
+@query(f"with {LINES} select path, line_no, line from l where regexp_matches(line, '[Ll]icense') order by path, line_no limit 25 offset 50")
+def page_of_snapshot(spark, d):
+    """The third page of a kept result; no search runs for it."""
+    kept = page.Snapshot.write(sort.order_values(_matched(spark, d), sort.SortSpec()), _place(spark), size=25)
+    return kept.page(3).select("path", "line_no", F.col("text").alias("line"))
 
 
 # an index of another state of the corpus ------------------------------------
@@ -622,16 +626,30 @@ def freshness_flags(spark, d):
     return Index.build(old).freshness(now.files.select("path"), now).select("path", "changed")
 
 
+def _place(spark) -> str:
+    """A new place for tables: in the checkpoint folder, on whatever file system, or a temporary folder where none is set, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/catalog-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="catalog-")
+
+
 def _scratch(spark) -> str:
-    """A new folder that driver and workers see: in the checkpoint folder, or a temporary one where none is set, as in tests."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    return tempfile.mkdtemp(prefix="catalog-", dir=shared if shared.startswith("/") and os.path.isdir(shared) else None)
+    """A new folder for plain files that driver and workers see: in the checkpoint folder, or a temporary one where none is set, as in tests.
+
+    Folders are read through the mounted file system, so a checkpoint folder elsewhere can't hold them.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="catalog-")
+    local = shared.removeprefix("file://")
+    if not local.startswith("/"):
+        raise ValueError(f"rows over folders need a mounted checkpoint folder, not {shared}")
+    return tempfile.mkdtemp(prefix="catalog-", dir=local)
 
 
 @query(_lines_where("regexp_matches(line, '[Ll]icense')"))
 def search_saved(spark, d):
     """Through an index that was saved and loaded."""
-    place, corpus = _scratch(spark) + "/index", documents(spark, d)
+    place, corpus = _place(spark) + "/index", documents(spark, d)
     StoredIndex.build(corpus, place)
     return _shown(s.search(corpus, "[Ll]icense", index=StoredIndex.open(spark, place), strategy="index"))
 
@@ -792,15 +810,8 @@ def tool_status(spark, d):
 @query(f"""with {LINES}, m as (select row_number() over (order by path, line_no) as k, count(*) over () as n from l where regexp_matches(line, '[Ll]icense'))
 select distinct (k - 1) // 30 + 1 as page, ((k - 1) // 30) * 30 + 1 as first_index, least(n, ((k - 1) // 30 + 1) * 30) as last_index, n > ((k - 1) // 30 + 1) * 30 as has_more from m""")
 def page_bounds(spark, d):
-    rows, told, key, shown = _matched(spark, d), [], None, 0
-    while True:
-        p = page.paged(rows, sort.SortSpec("path"), size=30, start_after=key, shown=shown)
-        if p.total_matches:
-            told.append((len(told) + 1, p.first_index, p.last_index, p.has_more))
-        cursor = page.Cursor.decode(page.Cursor("matches", ["[Ll]icense"], {}, 30, "path", False, None, p.last_key, p.last_index).encode())
-        key, shown = cursor.last_key, cursor.shown
-        if not p.has_more:
-            return spark.createDataFrame(told, "page long, first_index long, last_index long, has_more boolean")
+    kept = page.Snapshot.write(sort.order_values(_matched(spark, d), sort.SortSpec("path")), _place(spark), sort.SortSpec("path"), 30)
+    return kept.bounds()
 
 
 @query(_lines_where("regexp_matches(line, '^[A-Z][a-z]+ing')"))
@@ -814,7 +825,7 @@ def udtf_search_lines(spark, d):
 
 def _streamed(stream: DataFrame, spark) -> DataFrame:
     """What a stream gives until it has nothing more."""
-    place = _scratch(spark)
+    place = _place(spark)
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out")
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
@@ -829,7 +840,7 @@ def stream_search(spark, d):
 
 
 def _as_folder(spark, df: DataFrame) -> str:
-    place = _scratch(spark) + "/in"
+    place = _place(spark) + "/in"
     df.repartition(3).write.parquet(place)
     return place
 
@@ -838,7 +849,7 @@ def _as_folder(spark, df: DataFrame) -> str:
 def stream_refresh(spark, d):
     """A stored index that followed the corpus from an earlier state, by one refresh for each batch of listings."""
     old, now = _states(spark, d)
-    place = _scratch(spark)
+    place = _place(spark)
     StoredIndex.build(old, f"{place}/index")
     listing = now.files.select("path", "size", "mtime_ns")
     batches = spark.readStream.schema(listing.schema).option("maxFilesPerTrigger", 2).parquet(_as_folder(spark, listing))
@@ -937,3 +948,175 @@ def relevance_eval(spark, d):
     touched = labels.groupBy("query").agg(F.max("doc_id").cast("string").alias("path"))
     told = rank.relevance(ranked, touched)
     return told.select("ranking", "queries", F.round("precision_at_1", 9).alias("precision_at_1"), F.round("mrr", 9).alias("mrr"))
+
+# a stored index and what follows it --------------------------------------------------
+
+
+_SWAPPED = LINES.replace("from documents)", "from (select * exclude (text), case when doc_id % 6 = 1 then replace(text, 'icense', 'ICENSE') else text end as text from documents))")
+
+
+@query(f"with {_SWAPPED} select 'stale' as state, path, line_no from l where regexp_matches(line, 'icense') union all select 'applied', path, line_no from l where regexp_matches(line, 'icense')")
+def search_same_size_edit(spark, d):
+    """Edits that keep a row's size are seen by a stale index and by one brought up to date."""
+    docs = _table(spark, d, "documents")
+    old = Corpus.from_df(docs, "doc_id", "text", _path())
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 6 == 1, F.replace("text", F.lit("icense"), F.lit("ICENSE"))).otherwise(F.col("text")))
+    now = Corpus.from_df(edited, "doc_id", "text", _path())
+    index = StoredIndex.build(old, _place(spark) + "/index")
+    after = index.apply(index.reconcile(now.files), now)
+    told = [s.search(now, "icense", index=i, strategy="index").select(F.lit(state).alias("state"), "path", "line_no") for state, i in (("stale", index), ("applied", after))]
+    return told[0].unionByName(told[1])
+
+
+@query(f"""with {GRAMS.replace("hex(encode(text)) as h from documents", "hex(encode(case when doc_id % 16 < 4 then concat(text, ' edit ', doc_id % 16) else text end)) as h from documents where doc_id % 16 <> 9")}
+select tri::int as tri, count(*) as files from g group by tri""")
+def stored_batches(spark, d):
+    """Batches of changes, each a small segment, with the merges that fall due: equal to an index built anew."""
+    docs, place = _table(spark, d, "documents"), _place(spark) + "/index"
+    index = StoredIndex.build(Corpus.from_df(docs, "doc_id", "text", _path()), place)
+    for k in range(4):
+        text = F.when(F.col("doc_id") % 16 <= k, F.concat("text", F.lit(" edit "), (F.col("doc_id") % 16).cast("string"))).otherwise(F.col("text"))
+        now = docs.withColumn("text", text)
+        now = now.filter("doc_id % 16 <> 9") if k == 3 else now
+        corpus = Corpus.from_df(now, "doc_id", "text", _path())
+        index = index.apply(index.reconcile(corpus.files), corpus).merged()
+    return StoredIndex.open(spark, place).postings.groupBy("tri").agg(F.count("*").alias("files"))
+
+
+@query(f"""with {GRAMS} select 'and' as kind, doc_id from documents d where {_holds('license')} union all select 'or', doc_id from documents d where ({_holds('Apache')}) or ({_holds('GNU')}) or ({_holds('ther')})
+union all select 'both', doc_id from documents d where ({_holds('under')}) and ({_holds('sion')})""")
+def candidates_stored(spark, d):
+    """Conditions over stored containers."""
+    corpus = documents(spark, d)
+    index, out = StoredIndex.build(corpus, _place(spark) + "/index"), None
+    ids = corpus.files.select("path", F.col("file_id").alias("doc_id"))
+    for kind, pattern in (("and", "license"), ("or", "Apache|GNU|ther"), ("both", "under.*sion")):
+        one = index.candidates(for_pattern(pattern)).join(ids, "path").select(F.lit(kind).alias("kind"), "doc_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"with {GRAMS}, n as (select count(*) as n from documents), c as (select tri, count(*) as files from g group by tri) select tri::int as tri, files from c, n where files * 1000 >= n")
+def common_trigrams(spark, d):
+    """The counts by which a stored index weighs a condition."""
+    index = StoredIndex.build(documents(spark, d), _place(spark) + "/index")
+    return spark.createDataFrame(sorted(index.common.items()), "tri int, files long")
+
+
+@query(f"select {PATH} as path from documents where contains({PATH}, '1/12') or (contains({PATH}, '7.e') and doc_id % 5 <> 0)")
+def find_name_indexed(spark, d):
+    """Names through a trigram index of the paths, and through it after some files went."""
+    files = documents(spark, d).files
+    index = NameIndex.build(files, _place(spark) + "/names")
+    gone = files.filter("file_id % 5 = 0").select("path", F.lit("removed").alias("kind"))
+    return index.find("1/12").unionByName(index.apply(gone, files.filter("file_id % 5 <> 0")).find("7.e")).distinct()
+
+
+@query(f"""select {PATH} as path, case doc_id % 10 when 3 then 'new' when 5 then 'removed' else 'changed' end as kind from documents where doc_id % 10 in (3, 5, 7) and source <> 'src1'""")
+def reconcile_folders(spark, d):
+    """Only folders whose digests differ are compared file by file."""
+    old, new = _listings(spark, d)
+    same = F.startswith(F.col("path"), F.lit("src1/"))
+    return changes_by_folder(old.filter(~same).unionByName(new.filter(same)), new)
+
+
+@query(f"with {_FOLDER_LINES} select concat(path, ':', line_no, ':', line) as line from l where regexp_matches(line, '(?i)that')")
+def cli_search_indexed(spark, d):
+    """The command line through a kept index."""
+    root = _folder(spark, d)
+    return _cli(spark, "--index", _place(spark), "-i", "that", root).select(F.replace("line", F.lit(root + "/"), F.lit("")).alias("line"))
+
+
+@query(_lines_where("regexp_matches(line, 'GNU|Apache')"))
+def search_kept_index(spark, d):
+    """Settings keep an index whose build took long enough; it is opened again."""
+    corpus = Corpus(documents(spark, d).files, root="documents")
+    settings = EngineConfig(cache_dir=_place(spark), persist_threshold_ms=0)
+    settings.open_index(corpus)
+    index = settings.open_index(corpus)
+    return _shown(s.search(corpus, "GNU|Apache", index=index, strategy="index").filter(F.lit(isinstance(index, StoredIndex))))
+
+
+@query(f"""with {LINES}, m as (select path, line_no from l where regexp_matches(line, '[Ll]icense')), {_NOW_LINES.replace("l as (", "w as (", 1)}, n as (select path, line_no from w where regexp_matches(line, '[Ll]icense')),
+x as ((select * from m except select * from n) union all (select * from n except select * from m)), g as (select distinct lang from documents)
+select lang, lang in (select regexp_extract(path, '[a-z]+$') from x) as changed from g""")
+def fingerprints(spark, d):
+    """By language: whether a result's fingerprint in one state of the corpus differs from that in another."""
+    out = None
+    for lang in [r["lang"] for r in _table(spark, d, "documents").select("lang").distinct().collect()]:  # a handful
+        each = [s.totals(s.search(c, "[Ll]icense", SearchOptions(filter=FileFilter(globs=(f"*.{lang}",))))).select(F.col("fingerprint").alias(n)) for c, n in ((documents(spark, d), "was"), (_states(spark, d)[1], "is"))]
+        one = each[0].join(each[1]).select(F.lit(lang).alias("lang"), (F.col("was") != F.col("is")).alias("changed"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select item_id, case when regexp_full_match(text, '[A-Za-z0-9_@%+=:,./-]+') then text else concat(chr(39), replace(text, chr(39), concat(chr(39), chr(92), chr(39), chr(39))), chr(39)) end as word from benchmark")
+def shell_words(spark, d):
+    return _table(spark, d, "benchmark").select("item_id", formats.shell_quote(F.col("text")).alias("word"))
+
+
+@query(f"with {LINES} select path, line_no from l where regexp_matches(line, '[Ll]icense') and doc_id in (select doc_id from labels)")
+def search_listed_paths(spark, d):
+    """A search among listed paths only: those of labelled documents."""
+    corpus = documents(spark, d)
+    listed = _table(spark, d, "labels").join(corpus.files.select(F.col("file_id").alias("doc_id"), "path"), "doc_id").select("path")
+    return s.search(Corpus(git_scoped(corpus.files, listed)), "[Ll]icense").select("path", "line_no")
+
+
+@query("select count(*) as done, count(*) as total from documents")
+def build_progress(spark, d):
+    """What a build's progress tells when it is through."""
+    progress = Progress(documents(spark, d).files)
+    Index.build(Corpus(progress.counted())).postings.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([progress.told()], "done long, total long")
+
+
+@query(f"""with {LINES}, c as (select (select count(*) from l where regexp_matches(line, '[Ll]icense')) as was), {_NOW_LINES.replace("l as (", "w as (", 1)}, n as (select (select count(*) from w where regexp_matches(line, '[Ll]icense')) as now)
+select concat('[note: results changed since the last page: ', was, ' then, ', now, ' now]') as note from c, n""")
+def staleness_note(spark, d):
+    """What a cursor of one state of the corpus is told in another; the store gives it out once."""
+    was, now = (s.totals(s.search(c, "[Ll]icense")).first() for c in (documents(spark, d), _states(spark, d)[1]))
+    store = page.CursorStore()
+    token = store.put(page.Cursor("matches", ["[Ll]icense"], prev_total=was["total_matches"], fingerprint=was["fingerprint"]))
+    return spark.createDataFrame([(page.staleness(store.take(token), now["total_matches"], now["fingerprint"]),)], "note string")
+
+
+# streams -----------------------------------------------------------------------------
+
+
+@query("""with e as (select user_id, ts, event_type, event_id, lag(event_type) over w as before, lag(ts) over w as since, lag(event_id) over w as cursor from events where event_type in ('view', 'click') window w as (partition by user_id order by ts)),
+t as (select *, coalesce(before = 'view' and ts < since + interval 6 hour, false) as found from e where event_type = 'click' and ts <= (select max(ts) - interval 1 day from events where event_type in ('view', 'click')))
+select cast(user_id as varchar) as token, epoch_us(ts) as at_us, found, case when found then cast(cursor as varchar) end as cursor from t""")
+def stream_cursors(spark, d):
+    """Cursors that views put and clicks take, in event time; the stream's files come in no order."""
+    e, view = _table(spark, d, "events").filter("event_type in ('view', 'click')"), F.col("event_type") == "view"
+    requests = e.select(F.col("user_id").cast("string").alias("token"), F.col("ts").cast("timestamp").alias("at"), view.alias("put"), F.when(view, F.col("event_id").cast("string")).alias("cursor"))
+    arriving = spark.readStream.schema(requests.schema).parquet(_as_folder(spark, requests))
+    told = _streamed(cursor_answers(arriving, ttl_seconds=6 * 3600, delay="1 day"), spark)
+    return told.select("token", F.unix_micros("at").alias("at_us"), "found", "cursor")
+
+
+@query("select 'finished' as state, count(*) as rows from documents")
+def stream_status(spark, d):
+    """What a listener has written of a stream that has ended."""
+    docs, place = _table(spark, d, "documents"), _place(spark)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(_as_folder(spark, docs))
+    with LiveStatus(spark, f"{place}/status") as live:
+        _streamed(matches_of_stream(arriving, "[Ll]icensed", "doc_id", "text"), spark)
+        live.settled()
+    return live.now().select("state", "rows")
+
+
+@query(f"with {_FOLDER_LINES} select path, line_no, line from l where contains(line, 'the') union all select 'late.txt', 1, 'the last'")
+def stream_listing(spark, d):
+    """A folder's own stream of listings keeps an index up to date: it catches up with what came before it, then with a file that comes later."""
+    root, place = _folder(spark, d), _place(spark)
+    run = follow(folder_listings(spark, root), f"{place}/index", lambda sp: Corpus.from_path(sp, root), f"{place}/checkpoint")
+    try:
+        run.processAllAvailable()
+        with open(f"{root}/late.txt", "w") as f:
+            f.write("the last\n")
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return _after(s.search(Corpus.from_path(spark, root), "the", index=StoredIndex.open(spark, f"{place}/index"), strategy="index"))

@@ -168,6 +168,28 @@ def changes(old: DataFrame, new: DataFrame, by: str = "stat") -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", kind.alias("kind")).filter("kind is not null")
 
 
+def _folder() -> Column:
+    return F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("")).alias("folder")
+
+
+def folder_digests(files: DataFrame) -> DataFrame:
+    """(folder, n, digest): how many files stand right in a folder, and a digest of their names and states in any order."""
+    each = state(files, "s").select(_folder(), F.xxhash64("path", "s").alias("h"))
+    return each.groupBy("folder").agg(F.count("*").alias("n"), F.struct(F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).alias("digest"))
+
+
+def changes_by_folder(old: DataFrame, new: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(path, kind) as by ``changes``; only files of folders whose digests differ are compared.
+
+    ``known`` are the digests of ``old`` where they were kept, so that what is unchanged is read on one side only.
+    """
+    a = (folder_digests(old) if known is None else known).select("folder", F.struct("n", "digest").alias("was"))
+    b = folder_digests(new).select("folder", F.struct("n", "digest").alias("is"))
+    differ = a.join(b, "folder", "full_outer").filter(~F.col("was").eqNullSafe(F.col("is"))).select("folder")
+    inside = lambda files: files.select("*", _folder()).join(differ, "folder", "left_semi").drop("folder")
+    return changes(inside(old), inside(new))
+
+
 def tombstone(files: DataFrame, paths: DataFrame) -> DataFrame:
     """``files`` with those of ``paths`` not live."""
     gone = paths.select("path", F.lit(True).alias("gone")).distinct()

@@ -9,7 +9,7 @@ import secrets
 import time
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.search import count_per_file, nearest_match, totals
@@ -209,6 +209,41 @@ def numbered(rows: DataFrame, spec: SortSpec = SortSpec()) -> DataFrame:
     return out.withColumn("rank", F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__at", "__start")
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """All pages of a result as it was when it was searched: rows in their order with ``rank``, in files by range of rank."""
+
+    spark: SparkSession
+    path: str
+    size: int = PAGE_SIZE
+
+    @classmethod
+    def write(cls, rows: DataFrame, path: str, spec: SortSpec = SortSpec(), size: int = PAGE_SIZE) -> Snapshot:
+        """Keep the match rows (with order_value) of one search below a folder, named by the search's fingerprint."""
+        placed = numbered(rows.filter("is_match"), spec)
+        mark = totals(placed).first()["fingerprint"] & (1 << 64) - 1
+        place = f"{path.rstrip('/')}/{mark:016x}"
+        placed.sortWithinPartitions("rank").write.mode("overwrite").parquet(place)
+        return cls(rows.sparkSession, place, max(1, size))
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def page(self, number: int) -> DataFrame:
+        """The rows of one page (from 1): row groups of other ranks are not read."""
+        return self._rows().filter((F.col("rank") > (number - 1) * self.size) & (F.col("rank") <= number * self.size))
+
+    def pages(self) -> DataFrame:
+        """All rows with the number of their page."""
+        return self._rows().withColumn("page", F.floor((F.col("rank") - 1) / self.size).cast("long") + 1)
+
+    def bounds(self) -> DataFrame:
+        """(page, first_index, last_index, has_more) of every page."""
+        total = self._rows().count()
+        each = self.pages().groupBy("page").agg(F.min("rank").alias("first_index"), F.max("rank").alias("last_index"))
+        return each.withColumn("has_more", F.col("last_index") < total)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` in the shared checkpoint folder, so that its partitions stay as they are; a folder is set only where none is, as in tests."""
     context = df.sparkSession.sparkContext
@@ -219,4 +254,4 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-__all__ = ["Cursor", "CursorStore", "OpenCursors", "Page", "count_per_file", "files_page", "grouped", "header", "headers", "matches_page", "numbered", "paged", "staleness", "truncated", "with_context_of"]
+__all__ = ["Cursor", "CursorStore", "OpenCursors", "Page", "Snapshot", "count_per_file", "files_page", "grouped", "header", "headers", "matches_page", "numbered", "paged", "staleness", "truncated", "with_context_of", "written"]

@@ -243,7 +243,7 @@ class Conflict(RuntimeError):
     """Another writer made this version first."""
 
 
-class _Store:
+class Store:
     """Small files and folders of a log through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -306,7 +306,7 @@ class StoredIndex(Index):
     def build(cls, corpus: Corpus, path: str, keep: int = 2) -> StoredIndex:
         """Index a corpus anew in a folder; versions that stood there before are replaced."""
         spark = corpus.files.sparkSession
-        store = _Store(spark, path)
+        store = Store(spark, path)
         version = max(map(_version, store.names()), default=0)
         segment = _write_segment(spark, store, staged(corpus.files.filter("live")), 0)
         log = {"format": FORMAT, "version": version + 1, "segments": [segment] if segment else [], "dead": []}
@@ -317,7 +317,7 @@ class StoredIndex(Index):
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> StoredIndex:
         """The latest version; raises ValueError for none, another format or missing segments."""
-        store = _Store(spark, path)
+        store = Store(spark, path)
         names = store.names()
         version = max(map(_version, names), default=0)
         if not version:
@@ -494,7 +494,7 @@ class StoredIndex(Index):
 
         What is written grows with the changes alone. Raises Conflict if another writer was faster.
         """
-        spark, store = self._spark, _Store(self._spark, self.path)
+        spark, store = self._spark, Store(self._spark, self.path)
         diff = diff.select("path", "kind").distinct().persist()
         try:
             few = diff.limit(BROADCAST + 1).count() <= BROADCAST
@@ -524,7 +524,7 @@ class StoredIndex(Index):
         due = self.due()
         if not due:
             return self
-        spark, store = self._spark, _Store(self._spark, self.path)
+        spark, store = self._spark, Store(self._spark, self.path)
         numbers = {s["number"] for s in due}
         rows = self._union([self._rows(s) for s in due], STAGED + ", file_id long")
         dead = self._dead_ids({str(n) for n in numbers})
@@ -565,7 +565,7 @@ class StoredIndex(Index):
         return thread
 
 
-def _commit(store: _Store, log: dict, *made: dict | None) -> None:
+def _commit(store: Store, log: dict, *made: dict | None) -> None:
     """Make a version; if another writer was faster, what was ``made`` for it goes."""
     try:
         store.write_new(f"v-{log['version']}", json.dumps(log))
@@ -583,7 +583,7 @@ def _size(files: int) -> int:
     return size
 
 
-def _write_segment(spark: SparkSession, store: _Store, rows: DataFrame, number: int) -> dict | None:
+def _write_segment(spark: SparkSession, store: Store, rows: DataFrame, number: int) -> dict | None:
     """Write a segment of rows like those of ``staged``; None if there are none."""
     name = f"s-{uuid.uuid4().hex}"
     place = f"{store.root}/{name}"
@@ -602,7 +602,7 @@ def _write_segment(spark: SparkSession, store: _Store, rows: DataFrame, number:
     return {"name": name, "number": number, "files": files}
 
 
-def _write_dead(spark: SparkSession, store: _Store, ids: DataFrame) -> dict | None:
+def _write_dead(spark: SparkSession, store: Store, ids: DataFrame) -> dict | None:
     """Write the tombstones of some files; None if there are none."""
     name = f"d-{uuid.uuid4().hex}"
     dead_containers(ids).coalesce(1).write.parquet(f"{store.root}/{name}")
@@ -614,7 +614,7 @@ def _write_dead(spark: SparkSession, store: _Store, ids: DataFrame) -> dict | No
     return {"name": name, "n": sum(of.values()), "of": of}
 
 
-def _clear(store: _Store, keep: int) -> None:
+def _clear(store: Store, keep: int) -> None:
     """Remove versions before the last ``keep``, and what none of these names; unfinished work of others is at most a version old and stays."""
     names = store.names()
     versions = sorted(filter(None, map(_version, names)))
