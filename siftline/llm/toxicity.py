@@ -4,19 +4,20 @@ A text is cut into sentences, and a sentence is a row of symbols: its letters of
 any script, lower-cased, and one space between words. Marks and digits inside a
 word and spaces between single letters fall away, so ``i.d.i.o.t`` and ``i d i o t``
 read like the plain word. The kernel compares two stretches of a sentence (``WINDOW``
-symbols from each place on, so across words as well) by all subsequences of four
+symbols from each place on, so across words as well) by all subsequences of five
 symbols that they share, each weighted by ``DECAY`` to the power of the symbols it
 skips; letters put in between or left out cost a little and don't break a match.
 Landmark stretches span the feature space (Nyström). A squared-hinge SVM learns
 from labelled documents: each sentence of a toxic document has its label, but only
-some of them need be toxic, so the document speaks through its most toxic stretch,
-chosen anew after every fit; clean documents speak through their worst stretches
+some of them need be toxic, so the document speaks through its most toxic stretches,
+chosen anew after every fit by the mean of the fits so far (that of the first left out),
+which is the model in the end; clean documents speak through their worst stretches
 and many others. A text's score is that of its most toxic stretch, calibrated on
 the training documents.
 
 The decision is linear in the kernel to the landmarks, and that is linear in the
 weighted subsequences; so it is folded into one weight for each hashed subsequence
-of four symbols, and a stretch's decision is a sum of table entries.
+of five symbols, and a stretch's decision is a sum of table entries.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ DOCS_EACH, CHARS_EACH = 3000, 5_000_000
 #: Places at which the subsequences of a stretch begin, symbols that one spans at most, and the decay of a skipped symbol.
 WINDOW, SPAN, DECAY = 10, 7, 0.6
 #: Landmarks, stretches of clean sentences in a fit, and the fits.
-LANDMARKS, NEGATIVES, FITS = 240, 6000, 3
+LANDMARKS, NEGATIVES, FITS = 240, 6000, 6
 #: Bits of the table of hashed subsequences.
 BITS = 20
 _SPACE, _BORDER = np.uint32(32), np.uint32(10)
-_MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F))
-#: Places of the second to the fourth symbol after the first.
-_STEPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
+_MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1))
+#: Places of the second to the fifth symbol after the first.
+_STEPS = [(a, b, c, d) for d in range(4, SPAN) for c in range(3, d) for b in range(2, c) for a in range(1, b)]
 #: Symbols that are looked up at a time, so that the passes stay in a core's cache.
 _AT_ONCE = 1 << 15
 
@@ -83,15 +84,16 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def fours(codes: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def fives(codes: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(span, slots of the subsequences that begin at each place and reach so far)."""
     n = max(0, len(codes) - SPAN + 1)
-    first, second, third, last = (codes * m for m in _MIX)
+    first, second, third, fourth, last = (codes * m for m in _MIX)
     shift = np.uint32(32 - BITS)
-    two = {(a, b): first[:n] + second[a : a + n] + third[b : b + n] for b in range(2, SPAN - 1) for a in range(1, b)}
-    for c in range(3, SPAN):
-        end = last[c : c + n]
-        yield c, [(x + end) >> shift for (_, b), x in two.items() if b < c]
+    two = {(a, b): first[:n] + second[a : a + n] + third[b : b + n] for b in range(2, SPAN - 2) for a in range(1, b)}
+    three = {(a, b, c): x + fourth[c : c + n] for (a, b), x in two.items() for c in range(b + 1, SPAN - 1)}
+    for d in range(4, SPAN):
+        end = last[d : d + n]
+        yield d, [(x + end) >> shift for (_, _, c), x in three.items() if c < d]
 
 
 def _inside(codes: np.ndarray) -> np.ndarray:
@@ -109,11 +111,11 @@ def begun(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     for at in range(0, len(codes), _AT_ONCE):
         part = padded[at : at + _AT_ONCE + SPAN - 1]
         own = out[at : at + _AT_ONCE]
-        for b, slots in fours(part):
+        for b, slots in fives(part):
             total = weight.take(slots[0].astype(np.intp))
             for s in slots[1:]:
                 total += weight.take(s.astype(np.intp))
-            own += total[: len(own)] * (left[at : at + len(own)] > b) * np.float32(DECAY ** (b - 3))
+            own += total[: len(own)] * (left[at : at + len(own)] > b) * np.float32(DECAY ** (b - 4))
     return out
 
 
@@ -141,12 +143,12 @@ def features(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
     reach = places[:, None] + np.arange(WINDOW + SPAN - 1)
     rows = np.where(reach < len(codes), codes[np.minimum(reach, len(codes) - 1)], _BORDER)
     open_ = np.cumsum(rows == _BORDER, axis=1) == 0  # before the first border
-    first, second, third, last = (rows * m for m in _MIX)
+    first, second, third, fourth, last = (rows * m for m in _MIX)
     slots, weights = [], []
-    for a, b, c in _STEPS:
-        w, x, y, z = (v[:, k : k + WINDOW] for v, k in ((first, 0), (second, a), (third, b), (last, c)))
-        slots.append((w + x + y + z) >> np.uint32(32 - BITS))
-        weights.append(np.where(open_[:, c : c + WINDOW], np.float32(DECAY ** (c - 3)), np.float32(0)))
+    for a, b, c, d in _STEPS:
+        v, w, x, y, z = (u[:, k : k + WINDOW] for u, k in ((first, 0), (second, a), (third, b), (fourth, c), (last, d)))
+        slots.append((v + w + x + y + z) >> np.uint32(32 - BITS))
+        weights.append(np.where(open_[:, d : d + WINDOW], np.float32(DECAY ** (d - 4)), np.float32(0)))
     return np.concatenate(slots, axis=1).astype(np.int64), np.concatenate(weights, axis=1)
 
 
@@ -227,7 +229,7 @@ def _first_weights(codes: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> n
         part = codes[bounds[d] : bounds[d + 1]]
         if len(part) < SPAN:
             continue
-        slots = np.concatenate([s for _, rows in fours(part) for s in rows]).astype(np.intp)
+        slots = np.concatenate([s for _, rows in fives(part) for s in rows]).astype(np.intp)
         seen[slots] = True
         hit = slots[seen[slots]] if len(slots) < 4096 else np.flatnonzero(seen)
         hit = np.unique(hit) if len(slots) < 4096 else hit
@@ -279,8 +281,8 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model | None:
     codes, owner, n = np.concatenate(codes), np.concatenate(owner), len(texts)
     every_stretch = lambda w: np.concatenate([stretches(codes[a:b], w) for a, b in zip(bounds, bounds[1:])])
     weight = _first_weights(codes, owner, toxic)
-    model = None
-    for _ in range(FITS):
+    model, summed, bias = None, np.zeros(1 << BITS, np.float32), 0.0
+    for turn in range(FITS):
         value = every_stretch(weight)
         best, place = best_of_texts(value, owner, n)
         known = place >= 0
@@ -318,7 +320,10 @@ def train(texts: list[str], toxic: np.ndarray, prior: float) -> Model | None:
         beta = root @ w[:-1] / scale
         weight = np.zeros(1 << BITS, np.float32)
         np.add.at(weight, landmarks[0].ravel(), (landmarks[1] * beta[:, None].astype(np.float32)).ravel())
-        model = Model(weight, float(w[-1]))
+        if turn:  # fits swing with what they choose, their mean hardly does
+            summed, bias = summed + weight, bias + float(w[-1])
+            weight = summed / np.float32(turn)
+            model = Model(weight, bias / turn)
     best, place = best_of_texts(every_stretch(weight), owner, n)
     decision = np.maximum(np.where(place >= 0, best, 0), 0) + model.bias
     _calibrate(model, decision[toxic], decision[~toxic], prior)
@@ -346,7 +351,8 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     About ``docs_each`` documents of either label are chosen by a hash of their ids
     before any text is read; of these, texts are taken whole in the order of a hash
-    until ``chars_each`` characters of a label are used up. Equal texts count once,
+    until ``chars_each`` characters of a label are used up, and only these reach the fit.
+    A text that is longer than that alone is left out. Equal texts count once,
     rows of labels that contradict each other count as toxic, labels other than 0 and
     1 and null texts as none. The fit is one task of that bounded size on an
     executor; only the model reaches the driver. None without rows of both labels.
@@ -360,20 +366,22 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     chosen = told.filter(hash_unit("doc_id", 7) < rate)  # about 2 * docs_each rows
     small_batches(df.sparkSession)
     read = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    # rows that share an id may be many: equal texts go, then the hash of the text bounds them
-    rows = read.filter("text is not null").select("toxic", "text", F.xxhash64(F.lit(7), "text").alias("u")).distinct()
-    rows = rows.orderBy("u", "text").limit(4 * docs_each)
+    hashed = read.filter("text is not null").withColumn("u", F.xxhash64(F.lit(7), "text"))
+    # rows that share an id may be many: the hash of the text bounds them, then the characters do
+    sized = hashed.groupBy("u").agg(F.max("toxic").alias("toxic"), F.max(F.length("text")).alias("n")).orderBy("u").limit(4 * docs_each).collect()
+    taken, room = [], [chars_each, chars_each]
+    for r in sized:
+        label = r["toxic"]
+        if 0 < room[label] and r["n"] <= chars_each:
+            room[label] -= r["n"]
+            taken.append((r["u"], label))
+    picked = df.sparkSession.createDataFrame(taken, "u long, label int")
+    rows = hashed.join(F.broadcast(picked), "u").groupBy("u").agg(F.first("label").alias("label"), F.first("text").alias("text")).select("label", "u", "text").repartition(1)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic, room = [], [], [chars_each, chars_each]
-        for batch in batches:
-            for label, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py()
-                if len(t) <= room[label]:
-                    room[label] -= len(t)
-                    texts.append(t)
-                    toxic.append(label)
-        model = train(texts, np.array(toxic, bool), prior) if texts else None
+        held = [x for batch in batches for x in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        held.sort()  # rows come in any order
+        model = train([x[2] for x in held], np.array([x[1] for x in held], bool), prior) if held else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = rows.mapInArrow(learn, "model binary").collect()  # one model of fixed size
