@@ -24,6 +24,7 @@ from siftline.operators.segments import StoredIndex
 from siftline.operators.status import Progress, status
 from siftline.plans.query import for_pattern, of_literal
 from siftline.plans.regex import Options, escape, join, to_java
+from siftline.sources import frontier
 from siftline.sources.corpus import Corpus
 from siftline.streaming.cursors import cursor_answers
 from siftline.streaming.live import LiveStatus
@@ -686,6 +687,14 @@ def walk_folder(spark, d):
     return Corpus.from_path(spark, _folder(spark, d)).files.select("path", "size")
 
 
+@query(f"with {_ITEMS} select path, octet_length(encode(text)) as size, text from seen")
+def walk_rounds(spark, d):
+    """The same by rounds of tasks that give folders back after a few entries, and the texts read from that listing."""
+    root = _folder(spark, d)
+    found = frontier.listing(spark, root, first=2, each=1)
+    return frontier.read(found, root).select("path", "size", "text")
+
+
 @query(f"with {_ITEMS} select path from i where item_id % 3 <> 0")
 def walk_hidden(spark, d):
     return Corpus.from_path(spark, _folder(spark, d), hidden=True).files.filter("path <> '.ignore'").select("path")

@@ -38,10 +38,12 @@ class Corpus:
         )
 
     @classmethod
-    def from_path(cls, spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False, digests: bool = False) -> Corpus:
+    def from_path(cls, spark: SparkSession, root: str, hidden: bool = False, no_ignore: bool = False, digests: bool = False, frontier: bool = False) -> Corpus:
         """The files under a folder that the ignore rules leave, read and decoded on the executors.
 
         With ``digests`` an edit that keeps size and time is seen too, at the price of reading every file.
+        The driver walks the folder when the corpus is read; with ``frontier`` tasks do, now and in rounds,
+        for trees that one machine would walk for long.
         """
         import os
 
@@ -50,7 +52,12 @@ class Corpus:
         register(spark)
         root = os.path.abspath(root)  # workers stand in other folders
         options = {"path": root, "hidden": str(hidden).lower(), "noIgnore": str(no_ignore).lower()}
-        found = spark.read.format("siftline_corpus").options(**options).load()
+        if frontier:
+            from siftline.sources import frontier as rounds
+
+            found = rounds.read(rounds.listing(spark, root, hidden, no_ignore), root)
+        else:
+            found = spark.read.format("siftline_corpus").options(**options).load()
         digest = F.xxhash64("text") if digests else F.lit(None).cast("long")
         return cls(found.withColumn("digest", digest).withColumn("live", F.lit(True)).withColumn("is_binary", is_binary(F.col("text"))), root)
 

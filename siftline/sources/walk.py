@@ -119,14 +119,30 @@ def _is_git(folder: str) -> bool:
 
 def walk(root: str, hidden: bool = False, no_ignore: bool = False) -> list[str]:
     """Sorted absolute paths of the files below a folder; symbolic links are not followed."""
+    root = os.path.abspath(root)
+    return sorted(walk_some([root], root, hidden, no_ignore, None)[0])
+
+
+def walk_some(folders: list[str], root: str, hidden: bool, no_ignore: bool, most: int | None) -> tuple[list[str], list[str]]:
+    """Files below some folders (under ``root``), and folders that were not looked into after ``most`` entries.
+
+    A folder that is given back is walked later as if from the root: its rules are those of all folders above it.
+    """
     found: list[str] = []
+    rest: list[str] = []
+    seen = 0
 
     def visit(folder: str, levels: _Levels | None) -> None:
+        nonlocal seen
+        if most is not None and seen > most:
+            rest.append(folder)
+            return
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
             return
         for e in entries:
+            seen += 1
             if not hidden and e.name.startswith("."):
                 continue
             is_folder = e.is_dir(follow_symlinks=False)
@@ -145,8 +161,9 @@ def walk(root: str, hidden: bool = False, no_ignore: bool = False) -> list[str]:
             else:
                 found.append(e.path)
 
-    visit(os.path.abspath(root), None if no_ignore else _Levels(root))
-    return sorted(found)
+    for folder in folders:
+        visit(folder, None if no_ignore else _Levels(folder))
+    return found, rest
 
 
 def stat(path: str) -> tuple[int, int, int, int]:
