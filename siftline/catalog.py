@@ -24,7 +24,7 @@ from siftline.operators.segments import StoredIndex
 from siftline.operators.status import Progress, status
 from siftline.plans.query import for_pattern, of_literal
 from siftline.plans.regex import Options, escape, join, to_java
-from siftline.sources import frontier
+from siftline.sources import frontier, splits
 from siftline.sources.corpus import Corpus
 from siftline.streaming.cursors import cursor_answers
 from siftline.streaming.live import LiveStatus
@@ -737,6 +737,23 @@ def folder_binary(spark, d):
     return s.search(corpus, "the", index=Index.build(corpus)).select("path", "line_no", F.col("text").alias("line"))
 
 
+@query("""with l as (select doc_id % 3 as k, line, row_number() over (partition by doc_id % 3 order by doc_id, n) as line_no from (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)),
+m as (select *, contains(line, 'icense') as hit from l), c as (select *, max(hit::int) over (partition by k order by line_no rows between 1 preceding and 2 following) = 1 as shown from m)
+select concat('f', k) as path, line_no, line, hit as is_match from c where shown""")
+def huge_files(spark, d):
+    """Documents one after another as three large files, read in ranges of 50 kB, found lines with their context across the ranges' borders."""
+    docs, place = _table(spark, d, "documents"), _place(spark)
+    for k in range(3):
+        docs.filter(F.col("doc_id") % 3 == k).orderBy("doc_id").select("text").coalesce(1).write.option("lineSep", "\n").text(f"{place}/f{k}")
+    root = place.removeprefix("file://")
+    parts = [(os.path.relpath(e.path, root), e.stat().st_size) for k in range(3) for e in os.scandir(f"{root}/f{k}") if e.name.startswith("part-")]  # three
+    lines = splits.lines(spark.createDataFrame(parts, "path string, size long"), root, 50_000)
+    found = lines.filter(F.contains("line", F.lit("icense")))
+    shown = splits.with_context(found, lines, before=2, after=1)
+    return shown.select(F.split("path", "/")[0].alias("path"), "line_no", "line", "is_match")
+
+
 # surfaces ------------------------------------------------------------------------
 
 

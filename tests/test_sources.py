@@ -20,7 +20,7 @@ from siftline.operators.search import SearchOptions, search
 from siftline.operators.segments import StoredIndex
 from siftline.operators.status import Progress, follow as follow_status
 from siftline.plans.query import for_pattern
-from siftline.sources import frontier
+from siftline.sources import frontier, splits
 from siftline.sources.corpus import Corpus
 from siftline.sources.walk import walk
 from siftline.streaming.refresh import bring_up_to_date, folder_listings, follow, matches_of_stream
@@ -122,6 +122,28 @@ def test_corpus_of_a_folder(spark, tmp_path):
     assert c.files.filter(c.files.path.startswith("day=1/")).count() == 1
 
 
+@pytest.mark.parametrize("each", [1, 7, 5000])
+def test_lines_of_ranges_are_the_lines_of_the_files(spark, tmp_path, monkeypatch, each):
+    """Ranges of a byte and more, whose borders fall anywhere; some bytes are read at a time."""
+    monkeypatch.setattr(splits, "CHUNK_BYTES", 5)
+    r = random.Random(each)
+    files = {f"f{i}": "".join(r.choice(["a", "é", "\n", "\n\n", "bc"]) for _ in range(r.randrange(0, 60))) for i in range(8)}
+    files |= {"nul": "x" * 1100 + "\nseen\ncut\0off\nmore", "binary": "\0a\nb", "bom": b"\xef\xbb\xbfone\ntwo", "wide": b"\xff\xfe" + "w1\nw2\n".encode("utf-16-le"), "none": "", "last": "no feed", "bad": b"\xff\xfd\nok"}
+    if each == 1:
+        del files["nul"]
+    root = _grow(tmp_path, files)
+    listed = frontier.listing(spark, root, hidden=True).select("path", "size")
+    got = splits.lines(listed, root, each)
+    want = Corpus.from_path(spark, root).lines().select("path", "line_no", "line")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    hit = lambda df: df.filter(F.contains("line", F.lit("b")))
+    shown = splits.with_context(hit(got), got, 1, 2).collect()
+    wanted = search(Corpus.from_path(spark, root), "b", SearchOptions(before=1, after=2)).collect()
+    assert {(x["path"], x["line_no"], x["is_match"]) for x in shown} == {(x["path"], x["line_no"], x["is_match"]) for x in wanted} and len(shown) == len(wanted)
+    begins = {(p, b): min(x["line_no"] for x in wanted if (x["path"], x["block"]) == (p, b)) for p, b in {(x["path"], x["block"]) for x in wanted}}
+    assert {(x["path"], x["line_no"]) for x in shown if x["begins"]} == {(p, n) for (p, _), n in begins.items()}
+
+
 def test_globs_and_scopes_are_relative_to_the_folder(spark, tmp_path):
     c = Corpus.from_path(spark, _grow(tmp_path, {"lib/a.py": "tern", "lib/sub/b.py": "tern", "c.py": "tern", "d.rs": "tern"}))
     found = lambda *globs: _paths(search(c, "tern", SearchOptions(filter=FileFilter(globs=globs))))
