@@ -71,6 +71,15 @@ def repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return met.filter("n > 1 and low = high and first is not null").select("a", "b", "first", "n")
 
 
+def _with_lost(df: DataFrame, lost: DataFrame, doc_id: str) -> DataFrame:
+    """``df`` with what its doc_id has lost (null for nothing); texts of one doc_id are dealt out if they are many, rows without one meet nobody."""
+    known = df.filter(F.col(doc_id).isNotNull())
+    times = known.groupBy(F.col(doc_id).alias(_P + "id")).agg(F.count("*").alias(_P + "times"))
+    right = lost.withColumnRenamed("doc_id", _P + "id").join(times, _P + "id").withColumnRenamed(_P + "id", doc_id)
+    told = join_split(known, right, [doc_id], _P + "times", df.count(), how="left").drop(_P + "times")
+    return told.unionByName(df.filter(F.col(doc_id).isNull()).withColumn(_P + "lost", F.lit(None).cast(lost.schema[_P + "lost"].dataType)))
+
+
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``df`` with all but one occurrence of every repeated multi-line chunk taken out of ``text``.
 
@@ -88,8 +97,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", remov
     total = repeats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lost = join_split(held, repeats, ["a", "b"], "n", total).filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias(_P + "lost"))
     columns = df.columns
-    joined = df.join(lost.withColumnRenamed("doc_id", _P + "id"), F.col(doc_id) == F.col(_P + "id"), "left")
-    whole = _with_chunks(joined, text)
+    whole = _with_chunks(_with_lost(df, lost, doc_id), text)
     in_order = F.array_sort(F.col(_P + "chunks"))
 
     def stays(c: Column) -> Column:
@@ -132,8 +140,7 @@ def dedup_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     total = repeats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lost = join_split(rows.filter("doc_id is not null"), repeats, ["h"], "n", total).filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias(_P + "lost"))
     columns = df.columns
-    joined = df.join(lost.withColumnRenamed("doc_id", _P + "id"), F.col(doc_id) == F.col(_P + "id"), "left")
-    whole = _with_pairs(joined, text)
+    whole = _with_pairs(_with_lost(df, lost, doc_id), text)
     pairs = F.col(_P + "pairs")
     # by hash, then by place: each pair's first place in its text comes before the others
     firsts = F.array_sort(pairs)

@@ -127,6 +127,22 @@ def test_line_dedup_strange(spark, strange, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_of_a_doc_id_of_many_rows_or_none(spark, monkeypatch):
+    """A doc_id of most rows is dealt out, rows without one are joined to nothing; the result is the same."""
+    from siftline.llm import common
+
+    r = random.Random(9)
+    lines = [f"line number {i} says this" for i in range(12)]
+    rows = [(r.choice([1, 1, 1, 2, 3, None, None, *range(4, 9)]), "\n".join(r.choice(lines) for _ in range(r.randrange(0, 9))), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    told = []
+    for most in (common.PART_ROWS, 5):
+        monkeypatch.setattr(common, "PART_ROWS", most)
+        monkeypatch.setattr(common, "HOT_KEYS", 1 << 40)
+        told.append([sorted(map(repr, f(df).collect())) for f in (line_dedup.dedup_lines, line_dedup.dedup_pairs)])
+    assert told[0] == told[1] and len(told[0][0]) == 200
+
+
 def test_repeated_passages_between_unlike_lines_go_whole(spark, strange, nothing):
     import corpus_pipeline
 
