@@ -213,7 +213,8 @@ def search(df: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "em
     or non-finite components take no part. Only vectors of one length have an inner
     product, so each length is searched by itself. A vec_id that several rows have
     counts once, with its best score. With fewer than ``k`` candidates all that were
-    visited are returned. ``parts`` and ``visits`` are set by the rows unless given.
+    visited are returned; equal scores go to the smaller vec_id, and an empty table, or one
+    without a query, gives no rows. Other columns are not read. ``parts`` and ``visits`` are set by the rows unless given.
     """
     spark = df.sparkSession
     rows = valid(df, vec_id, embedding)

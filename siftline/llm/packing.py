@@ -116,7 +116,11 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """Token pieces of all rows: key (unique), doc_id, piece, start, length, ids_crc32 (and ids, binary)."""
+    """Token pieces of all rows: key (unique), doc_id, piece, start, length, ids_crc32 (and ids, binary).
+
+    Null and empty texts are the end id alone, a text of any length is cut into pieces of
+    ``capacity``, repeated rows are documents of their own, and an empty table has no piece.
+    """
     small_batches(df.sparkSession)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     """Certified cutoffs by stratum and rule, from all labelled rows.
 
     ``labels`` has doc_id and quality (1 is good). Rows of equal text
-    count once, for copies are no independent evidence. What reaches the driver is a
+    count once, for copies are no independent evidence; labels of one doc_id that contradict
+    each other count as bad, other labels and rows without doc_id as none, and without
+    labels there are no cutoffs. What reaches the driver is a
     row for each cutoff of a stratum with hundreds of labels.
     """
     told = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality in (0, 1)")

@@ -1,4 +1,9 @@
-"""The queries op1 to op13 and ``pipeline`` with production parameters, and their SQL."""
+"""The queries op1 to op13 and ``pipeline`` with production parameters, and their SQL.
+
+Each reads its whole tables through its operator, whose docstring tells what null, empty,
+repeated and very long rows come to; an empty table gives no rows, columns beside those
+that are named are not read, and a row without doc_id is never held out.
+"""
 
 from __future__ import annotations
 

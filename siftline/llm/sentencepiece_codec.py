@@ -261,7 +261,10 @@ def codec(path: str) -> Codec:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with a column ``ids`` (array<int>): the ids of ``text``; a null or empty text has none."""
+    """``df`` with a column ``ids`` (array<int>): the ids of ``text``; a null or empty text has none.
+
+    Texts are taken whole, however long, and repeated rows are encoded each; other columns stay.
+    """
     small_batches(df.sparkSession)
 
     @F.pandas_udf("array<int>")

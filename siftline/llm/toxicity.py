@@ -429,5 +429,5 @@ def harmless(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
 
 
 def learnable(labels: DataFrame) -> DataFrame:
-    """Label rows outside the held-out fold: crc32(doc_id as text) mod 5 is not 0."""
+    """Label rows outside the held-out fold: crc32(doc_id as text) mod 5 is not 0; rows without doc_id go, repeated ones stay."""
     return labels.filter(crc_mod("doc_id", 5) != 0)
