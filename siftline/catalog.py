@@ -743,15 +743,12 @@ m as (select *, contains(line, 'icense') as hit from l), c as (select *, max(hit
 select concat('f', k) as path, line_no, line, hit as is_match from c where shown""")
 def huge_files(spark, d):
     """Documents one after another as three large files, read in ranges of 50 kB, found lines with their context across the ranges' borders."""
-    docs, place = _table(spark, d, "documents"), _place(spark)
-    for k in range(3):
-        docs.filter(F.col("doc_id") % 3 == k).orderBy("doc_id").select("text").coalesce(1).write.option("lineSep", "\n").text(f"{place}/f{k}")
-    root = place.removeprefix("file://")
-    parts = [(os.path.relpath(e.path, root), e.stat().st_size) for k in range(3) for e in os.scandir(f"{root}/f{k}") if e.name.startswith("part-")]  # three
-    lines = splits.lines(spark.createDataFrame(parts, "path string, size long"), root, 50_000)
+    root = _scratch(spark)
+    texts = _table(spark, d, "documents").filter("doc_id is not null").select(F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("path"), F.col("doc_id").alias("at"), "text")
+    lines = splits.lines(splits.write_files(texts, root), root, 50_000)
     found = lines.filter(F.contains("line", F.lit("icense")))
     shown = splits.with_context(found, lines, before=2, after=1)
-    return shown.select(F.split("path", "/")[0].alias("path"), "line_no", "line", "is_match")
+    return shown.select("path", "line_no", "line", "is_match")
 
 
 # surfaces ------------------------------------------------------------------------

@@ -19,6 +19,8 @@ from siftline.sources.corpus import decode_bytes
 
 #: Bytes of a range, and bytes that a task reads and hands on at a time.
 RANGE_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
+#: Bytes that a task reads at least, and numbers whose texts are written one after another.
+LEAST_BYTES, RUN = 1 << 12, 4096
 COUNTED = "path string, start long, size long, feeds long, nul long, wide boolean"
 LINES = "path string, line_no long, line string"
 
@@ -29,11 +31,11 @@ def ranges(listed: DataFrame, each: int = RANGE_BYTES) -> DataFrame:
     return listed.select("path", F.explode(starts).alias("start"), "size")
 
 
-def _chunks(full: str, start: int, end: int | None) -> Iterator[bytes]:
+def _chunks(full: str, start: int, end: int | None, most: int = CHUNK_BYTES) -> Iterator[bytes]:
     with open(full, "rb") as f:
         f.seek(start)
         while end is None or start < end:
-            raw = f.read(CHUNK_BYTES if end is None else min(CHUNK_BYTES, end - start))
+            raw = f.read(most if end is None else min(most, end - start))
             if not raw:
                 return
             start += len(raw)
@@ -113,7 +115,7 @@ def _range_lines(full: str, path: str, start: int, end: int, nul: int | None, wi
             inside = f.read(1) == b"\n"  # a line begins right here
     rest, begins, mark = b"", start, 0  # of the line that is being read: what is known, its place, and bytes that don't belong to it
     first = start == 0
-    for raw in _chunks(full, start, nul):
+    for raw in _chunks(full, start, nul, min(CHUNK_BYTES, max(end - start, LEAST_BYTES))):  # of a small range not much more than its own
         if first and raw.startswith(b"\xef\xbb\xbf"):
             raw, mark = raw[3:], 3
         first = False
@@ -140,6 +142,46 @@ def _range_lines(full: str, path: str, start: int, end: int, nul: int | None, wi
         yield [(path, number + 1, rest)]
 
 
+def write_files(texts: DataFrame, root: str) -> DataFrame:
+    """(path, size) of files below a folder, each made of the texts (path, at, text) of its path by ``at``, a line feed after each.
+
+    Every text's place follows from sums over runs of RUN numbers, so a file is written by many tasks,
+    each at its places, and a task that runs again writes the same. Null texts are left out,
+    texts of one number stand in any order. Folder and files must be seen by all tasks.
+    """
+    root = os.path.abspath(root)
+    rows = texts.filter("text is not null").select("path", F.col("at").cast("long").alias("at"), F.col("text").cast("binary").alias("raw"))
+    rows = rows.withColumn("run", F.floor(F.col("at") / RUN)).withColumn("bytes", F.octet_length("raw").cast("long") + 1)
+    earlier = Window.orderBy("run").partitionBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row a run
+    runs = rows.groupBy("path", "run").agg(F.sum("bytes").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(earlier), F.lit(0))).persist()
+    files = runs.groupBy("path").agg(F.max(F.col("before") + F.col("all")).alias("size"))
+    os.makedirs(root, exist_ok=True)
+    for r in files.select("path").toLocalIterator():
+        full = os.path.join(root, r["path"])
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        open(full, "wb").close()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, name = None, None
+        for batch in batches:
+            for path, place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if path != name:
+                    if file:
+                        file.close()
+                    file, name = open(os.path.join(root, path), "r+b"), path
+                if file.tell() != place:
+                    file.seek(place)
+                file.write(raw.as_py() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        if file:
+            file.close()
+
+    within = Window.partitionBy("path", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(runs.select("path", "run", "before"), ["path", "run"])
+    placed.select("path", (F.col("before") + F.col("inside")).alias("place"), "raw").mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one row
+    return files
+
+
 def with_context(found: DataFrame, all_lines: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """(path, line_no, line, is_match, begins): found lines and their neighbours, joined by number, so that no task sees a whole file.
 
@@ -148,6 +190,8 @@ def with_context(found: DataFrame, all_lines: DataFrame, before: int = 0, after:
     near = F.explode(F.sequence(F.col("line_no") - before, F.col("line_no") + after))
     shown = found.select("path", near.alias("shown"), "line_no").groupBy("path", "shown").agg(F.max(F.col("shown") == F.col("line_no")).alias("is_match"))
     shown = shown.withColumnRenamed("shown", "line_no")
+    # lines that come of a listing are taken for as few as its rows, and would be broadcast, every one of them
+    shown = shown.hint("merge")
     rows = all_lines.join(shown, ["path", "line_no"])
     earlier = shown.select("path", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("__earlier"))
-    return rows.join(earlier, ["path", "line_no"], "left").select("path", "line_no", "line", "is_match", (F.col("__earlier").isNull() | (F.col("line_no") == 1)).alias("begins"))
+    return rows.join(earlier.hint("merge"), ["path", "line_no"], "left").select("path", "line_no", "line", "is_match", (F.col("__earlier").isNull() | (F.col("line_no") == 1)).alias("begins"))

@@ -331,3 +331,28 @@ def test_path_lists_and_quotes(spark):
     files = spark.createDataFrame([("a b",), ("it's",), ("plain",)], "path string")
     assert [r[0] for r in files.select(shell_quote(F.col("path"))).collect()] == ["'a b'", "'it'\\''s'", "plain"]
     assert _paths(git_scoped(files, files.filter("path <> 'plain'"))) == {"a b", "it's"}
+
+
+def test_files_are_written_by_many_tasks_and_ranges_read_no_more(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(splits, "RUN", 3)
+    texts = {k: "é" * (k % 5) + "\n" * (k % 2) + str(k) for k in range(-4, 40)}
+    rows = [(f"f{k % 2}", k, t) for k, t in texts.items()] + [("f0", 100, None), ("g/h", 5, "")]
+    random.Random(1).shuffle(rows)
+    files = splits.write_files(spark.createDataFrame(rows, "path string, at long, text string").repartition(5), str(tmp_path))
+    wanted = {f"f{k}": "".join(texts[i] + "\n" for i in sorted(texts) if i % 2 == k).encode() for k in (0, 1)} | {"g/h": b"\n"}
+    assert {p: (tmp_path / p).read_bytes() for p in wanted} == wanted
+    assert {r["path"]: r["size"] for r in files.collect()} == {p: len(x) for p, x in wanted.items()}
+    (tmp_path / "long").write_bytes(b"abc\n" * (1 << 20))
+    taken = []
+    monkeypatch.setattr(splits, "_chunks", lambda *a, f=splits._chunks: (taken.append(len(x)) or x for x in f(*a)))
+    got = [r for some in splits._range_lines(str(tmp_path / "long"), "long", 4000, 54_000, None, False, 1000) for r in some]
+    assert [r[1] for r in got] == list(range(1001, 13_501)) and sum(taken) < 200_000
+
+
+def test_lines_are_not_broadcast_for_their_context(spark, tmp_path):
+    (tmp_path / "f").write_text("a\nb\nc\n")
+    lines = splits.lines(spark.createDataFrame([("f", 6)], "path string, size long"), str(tmp_path))
+    shown = splits.with_context(lines.filter("line = 'b'"), lines, 1, 1)
+    plan = shown._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r["line"] for r in shown.collect()) == ["a", "b", "c"]
