@@ -27,6 +27,12 @@ class _Cursors(StatefulProcessor):
         told = self.state.get() if self.state.exists() else None
         return (json.loads(told[0]), told[1], told[2]) if told else ([], None, 0)
 
+    def _timer(self, waiting: list, kept: str | None, until: int) -> None:
+        """One timer a token, for what comes next; what each request costs stays the same however many a token has."""
+        times = [w[0] for w in waiting] + ([until] if kept is not None else [])
+        if times:
+            self.handle.registerTimer(min(times) // 1000 + 1)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import pandas as pd
 
@@ -34,21 +40,21 @@ class _Cursors(StatefulProcessor):
         for part in rows:
             for at, put, cursor in zip(part["at_us"], part["put"], part["cursor"], strict=True):
                 waiting.append([int(at), bool(put), None if pd.isna(cursor) else str(cursor)])
-                self.handle.registerTimer(int(at) // 1000 + 1)
         self.state.update((json.dumps(waiting), kept, until))
+        self._timer(waiting, kept, until)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # nothing earlier than the watermark comes any more, so all that it has passed is answered at once
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         waiting, kept, until = self._read()
         answers = []
         for at, put, cursor in sorted((w for w in waiting if w[0] <= now), key=lambda w: w[:2]):
             alive = kept is not None and at < until
             if put:
                 kept, until = cursor, at + self.ttl_us
-                self.handle.registerTimer(until // 1000 + 1)
             else:
                 answers.append((key[0], pd.Timestamp(at, unit="us"), alive, kept if alive else None))
                 kept = None
@@ -57,7 +63,8 @@ class _Cursors(StatefulProcessor):
             kept = None
         if waiting or kept is not None:
             self.state.update((json.dumps(waiting), kept, until))
-        else:
+            self._timer(waiting, kept, until)
+        elif self.state.exists():
             self.state.clear()  # nothing of an expired or spent token stays
         if answers:
             yield pd.DataFrame(answers, columns=["token", "at", "found", "cursor"])

@@ -5,11 +5,13 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from siftline import catalog
+from siftline.functions.trigrams import postings as extract
 from siftline.operators import batch, page, rank, segments, sort
 from siftline.operators.filters import FileFilter
 from siftline.operators.find import find_page
@@ -589,3 +591,21 @@ def test_a_session_of_a_tool_client(spark):
     assert told[2]["result"] == {} and told[3]["result"]["content"][0]["text"].splitlines()[1:] == ["b.rs", "  1: foo 3"]
     assert told[4]["error"]["code"] == -32602 and told[5]["error"]["code"] == -32601 and told[6]["error"]["code"] == -32700
     assert told[7]["result"]["protocolVersion"] == "2025-06-18"
+
+
+def test_a_token_has_one_timer_however_many_requests_it_has():
+    import types
+
+    from siftline.streaming.cursors import _Cursors
+
+    timers, told = [], []
+    state = types.SimpleNamespace(exists=lambda: bool(told), get=lambda: told[-1], update=told.append, clear=told.clear)
+    of = _Cursors(5_000_000)
+    of.handle, of.state = types.SimpleNamespace(registerTimer=timers.append), state
+    rows = pd.DataFrame({"at_us": [k * 1_000_000 for k in range(200)], "put": [k % 2 == 0 for k in range(200)], "cursor": [str(k) if k % 2 == 0 else None for k in range(200)]})
+    assert list(of.handleInputRows(("t",), iter([rows.sample(frac=1, random_state=3)]), None)) == [] and timers == [1]
+    due = types.SimpleNamespace(getExpiryTimeInMs=lambda: 1)
+    first, = of.handleExpiredTimer(("t",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 100_000), due)
+    assert first["cursor"].tolist() == [str(k) for k in range(0, 100, 2)] and timers == [1, 101_001]
+    rest, = of.handleExpiredTimer(("t",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 900_000), due)
+    assert rest["cursor"].tolist() == [str(k) for k in range(100, 200, 2)] and rest["found"].all() and not told and len(timers) == 2
