@@ -858,16 +858,21 @@ def _streamed(stream: DataFrame, spark) -> DataFrame:
 def stream_search(spark, d):
     """Documents that arrive as a stream of files."""
     docs = _table(spark, d, "documents")
-    arriving = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*").parquet(_as_folder(spark, docs))
+    arriving = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*").parquet(_as_folder(spark, docs, _several(docs)))
     return _streamed(matches_of_stream(arriving, "[Ll]icensed", "doc_id", "text"), spark).select(F.col("file_id").alias("doc_id"), "line_no", "line")
 
 
-def _as_folder(spark, df: DataFrame) -> str:
+def _as_folder(spark, df: DataFrame, files: int = 3) -> str:
     place = _place(spark) + "/in"
-    df.repartition(3).write.parquet(place)
+    df.repartition(files).write.parquet(place)
     return place
 
 
+def _several(df: DataFrame) -> int:
+    """Three files of a table, or as many as it is read in parts, so that no file and no task grows with it."""
+    return max(3, df.rdd.getNumPartitions())
+
+
 @query(_AFTER)
 def stream_refresh(spark, d):
     """A stored index that followed the corpus from an earlier state, by one refresh for each batch of listings."""
@@ -1114,7 +1119,7 @@ def stream_cursors(spark, d):
     """Cursors that views put and clicks take, in event time; the stream's files come in no order."""
     e, view = _table(spark, d, "events").filter("event_type in ('view', 'click')"), F.col("event_type") == "view"
     requests = e.select(F.col("user_id").cast("string").alias("token"), F.col("ts").cast("timestamp").alias("at"), view.alias("put"), F.when(view, F.col("event_id").cast("string")).alias("cursor"))
-    arriving = spark.readStream.schema(requests.schema).parquet(_as_folder(spark, requests))
+    arriving = spark.readStream.schema(requests.schema).parquet(_as_folder(spark, requests, _several(requests)))
     told = _streamed(cursor_answers(arriving, ttl_seconds=6 * 3600, delay="1 day"), spark)
     return told.select("token", F.unix_micros("at").alias("at_us"), "found", "cursor")
 
@@ -1123,7 +1128,8 @@ def stream_cursors(spark, d):
 def stream_status(spark, d):
     """What a listener has written of a stream that has ended."""
     docs, place = _table(spark, d, "documents"), _place(spark)
-    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(_as_folder(spark, docs))
+    files = _several(docs)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(_as_folder(spark, docs, files))
     with LiveStatus(spark, f"{place}/status") as live:
         _streamed(matches_of_stream(arriving, "[Ll]icensed", "doc_id", "text"), spark)
         live.settled()

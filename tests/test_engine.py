@@ -609,3 +609,9 @@ def test_a_token_has_one_timer_however_many_requests_it_has():
     assert first["cursor"].tolist() == [str(k) for k in range(0, 100, 2)] and timers == [1, 101_001]
     rest, = of.handleExpiredTimer(("t",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 900_000), due)
     assert rest["cursor"].tolist() == [str(k) for k in range(100, 200, 2)] and rest["found"].all() and not told and len(timers) == 2
+
+
+def test_files_of_a_stream_are_as_many_as_the_table_has_parts(spark, sf):
+    assert catalog._several(spark.range(10).repartition(17)) == 17 and catalog._several(spark.range(1).coalesce(1)) == 3
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+    assert len(spark.read.parquet(catalog._as_folder(spark, docs, catalog._several(docs))).inputFiles()) == 7
