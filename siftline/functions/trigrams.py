@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.batches import small_batches
+
 #: Bytes at the head of a file in which a NUL makes it binary.
 BINARY_WINDOW = 1024
 
@@ -30,6 +32,7 @@ def postings(files: DataFrame) -> DataFrame:
             tri = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(tri, pa.int32()), pa.array(np.repeat(ids, counts), pa.int64())], ["tri", "file_id"])
 
+    small_batches(files.sparkSession)
     return files.filter(~F.col("is_binary")).select("file_id", F.col("text").cast("binary").alias("raw")).mapInArrow(extract, "tri int, file_id long")
 
 
