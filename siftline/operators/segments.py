@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.batches import small_batches
 from siftline.functions.trigrams import distinct
 from siftline.operators.index import FILE_COLUMNS, Index
 from siftline.plans.query import Query
@@ -37,6 +38,8 @@ PLACE_BITS, ROW_BITS, SEGMENT_SHIFT = 12, 28, 48
 BUCKET = 1 << PLACE_BITS
 #: Postings of a bucket that a task holds before it writes containers.
 PAIRS_AT_ONCE = 4_000_000
+#: Containers that are decoded at a time.
+DECODED = 64
 #: Segments of one size that are merged, and files of a segment of the smallest size.
 FAN, SMALLEST = 4, 64
 #: Files a partition of postings is made for.
@@ -118,6 +121,7 @@ def staged(files: DataFrame) -> DataFrame:
             at += batch.num_rows
             yield pa.RecordBatch.from_arrays([ids, *(batch.column(k) for k in range(5)), lists], ["id", "path", "size", "mtime_ns", "digest", "is_binary", "grams"])
 
+    small_batches(files.sparkSession)
     return files.select("path", "size", "mtime_ns", "digest", "is_binary", F.col("text").cast("binary").alias("raw")).mapInArrow(extract, STAGED)
 
 
@@ -131,6 +135,7 @@ def renumbered(rows: DataFrame) -> DataFrame:
             at += batch.num_rows
             yield pa.RecordBatch.from_arrays([ids, *batch.columns[1:]], batch.schema.names)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(number, STAGED)
 
 
@@ -156,6 +161,7 @@ def containers(rows: DataFrame) -> DataFrame:
         if held:
             yield _containers(bucket, np.concatenate(tri), np.concatenate(place))
 
+    small_batches(rows.sparkSession)
     return rows.select("id", "grams").mapInArrow(pack, CONTAINERS)
 
 
@@ -360,14 +366,15 @@ class StoredIndex(Index):
         if not dead:
             return None
 
-        @F.pandas_udf("array<int>")
-        def places(kinds, data):
-            import pandas as pd
-
-            return pd.Series([np.flatnonzero(decode(k, bytes(d))).tolist() for k, d in zip(kinds, data, strict=True)])
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, DECODED):
+                    bucket, kind, data = (c.to_pylist() for c in batch.slice(at, DECODED).columns)
+                    ids = [np.flatnonzero(decode(k, x)) + (b << PLACE_BITS) for b, k, x in zip(bucket, kind, data, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64))], ["file_id"])
 
         rows = self._union([self._table(d["name"], "dead") for d in dead], CONTAINERS)
-        out = rows.select(F.col("bucket"), F.explode(places("kind", "data")).alias("place")).select((F.shiftleft("bucket", PLACE_BITS) + F.col("place")).alias("file_id")).distinct()
+        out = rows.select("bucket", "kind", "data").mapInArrow(places, "file_id long").distinct()
         return F.broadcast(out) if sum(d["n"] for d in dead) <= BROADCAST else out
 
     def _files(self) -> DataFrame:
@@ -391,6 +398,7 @@ class StoredIndex(Index):
                 ids = np.repeat(batch.column(0).to_numpy(), [len(g) for g in grams])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*grams, np.zeros(0, np.int32)]).astype(np.int32)), pa.array(ids)], ["tri", "file_id"])
 
+        small_batches(self._spark)
         return rows.mapInArrow(spell, "tri int, file_id long")
 
     # lookups
