@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.batches import small_batches, stretches
 from siftline.functions.trigrams import trigrams
 from siftline.operators.index import Index
 from siftline.operators.search import Plan, SearchOptions, narrowed, plan, search
@@ -23,6 +24,8 @@ from siftline.sources.corpus import Corpus, explode_lines
 
 #: Files whose trigrams tell which are rare where no index does; they decide on speed alone.
 SAMPLED_FILES = 500
+#: Bytes of texts whose trigrams are looked at at a time.
+TEXT_AT_ONCE = 1 << 20
 #: Columns of the rows.
 ROWS = ["label", "file_id", "path", "line_no", "ordinal", "is_match", "text", "match_start", "block"]
 
@@ -58,24 +61,32 @@ def lines_with(files: DataFrame, table: np.ndarray) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
-            ids, paths = batch.column(0), batch.column(1)
-            texts = [(x.as_py() or b"").partition(b"\0")[0] for x in batch.column(2)]
-            raw = b"\n".join(texts) + b"\n"
-            b = np.frombuffer(raw, np.uint8).astype(np.int32)
-            gram = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-            at = np.flatnonzero(table[gram >> 3] >> (gram & 7).astype(np.uint8) & 1) if len(b) > 2 else np.zeros(0, np.int64)
-            ends = np.flatnonzero(b == 10)
-            begins = np.r_[0, ends[:-1] + 1]
-            pairs = np.unique(np.searchsorted(ends, at) << 24 | gram[at])
-            line, tri = pairs >> 24, (pairs & 0xFFFFFF).astype(np.int32)
-            first = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1])
+        for whole in batches:
+            for some in stretches(np.fromiter((len(x.as_py() or b"") for x in whole.column(2)), np.int64, whole.num_rows), TEXT_AT_ONCE):
+                yield from picked(whole.slice(some.start, some.stop - some.start), table)
+
+    def picked(batch: pa.RecordBatch, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, paths = batch.column(0), batch.column(1)
+        texts = [(x.as_py() or b"").partition(b"\0")[0] for x in batch.column(2)]
+        raw = b"\n".join(texts) + b"\n"
+        b = np.frombuffer(raw, np.uint8).astype(np.int32)
+        gram = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+        at = np.flatnonzero(table[gram >> 3] >> (gram & 7).astype(np.uint8) & 1) if len(b) > 2 else np.zeros(0, np.int64)
+        ends = np.flatnonzero(b == 10)
+        begins = np.r_[0, ends[:-1] + 1]
+        pairs = np.unique(np.searchsorted(ends, at) << 24 | gram[at])
+        lines, tris = pairs >> 24, (pairs & 0xFFFFFF).astype(np.int32)
+        first = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1])
+        # a long line with many trigrams stands there many times
+        for some in stretches((ends - begins)[lines] + 64):
+            line = lines[some]
             owner = np.searchsorted(first, line, side="right") - 1
             shown = [raw[begins[k] : ends[k]] for k in line.tolist()]
             take = pa.array(owner)
-            columns = [ids.take(take), paths.take(take), pa.array(line - first[owner] + 1, pa.int64()), pa.array(shown, pa.binary()).cast(pa.string()), pa.array(tri)]
+            columns = [ids.take(take), paths.take(take), pa.array(line - first[owner] + 1, pa.int64()), pa.array(shown, pa.binary()).cast(pa.string()), pa.array(tris[some])]
             yield pa.RecordBatch.from_arrays(columns, ["file_id", "path", "line_no", "line", "tri"])
 
+    small_batches(files.sparkSession)
     return files.select("file_id", "path", F.col("text").cast("binary").alias("raw")).mapInArrow(pick, "file_id long, path string, line_no long, line string, tri int")
 
 

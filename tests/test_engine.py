@@ -615,3 +615,25 @@ def test_files_of_a_stream_are_as_many_as_the_table_has_parts(spark, sf):
     assert catalog._several(spark.range(10).repartition(17)) == 17 and catalog._several(spark.range(1).coalesce(1)) == 3
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
     assert len(spark.read.parquet(catalog._as_folder(spark, docs, catalog._several(docs))).inputFiles()) == 7
+
+
+def test_python_workers_of_the_index_and_of_many_searches_get_small_batches(spark):
+    from siftline.functions.batches import BATCH_BYTES, stretches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    corpus = Corpus.from_df(spark.createDataFrame([(1, "ab cd " * 3000 + "\nxyz"), (2, None), (3, "cd")], "doc_id long, text string"), "doc_id", "text", F.col("doc_id").cast("string"))
+    try:
+        for make in (lambda: extract(corpus.files), lambda: segments.staged(corpus.files), lambda: batch.lines_with(corpus.files, np.full(1 << 21, 255, np.uint8))):
+            spark.conf.set(name, str(1 << 30))
+            rows = make()
+            assert int(spark.conf.get(name)) <= BATCH_BYTES
+            assert rows.count()
+        got = rows.select("file_id", "line_no", F.length("line").alias("n"), "tri").collect()
+        got = [r for r in got if 10 not in r["tri"].to_bytes(3, "big")]
+        assert {(r["file_id"], r["line_no"], r["n"]) for r in got} == {(1, 1, 18000), (1, 2, 3)} and len(got) == 7
+    finally:
+        spark.conf.set(name, was)
+    sizes = np.array([3, 3, 9, 1, 1, 1, 20, 2])
+    parts = list(stretches(sizes, 6))
+    assert [(p.start, p.stop) for p in parts] == [(0, 2), (2, 3), (3, 6), (6, 7), (7, 8)]
