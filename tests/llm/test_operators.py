@@ -745,6 +745,32 @@ def test_counts_of_stretches_equal_those_of_whole_texts(docs, monkeypatch):
     assert got[0][0].sum() == sum(code.depth[a * 256 + b] for t in texts for a, b in zip([0, *(x + 1 for x in t)], t))
 
 
+def test_every_training_text_fills_the_tables_and_fits_weights_and_map(spark, docs):
+    texts = [t or "" for t in docs.text.head(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    spelled = [language_model.spelled(language_model.tokens(t)) for t in texts]
+    code, bits = language_model.Code(_pairs(spelled)), language_model.table_bits(sum(map(len, spelled)))
+    tables, seen = language_model.tables_of(df, code, bits, sum(map(len, spelled)))
+    counts = [np.zeros(2 << b, np.uint32) for b in bits]
+    language_model.counted(spelled, code, bits, counts)
+    assert all((t == language_model.states(c[0::2].astype(float), c[1::2].astype(float))).all() for t, c in zip(tables, counts))
+    zeros, ones = int(counts[0][0::2].sum()), int(counts[0][1::2].sum())
+    for part in np.split(seen, [2 * language_model._CELLS]):
+        assert (part[0::2].sum(), part[1::2].sum()) == (zeros, ones)
+    # few texts fit them too, none of which a sample of an eighth has to hold
+    few = df.limit(3)
+    model = language_model.fit(few, language_model.vocabulary(few.withColumn("doc_id", F.lit(None).cast("long"))), 1000.0)
+    plain = language_model.Model(model.code, model.tables)
+    assert not np.allclose(model.weights, plain.weights, atol=1e-3) and not np.allclose(model.refined, plain.refined)
+
+
+def test_weights_and_map_learned_from_texts_make_others_likelier(docs):
+    texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(200)]
+    model = _small_model(texts[60:])
+    before = model.log10(texts[:30]).sum()
+    assert language_model.learned(model, texts[30:60]).log10(texts[:30]).sum() > before * 0.99
+
+
 # 10 -------------------------------------------------------------------------
 
 
