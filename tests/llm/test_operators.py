@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -764,6 +765,13 @@ def test_every_training_text_fills_the_tables_and_fits_weights_and_map(spark, do
     assert not np.allclose(model.weights, plain.weights, atol=1e-3) and not np.allclose(model.refined, plain.refined)
 
 
+def test_words_of_many_texts_are_those_of_each(docs):
+    texts = ["A b\x0bC\x1c d\x85e f", None, "", "  \t", " Éa É\x00 x ", "a " * 70_000, "x\xa0y\u2028Z", *docs.text.head(50)]
+    words, many = language_model.words_of(pa.array(texts, pa.string()))
+    want = [language_model.tokens(t or "") for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws] and many.tolist() == list(map(len, want))
+
+
 def test_weights_and_map_learned_from_texts_make_others_likelier(docs):
     texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(200)]
     model = _small_model(texts[60:])
