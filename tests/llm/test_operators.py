@@ -764,6 +764,62 @@ def test_every_training_text_fills_the_tables_and_fits_weights_and_map(spark, do
     plain = language_model.Model(model.code, model.tables)
     assert not np.allclose(model.weights, plain.weights, atol=1e-3) and not np.allclose(model.refined, plain.refined)
 
+def _code_of_pairs(texts: list[bytes]) -> language_model.Code:
+    pairs = Counter()
+    for t in texts:
+        flat = np.frombuffer(t, np.uint8)
+        recent = language_model.recents(flat, np.zeros(1, np.int64), language_model.Before())
+        for context in language_model.code_contexts(recent):
+            pairs.update((context[context > 0].view(np.int64) * 256 + flat[context > 0]).tolist())
+    return language_model.Code(_pairs(texts), (np.array([*pairs], np.int64), np.array([*pairs.values()], float)))
+
+
+def test_codes_by_three_bytes_save_decisions_and_spell_every_byte_in_one_way(docs):
+    texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(60)]
+    code, plain, flat = _code_of_pairs(texts), language_model.Code(_pairs(texts)), np.frombuffer(texts[5], np.uint8)
+    recent = language_model.recents(flat, np.zeros(1, np.int64), language_model.Before())
+    took = [len(c.decisions(flat.astype(np.int64), recent)[0]) for c in (code, plain)]
+    assert took[0] < 0.9 * took[1]
+    for r in recent[[0, 1, 2, 7, 30, 31, 32, 33]]:
+        at, step, node, bit = code.decisions(np.arange(256), np.full(256, r))
+        ways = {b: tuple(zip(node[at == b].tolist(), bit[at == b].tolist())) for b in range(256)}
+        assert all(step[at == b].tolist() == [min(d, 3) for d in range(len(w))] for b, w in ways.items())
+        # where two bytes part, they part by the bit of one node: each decision is yes or no
+        for a, b in zip(range(255), range(1, 256)):
+            d = next(d for d in range(99) if ways[a][d] != ways[b][d])
+            assert ways[a][d][0] == ways[b][d][0] and ways[a][d][1] != ways[b][d][1]
+
+
+def test_counts_and_scores_do_not_depend_on_the_memo_of_grams(docs, monkeypatch):
+    texts = [language_model.spelled(language_model.tokens(t)) for t in docs.text.head(40)]
+    code, bits = _code_of_pairs(texts), language_model.table_bits(sum(map(len, texts)))
+    got = []
+    for memo, most in ((19, 1 << 21), (6, 1 << 21), (6, 0)):
+        monkeypatch.setattr(language_model, "GRAM_BITS", memo)
+        monkeypatch.setattr(language_model, "GRAM_DECISIONS", most)
+        monkeypatch.setattr(language_model, "AT_ONCE", 20_000 + memo)
+        counts = [np.zeros(2 << b, np.uint32) for b in bits]
+        language_model.counted(texts[8:], code, bits, counts)
+        model = language_model.Model(code, [language_model.states_of(c) for c in counts])
+        got.append((counts, model.log10(texts), model.log10(texts)))
+    assert all((a == b).all() for other in got[1:] for a, b in zip(got[0][0], other[0]))
+    assert all(np.allclose(got[0][1], s, rtol=1e-5) for other in got for s in other[1:])
+    # and the counts are those of a loop over bytes
+    want = [np.zeros(2 << b, np.uint32) for b in bits]
+    for t in texts[8:]:
+        flat = np.frombuffer(t, np.uint8)
+        hashed, _ = language_model.contexts(flat, np.zeros(1, np.int64), language_model.Before())
+        at, _, node, bit = code.decisions(flat.astype(np.int64), language_model.recents(flat, np.zeros(1, np.int64), language_model.Before()))
+        for k, b in enumerate(bits):
+            slot = (hashed[k][at] + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - b)
+            np.add.at(want[k], slot.astype(np.int64) * 2 + bit, np.uint32(1))
+    assert all((a == b).all() for a, b in zip(got[0][0], want))
+
+
+def test_states_of_counts_come_from_the_table_too():
+    counts = np.array([0, 0, 3, 0, 255, 7, 256, 1, 5, 70_000], np.uint32)
+    assert (language_model.states_of(counts) == language_model.states(counts[0::2].astype(float), counts[1::2].astype(float))).all()
+
 
 def test_words_of_many_texts_are_those_of_each(docs):
     texts = ["A b\x0bC\x1c d\x85e f", None, "", "  \t", " Éa É\x00 x ", "a " * 70_000, "x\xa0y\u2028Z", *docs.text.head(50)]
